@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociforge.llm.decontaminate import decontaminate
 from lociforge.llm.substring_dedup import substring_dedup
 
 
@@ -19,8 +20,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup,)}
+    return {f.__name__: f for f in (op3_substring_dedup, op4_benchmark_decontamination)}
 
 
 #: Words of every document with their positions, as the contract's pattern takes them.
@@ -39,6 +45,21 @@ SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n,
 FROM docs LEFT JOIN kept ON docs.doc_id = kept.doc_id
 """
 
+_OP4 = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM items WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM starts),
+sizes AS (SELECT DISTINCT n FROM wins),
+places AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM docs, sizes WHERE len(w) >= n),
+found AS (SELECT doc_id, item, places.n, p FROM places JOIN wins ON wins.n = places.n AND wins.s = array_to_string(w[p:p + places.n - 1], ' ')),
+hit AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM found, range(0, 13) AS r(k) WHERE k < found.n GROUP BY doc_id),
+has AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(has.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(t, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit ON hit.doc_id = docs.doc_id LEFT JOIN has ON has.doc_id = docs.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3}
+    return {"op3_substring_dedup": _OP3, "op4_benchmark_decontamination": _OP4}
