@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociforge.llm.decontaminate import decontaminate
+from lociforge.llm.near_dedup import near_dedup
 from lociforge.llm.substring_dedup import substring_dedup
 
 
@@ -25,8 +26,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op4_benchmark_decontamination)}
+    return {f.__name__: f for f in (op3_substring_dedup, op4_benchmark_decontamination, op6_minmax_near_dedup)}
 
 
 #: Words of every document with their positions, as the contract's pattern takes them.
