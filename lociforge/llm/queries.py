@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociforge.llm.decontaminate import decontaminate
+from lociforge.llm.lm_score import lm_score
 from lociforge.llm.near_dedup import near_dedup
 from lociforge.llm.substring_dedup import substring_dedup
+from lociforge.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +32,21 @@ def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def fold(n: int, k: int, id_col: str = "doc_id") -> Column:
+    """Whether the id's checksum leaves remainder k by n."""
+    return F.crc32(F.col(id_col).cast("string")) % n == k
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(3, 1))
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"), fold(7, 2))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op4_benchmark_decontamination, op6_minmax_near_dedup)}
+    return {f.__name__: f for f in (op3_substring_dedup, op4_benchmark_decontamination, op6_minmax_near_dedup, op7_toxicity, op9_lm_score)}
 
 
 #: Words of every document with their positions, as the contract's pattern takes them.
