@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociforge.llm.decontaminate import decontaminate
+from lociforge.llm.langid import language_id
 from lociforge.llm.lm_score import lm_score
 from lociforge.llm.near_dedup import near_dedup
 from lociforge.llm.substring_dedup import substring_dedup
@@ -41,12 +42,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(3, 1))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"), fold(3, 1))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"), fold(7, 2))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op4_benchmark_decontamination, op6_minmax_near_dedup, op7_toxicity, op9_lm_score)}
+    return {f.__name__: f for f in (op3_substring_dedup, op4_benchmark_decontamination, op6_minmax_near_dedup, op7_toxicity, op8_language_id, op9_lm_score)}
 
 
 #: Words of every document with their positions, as the contract's pattern takes them.
