@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociforge.llm.decontaminate import decontaminate
+from lociforge.llm.html_text import html_text
 from lociforge.llm.langid import language_id
+from lociforge.llm.length_buckets import length_buckets
 from lociforge.llm.lm_score import lm_score
 from lociforge.llm.near_dedup import near_dedup
+from lociforge.llm.quality import quality_rules
 from lociforge.llm.substring_dedup import substring_dedup
+from lociforge.llm.token_pack import token_pack
 from lociforge.llm.toxicity import toxicity
 
 
@@ -19,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_buckets(table(spark, sf_dir, "documents"))
+
+
+def op2_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = token_pack(table(spark, sf_dir, "documents"))
+    hashes = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "positions")]
+    return packed.select("shard", "row", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "doc_ids", "parts", "cu_seqlens", *hashes)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -29,6 +43,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,8 +68,12 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"), fold(7, 2))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op4_benchmark_decontamination, op6_minmax_near_dedup, op7_toxicity, op8_language_id, op9_lm_score)}
+    return {f.__name__: f for f in (op1_length_buckets, op2_token_pack, op3_substring_dedup, op4_benchmark_decontamination, op5_quality_rules, op6_minmax_near_dedup, op7_toxicity, op8_language_id, op9_lm_score, op10_html_text)}
 
 
 #: Words of every document with their positions, as the contract's pattern takes them.
@@ -85,6 +107,23 @@ SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) A
 FROM docs LEFT JOIN hit ON hit.doc_id = docs.doc_id LEFT JOIN has ON has.doc_id = docs.doc_id
 """
 
+_OP5 = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+              list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM docs WHERE len(w) >= 5),
+wins AS (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS s FROM starts),
+twice AS (SELECT doc_id, s FROM wins GROUP BY doc_id, s HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM wins JOIN twice USING (doc_id, s), range(0, 5) AS r(k) GROUP BY doc_id),
+base AS (SELECT docs.doc_id, w, l, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM docs LEFT JOIN rep ON rep.doc_id = docs.doc_id),
+failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 2 * n_symbols > n_words OR 10 * n_dup_lines > 3 * len(l) OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+            OR 2 * len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) < n_words) AS kept
+FROM failed
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3, "op4_benchmark_decontamination": _OP4}
+    return {"op3_substring_dedup": _OP3, "op4_benchmark_decontamination": _OP4, "op5_quality_rules": _OP5}
