@@ -27,13 +27,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lociforge.llm.store import segments, text_bytes
 from lociforge.llm.words import Words, blobs, chunks, grams, unblob
 
-#: Entries of one document, by segment: where (word positions), keys (hashes), whose (document, entries of it).
-BLOCK = "segment int, answered boolean, docs binary, sizes binary, at binary, keys binary"
+#: What a chunk of documents (named by its first) sends to a segment: documents, entries of each, word positions, hashes.
+BLOCK = "segment int, chunk bigint, answered boolean, docs binary, sizes binary, at binary, keys binary"
+ANSWER = "chunk bigint, docs binary, sizes binary, at binary"
 SPANS = "doc bigint, at binary"
+CUT = T.StructType().add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_text", T.StringType())
+#: Text bytes for each segment.
+SEGMENT_BYTES = 4 << 20
 
 
 def levels(window: int, shortest: int = 6) -> list[int]:
@@ -93,7 +98,7 @@ def _marks(words: Words, at: pa.Array) -> np.ndarray:
     return out
 
 
-def _spread(doc: np.ndarray, pos: np.ndarray, key: np.ndarray, segment: np.ndarray, answered: bool) -> Iterator[pa.RecordBatch]:
+def _spread(doc: np.ndarray, pos: np.ndarray, key: np.ndarray, segment: np.ndarray, chunk: int, answered: bool) -> Iterator[pa.RecordBatch]:
     """Rows of BLOCK, one for each segment; doc, pos and key belong together."""
     if not len(doc):
         return
@@ -105,13 +110,14 @@ def _spread(doc: np.ndarray, pos: np.ndarray, key: np.ndarray, segment: np.ndarr
     yield pa.record_batch(
         [
             pa.array(segment[cut].astype(np.int32)),
+            pa.array(np.full(len(cut), chunk, np.int64)),
             pa.array(np.full(len(cut), answered)),
             blobs(doc[run].astype(np.int64), by_run).cast(pa.binary()),
             blobs(np.diff(np.append(run, len(doc))).astype(np.uint32), by_run).cast(pa.binary()),
             blobs(pos.astype(np.uint32), by_key).cast(pa.binary()),
-            blobs(key if not answered else key[:0].astype(np.uint64), by_key if not answered else np.zeros(len(cut) + 1, np.int64)).cast(pa.binary()),
+            blobs(key[:0] if answered else key, by_key * 0 if answered else by_key).cast(pa.binary()),
         ],
-        ["segment", "answered", "docs", "sizes", "at", "keys"],
+        ["segment", "chunk", "answered", "docs", "sizes", "at", "keys"],
     )
 
 
@@ -121,6 +127,8 @@ def _sender(n: int, window: int, n_segments: int):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
+            if before:
+                batch = batch.filter(batch.column("at").is_valid())
             words = Words(batch.column("text"))
             if not len(words):
                 continue
@@ -143,8 +151,11 @@ def _sender(n: int, window: int, n_segments: int):
                 done, ask = order[many[group]], order[first | ~many[group]]
             done.sort()
             ask.sort()
-            yield from _spread(doc[done], pos[done], key[done], (doc[done[:1]] % n_segments).repeat(len(done)), True)
-            yield from _spread(doc[ask], pos[ask], key[ask] >> np.uint64(8), (key[ask] % np.uint64(n_segments)).astype(np.int64), False)
+            segment = (key % np.uint64(n_segments)).astype(np.int64)
+            # short runs are only candidates, for which half of the hash is enough
+            sent = key if n == window else (key >> np.uint64(32)).astype(np.uint32)
+            yield from _spread(doc[done], pos[done], sent[done], segment[done[:1]].repeat(len(done)), int(doc[0]), True)
+            yield from _spread(doc[ask], pos[ask], sent[ask], segment[ask], int(doc[0]), False)
 
     return send
 
@@ -158,7 +169,7 @@ def _receiver(last: bool):
         docs, of_docs = unblob(table.column("docs"), np.int64)
         sizes, _ = unblob(table.column("sizes"), np.uint32)
         at, of_at = unblob(table.column("at"), np.uint32)
-        keys, _ = unblob(table.column("keys"), np.uint64)
+        keys, _ = unblob(table.column("keys"), np.uint64 if last else np.uint32)
         run_of = np.arange(len(docs)).repeat(sizes)
         block = np.arange(table.num_rows).repeat(np.diff(of_at))
         keep = answered[block]
@@ -175,21 +186,37 @@ def _receiver(last: bool):
                 np.maximum.at(most, group, whose)
                 keep[asked] = least[group] < most[group]
         at, run_of = at[keep], run_of[keep]
-        ends = np.append(0, np.cumsum(np.bincount(run_of, minlength=len(docs))))
-        out = pa.table([pa.array(docs), blobs(at, ends).cast(pa.binary())], ["doc", "at"])
-        return out.filter(pa.array(np.diff(ends) > 0))
+        of_run = np.append(0, np.cumsum(np.bincount(run_of, minlength=len(docs))))
+        rows = of_docs  # every document of a block is answered, if with no places
+        out = [table.column("chunk"), table.column("docs"), blobs(np.diff(of_run).astype(np.uint32), rows).cast(pa.binary()), blobs(at, of_run[rows]).cast(pa.binary())]
+        return pa.table(out, ["chunk", "docs", "sizes", "at"])
 
     return receive
 
 
+def _gather(table: pa.Table) -> pa.Table:
+    """Answers to one chunk of documents: a row for each document that has places."""
+    table = table.combine_chunks()
+    docs, _ = unblob(table.column("docs"), np.int64)
+    sizes, _ = unblob(table.column("sizes"), np.uint32)
+    at, _ = unblob(table.column("at"), np.uint32)
+    whose = docs.repeat(sizes)
+    order = np.argsort(whose, kind="stable")
+    whose = whose[order]
+    cut = np.flatnonzero(np.append(True, whose[1:] != whose[:-1])) if len(whose) else np.zeros(0, np.int64)
+    return pa.table([pa.array(whose[cut]), blobs(at[order], np.append(cut, len(at))).cast(pa.binary())], ["doc", "at"])
+
+
 def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     """From (doc, text): doc, at - the word positions at which a window of an earlier document starts again."""
-    total = text_bytes(docs)
+    n_segments = segments(text_bytes(docs), SEGMENT_BYTES)
     found = None
     for n in levels(window):
-        source = docs if found is None else docs.join(found.hint("shuffle_hash"), "doc")
-        blocks = source.mapInArrow(_sender(n, window, segments(total, 20 << 20)), BLOCK)
-        spans = blocks.groupBy("segment").applyInArrow(_receiver(n == window), SPANS)
+        # a left join keeps the documents' side the same for every level, so that their texts are dealt out once
+        source = docs.where("doc is not null").select("doc", "text") if found is None else docs.join(found.hint("shuffle_hash"), "doc", "left")
+        blocks = source.mapInArrow(_sender(n, window, n_segments), BLOCK)
+        answers = blocks.groupBy("segment").applyInArrow(_receiver(n == window), ANSWER)
+        spans = answers.groupBy("chunk").applyInArrow(_gather, SPANS)
         found = spans.groupBy("doc").agg(F.aggregate(F.collect_list("at"), F.lit(b""), lambda a, b: F.concat(a, b)).alias("at"))
     return found
 
@@ -209,17 +236,18 @@ def _cutter(window: int):
     return cut
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes every word that a window of `window` words covers whose word sequence starts in a document with a smaller id.
 
-    Returns id_col, n_words, n_removed, kept_text (the kept words joined by one space), one row for each input row;
-    other columns of df are left to a join. Words are runs without white space (0x20, 0x09-0x0D).
+    Returns id_col, n_words, n_removed, kept_text (the kept words joined by one space), one row for each input row,
+    and the columns of df that `carry` names. Words are runs without white space (0x20, 0x09-0x0D).
     Null text: no words, kept_text ''. Null id: kept whole, and no evidence against others. Rows that repeat an id
     count as one document: none is earlier than the other, and what is removed is removed from each of them.
     An empty table gives an empty result. Texts of any length are judged whole.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    spans = repeated_spans(docs.where("doc is not null and text is not null"), window)
-    joined = docs.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", "at")
-    schema = "doc bigint, text string, at binary, n_words bigint, n_removed bigint, kept_text string"
-    return joined.mapInArrow(_cutter(window), schema).select(F.col("doc").alias(id_col), "n_words", "n_removed", "kept_text")
+    rest = F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in carry])
+    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), rest.alias("rest"))
+    spans = repeated_spans(docs, window)
+    joined = docs.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", "rest", "at")
+    schema = T.StructType([*joined.schema, *CUT])
+    return joined.mapInArrow(_cutter(window), schema).select(F.col("doc").alias(id_col), "n_words", "n_removed", "kept_text", *[F.col("rest")[c].alias(c) for c in carry])
