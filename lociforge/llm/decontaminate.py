@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lociforge.llm.store import text_bytes, written
 from lociforge.llm.words import ALNUM, Words, blobs, chunks, grams, unblob
@@ -30,7 +31,7 @@ from lociforge.llm.words import ALNUM, Words, blobs, chunks, grams, unblob
 BLOCK_BYTES = 8 << 20
 #: Words of a shingle; windows of fewer words are one shingle.
 SHINGLE = 3
-FOUND = "id bigint, text string, n_words bigint, hits binary, items array<string>"
+FOUND = T.StructType().add("n_words", T.LongType()).add("hits", T.BinaryType()).add("items", T.ArrayType(T.StringType()))
 
 
 class Lookup:
@@ -153,24 +154,26 @@ def _finder(index):
             for r, i in np.unique(np.stack([row_of[starts].repeat(many), item], 1), axis=0) if len(item) else ():
                 items[r].add(w.ids[i])
             yield pa.record_batch(
-                [batch.column("id"), batch.column("text"), pa.array(words.counts), hits.cast(pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                ["id", "text", "n_words", "hits", "items"],
+                [*(batch.column(c) for c in ("id", "text", "rest")), pa.array(words.counts), hits.cast(pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                ["id", "text", "rest", "n_words", "hits", "items"],
             )
 
     return find
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20) -> DataFrame:
+def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Finds the words of each text that windows of benchmark items cover.
 
     Words are runs of digits, a-z (A-Z lower-cased) and characters beyond ASCII. A window is `window` consecutive
     words of an item; an item of fewer words is one window. Returns for each row: id_col, n_words, n_hit (words inside
     an occurrence of a window), hits (their positions, 4 bytes each), items (sorted, as strings), contaminated
-    (n_hit > 0 and share * n_hit >= n_words).
+    (n_hit > 0 and share * n_hit >= n_words), and the columns of df that `carry` names.
     Null or empty text: no words, clean. Null ids stay null. Items without an id, a text or a word match nothing;
     rows that repeat an item id count as one item. Empty tables give an empty result, or clean documents.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rest = F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in carry])
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
+    schema = T.StructType([*docs.schema, *FOUND])
     spark = df.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     blocks = max(1, -(-text_bytes(items) // BLOCK_BYTES))
@@ -180,7 +183,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         lookup = Lookup(w.shingle)
         counts = np.zeros(len(lookup.keys), np.int64)
         if len(counts):
-            counted = docs.mapInArrow(_counter(spark.sparkContext.broadcast(lookup), w.kinds), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+            counted = docs.select("text").mapInArrow(_counter(spark.sparkContext.broadcast(lookup), w.kinds), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
             for r in counted.collect():
                 counts[r.key] = r.n
         # the rarest shingle of each window; of equally rare ones the first
@@ -191,6 +194,6 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         entry_key = np.searchsorted(lookup.keys, w.shingle[rarest])
         order = np.argsort(entry_key, kind="stable")
         of = np.append(0, np.cumsum(np.bincount(entry_key, minlength=len(lookup.keys))))
-        docs = (written(docs) if b else docs).mapInArrow(_finder(spark.sparkContext.broadcast((w, w.offset[rarest], lookup, of, order))), FOUND)
+        docs = (written(docs) if b else docs).mapInArrow(_finder(spark.sparkContext.broadcast((w, w.offset[rarest], lookup, of, order))), schema)
     n_hit = F.octet_length("hits").cast("long") / 4
-    return docs.select(F.col("id").alias(id_col), "n_words", n_hit.cast("long").alias("n_hit"), "hits", "items").withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))
+    return docs.select(F.col("id").alias(id_col), "n_words", n_hit.cast("long").alias("n_hit"), "hits", "items", ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), *[F.col("rest")[c].alias(c) for c in carry])
