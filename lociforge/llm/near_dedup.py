@@ -8,10 +8,10 @@ with a similarity of 0.75 share none with a probability of 5e-6.
 2. In each bucket (classes with an equal band key) every class is paired with the bucket's smallest one: as many
    pairs as members, never all pairs. Pairs are confirmed on full shingle sets; components follow by alternating
    large-star and small-star steps over tables.
-3. Buckets whose members ended in different components are searched for the links that the stars missed: in blocks
-   of bounded size signatures are compared, and each class is paired with its most similar partners in other
-   components. Confirmed links merge components. The number of partners grows eightfold each round, and the search
-   ends when a round had room for every candidate and found nothing new, so none is left out by a cap.
+3. Buckets whose members ended in different components are searched for the links that the stars missed. In pairs of
+   blocks of bounded size, signatures show which members can have a partner in another component; these components
+   make clusters. Each cluster's members are then compared on full shingle sets, again in pairs of blocks, each pair
+   of members once however many buckets they share, and only links that merge components leave a block.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociforge.llm.store import written
-from lociforge.llm.words import Words, bytes_of, chunks, grams
+from lociforge.llm.words import Words, blobs, bytes_of, chunks, grams, unblob
 
 PERMUTATIONS, BAND = 64, 4
 #: Members of a bucket whose signatures one task compares with another such block.
@@ -141,59 +141,114 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def _partners(k: int):
-    least = int(LEAST_EQUAL * 2 * PERMUTATIONS)
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Members of the two blocks, and whether they are one and the same."""
+    part, i, j = table.column("part").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    return np.flatnonzero(part == i), np.flatnonzero(part == j), i == j
 
-    def pair(table: pa.Table) -> pa.Table:
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """The members of two blocks whose signature is close to that of a member of another component.
+
+    Rows (id, component, other): other components to which close pairs lead, as few as connect what they connect;
+    a member without such a row has one with its own component.
+    """
+    table = table.combine_chunks()
+    ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
+    sig = np.frombuffer(bytes_of(table.column("signature"))[0].tobytes(), np.uint32).reshape(len(comp), -1)
+    left, right, _ = _sides(table)
+    seen, group, rows = np.zeros(len(comp), bool), comp.copy(), []
+    others, of = sig[right], comp[right]
+    for x in left if len(right) else ():
+        far = of != comp[x]
+        if not far.any():
+            continue
+        close = far & ((others == sig[x]).sum(1) >= int(LEAST_EQUAL * sig.shape[1]))
+        if close.any():
+            seen[x] = True
+            seen[right[close]] = True
+            while (apart := close & (group[right] != group[x])).any():
+                y = right[int(apart.argmax())]
+                rows.append((ids[x], comp[x], comp[y]))
+                group[group == group[y]] = group[x]
+    out = np.concatenate([np.array(rows, np.int64).reshape(-1, 3), np.stack([ids[seen], comp[seen], comp[seen]], 1)])
+    return pa.table([pa.array(out[:, k]) for k in range(3)], ["id", "component", "other"])
+
+
+def _merging(percent: int):
+    def link(table: pa.Table) -> pa.Table:
+        """Confirmed links between two blocks, as many as it takes to merge the components that they merge."""
         table = table.combine_chunks()
-        ids, comp, part = (table.column(c).to_numpy() for c in ("id", "component", "part"))
-        sig = np.frombuffer(bytes_of(table.column("signature"))[0].tobytes(), np.uint32).reshape(len(ids), -1)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        a, b, cut = [], [], False
-        for x in left if len(left) else ():
-            other = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
-            if not len(other):
+        ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
+        values, of = unblob(table.column("shingles"), np.uint64)
+        coded = pa.array(values).dictionary_encode()
+        index, size = coded.indices.to_numpy(), np.diff(of)
+        left, right, same = _sides(table)
+        others = np.concatenate([index[of[r] : of[r + 1]] for r in right]) if len(right) else index[:0]
+        cut = np.cumsum(size[right]) - size[right]
+        mark = np.zeros(len(coded.dictionary), bool)
+        group = comp.copy()
+        out = []
+        for x in left if len(right) else ():
+            if same and (group[right] == group[x]).all():
                 continue
-            equal = (sig[other] == sig[x]).sum(1)
-            good = np.flatnonzero(equal >= least)
-            if len(good) > k:
-                cut, good = True, good[np.argsort(-equal[good], kind="stable")[:k]]
-            a += [ids[x]] * len(good)
-            b += ids[other[good]].tolist()
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), cut))], ["a", "b", "cut"])
+            mine = index[of[x] : of[x + 1]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[others], cut, dtype=np.int64)
+            mark[mine] = False
+            good = (100 * both >= percent * (size[x] + size[right] - both)) & (group[right] != group[x])
+            while good.any():
+                y = right[int(good.argmax())]
+                out.append((ids[x], ids[y]))
+                group[group == group[y]] = group[x]
+                good &= group[right] != group[x]
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return pair
+    return link
 
 
-def links(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Confirmed links between classes, enough to connect what is connected, and the components they make."""
+def _shingler(size: int):
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            sets = list(shingle_sets(batch.column("text"), size))
+            ends = np.append(0, np.cumsum([len(x) for x in sets]))
+            yield pa.record_batch([batch.column("id"), blobs(np.concatenate(sets), ends).cast(pa.binary())], ["id", "shingles"])
+
+    return shingle
+
+
+def links(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, component) of the classes that are linked with another, by confirmed links."""
     keyed = reps.select("id", F.explode("bands").alias("band"))
     buckets = written(keyed.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1"))
     members = written(keyed.join(buckets, "band"))
-    tested = written(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
-    edges = written(confirmed(tested, texts, size, percent))
+    texts = written(texts.join(members.select("id").distinct(), "id", "left_semi"))
+    stars = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    edges = written(confirmed(stars, texts, size, percent))
+    comp = written(components(edges))
     # buckets with the same members are looked through once
     kinds = members.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("head"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x")).groupBy("n", "head", "x").agg(F.min("band").alias("band")).select("band")
-    members = written(members.join(kinds, "band"))
-    k = 8
-    while True:
-        comp = written(components(edges))
-        now = members.join(comp, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component"))
-        mixed = now.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-        parts = F.ceil(F.col("n") / BLOCK).cast("int")
-        now = now.join(mixed, "band").join(reps.select("id", "signature"), "id").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-        paired = now.select("*", F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, "part").alias("i"), F.greatest(p, "part").alias("j")))).alias("p")).select("band", "id", "component", "signature", "part", "p.i", "p.j")
-        found = written(paired.groupBy("band", "i", "j").applyInArrow(_partners(k), "a bigint, b bigint, cut boolean").groupBy("a", "b").agg(F.bool_or("cut").alias("cut")))
-        room = not found.where("cut").limit(1).count()
-        fresh = written(found.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        more = written(confirmed(fresh, texts, size, percent))
-        n_more = more.limit(1).count()
-        if not n_more and room:
-            return edges, comp
-        tested, edges = tested.unionByName(fresh), edges.unionByName(more)
-        k *= 8
+    now = members.join(kinds, "band").join(comp, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component"))
+    mixed = now.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
+    now = now.join(mixed, "band").join(reps.select("id", "signature"), "id")
+    blocks = _in_pairs(now).select("band", "i", "j", "part", "id", "component", "signature")
+    close = written(blocks.groupBy("band", "i", "j").applyInArrow(_candidates, "id bigint, component bigint, other bigint").distinct())
+    clusters = components(close.select(F.col("component").alias("a"), F.col("other").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
+    near = written(close.select("id", "component").distinct().join(clusters, "component"))
+    sizes = near.groupBy("cluster").agg(F.count("*").alias("n"))
+    sets = texts.join(near.select("id").distinct(), "id", "left_semi").mapInArrow(_shingler(size), "id bigint, shingles binary")
+    blocks = _in_pairs(near.join(sizes, "cluster")).select("cluster", "i", "j", "part", "id", "component").join(sets, "id")
+    more = written(blocks.groupBy("cluster", "i", "j").applyInArrow(_merging(percent), "a bigint, b bigint"))
+    return written(components(edges.unionByName(more))) if more.limit(1).count() else comp
+
+
+def _in_pairs(members: DataFrame) -> DataFrame:
+    """Members (id, n of its group) dealt to blocks of about BLOCK, a row for each pair (i, j) of blocks that has theirs."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = members.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, "part").alias("i"), F.greatest(p, "part").alias("j")))
+    return own.select("*", F.explode(pairs).alias("p")).select("*", "p.i", "p.j")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -209,7 +264,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     signed = written(docs.where("id is not null").mapInArrow(_signer(size), SIGNED))
     reps = signed.groupBy("class").agg(F.min("id").alias("id"), F.min(F.struct("id", "bands", "signature")).alias("s")).select("class", "id", "s.bands", "s.signature")
     reps = written(reps)
-    _, comp = links(reps.select("id", "bands", "signature"), docs.where("id is not null"), size, percent)
+    comp = links(reps.select("id", "bands", "signature"), docs.where("id is not null"), size, percent)
     by_class = reps.select("class", F.col("id").alias("rep")).join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
     own = signed.select("id", "n_shingles", "class").join(by_class, "class").groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component").alias("component"))
     out = docs.select("id").join(own, "id", "left")
