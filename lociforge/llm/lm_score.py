@@ -9,7 +9,7 @@ How the counts are gathered: a map task reduces each chunk of documents to its d
 sends them, packed, to the segments of a hash space. A segment sums them, sets the bits of its own slice of the
 filter, and answers each chunk with the exact counts of the chunk's words, from which the exact add-one unigram
 score (base_score) is summed. A word in every document so costs one entry a chunk, and no vocabulary is held in
-one place. Only the filter goes to every worker; its size is the parameter filter_bits, whatever the input.
+one place. Only the filter goes to every worker; it has four bits for each byte of text, filter_bits at most.
 
 The model: p(w | u) = (c(u, w) + weight * p(w)) / (c(u) + weight) with p(w) = (c(w) + 1) / (N + V + 1), u being the
 word before w (an end mark at the start of a text), all c from the filter.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from lociforge.llm.store import segments, text_bytes, written
 from lociforge.llm.words import Words, blobs, bytes_of, chunks, mix, strings, unblob
 
-#: Bits of the filter, 64 MB: what each worker holds at any size of the input. Beyond some 10^8 n-grams its rate of errors rises.
-FILTER_BITS = 1 << 29
+#: Most bits of the filter, 48 MB: what each worker holds however large the input. Beyond some 10^8 n-grams its rate of errors rises.
+FILTER_BITS = 3 << 27
 #: Probes for each level, base of the quantisation, and weight of the single-word probability.
 PROBES, BASE, WEIGHT = 2, 1.5, 10.0
 SEGMENT_BYTES = 4 << 20
@@ -210,7 +210,7 @@ class Filter:
 def _scorer(shared, total: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices, n, size = shared.value
-        table = Filter(slices, n, size)
+        table = Filter(np.frombuffer(slices, np.uint8), n, size)
         for batch in chunks(batches):
             h, of = _tokens(batch.column("text"))
             words = pa.array(h).dictionary_encode()
@@ -235,8 +235,9 @@ def lm_score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     from. Rows that repeat an id and a text each get their result. An empty table gives an empty result.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held"), F.col(text_col).alias("text"))
-    n_segments = segments(text_bytes(docs), SEGMENT_BYTES)
-    slice_bits = -(-filter_bits // n_segments // 8) * 8
+    size = text_bytes(docs)
+    n_segments = segments(size, SEGMENT_BYTES)
+    slice_bits = -(-min(filter_bits, max(4 * size, 1 << 16)) // n_segments // 8) * 8
     sent = written(docs.mapInArrow(_sender(n_segments), SENT))
     reduced = written(sent.where("segment >= 0").groupBy("segment").applyInArrow(_segment(slice_bits), ANSWERED))
     size = reduced.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
@@ -245,7 +246,7 @@ def lm_score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     for row in reduced.where("bits is not null").select("segment", "bits").toLocalIterator():
         at = row.segment * slice_bits // 8
         slices[at : at + slice_bits // 8] = np.frombuffer(row.bits, np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast((slices, n_segments, slice_bits))
+    shared = df.sparkSession.sparkContext.broadcast((slices.tobytes(), n_segments, slice_bits))
     parts = sent.where("segment < 0").select("segment", "chunk", F.lit(None).cast("binary").alias("counts"), "ids", "held", "prints", "sizes", "sequence")
     answers = reduced.where("chunk is not null").select("segment", "chunk", "counts")
     based = parts.unionByName(answers, allowMissingColumns=True).groupBy("chunk").applyInArrow(_base(total), BASED)
