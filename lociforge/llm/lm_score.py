@@ -34,6 +34,8 @@ FILTER_BITS = 3 << 27
 #: Probes for each level, base of the quantisation, and weight of the single-word probability.
 PROBES, BASE, WEIGHT = 2, 1.5, 10.0
 SEGMENT_BYTES = 4 << 20
+#: Text bytes scored at a time; workers hold the filter besides.
+SCORED_BYTES = 1 << 20
 END = np.uint64(0x5DEECE66D1234567)
 _WORD, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -211,7 +213,7 @@ def _scorer(shared, total: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices, n, size = shared.value
         table = Filter(np.frombuffer(slices, np.uint8), n, size)
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=SCORED_BYTES):
             h, of = _tokens(batch.column("text"))
             words = pa.array(h).dictionary_encode()
             single = table.counts(words.dictionary.to_numpy(), _WORD)

@@ -7,6 +7,8 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,3 +166,12 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
             yield batch.slice(at, upto - at)
             at = upto
+        del batch
+    tidy()
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task should not hold what the last one needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
