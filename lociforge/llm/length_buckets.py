@@ -66,7 +66,7 @@ def length_buckets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Deals every row of df to a bucket and a batch.
 
     length counts a row's tokens; by default the words (runs without white space) of text_col. Returns for each row:
-    id_col, n_tokens, bucket_tokens (what the batch is padded to), batch (number inside the bucket, in order of ids),
+    id_col, n_tokens, bucket_tokens (what the batch is padded to), batch (number inside the bucket; rows are in order of a hash of the id, then of the id),
     slot (place in the batch), padding. A batch holds budget // bucket_tokens rows, one at least: a row longer than the
     budget is a batch of its own. Null and empty texts have no tokens and go to the first bucket. Rows with null ids come
     first, in any order; so do rows that repeat an id among each other. An empty table gives an empty result.
@@ -76,7 +76,7 @@ def length_buckets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     histogram = rows.groupBy("n").count().collect()
     ends, _ = boundaries(np.array([r["n"] for r in histogram], np.int64), np.array([r["count"] for r in histogram], np.int64), buckets)
     bucket, parts = F.lit(None).cast("long"), F.lit(1)
-    for end, start in zip(reversed(ends), [*reversed(ends[:-1]), -1], strict=True):
+    for start, end in reversed(list(zip([-1, *ends], ends, strict=False))):
         bucket = F.when(F.col("n") <= end, end).otherwise(bucket)
         inside = sum(r["count"] for r in histogram if start < r["n"] <= end)
         parts = F.when(F.col("n") <= end, -(-inside // PART_ROWS)).otherwise(parts)

@@ -102,7 +102,7 @@ class Model:
 
     def train(self, texts: list[str], labels: np.ndarray) -> Model:
         # few rows are gone through more often
-        for _ in range(max(EPOCHS, min(20, 2 * TRAIN_ROWS // len(texts))) if len(texts) else 0):
+        for _ in range(max(EPOCHS, min(40, 4 * TRAIN_ROWS // len(texts))) if len(texts) else 0):
             order = self.rng.permutation(len(texts))
             for at in range(0, len(order), BATCH):
                 rows = order[at : at + BATCH]

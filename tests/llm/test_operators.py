@@ -1,0 +1,381 @@
+"""Training-data operators against plain Python, with nulls, empty and long texts, ties, repeated rows and extra columns."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from lociforge.llm import decontaminate as D
+from lociforge.llm.html_text import ARTICLE, NOISE, blocks, html_text, repeated
+from lociforge.llm.langid import Network, language_id
+from lociforge.llm.length_buckets import boundaries, length_buckets
+from lociforge.llm.lm_score import END, Filter, lm_score
+from lociforge.llm.near_dedup import components, near_dedup
+from lociforge.llm.quality import quality_filter, quality_rules
+from lociforge.llm.substring_dedup import levels, substring_dedup
+from lociforge.llm.token_pack import VOCABULARY, best_fit, encode, encoding, token_pack
+from lociforge.llm.toxicity import toxicity
+from lociforge.llm.words import ALNUM, Words, chunks, grams
+
+RNG = random.Random(5)
+VOC = ["".join(RNG.choice("abcdeé") for _ in range(RNG.randint(1, 12))) for _ in range(400)]
+SCHEMA = "doc_id long, text string, lang string, extra int"
+
+
+def prose(n, rng=RNG):
+    return " ".join(rng.choice(VOC) for _ in range(n))
+
+
+def corpus():
+    rng = random.Random(9)
+    base, passage = [prose(rng.randint(0, 90), rng) for _ in range(30)], prose(40, rng)
+    docs = base + [base[3], base[3], "", "  \n ", None, "one two", "one two", "A b", "a B"]
+    docs += [f"{prose(10, rng)} {passage}\n{prose(8, rng)}" for _ in range(5)] + [prose(6000, rng), f"x {passage}"]
+    for b in base[10:14]:  # near copies
+        w = b.split()
+        for _ in range(3):
+            v = list(w)
+            v[rng.randrange(len(v))] = "changed"
+            docs.append(" ".join(v))
+    rows = [(k * 3, t, "en", 0) for k, t in enumerate(docs)]
+    return rows + [rows[5], (None, base[7], None, None), (None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3).cache()
+
+
+def words(t):
+    return re.findall("[^\x20\x09-\x0d]+", t or "")
+
+
+def low(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def test_word_kernel():
+    texts = ["hello  world", "", None, "abcdefghijk lmnopqrstuvwxyzabcdefgh é\x0bü", "tail", "x", " lead trail "]
+    w = Words(pa.array(texts))
+    assert [w.text(k).decode() for k in range(len(w))] == [x for t in texts for x in words(t)]
+    assert w.counts.tolist() == [len(words(t)) for t in texts]
+    keep = np.arange(len(w)) % 2 == 0
+    flat = [x for t in texts for x in words(t)]
+    assert len({h for h in w.hashes()}) == len(set(flat))
+    assert " ".join(w.joined(keep).to_pylist()).split() == [x for k, x in enumerate(flat) if k % 2 == 0]
+    assert len(grams(w.hashes(), 5)) == len(w) - 4 and not len(grams(w.hashes()[:3], 5))
+    batch = pa.record_batch([pa.array(["a" * 50, None, "b", "c" * 500, ""])], ["text"])
+    assert sum(b.num_rows for b in chunks([batch], limit=20)) == 5
+
+
+def test_substring_dedup(spark, docs):
+    assert levels(13) == [7, 13] and levels(52) == [7, 13, 26, 52] and levels(3) == [3]
+    rows = docs.collect()
+    owner = {}
+    for r in sorted((r for r in rows if r.doc_id is not None), key=lambda r: r.doc_id):
+        w = words(r.text)
+        for k in range(len(w) - 12):
+            owner.setdefault(tuple(w[k : k + 13]), r.doc_id)
+
+    def expected(r):
+        w = words(r.text)
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if r.doc_id is not None and owner[tuple(w[k : k + 13])] < r.doc_id:
+                gone[k : k + 13] = [True] * 13
+        return r.doc_id, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g), r.lang
+
+    got = substring_dedup(docs, carry=("lang",)).collect()
+    key = lambda x: str(x)
+    assert sorted((tuple(r) for r in got), key=key) == sorted(map(expected, rows), key=key)
+    assert any(r.n_removed for r in got)
+    assert not substring_dedup(docs.limit(0)).collect()
+
+
+def test_decontamination(spark, docs):
+    rows = docs.collect()
+    texts = [r.text for r in rows if r.text and len(words(r.text)) > 30]
+    bench = [(k, " ".join(texts[k].split()[5:35]).upper()) for k in range(4)] + [(10, "one two"), (11, "ONE, two!"), (12, ""), (13, None), (None, "a b"), (14, VOC[0])]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    pattern = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+    windows = defaultdict(set)
+    for i, t in bench:
+        w = re.findall(pattern, low(t))
+        n = min(13, len(w))
+        for k in range(len(w) - n + 1 if n and i is not None else 0):
+            windows[tuple(w[k : k + n])].add(str(i))
+
+    def expected(r):
+        w, items = re.findall(pattern, low(r.text)), set()
+        hit = [False] * len(w)
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if found := windows.get(tuple(w[k : k + n])):
+                    items |= found
+                    hit[k : k + n] = [True] * n
+        return r.doc_id, len(w), sum(hit), sorted(items), sum(hit) > 0 and 20 * sum(hit) >= len(w)
+
+    for size in (8 << 20, 300):
+        D.BLOCK_BYTES = size
+        got = D.decontaminate(docs, items, carry=("extra",)).collect()
+        assert sorted(str((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated)) for r in got) == sorted(map(str, map(expected, rows)))
+    D.BLOCK_BYTES = 8 << 20
+    assert not D.decontaminate(docs.limit(0), items).collect()
+    assert not any(r.contaminated for r in D.decontaminate(docs, items.limit(0)).collect())
+
+
+def shingles(t):
+    w = words(low(t))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_near_dedup(spark, docs):
+    rows = [r for r in docs.dropDuplicates(["doc_id"]).collect()]
+    sets = {r.doc_id: shingles(r.text) for r in rows if r.doc_id is not None}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a, b in itertools.combinations(sets, 2):
+        n = len(sets[a] & sets[b])
+        if n and 100 * n >= 75 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    for r in near_dedup(docs).collect():
+        if r.doc_id is not None:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
+        else:
+            assert r.component_id is None and r.kept
+    assert near_dedup(docs).count() == docs.count() and len({find(i) for i in sets}) < len(sets) - 5
+    assert not near_dedup(docs.limit(0)).collect()
+
+
+def test_near_dedup_links_beyond_stars(spark):
+    """A chain: neighbours are similar, ends are not, and the smallest id is an end."""
+    w = [f"w{k}" for k in range(60)]
+    chain = [" ".join(w[3 * k : 3 * k + 40]) for k in range(7)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(chain)], "doc_id long, text string")
+    assert len({r.component_id for r in near_dedup(df).collect()}) == 1
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
+    assert {r.id: r.component for r in components(edges).collect()} == {k: 0 for k in range(31)} | {100: 100, 101: 100}
+
+
+def measures(t):
+    w = words(t)
+    c = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    rep, seen, dup = [False] * len(w), set(), 0
+    for k in range(len(w) - 4):
+        if c[tuple(w[k : k + 5])] > 1:
+            rep[k : k + 5] = [True] * 5
+    for line in (t or "").split("\n"):
+        if words(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, sum(rep)
+
+
+def test_quality_rules(spark):
+    texts = [prose(40), None, "", " ", "a b", "same line here\n" * 9 + prose(20), " ".join(f"{x}***" for x in prose(30).split()), "x y z " * 20, prose(12) + " " + prose(12) + "|", "1 2 3 4 5 6 7 8 9 10 11 12", prose(3000), "é" * 300]
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(0, texts[0], 2), (None, texts[0], 3)], "doc_id long, text string, w int")
+    for r in quality_rules(df).collect():
+        n, chars, sym, dup, rep = measures(texts[r.doc_id or 0])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, sym, dup, rep)
+        assert r.base_failed == (n < 10 or 100 * rep > 20 * n) and not (r.kept and r.base_failed)
+    kept = [r.doc_id for r in quality_filter(df).collect()]
+    assert sorted(kept, key=str) == sorted([r.doc_id for r in quality_rules(df).collect() if r.kept], key=str) and 0 in kept and 6 not in kept and 9 not in kept
+    assert quality_filter(df).columns == df.columns
+    assert not quality_rules(df.limit(0)).collect()
+
+
+def test_length_buckets(spark, docs):
+    rng = random.Random(1)
+    for _ in range(40):
+        m, k = rng.randint(1, 8), rng.randint(1, 5)
+        x, c = rng.sample(range(40), m), [rng.randint(1, 9) for _ in range(m)]
+        ends, cost = boundaries(np.array(x), np.array(c), k)
+        pad = lambda e: sum(n * (min(b for b in e if b >= v) - v) for v, n in zip(x, c))  # noqa: E731, B023
+        best = min(pad([*q, max(x)]) for r in range(min(k, m)) for q in itertools.combinations(sorted(x)[:-1], r))
+        assert len(ends) <= k and pad(ends) == best == cost
+    got = length_buckets(docs, buckets=4, budget=200).collect()
+    assert Counter(str(r.doc_id) for r in got) == Counter(str(r.doc_id) for r in docs.collect())
+    size = {str(r.doc_id): len(words(r.text)) for r in docs.collect() if r.doc_id is not None}
+    batches = defaultdict(list)
+    for r in got:
+        assert r.doc_id is None or r.n_tokens == size[str(r.doc_id)]
+        assert r.padding == r.bucket_tokens - r.n_tokens >= 0
+        batches[r.bucket_tokens, r.batch].append(r.slot)
+    assert len({b for b, _ in batches}) <= 4
+    for (b, n), slots in batches.items():
+        fit = max(1, 200 // max(b, 1))
+        assert sorted(slots) == list(range(len(slots))) and len(slots) <= fit
+        assert len(slots) == fit or (b, n + 1) not in batches
+    assert not length_buckets(docs.limit(0)).collect()
+
+
+def test_token_pack(spark, docs):
+    rng = random.Random(2)
+    for _ in range(30):
+        size = np.array([rng.randint(1, 20) for _ in range(rng.randint(1, 60))])
+        row = best_fit(size, 20)
+        room, n = [], 0
+        for s in sorted(size, reverse=True):
+            fits = [v for v in room if v >= s]
+            if fits:
+                room.remove(min(fits))
+                room.append(min(fits) - s)
+            else:
+                room.append(20 - s)
+        assert row.max() + 1 == len(room) and np.bincount(row, size).max() <= 20
+    texts = ["Hello world  it's a\xa0test", "", "x  y  z\n\n a b", "don't  stop ' s ’s 12 34 a1b2 \t x", " lead", "trail ", "é — ok …　 b", " "]
+    ids, of = encode(pa.array(texts), VOCABULARY)
+    assert [ids[a:b].tolist() for a, b in zip(of, of[1:])] == [encoding(VOCABULARY).encode_ordinary(t) for t in texts]
+    pieces = defaultdict(dict)
+    for r in token_pack(docs, row_length=64, shard_bytes=4000).collect():
+        row, pos = np.frombuffer(r.ids, np.int32), np.frombuffer(r.positions, np.int32)
+        assert len(row) <= 64 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == len(row)
+        for d, p, a, b in zip(r.doc_ids, r.parts, r.cu_seqlens, r.cu_seqlens[1:]):
+            assert pos[a:b].tolist() == list(range(b - a))
+            pieces[d].setdefault(p, []).append(row[a:b].tolist())
+    for r in docs.dropDuplicates(["doc_id"]).collect():
+        if r.doc_id is not None:
+            whole = sum((pieces[r.doc_id][k][0] for k in sorted(pieces[r.doc_id])), [])
+            assert whole == encoding(VOCABULARY).encode_ordinary(r.text or "") + [50256]
+    assert not token_pack(docs.limit(0)).collect()
+
+
+def test_lm_score(spark, docs):
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    rows = docs.withColumn("h", held).collect()
+    tokens = {r: words(low(r.text)) + [END] for r in rows}
+    c = Counter(t for r in rows if r.h is False for t in tokens[r])
+    n, v = sum(c.values()), len(c)
+    got = lm_score(docs, held).collect()
+    assert len(got) == len(rows)
+
+    def expected(r):
+        base = sum(math.log10((c[t] + 1) / (n + v + 1)) for t in tokens[r])
+        return r.doc_id, r.h, len(tokens[r]), sum(c[t] > 0 for t in tokens[r]), n, round(base, 6)
+
+    assert sorted(str((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6))) for r in got) == sorted(str(expected(r)) for r in rows)
+    assert all(r.score < 0 for r in got)
+    assert sum(r.score > r.base_score for r in got if not r.held_out and r.n_tokens > 5) > len(got) / 2
+    assert not lm_score(docs.limit(0), held).collect()
+
+
+def test_filter_counts():
+    table = Filter(np.full(1 << 10, 0, np.uint8), 4, 2048)
+    assert table.counts(np.arange(5, dtype=np.uint64), np.uint64(1)).tolist() == [0] * 5
+
+
+def test_toxicity(spark):
+    rng = random.Random(3)
+    bad = ["gronk" + x for x in ("", "er", "ing", "ed", "le", "ish", "y", "al")]
+    rows, labels = [], []
+    for k in range(700):
+        y = int(k % 3 == 0)
+        w = prose(25, rng).split()
+        if y:
+            w[rng.randrange(25)] = rng.choice(bad[:6] if k < 500 else bad)
+        rows.append((k, " ".join(w), "en", 0))
+        labels.append((k, y))
+    df = spark.createDataFrame([*rows, (9000, None, None, 0), (9001, "", None, 0), (None, "gronk", None, 0)], SCHEMA)
+    got = {r.doc_id: r for r in toxicity(df, spark.createDataFrame([*labels, (9000, 1), (None, 1), (3, None)], "doc_id long, toxic int"), F.col("doc_id") >= 500).collect()}
+    test = [(got[k], y) for k, y in labels if k >= 500]
+    assert np.mean([r.predicted == y for r, y in test]) > 0.95
+    assert got[9000].score == 0 == got[9001].score and all(0 <= r.score <= 1 for r in got.values())
+    none = toxicity(df, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(False)).collect()
+    assert len(none) == df.count() and not any(r.predicted for r in none)
+
+
+def test_gradient_of_the_network():
+    import lociforge.llm.langid as lang
+
+    net = Network(3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x = np.array([[32, 97, 98, 32, 32], [32, 99, 32, 32, 32]], np.uint8)
+    size, y, weight = np.array([2, 1]), np.array([0, 2]), np.ones(2)
+
+    def loss():
+        p = net.labels(np.concatenate([net.run(x, d) for d in "fb"], 2))
+        here = (np.arange(5)[:, None] >= 1) & (np.arange(5)[:, None] <= size)
+        return -(np.log(p[:, [0, 1], y]) * here).sum() / here.sum()
+
+    g = net.gradient(x, size, y, weight)
+    for k, at in (("xf", (97, 3)), ("uf", (1, lang.HIDDEN + 2)), ("ub", (0, 2 * lang.HIDDEN + 1)), ("o", (2, 1)), ("cb", (4,))):
+        old = net.p[k][at]
+        net.p[k][at] = old + 1e-3
+        a = loss()
+        net.p[k][at] = old - 1e-3
+        b = loss()
+        net.p[k][at] = old
+        assert abs((a - b) / 2e-3 - g[k][at]) < 2e-3
+
+
+def test_language_id(spark):
+    rng = random.Random(4)
+    syllables = {"xx": ["ka", "ro", "ti", "mu"], "yy": ["sche", "ung", "ber", "lich"]}
+    text = lambda v: " ".join("".join(rng.choice(syllables[v]) for _ in range(rng.randint(1, 4))) for _ in range(12))
+    rows = [(k, text(v), v, 0) for k in range(200) for v in [("xx", "yy")[k % 2]]]
+    df = spark.createDataFrame([*rows, (900, None, "xx", 0), (901, "12 34 !", "yy", 0), (902, text("xx"), None, 0), (None, text("yy"), "yy", 0), (903, "a" * 500, "xx", 0)], SCHEMA)
+    got = {r.doc_id: r for r in language_id(df, F.col("doc_id") >= 100).collect()}
+    assert np.mean([got[k].lang_pred == v for k, _, v, _ in rows if k >= 100]) > 0.95
+    assert got[900].lang_pred == got[901].lang_pred == "und" and got[902].lang_pred == "xx" and all(0 <= r.score <= 1 for r in got.values())
+    assert all(r.lang_pred == "und" for r in language_id(df.withColumn("lang", F.lit(None).cast("string")), F.lit(False)).collect())
+
+
+def test_blocks():
+    page = "<body class='x sidebar'><div id=nav><a>Home</a></div><article><h1>T &amp; t</h1><p class=ad>buy<p>real <b>wor</b>ld<br>x <script>a<b</script>y<ul><li>a<li>b</ul><section class=comments><p>c</section></article><footer>z"
+    got = blocks(page)
+    assert [t for r, t in got if r == ARTICLE] == ["T & t", "real world x y", "a", "b"]
+    assert [t for r, t in got if r == NOISE] == ["Home", "buy", "c", "z"]
+    assert blocks(None) == [] == blocks("") and blocks("<p>cut &amp") == [(1, "cut &")] and blocks("<article><p>a <a href='x") == [(ARTICLE, "a")]
+    tokens = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, -1, 20, 1, 2, 3, 4, 5, 6, 7, 8, 21, -2])
+    assert repeated(tokens, np.array([0] * 10 + [1] * 11)).nonzero()[0].tolist() == [*range(8), *range(11, 19)]
+    assert not repeated(tokens, np.zeros(21, int)).any()
+
+
+def test_html_text(spark):
+    rng = random.Random(6)
+    menu = "<div class=top>Start here to see all of our many fine pages</div>"
+    bodies = [prose(30, rng) for _ in range(6)]
+    rows = [(k, f"http://h.example/{k}", f"<html><body>{menu}<div>{b}</div><div>{bodies[0]}</div></body></html>") for k, b in enumerate(bodies)]
+    rows += [(50, "http://h.example/a", f"{menu}<article><p>{bodies[0]}</p></article>"), (51, None, None), (52, "x", ""), (53, "http://h.example/0", rows[0][2])]
+    got = {r.page_id: r.text for r in html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and got[51] == got[52] == ""
+    for k in range(1, 6):  # the shared run is gone, the unique one stays
+        assert got[k] == bodies[k]
+    assert got[50] == bodies[0]
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rows = [(r[0], r[1], r[2], "s", len(r[1] or "")) for r in corpus()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    long = [r for r in rows if r[0] is not None and r[1] and len(r[1].split()) > 60]
+    spark.createDataFrame([(1, " ".join(long[-1][1].split()[10:40]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sizes = []
+    for name, stage in P.STAGES:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        sizes.append(docs.count())
+        assert name == "packing" or tuple(docs.columns) == P.COLUMNS
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 10
+    assert P.run(spark, str(tmp_path)).count() == sizes[-1]
+
+
+def test_hash_of_kept_text(spark, docs):
+    r = substring_dedup(docs).select("kept_text", F.sha2("kept_text", 256).alias("h")).first()
+    assert r.h == hashlib.sha256(r.kept_text.encode()).hexdigest()
+
+
+def test_alnum_words():
+    assert [Words(pa.array(["A-b ü9"]), ALNUM, lower=True).text(k).decode() for k in range(3)] == ["a", "b", "ü9"]
