@@ -175,3 +175,40 @@ def stratum_counts(t: Tables) -> DataFrame:
 def variance_filter(t: Tables) -> DataFrame:
     f = t.lineitem.select(F.col("l_suppkey").alias("feature"), (F.col("l_linenumber") % 2).alias("v")).union(t.lineitem.select(F.lit(-1).cast("bigint"), F.lit(1).cast("bigint")))
     return _rounded(f.groupBy("feature").agg(F.var_pop("v").alias("variance")).where("variance > 0"))
+
+
+_DE = f"""{_COUNTS}, gm AS (SELECT gene_id, avg(ln(c)) AS lg FROM cn WHERE c > 0 GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT sample_id) FROM cn)),
+  sf AS (SELECT sample_id, exp(quantile_cont(ln(c) - lg, 0.5)) AS f FROM cn JOIN gm USING (gene_id) GROUP BY 1),
+  s AS (SELECT gene_id, sample_id % 2 AS g, CAST(sum(c) AS DOUBLE) AS y, sum(f) AS s, sum(c / f) AS q, sum((c / f) ** 2) AS qq, sum(1 / f) AS i, CAST(count(*) AS DOUBLE) AS n FROM cn JOIN sf USING (sample_id) GROUP BY 1, 2),
+  w AS (SELECT a.gene_id, a.y AS y0, b.y AS y1, a.s AS s0, b.s AS s1, a.n AS n0, b.n AS n1, (a.q + b.q) / (a.n + b.n) AS base, ((a.qq - a.q * a.q / a.n) + (b.qq - b.q * b.q / b.n)) / (a.n + b.n - 2) AS v, (a.i + b.i) / (a.n + b.n) AS mi
+    FROM s a JOIN s b ON a.gene_id = b.gene_id AND a.g = 0 AND b.g = 1),
+  d AS (SELECT *, greatest(1e-8, (v - base * mi) / (base * base)) AS alpha FROM w)"""
+
+
+@query(f"WITH {_DE} SELECT gene_id, round(base, 6) AS base_mean, round(ln((y1 / s1) / (y0 / s0)) / ln(2), 6) AS log2_fold_change, round(sqrt(1 / y0 + 1 / y1 + alpha * (1 / n0 + 1 / n1)) / ln(2), 6) AS se FROM d")
+def differential_expression(t: Tables) -> DataFrame:
+    counts = t.lineitem.groupBy((F.col("l_partkey") % 50).alias("gene_id"), (F.col("l_suppkey") % 10).alias("sample_id")).agg(F.sum("l_quantity").cast("bigint").alias("count"))
+    groups = t.spark.range(10).select(F.col("id").alias("sample_id"), (F.col("id") % 2).alias("group"))
+    return _rounded(X.differential_expression(counts, X.size_factors(counts), groups).select("gene_id", "base_mean", "log2_fold_change", "se"))
+
+
+@query("""WITH preds AS (SELECT doc_id AS sample_id, quality AS label, CASE WHEN n_chars / (n_chars + 3000.0) > 0.5 THEN 1 ELSE 0 END AS h FROM labels JOIN documents USING (doc_id)), r AS (SELECT CAST(k AS INTEGER) AS run FROM range(21) AS r(k)),
+  a AS (SELECT run, h, row_number() OVER (PARTITION BY run ORDER BY lpad(CAST(sample_id AS VARCHAR), 32, '0')) AS n FROM preds, r),
+  b AS (SELECT run, label, row_number() OVER (PARTITION BY run ORDER BY CASE WHEN run = 0 THEN lpad(CAST(sample_id AS VARCHAR), 32, '0') ELSE md5(sample_id || '#42#' || run) END) AS n FROM preds, r)
+  SELECT run, round((avg(h) FILTER (label = 1) + avg(1 - h) FILTER (label = 0)) / 2, 6) AS balanced_accuracy FROM (SELECT a.run, h, label FROM a JOIN b ON a.run = b.run AND a.n = b.n) GROUP BY run""")
+def permutation_null(t: Tables) -> DataFrame:
+    from lociforge.plans.catalogue.scores import preds
+
+    return _rounded(X.permutation_null(preds(t), 20))
+
+
+@query(f"WITH {_PARTS} SELECT round(abs(corr(q, n)), 6) AS r FROM p")
+def multiple_correlation(t: Tables) -> DataFrame:
+    return _rounded(X.multiple_correlation(_parts(t), ["n"], "q"))
+
+
+@query()
+def gsea_p_values(t: Tables) -> DataFrame:
+    ranked = t.part.select(F.col("p_partkey").alias("gene"), (F.col("p_retailprice") - 1400 + F.col("p_partkey") % 7).alias("score"))
+    sets = t.part.groupBy(F.col("p_type").alias("set")).agg(F.collect_list("p_partkey").alias("genes"))
+    return X.enrichment_p_values(ranked, sets)
