@@ -124,6 +124,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed
 """
 
+_OP6 = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS p FROM docs WHERE len(w) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + n - 1], ' ') AS s FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+linked AS (SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+edges AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM docs UNION SELECT id, y FROM reach JOIN edges ON r = x),
+comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, component_id = doc_id AS kept FROM docs JOIN comp ON id = doc_id LEFT JOIN sizes USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3, "op4_benchmark_decontamination": _OP4, "op5_quality_rules": _OP5}
+    return {"op3_substring_dedup": _OP3, "op4_benchmark_decontamination": _OP4, "op5_quality_rules": _OP5, "op6_minmax_near_dedup": _OP6}

@@ -355,21 +355,70 @@ def test_html_text(spark):
     assert got[50] == bodies[0]
 
 
+def brute_pipeline(rows, items):
+    """(doc_id, text) of what the stages before packing keep, in plain Python."""
+    kept = []
+    for i, t in rows:
+        n, chars, sym, dup, rep = measures(t)
+        lines = sum(bool(words(x)) for x in (t or "").split("\n"))
+        letters = sum(any(c.isalpha() for c in w) for w in words(t))
+        if not (n < 10 or 100 * rep > 20 * n or 2 * sym > n or 10 * dup > 3 * lines or chars < 2 * n or chars > 15 * n or 2 * letters < n):
+            kept.append((i, t))
+    sets = {i: shingles(t) for i, t in kept if i is not None}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    kept = [(i, t) for i, t in kept if i is None or find(i) == i]
+    owner = {}
+    for i, t in sorted((x for x in kept if x[0] is not None), key=lambda x: x[0]):
+        w = words(t)
+        for k in range(len(w) - 12):
+            owner.setdefault(tuple(w[k : k + 13]), i)
+    out = []
+    windows = {tuple(w[k : k + min(13, len(w))]) for w in (re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(t)) for t in items) for k in range(len(w) - min(13, len(w)) + 1)}
+    for i, t in kept:
+        w = words(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if i is not None and owner[tuple(w[k : k + 13])] < i:
+                gone[k : k + 13] = [True] * 13
+        w = [x for x, g in zip(w, gone) if not g]
+        v = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(" ".join(w)))
+        hit = [False] * len(v)
+        for k in range(len(v) - 12):
+            if tuple(v[k : k + 13]) in windows:
+                hit[k : k + 13] = [True] * 13
+        if not (sum(hit) and 20 * sum(hit) >= len(v)):
+            out.append((i, " ".join(w)))
+    return out
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
     rows = [(r[0], r[1], r[2], "s", len(r[1] or "")) for r in corpus()]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     long = [r for r in rows if r[0] is not None and r[1] and len(r[1].split()) > 60]
-    spark.createDataFrame([(1, " ".join(long[-1][1].split()[10:40]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    items = [" ".join(r[1].split()[10:40]) for r in (long[0], long[-1])]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    sizes = []
-    for name, stage in P.STAGES:
+    want = sorted(map(str, brute_pipeline([r[:2] for r in rows], items)))
+    sizes = [len(rows)]
+    for name, stage in P.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path)).cache()
         sizes.append(docs.count())
-        assert name == "packing" or tuple(docs.columns) == P.COLUMNS
-    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 10
-    assert P.run(spark, str(tmp_path)).count() == sizes[-1]
+        assert tuple(docs.columns) == P.COLUMNS
+    assert sorted(str((r.doc_id, r.text)) for r in docs.collect()) == want
+    assert all(r.n_chars == len(r.text) for r in docs.collect())
+    assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > sizes[4] > 10
+    packed = P.run(spark, str(tmp_path)).collect()
+    assert sorted(str((r.doc_id, r.n_tokens)) for r in packed) == sorted(str((r.doc_id, len(words(r.text)))) for r in docs.collect())
 
 
 def test_hash_of_kept_text(spark, docs):
