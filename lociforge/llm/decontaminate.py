@@ -28,7 +28,7 @@ from lociforge.llm.store import text_bytes, written
 from lociforge.llm.words import ALNUM, Words, blobs, chunks, grams, unblob
 
 #: Text of benchmark items whose windows are indexed at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Words of a shingle; windows of fewer words are one shingle.
 SHINGLE = 3
 FOUND = T.StructType().add("n_words", T.LongType()).add("hits", T.BinaryType()).add("items", T.ArrayType(T.StringType()))
@@ -90,6 +90,10 @@ class Windows:
             self.shingle[kind == k] = grams(h, int(k))[place[kind == k]]
         self.kinds = [int(k) for k in np.unique(self.size)]
 
+    def drop_shingles(self) -> None:
+        """Once the prefixes are chosen the other shingles are not needed, and workers do without."""
+        del self.shingle, self.shingle_of, self.offset, self.n_shingles
+
 
 def _shingles(words: Words, h: np.ndarray, k: int) -> np.ndarray:
     """Shingles of k words by first word, as far as they end in the row they begin in; 0 elsewhere."""
@@ -190,10 +194,12 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         n = counts[np.searchsorted(lookup.keys, w.shingle)] if len(counts) else np.zeros(0, np.int64)
         rank = np.lexsort((w.offset, n, np.arange(len(w.key)).repeat(w.n_shingles)))
         rarest = rank[w.shingle_of[:-1]]
-        lookup = Lookup(w.shingle[rarest])
-        entry_key = np.searchsorted(lookup.keys, w.shingle[rarest])
+        prefix, place = w.shingle[rarest], w.offset[rarest]
+        w.drop_shingles()
+        lookup = Lookup(prefix)
+        entry_key = np.searchsorted(lookup.keys, prefix)
         order = np.argsort(entry_key, kind="stable")
         of = np.append(0, np.cumsum(np.bincount(entry_key, minlength=len(lookup.keys))))
-        docs = (written(docs) if b else docs).mapInArrow(_finder(spark.sparkContext.broadcast((w, w.offset[rarest], lookup, of, order))), schema)
+        docs = (written(docs) if b else docs).mapInArrow(_finder(spark.sparkContext.broadcast((w, place, lookup, of, order))), schema)
     n_hit = F.octet_length("hits").cast("long") / 4
     return docs.select(F.col("id").alias(id_col), "n_words", n_hit.cast("long").alias("n_hit"), "hits", "items", ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), *[F.col("rest")[c].alias(c) for c in carry])

@@ -66,7 +66,7 @@ def length_buckets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Deals every row of df to a bucket and a batch.
 
     length counts a row's tokens; by default the words (runs without white space) of text_col. Returns for each row:
-    id_col, n_tokens, bucket_tokens (what the batch is padded to), batch (number inside the bucket; rows are in order of a hash of the id, then of the id),
+    id_col, n_tokens, bucket_tokens (what the batch is padded to), batch (number inside the bucket; rows are in order of a hash, then of the id),
     slot (place in the batch), padding. A batch holds budget // bucket_tokens rows, one at least: a row longer than the
     budget is a batch of its own. Null and empty texts have no tokens and go to the first bucket. Rows with null ids come
     first, in any order; so do rows that repeat an id among each other. An empty table gives an empty result.
@@ -80,8 +80,8 @@ def length_buckets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bucket = F.when(F.col("n") <= end, end).otherwise(bucket)
         inside = sum(r["count"] for r in histogram if start < r["n"] <= end)
         parts = F.when(F.col("n") <= end, -(-inside // PART_ROWS)).otherwise(parts)
-    # parts are ranges of a hash of the id, so their order does not depend on the cluster
-    rows = rows.select("id", "n", bucket.alias("bucket"), F.pmod(F.xxhash64("id"), parts).alias("part"))
+    # parts are chosen by a hash of the row, so their order does not depend on the cluster
+    rows = rows.select("id", "n", bucket.alias("bucket"), F.pmod(F.xxhash64("id", "n"), parts).alias("part"))
     sizes = rows.groupBy("bucket", "part").count()
     before = sizes.select("bucket", "part", (F.sum("count").over(W.partitionBy("bucket").orderBy("part")) - F.col("count")).alias("before"))
     inner = F.row_number().over(W.partitionBy("bucket", "part").orderBy("id", "n")) - 1

@@ -4,7 +4,7 @@ Texts are encoded with a public byte-level BPE vocabulary (a file of ranks, whos
 parts is encoded once for each distinct piece of a shard; the vocabulary's pre-tokenizer never looks across such a
 place. An end mark follows each document. A document longer than a row is split into full rows and a rest, without loss.
 
-Documents are dealt to shards by the hash of their id, and each shard is packed on its own: pieces in decreasing length,
+Documents are dealt to shards by a hash of id and text, and each shard is packed on its own: pieces in decreasing length,
 each into the row with the least room that still holds it. Rows are found by a segment tree over the amounts of room.
 """
 
@@ -171,7 +171,7 @@ def token_pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     shards = segments(text_bytes(docs), shard_bytes)
-    dealt = docs.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "text")
+    dealt = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int").alias("shard"), "id", "text")
     return dealt.groupBy("shard").applyInArrow(_packer(vocabulary, row_length, end_id), PACKED)
 
 

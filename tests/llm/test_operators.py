@@ -122,11 +122,11 @@ def test_decontamination(spark, docs):
                     hit[k : k + n] = [True] * n
         return r.doc_id, len(w), sum(hit), sorted(items), sum(hit) > 0 and 20 * sum(hit) >= len(w)
 
-    for size in (8 << 20, 300):
+    for size in (2 << 20, 300):
         D.BLOCK_BYTES = size
         got = D.decontaminate(docs, items, carry=("extra",)).collect()
         assert sorted(str((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated)) for r in got) == sorted(map(str, map(expected, rows)))
-    D.BLOCK_BYTES = 8 << 20
+    D.BLOCK_BYTES = 2 << 20
     assert not D.decontaminate(docs.limit(0), items).collect()
     assert not any(r.contaminated for r in D.decontaminate(docs, items.limit(0)).collect())
 
