@@ -60,7 +60,8 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     where = np.zeros(len(coded.dictionary), np.int64)
     where[index[::-1]] = np.arange(len(index))[::-1]
     enc = encoding(path)
-    each = enc.encode_ordinary_batch([data[a:b].tobytes().decode() for a, b in zip(piece.starts[where].tolist(), piece.ends[where].tolist(), strict=True)], num_threads=1)
+    raw = data.tobytes()
+    each = [enc.encode_ordinary(raw[a:b].decode()) for a, b in zip(piece.starts[where].tolist(), piece.ends[where].tolist(), strict=True)]
     size = np.array([len(x) for x in each], np.int64)
     flat, of = np.fromiter((t for x in each for t in x), np.int32, int(size.sum())), np.append(0, np.cumsum(size))
     many = size[index]
