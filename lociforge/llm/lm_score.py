@@ -8,8 +8,9 @@ its quantisation step, and is too large as often as unrelated bits happen to be
 How the counts are gathered: a map task reduces each chunk of documents to its distinct n-grams with counts and
 sends them, packed, to the segments of a hash space. A segment sums them, sets the bits of its own slice of the
 filter, and answers each chunk with the exact counts of the chunk's words, from which the exact add-one unigram
-score (base_score) is summed. A word in every document so costs one entry a chunk, and no vocabulary is held in
-one place. Only the filter goes to every worker; it has four bits for each byte of text, filter_bits at most.
+score (base_score) is summed, and with the levels under which its slice holds the chunk's words and pairs. A word in
+every document so costs one entry a chunk, and neither vocabulary nor filter is held in one place. A slice has
+SLICE_BITS bits for each one that is set in it, so its rate of errors is the same at every size of the input.
 
 The model: p(w | u) = (c(u, w) + weight * p(w)) / (c(u) + weight) with p(w) = (c(w) + 1) / (N + V + 1), u being the
 word before w (an end mark at the start of a text), all c from the filter.
@@ -27,19 +28,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociforge.llm.store import segments, text_bytes, written
-from lociforge.llm.words import Words, blobs, bytes_of, chunks, mix, strings, unblob
+from lociforge.llm.words import Words, blobs, chunks, mix, tidy, unblob
 
-#: Most bits of the filter, 48 MB: what each worker holds however large the input. Beyond some 10^8 n-grams its rate of errors rises.
-FILTER_BITS = 3 << 27
+#: Bits of a slice of the filter for each bit that is set: 8 % are set, and an n-gram that is missing passes 0.6 % of the levels.
+SLICE_BITS = 12
 #: Probes for each level, base of the quantisation, and weight of the single-word probability.
 PROBES, BASE, WEIGHT = 2, 1.5, 10.0
 SEGMENT_BYTES = 4 << 20
-#: Text bytes scored at a time; workers hold the filter besides.
-SCORED_BYTES = 1 << 20
 END = np.uint64(0x5DEECE66D1234567)
 _WORD, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
-SENT = "segment int, chunk bigint, words binary, counts binary, pairs binary, pair_counts binary, ids array<bigint>, held array<boolean>, prints array<bigint>, sizes binary, sequence binary"
+CHUNK = "chunk bigint, ids array<bigint>, held array<boolean>, words binary, sizes binary, sequence binary"
+SENT = "segment int, chunk bigint, words binary, counts binary, pairs binary, pair_counts binary"
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,136 +65,82 @@ def _prints(h: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, of[:-1]).astype(np.int64) if len(of) > 1 else np.zeros(0, np.int64)
 
 
-def _sender(n_segments: int):
-    s = np.uint64(n_segments)
+def _by_segment(keys: np.ndarray, n_segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct keys by segment and size, and where each segment begins in it."""
+    segment = (keys % np.uint64(n_segments)).astype(np.int64)
+    order = np.lexsort((keys, segment))
+    return order, np.searchsorted(segment[order], np.arange(n_segments + 1))
 
-    def by_segment(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        segment = (keys % s).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
-        return keys[order], counts[order], np.searchsorted(segment[order], np.arange(n_segments + 1)), order
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _planes(x: np.ndarray) -> bytes:
+    """Four-byte numbers as four planes of bytes: those of small numbers are mostly 0 and take little space."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _coder(n_segments: int):
+    """Documents to chunks: their distinct words, and the token sequences as places in these."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             h, of = _tokens(batch.column("text"))
-            held = batch.column("held")
-            train = (~held.fill_null(True).to_numpy(zero_copy_only=False)).repeat(np.diff(of))
             coded = pa.array(h).dictionary_encode()
             keys, index = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-            keys, counts, cut, order = by_segment(keys, np.bincount(index[train], minlength=len(keys)))
+            order, _ = _by_segment(keys, n_segments)
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
-            pairs, many = np.unique(_pairs(h)[train], return_counts=True)
-            pairs, many, pair_cut, _ = by_segment(pairs, many)
             prints = _prints(h, of)
             chunk = int(mix(prints.astype(np.uint64), np.uint64(len(prints))).sum(dtype=np.uint64).astype(np.int64))
-            n = n_segments
-            nothing = blobs(np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)).cast(pa.binary())
-            yield pa.record_batch(
-                [
-                    pa.array(np.arange(n, dtype=np.int32)),
-                    pa.array(np.full(n, chunk)),
-                    blobs(keys, cut).cast(pa.binary()),
-                    blobs(counts.astype(np.uint32), cut).cast(pa.binary()),
-                    blobs((pairs >> np.uint64(32)).astype(np.uint32), pair_cut).cast(pa.binary()),
-                    blobs(many.astype(np.uint32), pair_cut).cast(pa.binary()),
-                    pa.nulls(n, pa.list_(pa.int64())),
-                    pa.nulls(n, pa.list_(pa.bool_())),
-                    pa.nulls(n, pa.list_(pa.int64())),
-                    nothing,
-                    nothing,
-                ],
-                names := [x.split()[0] for x in SENT.split(", ")],
-            ).filter(pa.array((np.diff(cut) > 0) | (np.diff(pair_cut) > 0)))
-            one = lambda x: pa.array([x.tobytes()], pa.binary())
-            yield pa.record_batch(
-                [
-                    pa.array([-1], pa.int32()),
-                    pa.array([chunk]),
-                    *[pa.nulls(1, pa.binary())] * 4,
-                    pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())),
-                    pa.array([held.to_pylist()], pa.list_(pa.bool_())),
-                    pa.array([prints.tolist()], pa.list_(pa.int64())),
-                    one(np.diff(of).astype(np.uint32)),
-                    one(place[index]),
-                ],
-                names,
-            )
-
-    return send
-
-
-def _bits(keys: np.ndarray, kind: np.uint64, level: int, probe: int, size: int) -> np.ndarray:
-    return mix(keys, kind + np.uint64(level * PROBES + probe)) % np.uint64(size)
+            one = lambda x: pa.array([x], pa.binary())
+            ids, held = pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([batch.column("held").to_pylist()], pa.list_(pa.bool_()))
+            yield pa.record_batch([pa.array([chunk]), ids, held, one(keys[order].tobytes()), one(np.diff(of).astype(np.uint32).tobytes()), one(_planes(place[index]))], [x.split()[0] for x in CHUNK.split(", ")])
 
+    return code
 
-def _segment(slice_bits: int):
-    """A segment's share: answers to chunks (their words' counts), its slice of the filter, its part of N and V."""
-
-    def levels_set(table: np.ndarray, keys: np.ndarray, counts: np.ndarray, kind: np.uint64) -> None:
-        level, keys, counts = 1, keys[counts > 0], counts[counts > 0]
-        q = 1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9)
-        while len(keys):
-            for probe in range(PROBES):
-                table[_bits(keys, kind, level, probe, slice_bits)] = True
-            level += 1
-            keys, q = keys[q >= level], q[q >= level]
-
-    def reduce(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        segment = table.column("segment")[0].as_py()
-        keys, of = unblob(table.column("words"), np.uint64)
-        counts, _ = unblob(table.column("counts"), np.uint32)
-        coded = pa.array(keys).dictionary_encode()
-        total = np.bincount(coded.indices.to_numpy(), counts, len(coded.dictionary)).astype(np.int64)
-        bits = np.zeros(slice_bits, bool)
-        levels_set(bits, coded.dictionary.to_numpy(), total, _WORD)
-        coded_pairs = pa.array(unblob(table.column("pairs"), np.uint32)[0]).dictionary_encode()
-        pair_counts, _ = unblob(table.column("pair_counts"), np.uint32)
-        levels_set(bits, coded_pairs.dictionary.to_numpy().astype(np.uint64), np.bincount(coded_pairs.indices.to_numpy(), pair_counts, len(coded_pairs.dictionary)), _PAIR)
-        answers = pa.table([table.column("chunk"), blobs(total[coded.indices.to_numpy()], of).cast(pa.binary())], ["chunk", "counts"])
-        n = table.num_rows
-        answers = answers.append_column("segment", pa.array(np.full(n, segment, np.int32))).append_column("bits", pa.nulls(n, pa.binary())).append_column("n", pa.nulls(n, pa.int64())).append_column("v", pa.nulls(n, pa.int64()))
-        own = pa.table({"chunk": pa.nulls(1, pa.int64()), "counts": pa.nulls(1, pa.binary()), "segment": pa.array([segment], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "n": pa.array([int(total.sum())]), "v": pa.array([int((total > 0).sum())])})
-        return pa.concat_tables([answers, own.select(answers.schema.names)])
-
-    return reduce
 
+def _sender(n_segments: int):
+    """A chunk's n-grams with their counts, to the segments."""
 
-ANSWERED = "chunk bigint, counts binary, segment int, bits binary, n bigint, v bigint"
-BASED = "id bigint, print bigint, held boolean, n_tokens bigint, n_known bigint, base double"
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                chunk, held, words, sizes, sequence = (batch.column(c)[row] for c in ("chunk", "held", "words", "sizes", "sequence"))
+                keys, sequence = np.frombuffer(words.as_py(), np.uint64), _unplanes(sequence.as_py())
+                train = (~held.values.fill_null(True).to_numpy(zero_copy_only=False)).repeat(np.frombuffer(sizes.as_py(), np.uint32))
+                _, cut = _by_segment(keys, n_segments)
+                counts = np.bincount(sequence[train], minlength=len(keys))
+                # pairs that nothing is learned from are sent, too, with a count of 0: they want an answer
+                pairs, of_pair = np.unique(_pairs(keys[sequence]), return_inverse=True)
+                order, pair_cut = _by_segment(pairs, n_segments)
+                pairs, many = pairs[order], np.bincount(of_pair[train], minlength=len(pairs))[order]
+                packed = [
+                    blobs(keys, cut),
+                    blobs(counts.astype(np.uint32), cut),
+                    blobs((pairs >> np.uint64(32)).astype(np.uint32), pair_cut),
+                    blobs(many.astype(np.uint32), pair_cut),
+                ]
+                out = pa.record_batch([pa.array(np.arange(n_segments, dtype=np.int32)), pa.array(np.full(n_segments, chunk.as_py())), *(x.cast(pa.binary()) for x in packed)], [x.split()[0] for x in SENT.split(", ")])
+                yield out.filter(pa.array((np.diff(cut) > 0) | (np.diff(pair_cut) > 0)))
+        tidy()
 
+    return send
 
-def _base(total: int):
-    """Exact scores of the documents of one chunk: its token sequences, and the counts that all segments answered."""
 
-    def score(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        segment = table.column("segment").to_numpy()
-        answers = {}
-        for row in np.flatnonzero(segment >= 0):
-            answers[segment[row]] = np.frombuffer(table.column("counts")[int(row)].as_py(), np.int64)
-        counts = np.concatenate([answers[s] for s in sorted(answers)])
-        out = []
-        for row in np.flatnonzero(segment < 0):
-            ids, held, prints, sizes, sequence = (table.column(c)[int(row)] for c in ("ids", "held", "prints", "sizes", "sequence"))
-            sizes = np.frombuffer(sizes.as_py(), np.uint32).astype(np.int64)
-            c = counts[np.frombuffer(sequence.as_py(), np.uint32)]
-            at = np.cumsum(sizes) - sizes
-            base = np.add.reduceat(np.log10(c + 1.0), at) - sizes * math.log10(total)
-            out.append(pa.table([ids.values, prints.values, held.values, pa.array(sizes), pa.array(np.add.reduceat(c > 0, at, dtype=np.int64)), pa.array(base)], ["id", "print", "held", "n_tokens", "n_known", "base"]))
-        return pa.concat_tables(out)
-
-    return score
+def _bits(keys: np.ndarray, kind: np.uint64, level: int, probe: int, size: int) -> np.ndarray:
+    return mix(keys, kind + np.uint64(level * PROBES + probe)) % np.uint64(size)
 
 
 class Filter:
-    """The filter on a worker: packed slices, one after the other."""
+    """Packed slices of the filter, one after the other."""
 
     def __init__(self, slices: np.ndarray, n_segments: int, slice_bits: int):
         self.slices, self.n, self.size = slices, np.uint64(n_segments), slice_bits
 
-    def counts(self, hashes: np.ndarray, kind: np.uint64) -> np.ndarray:
-        """Middle of the quantisation step that each n-gram is found under, 0 for those that are not found."""
+    def levels(self, hashes: np.ndarray, kind: np.uint64) -> np.ndarray:
+        """The last level that each n-gram is found under, 0 for those that are not found."""
         at = (hashes % self.n) * np.uint64(self.size)
         keys = hashes if kind == _WORD else hashes >> np.uint64(32)
         q, live, level = np.zeros(len(hashes), np.int64), np.arange(len(hashes)), 1
@@ -204,31 +150,101 @@ class Filter:
                 live = live[(self.slices[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1 > 0]
             q[live] = level
             level += 1
-        steps = np.arange(q.max() + 1 if len(q) else 1)
-        low, high = np.ceil(BASE ** (steps - 1.0) - 1e-9), np.ceil(BASE**steps - 1e-9) - 1
-        return np.where(steps > 0, (low + np.maximum(high, low)) / 2, 0)[q]
+        return q
+
+    def counts(self, hashes: np.ndarray, kind: np.uint64) -> np.ndarray:
+        """Middle of the quantisation step that each n-gram is found under, 0 for those that are not found."""
+        return middles(self.levels(hashes, kind))
+
+
+def middles(q: np.ndarray) -> np.ndarray:
+    """Middle of each level's quantisation step, 0 for level 0."""
+    steps = np.arange(int(q.max()) + 1 if len(q) else 1)
+    low, high = np.ceil(BASE ** (steps - 1.0) - 1e-9), np.ceil(BASE**steps - 1e-9) - 1
+    return np.where(steps > 0, (low + np.maximum(high, low)) / 2, 0)[q]
+
+
+def slice_filter(*grams: tuple[np.ndarray, np.ndarray, np.uint64]) -> Filter:
+    """A segment's slice, as large as what (keys, counts, kind) set in it needs."""
+    found = []
+    for keys, counts, kind in grams:
+        keys, counts = keys[counts > 0], counts[counts > 0]
+        found.append((keys, (1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9)).astype(np.int64), kind))
+    size = max(1 << 10, -(-SLICE_BITS * PROBES * sum(int(q.sum()) for _, q, _ in found) // 8) * 8)
+    bits = np.zeros(size, bool)
+    for keys, q, kind in found:
+        level = 1
+        while len(keys):
+            for probe in range(PROBES):
+                bits[_bits(keys, kind, level, probe, size)] = True
+            level += 1
+            keys, q = keys[q >= level], q[q >= level]
+    return Filter(np.packbits(bits), 1, size)
+
+
+def _segment(table: pa.Table) -> pa.Table:
+    """A segment's share: answers to chunks (counts and levels of their n-grams), its part of N and V."""
+    table = table.combine_chunks()
+    segment = table.column("segment")[0].as_py()
+    keys, of = unblob(table.column("words"), np.uint64)
+    counts, _ = unblob(table.column("counts"), np.uint32)
+    coded = pa.array(keys).dictionary_encode()
+    words, index = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    total = np.bincount(index, counts, len(words)).astype(np.int64)
+    pairs, of_pairs = unblob(table.column("pairs"), np.uint32)
+    pair_counts, _ = unblob(table.column("pair_counts"), np.uint32)
+    coded_pairs = pa.array(pairs).dictionary_encode()
+    pairs, pair_index = coded_pairs.dictionary.to_numpy().astype(np.uint64), coded_pairs.indices.to_numpy()
+    table_of = slice_filter((words, total, _WORD), (pairs, np.bincount(pair_index, pair_counts, len(pairs)), _PAIR))
+    levels = table_of.levels(words, _WORD).astype(np.uint8)[index]
+    pair_levels = table_of.levels(pairs << np.uint64(32), _PAIR).astype(np.uint8)[pair_index]
+    n = table.num_rows
+    binary = lambda x, rows: blobs(x, rows).cast(pa.binary())
+    answers = pa.table({"chunk": table.column("chunk"), "counts": binary(total[index], of), "levels": binary(levels, of), "pair_levels": binary(pair_levels, of_pairs), "segment": pa.array(np.full(n, segment, np.int32)), "n": pa.nulls(n, pa.int64()), "v": pa.nulls(n, pa.int64())})
+    own = pa.table({"chunk": pa.nulls(1, pa.int64()), **{c: pa.nulls(1, pa.binary()) for c in ("counts", "levels", "pair_levels")}, "segment": pa.array([segment], pa.int32()), "n": pa.array([int(total.sum())]), "v": pa.array([int((total > 0).sum())])})
+    return pa.concat_tables([answers, own])
+
+
+ANSWERED = "chunk bigint, counts binary, levels binary, pair_levels binary, segment int, n bigint, v bigint"
+SCORED = "id bigint, held boolean, n_tokens bigint, n_known bigint, base double, score double"
+
+
+def _scores(n_segments: int, total: int):
+    """Scores of the documents of one chunk: its token sequences, and what all segments answered."""
 
+    def score(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        segment = table.column("segment").to_numpy()
+        answers = {}
+        for row in np.flatnonzero(segment >= 0):
+            answers[segment[row]] = int(row)
 
-def _scorer(shared, total: int):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices, n, size = shared.value
-        table = Filter(np.frombuffer(slices, np.uint8), n, size)
-        for batch in chunks(batches, limit=SCORED_BYTES):
-            h, of = _tokens(batch.column("text"))
-            words = pa.array(h).dictionary_encode()
-            single = table.counts(words.dictionary.to_numpy(), _WORD)
-            pairs = pa.array(_pairs(h)).dictionary_encode()
-            both = table.counts(pairs.dictionary.to_numpy(), _PAIR)[pairs.indices.to_numpy()]
-            c = single[words.indices.to_numpy()]
-            before = np.append(table.counts(np.array([END]), _WORD), c[:-1])
-            p = (np.minimum(both, before) + WEIGHT * (c + 1) / total) / (before + WEIGHT)
-            out = np.add.reduceat(np.log10(p), of[:-1])
-            yield pa.record_batch([batch.column("id"), pa.array(_prints(h, of)), pa.array(out)], ["id", "print", "score"])
+        def answer(column: str, dtype) -> np.ndarray:
+            return np.concatenate([np.frombuffer(table.column(column)[answers[s]].as_py(), dtype) for s in sorted(answers)])
+
+        counts, single, pair = answer("counts", np.int64), middles(answer("levels", np.uint8)), middles(answer("pair_levels", np.uint8))
+        out = []
+        for row in np.flatnonzero(segment < 0):
+            words, ids, held, sizes, sequence = (table.column(c)[int(row)] for c in ("words", "ids", "held", "sizes", "sequence"))
+            sizes = np.frombuffer(sizes.as_py(), np.uint32).astype(np.int64)
+            sequence = _unplanes(sequence.as_py())
+            at = np.cumsum(sizes) - sizes
+            c = counts[sequence]
+            base = np.add.reduceat(np.log10(c + 1.0), at) - sizes * math.log10(total)
+            known = np.add.reduceat(c > 0, at, dtype=np.int64)
+            pairs, of_pair = np.unique(_pairs(np.frombuffer(words.as_py(), np.uint64)[sequence]), return_inverse=True)
+            both = np.empty(len(pairs))
+            both[_by_segment(pairs, n_segments)[0]] = pair
+            c = single[sequence]
+            before = np.append(c[-1:], c[:-1])  # the last token is an end mark, as is what precedes the first
+            p = (np.minimum(both[of_pair], before) + WEIGHT * (c + 1) / total) / (before + WEIGHT)
+            out.append(pa.table([ids.values, held.values, pa.array(sizes), pa.array(known), pa.array(base), pa.array(np.add.reduceat(np.log10(p), at))], ["id", "held", "n_tokens", "n_known", "base", "score"]))
+        return pa.concat_tables(out)
 
     return score
 
 
-def lm_score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+def lm_score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every text by a language model learned from the rows for which held_out is false.
 
     Tokens are words without white space, A-Z lower-cased, then one end mark. Returns for each row: id_col, held_out,
@@ -239,20 +255,10 @@ def lm_score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     docs = df.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held"), F.col(text_col).alias("text"))
     size = text_bytes(docs)
     n_segments = segments(size, SEGMENT_BYTES)
-    slice_bits = -(-min(filter_bits, max(4 * size, 1 << 16)) // n_segments // 8) * 8
-    sent = written(docs.mapInArrow(_sender(n_segments), SENT))
-    reduced = written(sent.where("segment >= 0").groupBy("segment").applyInArrow(_segment(slice_bits), ANSWERED))
+    coded = written(docs.mapInArrow(_coder(n_segments), CHUNK), "zstd")
+    reduced = written(coded.mapInArrow(_sender(n_segments), SENT).groupBy("segment").applyInArrow(_segment, ANSWERED), "zstd")
     size = reduced.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    total = size.n + size.v + 1
-    slices = np.zeros(n_segments * slice_bits // 8, np.uint8)
-    for row in reduced.where("bits is not null").select("segment", "bits").toLocalIterator():
-        at = row.segment * slice_bits // 8
-        slices[at : at + slice_bits // 8] = np.frombuffer(row.bits, np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast((slices.tobytes(), n_segments, slice_bits))
-    parts = sent.where("segment < 0").select("segment", "chunk", F.lit(None).cast("binary").alias("counts"), "ids", "held", "prints", "sizes", "sequence")
-    answers = reduced.where("chunk is not null").select("segment", "chunk", "counts")
-    based = parts.unionByName(answers, allowMissingColumns=True).groupBy("chunk").applyInArrow(_base(total), BASED)
-    based = based.groupBy("id", "print").agg(F.first("held").alias("held"), F.first("n_tokens").alias("n_tokens"), F.first("n_known").alias("n_known"), F.first("base").alias("base"))
-    scored = docs.select("id", "text").mapInArrow(_scorer(shared, total), "id bigint, print bigint, score double")
-    joined = scored.alias("s").join(based.alias("b"), F.col("s.id").eqNullSafe(F.col("b.id")) & (F.col("s.print") == F.col("b.print")))
-    return joined.select(F.col("s.id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(size.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    parts = coded.withColumn("segment", F.lit(-1))
+    answers = reduced.where("chunk is not null").select("segment", "chunk", "counts", "levels", "pair_levels")
+    scored = parts.unionByName(answers, allowMissingColumns=True).groupBy("chunk").applyInArrow(_scores(n_segments, size.n + size.v + 1), SCORED)
+    return scored.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(size.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

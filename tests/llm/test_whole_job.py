@@ -1,0 +1,46 @@
+"""What must hold at every size: no cap on what is gathered, no group of which only a part is looked at."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lociforge.llm import lm_score as M
+
+
+@pytest.mark.parametrize("n", [1000, 30_000, 1_000_000])
+def test_filter_errors_do_not_grow(n):
+    rng = np.random.default_rng(n)
+    keys, unseen = rng.integers(0, 1 << 63, (2, n), np.uint64)
+    counts = rng.geometric(0.3, n)
+    table = M.slice_filter((keys, counts, M._WORD), (keys[:0], counts[:0], M._PAIR))
+    steps = 1 + np.floor(np.log(counts) / math.log(M.BASE) + 1e-9)
+    assert (table.levels(keys, M._WORD) >= steps).all()
+    assert (table.levels(keys, M._WORD) > steps).mean() < 0.03 and (table.levels(unseen, M._WORD) > 0).mean() < 0.03
+
+
+def test_lm_score_against_exact_counts(spark, monkeypatch):
+    """Nothing that grows with the corpus goes to every worker, and scores are those of quantised counts but for few errors."""
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("the filter was broadcast"))
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randint(0, 40)))) for k in range(3000)]
+    got = {r.doc_id: r for r in M.lm_score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") % 7 == 2).collect()}
+    tokens = {k: [*re.findall(r"\S+", t), None] for k, t in rows}
+    train = [k for k, _ in rows if k % 7 != 2]
+    one, two = Counter(t for k in train for t in tokens[k]), Counter(p for k in train for p in zip([None, *tokens[k]], tokens[k]))
+    total = sum(one.values()) + len(one) + 1
+    middle = lambda c: float(M.middles(np.array([1 + math.floor(math.log(c) / math.log(M.BASE) + 1e-9) if c else 0]))[0])
+
+    def exact(k):
+        out = 0.0
+        for u, w in zip([None, *tokens[k]], tokens[k]):
+            before, both = middle(one[u]), middle(two[u, w])
+            out += math.log10((min(both, before) + M.WEIGHT * (middle(one[w]) + 1) / total) / (before + M.WEIGHT))
+        return out
+
+    off = np.array([abs(got[k].score - exact(k)) / len(tokens[k]) for k, _ in rows])
+    assert len(got) == len(rows) and np.median(off) < 1e-3 and off.mean() < 0.02
