@@ -44,3 +44,16 @@ def test_lm_score_against_exact_counts(spark, monkeypatch):
 
     off = np.array([abs(got[k].score - exact(k)) / len(tokens[k]) for k, _ in rows])
     assert len(got) == len(rows) and np.median(off) < 1e-3 and off.mean() < 0.02
+
+
+@pytest.mark.parametrize("n", [1000, 1001, 2400])
+def test_html_repeats_over_a_whole_host(spark, n):
+    """A block that two pages of a host share is boilerplate, however many pages the host has."""
+    from lociforge.llm.html_text import html_text
+
+    words = lambda *key: " ".join(f"{'x'.join(map(str, key))}y{k}" for k in range(12))
+    rows = [(k, f"http://h.example/{k}", f"<div>{words('shared', k % (n // 2))}</div><div>{words('own', k)}</div>") for k in range(n)]
+    rows.append((n, "http://other.example/", rows[0][2]))
+    got = {r.page_id: r.text for r in html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == n + 1 and all(got[k] == words("own", k) for k in range(n))
+    assert got[n] == f"{words('shared', 0)}\n\n{words('own', 0)}"
