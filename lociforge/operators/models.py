@@ -126,28 +126,44 @@ def knn(train: DataFrame, test: DataFrame, k: int = 5, vector: str = "embedding"
 
 
 def bayesian_selector(tasks: DataFrame, features: list[str], label: str = "label", by: str = "iteration", draws: int = 200, epochs: int = 60, rate: float = 0.05, seed: int = 42) -> DataFrame:
-    """Posterior draws (iteration, draw, feature_name, beta) of a logistic regression with shrinking scales, one group for each iteration.
+    """Posterior draws (iteration, draw, feature_name, beta) of a logistic regression with shrinking scales, one fit for each iteration.
 
-    A mean-field normal posterior is fitted by stochastic gradients in numpy; each weight has a log scale with a heavy-tailed
-    prior, so weights without evidence go to 0. A group is one bootstrap's training rows: samples, not variants, bound it.
+    A mean-field normal posterior is fitted by stochastic gradients; each weight has a log scale with a heavy-tailed prior, so
+    weights without evidence go to 0. Gradients are summed over partitions, those of all iterations in one job for each epoch:
+    rows stay where they are, and only sums and weights travel.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.Generator(np.random.PCG64(seed + int(frame[by].iloc[0])))
-        x = frame[features].to_numpy(float)
-        x = (x - x.min(0)) / np.where(np.ptp(x, 0) > 0, np.ptp(x, 0), 1)
-        x, y = x - x.mean(0), frame[label].to_numpy(float)
-        m, s = np.zeros(x.shape[1]), np.full(x.shape[1], -2.0)
-        b, gm, gs, gb = 0.0, 1e-8, 1e-8, 1e-8
-        for _ in range(epochs):
-            e = rng.normal(size=m.shape)
-            w = m + np.exp(s) * e
-            r = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-            g = x.T @ r + 2 * w / (0.1 + w * w)
-            ds = g * e * np.exp(s) - 1
-            gm, gs, gb = gm + g * g, gs + ds * ds, gb + r.sum() ** 2
-            m, s, b = m - rate * 4 * g / np.sqrt(gm), np.clip(s - rate * ds / np.sqrt(gs), -6, 2), b - rate * r.sum() / math.sqrt(gb)
-        beta = m + np.exp(s) * rng.normal(size=(draws, len(m)))
-        return pd.DataFrame({by: np.full(draws * len(m), frame[by].iloc[0]), "draw": np.arange(draws).repeat(len(m)), "feature_name": np.tile(features, draws), "beta": beta.ravel()})
-
-    return tasks.groupBy(by).applyInPandas(run, f"{by} {dict(tasks.dtypes)[by]}, draw int, feature_name string, beta double")
+    spark, kind, n = tasks.sparkSession, dict(tasks.dtypes)[by], len(features)
+    x = [f"_x{k}" for k in range(n)]
+    data = tasks.select(by, F.col(label).cast("double").alias("_y"), *[F.col(f).cast("double").alias(c) for f, c in zip(features, x, strict=True)])
+    spans = data.groupBy(by).agg(*[f(c).alias(c + a) for c in x for f, a in ((F.min, "_low"), (F.max, "_high"), (F.avg, "_mean"))])
+    width = lambda c: F.when(F.col(c + "_high") > F.col(c + "_low"), F.col(c + "_high") - F.col(c + "_low")).otherwise(1.0)
+    scaled = data.join(F.broadcast(spans), by).select(by, "_y", *[((F.col(c) - F.col(c + "_mean")) / width(c)).alias(c) for c in x]).persist()
+    keys = sorted(r[0] for r in scaled.select(by).distinct().collect())
+    rngs = [np.random.Generator(np.random.PCG64(seed + int(k))) for k in keys]
+    m, s = np.zeros((len(keys), n)), np.full((len(keys), n), -2.0)
+    b, gm, gs, gb = np.zeros(len(keys)), 1e-8, 1e-8, 1e-8
+    z = sum((F.col(c) * F.get("_w", F.lit(k)) for k, c in enumerate(x)), F.col("_b"))
+    r = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))) - F.col("_y")
+    for _ in range(epochs if keys else 0):
+        e = np.array([rng.normal(size=n) for rng in rngs])
+        w = m + np.exp(s) * e
+        now = spark.createDataFrame([(k, v.tolist(), float(c)) for k, v, c in zip(keys, w, b, strict=True)], f"{by} {kind}, _w array<double>, _b double")
+        rest = scaled.join(F.broadcast(now), by).select(by, *x, r.alias("_r"))
+        sums = {row[0]: row[1:] for row in rest.groupBy(by).agg(*[F.sum(F.col(c) * F.col("_r")) for c in x], F.sum("_r")).collect()}
+        sums = np.array([sums[k] for k in keys], float)
+        g, gr = sums[:, :n] + 2 * w / (0.1 + w * w), sums[:, n]
+        ds = g * e * np.exp(s) - 1
+        gm, gs, gb = gm + g * g, gs + ds * ds, gb + gr**2
+        m, s, b = m - rate * 4 * g / np.sqrt(gm), np.clip(s - rate * ds / np.sqrt(gs), -6, 2), b - rate * gr / np.sqrt(gb)
+    scaled.unpersist()
+
+    def draw(frames):
+        for f in frames:
+            for key, mean, scale in f.itertuples(index=False):
+                rng = np.random.Generator(np.random.PCG64(seed + int(key)))
+                rng.normal(size=(epochs, n))  # those of the epochs
+                beta = np.array(mean) + np.exp(np.array(scale)) * rng.normal(size=(draws, n))
+                yield pd.DataFrame({by: np.full(draws * n, key), "draw": np.arange(draws).repeat(n), "feature_name": np.tile(features, draws), "beta": beta.ravel()})
+
+    fitted = spark.createDataFrame([(k, v.tolist(), c.tolist()) for k, v, c in zip(keys, m, s, strict=True)], f"{by} {kind}, _m array<double>, _s array<double>")
+    return fitted.mapInPandas(draw, f"{by} {kind}, draw int, feature_name string, beta double")
