@@ -15,7 +15,7 @@ from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml import classification as C
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import MinMaxScaler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -45,8 +45,19 @@ def fit(train: DataFrame, name: str, estimator: Estimator | None = None, scale:
 
 
 def predict(model: Model, df: DataFrame) -> DataFrame:
-    """Adds y_pred: the probability of class 1; a model without probabilities gives its hard label."""
-    out = model.transform(df)
+    """Adds y_pred: the probability of class 1; a model without probabilities gives its hard label.
+
+    Naive Bayes counts, so it takes a value below the range of the training rows as the lowest of these.
+    """
+    if isinstance(model.stages[-1], C.NaiveBayesModel):
+        out = df
+        for stage in model.stages[:-1]:
+            out = stage.transform(out)
+        column = model.stages[-1].getFeaturesCol()
+        lifted = array_to_vector(F.transform(vector_to_array(column), lambda x: F.greatest(x, F.lit(0.0))))
+        out = model.stages[-1].transform(out.withColumn(column, lifted))
+    else:
+        out = model.transform(df)
     p = F.get(vector_to_array("probability"), F.lit(1)) if "probability" in out.columns else F.col("prediction")
     return out.withColumn("y_pred", p).select(*df.columns, "y_pred")
 
@@ -75,8 +86,6 @@ def search(train: DataFrame, n: int = 10, folds: int = 10, seed: int = 42, low:
 
 def fourier_features(df: DataFrame, gamma: float = 1.0, components: int = 64, seed: int = 42) -> DataFrame:
     """Replaces features by random Fourier features of an RBF kernel: a linear model on them approximates a kernel one."""
-    from pyspark.ml.functions import array_to_vector
-
     width = len(df.select("features").first().features)
     rng = np.random.Generator(np.random.PCG64(seed))
     w, b = rng.normal(0, math.sqrt(2 * gamma), (width, components)), rng.uniform(0, 2 * math.pi, components)
