@@ -2,14 +2,15 @@
 
 Each document is the set of its five-word shingles. Under every permutation both the smallest and the largest
 value are kept, so 64 hash evaluations give a signature of 128. Bands of four values make 32 keys; two sets
-with a similarity of 0.75 share none with a probability of 5e-6.
+with a similarity of 0.75 share none with a probability of 5e-6 if they are large (on sets of few shingles minimum and maximum
+depend on each other: 1e-4 for 3 of 4 shingles).
 
 1. Documents with equal shingle sets are one class, stood for by its smallest id. Only classes are compared.
 2. In each bucket (classes with an equal band key) every class is paired with the bucket's smallest one: as many
    pairs as members, never all pairs. Pairs are confirmed on full shingle sets; components follow by alternating
    large-star and small-star steps over tables.
 3. Buckets whose members ended in different components are searched for the links that the stars missed. In pairs of
-   blocks of bounded size, signatures show which members can have a partner in another component; these components
+   blocks of bounded size, those of a group's largest component not among each other, signatures show which members can have a partner in another component; these components
    make clusters. Each cluster's members are then compared on full shingle sets, again in pairs of blocks, each pair
    of members once however many buckets they share, and only links that merge components leave a block.
 """
@@ -118,9 +119,14 @@ def _verifier(size: int, percent: int):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; texts: (id, text)."""
+    """The pairs (a, b), n being about how many an a has, whose full shingle sets are similar enough; texts: (id, text).
+
+    An a of many pairs is salted: each BLOCK of its pairs is a key of its own, to which the text of a is copied.
+    """
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK))).select("a", "b", "salt")
     a, b = (texts.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text")) for k in "ab")
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text").mapInArrow(_verifier(size, percent), "a bigint, b bigint")
+    heads = salted.select("a", "salt").distinct().join(a, "a")
+    return salted.join(b, "b").join(heads, ["a", "salt"]).select("a", "b", "a_text", "b_text").mapInArrow(_verifier(size, percent), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,30 +230,39 @@ def links(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFra
     buckets = written(keyed.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1"))
     members = written(keyed.join(buckets, "band"))
     texts = written(texts.join(members.select("id").distinct(), "id", "left_semi"))
-    stars = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    stars = members.where("id <> head").groupBy(F.col("head").alias("a"), F.col("id").alias("b")).agg(F.max("n").alias("n"))
     edges = written(confirmed(stars, texts, size, percent))
     comp = written(components(edges))
     # buckets with the same members are looked through once
     kinds = members.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("head"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x")).groupBy("n", "head", "x").agg(F.min("band").alias("band")).select("band")
-    now = members.join(kinds, "band").join(comp, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component"))
+    now = members.join(kinds, "band").join(comp, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     mixed = now.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     now = now.join(mixed, "band").join(reps.select("id", "signature"), "id")
-    blocks = _in_pairs(now).select("band", "i", "j", "part", "id", "component", "signature")
+    blocks = _in_pairs(now, "band").select("band", "i", "j", "part", "id", "component", "signature")
     close = written(blocks.groupBy("band", "i", "j").applyInArrow(_candidates, "id bigint, component bigint, other bigint").distinct())
     clusters = components(close.select(F.col("component").alias("a"), F.col("other").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
     near = written(close.select("id", "component").distinct().join(clusters, "component"))
-    sizes = near.groupBy("cluster").agg(F.count("*").alias("n"))
     sets = texts.join(near.select("id").distinct(), "id", "left_semi").mapInArrow(_shingler(size), "id bigint, shingles binary")
-    blocks = _in_pairs(near.join(sizes, "cluster")).select("cluster", "i", "j", "part", "id", "component").join(sets, "id")
+    blocks = _in_pairs(near, "cluster").select("cluster", "i", "j", "part", "id", "component").join(sets, "id")
     more = written(blocks.groupBy("cluster", "i", "j").applyInArrow(_merging(percent), "a bigint, b bigint"))
     return written(components(edges.unionByName(more))) if more.limit(1).count() else comp
 
 
-def _in_pairs(members: DataFrame) -> DataFrame:
-    """Members (id, n of its group) dealt to blocks of about BLOCK, a row for each pair (i, j) of blocks that has theirs."""
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = members.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, "part").alias("i"), F.greatest(p, "part").alias("j")))
+def _in_pairs(members: DataFrame, group: str) -> DataFrame:
+    """Members (id, component) of groups dealt to blocks of about BLOCK, a row for each pair (i, j) of blocks that has theirs.
+
+    Members of one component need not be compared. So a group's largest component has blocks of its own, which are paired
+    with the blocks of the others only: a large group in which few stand apart costs little more than its members.
+    """
+    sizes = members.groupBy(group, "component").agg(F.count("*").alias("n"))
+    top = sizes.groupBy(group).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    top = top.select(group, F.col("top.component").alias("major"), blocks(F.col("n") - F.col("top.n")).alias("few"), blocks(F.col("top.n")).alias("many"))
+    minor, h = F.col("component") != F.col("major"), F.xxhash64("id")
+    part = F.when(minor, F.pmod(h, F.col("few"))).otherwise(F.col("few") + F.pmod(h, F.col("many"))).cast("int")
+    own = members.join(top.where("few > 0"), group).withColumn("part", part)
+    partners = F.sequence(F.lit(0), F.when(minor, F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)
+    pairs = F.transform(partners, lambda p: F.struct(F.least(p, "part").alias("i"), F.greatest(p, "part").alias("j")))
     return own.select("*", F.explode(pairs).alias("p")).select("*", "p.i", "p.j")
 
 
