@@ -6,11 +6,11 @@ shingles, so it is enough to look for the rarest (the prefix that containment ma
 1. Shingles of all windows are counted over all documents; each window keeps its rarest.
 2. Each shingle of a document is looked up among these. A match says where the window would begin; it is
    dropped if it would begin before the document or end after it (positional and length bounds).
-3. What is left is verified: the window's whole word sequence must stand there.
+3. What is left is verified, the window's whole word sequence must stand there, byte by byte.
 
 The index of windows goes to the workers. Its size is checked: items are taken in blocks of at most
 BLOCK_BYTES of text, and each further block is a further pass that adds to what the one before found.
-Shingles and windows are compared by 64-bit hashes of their words; a hit needs both to agree.
+Shingles are looked up by 64-bit hashes; these only choose what is verified.
 """
 
 from __future__ import annotations
@@ -75,6 +75,7 @@ class Windows:
         self.length, self.key = pairs["length"][first], pairs["key"][first]
         self.items, self.of = pairs["item"], np.append(np.flatnonzero(first), len(pairs))
         at = np.full(len(self.key), 0)
+        self.words, self.at = words, at
         for k in np.unique(length):
             mine, here = self.length == k, np.flatnonzero(length == k)
             order = here[np.argsort(key[here], kind="stable")]
@@ -90,6 +91,21 @@ class Windows:
             self.shingle[kind == k] = grams(h, int(k))[place[kind == k]]
         self.kinds = [int(k) for k in np.unique(self.size)]
 
+    def stand(self, words: Words, starts: np.ndarray, entry: np.ndarray, n: int) -> np.ndarray:
+        """Whether the n words from each start are, byte by byte, those of the window (of n words) beside it."""
+        size, own = words.ends - words.starts, self.words.ends - self.words.starts
+        here, there = starts[:, None] + np.arange(n), self.at[entry][:, None] + np.arange(n)
+        good = (size[here] == own[there]).all(1)
+        few = np.flatnonzero(good)
+        here, there = here[few].ravel(), there[few].ravel()
+        many = size[here]
+        ends = np.append(0, np.cumsum(many))
+        step = np.arange(ends[-1]) - ends[:-1].repeat(many)
+        differ = words.data[words.starts[here].repeat(many) + step] != self.words.data[self.words.starts[there].repeat(many) + step]
+        total = np.append(0, np.cumsum(differ))
+        good[few] = total[ends[n::n]] == total[ends[:-1:n]]
+        return good
+
     def drop_shingles(self) -> None:
         """Once the prefixes are chosen the other shingles are not needed, and workers do without."""
         del self.shingle, self.shingle_of, self.offset, self.n_shingles
@@ -136,7 +152,8 @@ def _finder(index):
                 s, entry = s[ok], entry[ok]
                 for n in np.unique(w.length[entry]):
                     mine = w.length[entry] == n
-                    same = grams(h, int(n))[s[mine]] == w.key[entry[mine]]
+                    same = np.flatnonzero(grams(h, int(n))[s[mine]] == w.key[entry[mine]])
+                    same = same[w.stand(words, s[mine][same], entry[mine][same], int(n))]
                     starts.append(s[mine][same])
                     found.append(entry[mine][same])
             starts, found = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, found))
@@ -171,10 +188,13 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     Words are runs of digits, a-z (A-Z lower-cased) and characters beyond ASCII. A window is `window` consecutive
     words of an item; an item of fewer words is one window. Returns for each row: id_col, n_words, n_hit (words inside
     an occurrence of a window), hits (their positions, 4 bytes each), items (sorted, as strings), contaminated
-    (n_hit > 0 and share * n_hit >= n_words), and the columns of df that `carry` names.
+    (n_hit > 0 and share * n_hit >= n_words), and the columns of df that `carry` names
+    (one that is named like a column returned is an error).
     Null or empty text: no words, clean. Null ids stay null. Items without an id, a text or a word match nothing;
     rows that repeat an item id count as one item. Empty tables give an empty result, or clean documents.
     """
+    if clash := {id_col, "n_words", "n_hit", "hits", "items", "contaminated"} & set(carry):
+        raise ValueError(f"cannot carry {', '.join(sorted(clash))}: the result has such columns of its own")
     rest = F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in carry])
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
     schema = T.StructType([*docs.schema, *FOUND])
