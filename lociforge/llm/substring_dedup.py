@@ -16,7 +16,8 @@ the chunk, a window whose earlier owner is in the chunk) needs no answer from el
 a hash for one document only. A passage in a third of all documents so costs one entry a chunk, not one a
 document. What travels is packed: one row per chunk and segment. The number of segments follows the input.
 
-Windows are compared by 64-bit hashes of their words. All word positions are judged on the input.
+Windows of full length are compared by 96 bits of two hashes of their words: among 10^13 windows two unlike ones meet
+with a probability below 10^-3. All word positions are judged on the input.
 """
 
 from __future__ import annotations
@@ -30,13 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lociforge.llm.store import segments, text_bytes
-from lociforge.llm.words import Words, blobs, chunks, grams, unblob
+from lociforge.llm.words import Words, blobs, chunks, grams, mix, unblob
 
 #: What a chunk of documents (named by its first) sends to a segment: documents, entries of each, word positions, hashes.
 BLOCK = "segment int, chunk bigint, answered boolean, docs binary, sizes binary, at binary, keys binary"
 ANSWER = "chunk bigint, docs binary, sizes binary, at binary"
 SPANS = "doc bigint, at binary"
 CUT = T.StructType().add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_text", T.StringType())
+#: What tells windows of full length apart: a hash, and a part of another.
+PRINT = np.dtype([("a", "<u8"), ("b", "<u4")])
 #: Text bytes for each segment.
 SEGMENT_BYTES = 4 << 20
 
@@ -121,6 +124,11 @@ def _spread(doc: np.ndarray, pos: np.ndarray, key: np.ndarray, segment: np.ndarr
     )
 
 
+def _second(h: np.ndarray, n: int) -> np.ndarray:
+    """Half of a second hash of the run of n words at each word that has one."""
+    return (grams(mix(h, np.uint64(0xA0761D6478BD642F)), n) >> np.uint64(32)).astype(np.uint32)
+
+
 def _sender(n: int, window: int, n_segments: int):
     """The map side of a level: reads doc, text and, but for the first level, the marks of the level before."""
     before = {b: a for a, b in zip(levels(window), levels(window)[1:], strict=False)}.get(n)
@@ -139,8 +147,9 @@ def _sender(n: int, window: int, n_segments: int):
                 continue
             row = words.row_of()[at]
             doc, pos = batch.column("doc").to_numpy()[row], at - words.of[row]
-            order = np.lexsort((pos, doc, key))
-            first = np.append(True, key[order][1:] != key[order][:-1])
+            other = _second(h, n)[at] if n == window else np.zeros(len(at), np.uint32)
+            order = np.lexsort((pos, doc, other, key))
+            first = np.append(True, (key[order][1:] != key[order][:-1]) | (other[order][1:] != other[order][:-1]))
             owner = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
             later = doc[order] != owner
             if n == window:  # an earlier document of this chunk has the same words
@@ -153,7 +162,10 @@ def _sender(n: int, window: int, n_segments: int):
             ask.sort()
             segment = (key % np.uint64(n_segments)).astype(np.int64)
             # short runs are only candidates, for which half of the hash is enough
-            sent = key if n == window else (key >> np.uint64(32)).astype(np.uint32)
+            sent = (key >> np.uint64(32)).astype(np.uint32)
+            if n == window:
+                sent = np.empty(len(key), PRINT)
+                sent["a"], sent["b"] = key, other
             yield from _spread(doc[done], pos[done], sent[done], segment[done[:1]].repeat(len(done)), int(doc[0]), True)
             yield from _spread(doc[ask], pos[ask], sent[ask], segment[ask], int(doc[0]), False)
 
@@ -169,13 +181,14 @@ def _receiver(last: bool):
         docs, of_docs = unblob(table.column("docs"), np.int64)
         sizes, _ = unblob(table.column("sizes"), np.uint32)
         at, of_at = unblob(table.column("at"), np.uint32)
-        keys, _ = unblob(table.column("keys"), np.uint64 if last else np.uint32)
+        keys, _ = unblob(table.column("keys"), PRINT if last else np.uint32)
         run_of = np.arange(len(docs)).repeat(sizes)
         block = np.arange(table.num_rows).repeat(np.diff(of_at))
         keep = answered[block]
         asked = np.flatnonzero(~keep)
         if len(asked):
-            group = pa.array(keys).dictionary_encode().indices.to_numpy()
+            coded = pa.Array.from_buffers(pa.binary(PRINT.itemsize), len(keys), [None, pa.py_buffer(keys.tobytes())]) if last else pa.array(keys)
+            group = coded.dictionary_encode().indices.to_numpy()
             whose = docs[run_of[asked]]
             least = np.full(group.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, group, whose)
@@ -240,11 +253,13 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Removes every word that a window of `window` words covers whose word sequence starts in a document with a smaller id.
 
     Returns id_col, n_words, n_removed, kept_text (the kept words joined by one space), one row for each input row,
-    and the columns of df that `carry` names. Words are runs without white space (0x20, 0x09-0x0D).
+    and the columns of df that `carry` names (one that is named like a column returned is an error). Words are runs without white space (0x20, 0x09-0x0D).
     Null text: no words, kept_text ''. Null id: kept whole, and no evidence against others. Rows that repeat an id
     count as one document: none is earlier than the other, and what is removed is removed from each of them.
     An empty table gives an empty result. Texts of any length are judged whole.
     """
+    if clash := {id_col, "n_words", "n_removed", "kept_text"} & set(carry):
+        raise ValueError(f"cannot carry {', '.join(sorted(clash))}: the result has such columns of its own")
     rest = F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in carry])
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), rest.alias("rest"))
     spans = repeated_spans(docs, window)
