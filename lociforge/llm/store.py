@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (a local session), a folder of this machine."""
+    """spark.checkpoint.dir; where it is unset, a folder of this machine if the session is local, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         folder = f"file://{tempfile.mkdtemp(prefix='lociforge-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -21,11 +23,21 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The same rows, read from a table written in the shared folder: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables. Results that were not yet written read from them: call it after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """Bytes of all texts of a column."""
     return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lociforge.llm.store import segments, text_bytes
 from lociforge.llm.words import Words, blobs, bytes_of
 
+#: Its file of ranks; every worker must have it at this path (or at that which token_pack is given).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenizer of the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -177,5 +178,8 @@ def token_pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """Packed rows as files: id matrices, cumulative segment lengths and positions, a folder for each shard."""
-    packed.write.partitionBy("shard").parquet(path)
+    """Packed rows as files: id matrices, cumulative segment lengths and positions, as many files as the packing had tasks.
+
+    The shard is a column, in whose order a file's rows are: its statistics find a shard without a folder for each.
+    """
+    packed.sortWithinPartitions("shard", "row").write.parquet(path)
