@@ -1,10 +1,12 @@
 """Training-data operators against plain Python, with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import html
 import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -18,10 +20,10 @@ from lociforge.llm.langid import Network, language_id
 from lociforge.llm.length_buckets import boundaries, length_buckets
 from lociforge.llm.lm_score import END, Filter, lm_score
 from lociforge.llm.near_dedup import components, near_dedup
-from lociforge.llm.quality import quality_filter, quality_rules
+from lociforge.llm.quality import RULES, Rule, ordered, quality_filter, quality_rules
 from lociforge.llm.queries import queries
 from lociforge.llm.substring_dedup import levels, substring_dedup
-from lociforge.llm.token_pack import VOCABULARY, best_fit, encode, encoding, token_pack
+from lociforge.llm.token_pack import VOCABULARY, best_fit, encode, encoding, token_pack, write_packed
 from lociforge.llm.toxicity import DIM, Model, toxicity
 from lociforge.llm.words import ALNUM, Words, chunks, grams
 
@@ -132,6 +134,34 @@ def test_decontamination(spark, docs):
     assert not any(r.contaminated for r in D.decontaminate(docs, items.limit(0)).collect())
 
 
+def test_windows_are_verified_by_their_bytes():
+    w = D.Windows(["1"], ["a bc de"], 13)
+    words = Words(pa.array(["a bc de a bc df a b cde"]), ALNUM, lower=True)
+    assert w.stand(words, np.array([0, 3, 6, 2]), np.zeros(4, int), 3).tolist() == [True, False, False, False]
+    assert not len(w.stand(words, np.zeros(0, int), np.zeros(0, int), 3))
+
+
+@pytest.mark.parametrize("name", ["n_words", "doc_id"])
+def test_carried_columns_may_not_clash(docs, name):
+    with pytest.raises(ValueError, match=name):
+        substring_dedup(docs, carry=(name,))
+    with pytest.raises(ValueError, match=name):
+        D.decontaminate(docs, docs, item_col="doc_id", carry=(name,))
+
+
+def test_clashing_columns(spark):
+    """Columns of the input that are named like those an operator uses or returns change nothing."""
+    rows = [(k, prose(30), "en", 0) for k in range(6)]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    names = ("id", "text_", "w", "held", "score", "kept", "component", "n", "bucket", "shard", "row", "n_words", "hits", "items", "chunk", "segment", "doc", "at", "band", "component_id", "n_tokens")
+    many = plain.select("*", *[F.lit("x").alias(c) for c in names])
+    items = spark.createDataFrame([(1, rows[0][1], "z")], "item_id long, text string, item string")
+    labels = plain.select("doc_id", F.lit(1).alias("toxic"), F.lit("x").alias("label"), F.lit("x").alias("id"))
+    held = F.col("doc_id") == 1
+    for f in (length_buckets, token_pack, substring_dedup, quality_rules, near_dedup, lambda d: D.decontaminate(d, items), lambda d: lm_score(d, held), lambda d: toxicity(d, labels, held), lambda d: language_id(d, held)):
+        assert sorted(map(str, f(plain).collect())) == sorted(map(str, f(many).collect()))
+
+
 def shingles(t):
     w = words(low(t))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -169,6 +199,37 @@ def test_near_dedup_links_beyond_stars(spark):
     assert {r.id: r.component for r in components(edges).collect()} == {k: 0 for k in range(31)} | {100: 100, 101: 100}
 
 
+def test_near_dedup_of_a_large_group(spark, monkeypatch):
+    """A group far larger than a block, most of it linked with one member, and members that only others reach."""
+    from lociforge.llm import near_dedup as N
+
+    monkeypatch.setattr(N, "BLOCK", 16)
+    rng = random.Random(12)
+    base = prose(120, rng).split()
+    docs = [list(base) for _ in range(400)]
+    for d in docs[1:]:
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            d[rng.randrange(120)] = f"new{rng.randrange(10**6)}"
+    for k in range(8):  # a chain that leaves the group step by step
+        docs.append([f"far{i}" for i in range(5 * (k + 1))] + base[5 * (k + 1) :])
+    texts = [" ".join(d) for d in docs]
+    order = rng.sample(range(len(texts)), len(texts))
+    df = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string").repartition(4)
+    sets = [shingles(texts[k]) for k in order]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        n = len(sets[a] & sets[b])
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n) and find(a) != find(b):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert {r.doc_id: r.component_id for r in N.near_dedup(df).collect()} == {k: find(k) for k in range(len(sets))}
+
+
 def measures(t):
     w = words(t)
     c = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
@@ -196,6 +257,26 @@ def test_quality_rules(spark):
     assert not quality_rules(df.limit(0)).collect()
 
 
+def test_words_are_split_once(spark):
+    df = spark.createDataFrame([(1, "a b", "mine")], "doc_id long, text string, __words string")
+    for out in (quality_rules(df), quality_filter(df)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 2 and "Python" not in plan  # words, and lines
+    long = df.withColumn("text", F.lit(prose(30)))
+    assert [r["__words"] for r in quality_filter(long).collect()] == ["mine"]
+
+
+def test_dear_rules_that_reject_little_come_last(spark):
+    df = spark.createDataFrame([(k, prose(60)) for k in range(400)] + [(k, "x") for k in range(400, 450)], "doc_id long, text string").repartition(2).cache()
+    slow = lambda m: F.size(F.filter(F.sequence(F.lit(0), F.lit(3000) + 0 * m.n_words), lambda k: F.md5(F.concat(m.text, k.cast("string"))) == "x")) > 0
+    rules = (Rule("slow", slow), Rule("dear", lambda m: slow(m) | (m.n_words < 10)), *RULES)
+    for _ in range(2):
+        names = [(r.name, share) for r, share, _ in ordered(df, rules)]
+        assert names[0][0] == "few_words" and abs(dict(names)["few_words"] - 1 / 9) < 1e-9
+        assert [n for n, share in names if share > 0][-1] == "dear"
+    assert [r.name for r, _, _ in ordered(df.limit(0), RULES)] and not quality_filter(df.limit(0)).collect()
+
+
 def test_length_buckets(spark, docs):
     rng = random.Random(1)
     for _ in range(40):
@@ -221,7 +302,7 @@ def test_length_buckets(spark, docs):
     assert not length_buckets(docs.limit(0)).collect()
 
 
-def test_token_pack(spark, docs):
+def test_token_pack(spark, docs, tmp_path):
     rng = random.Random(2)
     for _ in range(30):
         size = np.array([rng.randint(1, 20) for _ in range(rng.randint(1, 60))])
@@ -250,6 +331,10 @@ def test_token_pack(spark, docs):
             whole = sum((pieces[r.doc_id][k][0] for k in sorted(pieces[r.doc_id])), [])
             assert whole == encoding(VOCABULARY).encode_ordinary(r.text or "") + [50256]
     assert not token_pack(docs.limit(0)).collect()
+    packed = token_pack(docs, row_length=64, shard_bytes=4000)
+    write_packed(packed, f"{tmp_path}/packed")
+    back = spark.read.parquet(f"{tmp_path}/packed")
+    assert sorted(map(str, back.select(packed.columns).collect())) == sorted(map(str, packed.collect())) and not list(tmp_path.glob("packed/shard=*"))
 
 
 def test_lm_score(spark, docs):
@@ -395,11 +480,42 @@ def test_blocks():
     assert [t for r, t in got if r == ARTICLE] == ["T & t", "real world x y", "a", "b"]
     assert [t for r, t in got if r == NOISE] == ["Home", "buy", "c", "z"]
     assert blocks(None) == [] == blocks("") and blocks("<p>cut &amp") == [(1, "cut &")] and blocks("<article><p>a <a href='x") == [(ARTICLE, "a")]
+    # names count as whole tokens, or in compounds with known companions
+    for name, kept in (("social-studies", 1), ("article-header", 1), ("notice-board", 1), ("ad", 0), ("ad-2", 0), ("siteFooter", 0), ("cookie_notice", 0), ("x sidebar-left", 0), ("adverb", 1)):
+        assert [t for r, t in blocks(f"<article><p>a<div class='{name}'>b</div></article>") if r == ARTICLE] == ["a", "b"][: 1 + kept], name
+    assert [t for _, t in blocks("<table><tr><td>a<td>b<tr><td>c<table><tr><td>d</table>e</table><dl><dt>f<dd>g<dt>h</dl><ul><li>i<ul><li>j</ul>k<li>l</ul><p>m<p>n<b>o<div>p</div></b>q")] == [*"abcdefghijklm", "n o".replace(" ", ""), "p", "q"]
     tokens = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, -1, 20, 1, 2, 3, 4, 5, 6, 7, 8, 21, -2])
     assert repeated(tokens, np.array([0] * 10 + [1] * 11)).nonzero()[0].tolist() == [*range(8), *range(11, 19)]
     assert not repeated(tokens, np.zeros(21, int)).any()
 
 
+@pytest.mark.parametrize("page", ["<div>" * 400_000, "<b>" * 300_000 + "<hr>" * 200_000, "<li>" + "<table>" + "<div>" * 100_000 + "<li></li>" * 100_000, "<div><p>" * 150_000 + "</span>" * 100_000, "<b>" * 200_000 + "</b></p>" * 100_000])
+def test_deep_pages_take_linear_time(page):
+    began = time.perf_counter()
+    blocks(page + "end")
+    assert time.perf_counter() - began < 8
+
+
+def test_html_edges(spark):
+    schema = "page_id long, url string, html string, text string"
+    rows = [(None, "http://a/1", "<article>x</article>", "z"), (1, None, "<article>x &lt; y</article>", None), (1, "http://a/1", "<div>own text</div>", None), (1, "http://a/1", "<div>own text</div>", None)]
+    df = spark.createDataFrame(rows, schema)
+    assert sorted(str((r.page_id, r.text)) for r in html_text(df).collect()) == ["(1, 'own text')", "(1, 'own text')", "(1, 'x < y')", "(None, 'x')"]
+    assert sorted(r.text for r in html_text(df.limit(2)).collect()) == ["x", "x < y"] and not html_text(df.limit(0)).collect()
+
+
+def test_html_given_pages(spark):
+    """On given pages the text is that of the article's blocks, cut out by plain string handling."""
+    pages = parquet(spark, "pages", "/root/testdata/sf0.001").collect()
+    got = {r.page_id: r.text for r in html_text(parquet(spark, "pages", "/root/testdata/sf0.001")).collect()}
+    for r in pages:
+        body = re.search("<article>(.*)</article>", r.html, re.S)[1]
+        body = re.sub("<(?:div|section|aside)[^>]*class=.*?</(?:div|section|aside)>|<script.*?</script>|<!--.*?-->", "", body, flags=re.S)
+        parts = [html.unescape(re.sub("<[^>]*>", " " if "<br" in x else "", x.replace("<br>", " "))) for x in re.split("</?(?:p|h1|h2|h3|ul|li|ol|div|table|tr|td|blockquote|pre)\\b[^>]*>", body)]
+        assert got[r.page_id] == "\n\n".join(" ".join(x.split()) for x in parts if x.strip())
+    assert len(got) == len(pages)
+
+
 def test_html_text(spark):
     rng = random.Random(6)
     menu = "<div class=top>Start here to see all of our many fine pages</div>"
@@ -479,6 +595,18 @@ def test_pipeline(spark, tmp_path):
     assert sorted(str((r.doc_id, r.n_tokens)) for r in packed) == sorted(str((r.doc_id, len(words(r.text)))) for r in docs.collect())
 
 
+@pytest.mark.parametrize("part", ["documents", "benchmark"])
+def test_pipeline_of_an_empty_table(spark, tmp_path, part):
+    import corpus_pipeline as P
+
+    rows = [(k, prose(30 + k), "en", "s", 1) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    items = spark.createDataFrame([(1, "nothing of these")], "item_id long, text string")
+    (docs.limit(0) if part == "documents" else docs).write.parquet(f"{tmp_path}/documents.parquet")
+    (items.limit(0) if part == "benchmark" else items).write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert P.run(spark, str(tmp_path)).count() == (0 if part == "documents" else 5)
+
+
 def test_hash_of_kept_text(spark, docs):
     r = substring_dedup(docs).select("kept_text", F.sha2("kept_text", 256).alias("h")).first()
     assert r.h == hashlib.sha256(r.kept_text.encode()).hexdigest()

@@ -79,3 +79,19 @@ def test_selector_does_not_gather_an_iteration(spark):
     assert "FlatMapGroups" not in many._jdf.queryExecution().toString()
     means = [{(r.iteration, r.feature_name): r.m for r in d.groupBy("iteration", "feature_name").agg(F.avg("beta").alias("m")).collect()} for d in (one, many)]
     assert len(means[0]) == 6 and all(math.isclose(means[0][k], means[1][k], abs_tol=1e-9) for k in means[0])
+
+
+def test_intermediate_tables(spark, tmp_path, monkeypatch):
+    """They lie in the shared folder, and can be deleted; a cluster without such a folder is an error."""
+    from types import SimpleNamespace
+
+    from lociforge.llm import store
+
+    monkeypatch.setattr(store, "shared_folder", lambda _: f"file://{tmp_path}")
+    assert store.written(spark.range(3)).count() == 3 and list(tmp_path.glob("tables/*/*"))
+    store.clear_tables(spark)
+    assert not list(tmp_path.glob("tables/*/*"))
+    monkeypatch.undo()
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_folder(cluster)
