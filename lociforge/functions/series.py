@@ -1,7 +1,8 @@
 """Numeric operators over ordered series and columns: sums, gradients, smoothing, scaling, ranks, corrections.
 
 A series has a unique position column. Its windows go over all positions in one task: these are grids of at most some
-thousands of points that were aggregated before. With `by` each group is a series of its own.
+thousands of points that were aggregated before. With `by` each group is a series of its own. What runs over as many values
+as there may be rows (scores, p values, ranks) is dealt to ranges: each is summed, and shifted by the ranges before it.
 """
 
 from __future__ import annotations
@@ -73,14 +74,47 @@ def z_score(df: DataFrame, value: Column, into: str = "z") -> DataFrame:
     return t.withColumn(into, (value - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))).drop("_mean", "_sd")
 
 
+def ranged(df: DataFrame, value: str, into: str = "_part") -> DataFrame:
+    """Adds the number of a value's range, ranges being in order and about equally full; equal values share one."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n < 2:
+        return df.withColumn(into, F.lit(0))
+    cuts = df.agg(F.percentile_approx(value, [k / n for k in range(1, n)], 10_000).alias("_cuts"))
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
+    return df.crossJoin(F.broadcast(cuts)).withColumn(into, part).drop("_cuts")
+
+
+def running(df: DataFrame, order: str, into: dict[str, str], down: bool = False, least: bool = False) -> DataFrame:
+    """Adds running sums (or minima) of columns, {name: column}, from the smallest order value up, or from the largest down.
+
+    Order values are unique. No task sees more than a range of them; what goes to all is one row for each range.
+    """
+    f, step = (F.min if least else F.sum), (F.desc if down else F.asc)
+    r = ranged(df, order)
+    ahead = W.partitionBy(F.lit(0)).orderBy(step("_part")).rowsBetween(W.unboundedPreceding, -1)
+    totals = r.groupBy("_part").agg(*[f(c).alias(f"_t_{n}") for n, c in into.items()])
+    shifts = totals.select("_part", *[f(f"_t_{n}").over(ahead).alias(f"_s_{n}") for n in into])
+    inside = W.partitionBy("_part").orderBy(step(order)).rowsBetween(W.unboundedPreceding, 0)
+    both = lambda n, c: F.least(f(c).over(inside), f"_s_{n}") if least else f(c).over(inside) + F.coalesce(f"_s_{n}", F.lit(0))
+    return r.join(F.broadcast(shifts), "_part").select(*df.columns, *[both(n, c).alias(n) for n, c in into.items()])
+
+
+def global_rank(df: DataFrame, value: str, into: str) -> DataFrame:
+    """Adds the place of a row in the order of a value, from 1; equal values in any order."""
+    r = ranged(df, value)
+    sizes = r.groupBy("_part").agg(F.count("*").alias("_size"))
+    shifts = sizes.select("_part", F.coalesce(F.sum("_size").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(value))
+    return r.join(F.broadcast(shifts), "_part").select(*df.columns, (inside + F.col("_before")).alias(into))
+
+
 def average_rank(df: DataFrame, value: str, into: str) -> DataFrame:
     """Adds the rank of a value, ties sharing their mean rank.
 
     Ranks come from counted distinct values: the window runs over these, and the rows meet their rank in a join.
     """
-    counts = df.groupBy(value).count()
-    below = F.sum("count").over(_series((), value).rowsBetween(W.unboundedPreceding, 0)) - F.col("count")
-    return df.join(counts.select(value, (below + (F.col("count") + 1) / 2).alias(into)), value)
+    counts = running(df.where(F.col(value).isNotNull()).groupBy(value).count(), value, {"_upto": "count"})
+    return df.join(counts.select(value, (F.col("_upto") - F.col("count") + (F.col("count") + 1) / 2).alias(into)), value)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -90,11 +124,9 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def bh_adjust(df: DataFrame, p: str = "p") -> DataFrame:
     """Adds padj: p times n over rank, made monotone from the largest p down, 1 at most; null p stays null and is not counted."""
-    known = df.where(F.col(p).isNotNull()).groupBy(p).count()
-    w = _series((), p)
-    rank = F.sum("count").over(w.rowsBetween(W.unboundedPreceding, 0))
-    raw = with_totals(known.withColumn("_rank", rank), _n=F.sum("count")).withColumn("_q", F.col(p) * F.col("_n") / F.col("_rank"))
-    adjusted = raw.select(p, F.least(F.lit(1.0), F.min("_q").over(_series((), F.desc(p)).rowsBetween(W.unboundedPreceding, 0))).alias("padj"))
+    known = running(df.where(F.col(p).isNotNull()).groupBy(p).count(), p, {"_rank": "count"})
+    raw = with_totals(known, _n=F.sum("count")).select(p, (F.col(p) * F.col("_n") / F.col("_rank")).alias("_q"))
+    adjusted = running(raw, p, {"_least": "_q"}, down=True, least=True).select(p, F.least(F.lit(1.0), "_least").alias("padj"))
     return df.join(adjusted, p, "left")
 
 

@@ -59,18 +59,36 @@ def strata(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
     return out.withColumn("stratum", F.rtrim(F.concat_ws("_", *parts), F.lit("_"))).drop(*[f"{c}_edges" for c in numeric])
 
 
+def drawn(df: DataFrame, by: list[str], key: str, seed: int | str) -> DataFrame:
+    """Adds _n, a row's place in the seeded order of its group, and _size, the group's rows.
+
+    Digests are spread evenly, so the first two digits deal a group to 256 parts, which are numbered on their own and
+    shifted by the parts before: two labels do not mean two tasks.
+    """
+    order = draw_order(F.col(key), seed)
+    parts = df.withColumn("_d", order).withColumn("_part", F.substring("_d", 1, 2))
+    sizes = parts.groupBy(*by, "_part").agg(F.count("*").alias("_c"))
+    w = W.partitionBy(*by or (F.lit(0),))
+    before = F.coalesce(F.sum("_c").over(w.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    names = {c: f"_by{k}" for k, c in enumerate([*by, "_part"])}
+    sizes = sizes.select(*[F.col(c).alias(n) for c, n in names.items()], before.alias("_before"), F.sum("_c").over(w).alias("_size"))
+    on = F.lit(True)
+    for c, n in names.items():
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    inside = F.row_number().over(W.partitionBy(*by, "_part").orderBy("_d", key))
+    return parts.withColumn("_inside", inside).join(sizes, on).withColumn("_n", F.col("_inside") + F.col("_before")).drop("_d", "_part", "_inside", "_before", *names.values())
+
+
 def stratified_split(df: DataFrame, test_size: float, seed: int | str, key: str = "sample_id", stratum: str = "stratum") -> DataFrame:
     """Adds part, 'test' for round(n * test_size) of each stratum's n rows, 'train' for the rest."""
-    w = W.partitionBy(stratum)
-    rank = F.row_number().over(w.orderBy(draw_order(F.col(key), seed), key))
-    cut = F.round(F.count("*").over(w) * test_size)
-    return df.withColumn("part", F.when(rank <= cut, "test").otherwise("train"))
+    cut = F.round(F.col("_size") * test_size)
+    return drawn(df, [stratum], key, seed).withColumn("part", F.when(F.col("_n") <= cut, "test").otherwise("train")).drop("_n", "_size")
 
 
 def balance(df: DataFrame, label: str = "label", draws: str = "draw_count", key: str = "sample_id", within: tuple[str, ...] = ()) -> DataFrame:
     """As many rows of each label as the rarest label has, those drawn least often first; draws counts one more."""
     sizes = df.groupBy(*within, label).count().groupBy(*within).agg(F.min("count").alias("_least"))
-    joined = df.join(F.broadcast(sizes), list(within)) if within else df.crossJoin(F.broadcast(sizes))
+    joined = df.join(sizes, list(within)) if within else df.crossJoin(F.broadcast(sizes))
     rank = F.row_number().over(W.partitionBy(*within, label).orderBy(draws, key))
     return joined.withColumn("_n", rank).where("_n <= _least").withColumn(draws, F.col(draws) + 1).drop("_n", "_least")
 
@@ -78,8 +96,7 @@ def balance(df: DataFrame, label: str = "label", draws: str = "draw_count", key:
 def undersample(df: DataFrame, label: str, seed: int | str, key: str = "sample_id") -> DataFrame:
     """A random choice of the larger groups, as large as the smallest."""
     least = df.groupBy(label).count().agg(F.min("count").alias("_least"))
-    rank = F.row_number().over(W.partitionBy(label).orderBy(draw_order(F.col(key), seed), key))
-    return df.withColumn("_n", rank).crossJoin(F.broadcast(least)).where("_n <= _least").drop("_n", "_least")
+    return drawn(df, [label], key, seed).crossJoin(F.broadcast(least)).where("_n <= _least").drop("_n", "_size", "_least")
 
 
 def bootstrap(df: DataFrame, size: int, seed: int | str, stratum: str = "stratum", key: str = "sample_id") -> DataFrame:
@@ -96,7 +113,7 @@ def permuted_labels(df: DataFrame, seed: int | str, label: str = "label", key: s
     """Labels shuffled among the rows (of each group): the row that is n-th by id gets the label of the n-th in random order."""
     by = [group] if group else []
     own = df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(key)))
-    other = df.select(*by, F.col(label).alias("permuted"), F.row_number().over(W.partitionBy(*by).orderBy(draw_order(F.col(key), seed), key)).alias("_n"))
+    other = drawn(df, by, key, seed).select(*by, F.col(label).alias("permuted"), "_n")
     return own.join(other, [*by, "_n"]).drop("_n")
 
 
@@ -106,18 +123,48 @@ def folds(df: DataFrame, n: int, seed: int | str, key: str = "sample_id") -> Dat
     return df.withColumn("fold", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n).cast("int"))
 
 
+def _containing(long: DataFrame, a: str, short: DataFrame, b: str) -> DataFrame:
+    """Pairs (a, b) of which a contains b: the substrings of a that are as long as any b, which meet the b in an equal join.
+
+    Lengths of ids are few, whatever the number of ids; they travel as one row.
+    """
+    sizes = short.agg(F.collect_set(F.length(b)).alias("_sizes"))
+    text = F.col(a)
+    cuts = F.transform("_sizes", lambda n: F.when(n <= F.length(text), F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda k: F.substr(text, k, n))).otherwise(F.array().cast("array<string>")))
+    parts = long.crossJoin(F.broadcast(sizes)).select(a, F.explode(F.array_distinct(F.flatten(cuts))).alias("_part"))
+    return parts.join(short, F.col("_part") == F.col(b)).select(a, b)
+
+
 def map_ids(left: DataFrame, right: DataFrame, a: str = "sample_id", b: str = "genotype_id") -> DataFrame:
     """(a, b): for each a an equal b; failing that the smallest b that contains a or is contained in it; else no row.
 
-    Equal ids meet in a hash join. Only the rest is compared by content, and against the distinct ids alone.
+    Equal ids meet in a hash join; the rest is compared by content, against the distinct ids. Null and empty ids match nothing
+    by content.
     """
-    ids, others = left.select(a).distinct(), right.select(b).distinct()
+    ids, others = left.select(a).where(F.col(a).isNotNull()).distinct(), right.select(b).where(F.col(b).isNotNull()).distinct()
     same = ids.join(others, F.col(a) == F.col(b))
-    rest = ids.join(others, F.col(a) == F.col(b), "left_anti")
-    alike = rest.join(others, F.col(a).contains(F.col(b)) | F.col(b).contains(F.col(a))).groupBy(a).agg(F.min(b).alias(b))
+    rest, known = ids.join(others, F.col(a) == F.col(b), "left_anti").where(F.length(a) > 0), others.where(F.length(b) > 0)
+    alike = _containing(rest, a, known, b).unionByName(_containing(known, b, rest, a)).groupBy(a).agg(F.min(b).alias(b))
     return same.unionByName(alike)
 
 
+def reverse_lookup(wanted: DataFrame, tables: list[DataFrame], value: str, key: str) -> DataFrame:
+    """For each wanted value the smallest key that has it in the first table in which any has; null if none has."""
+    return first_match(wanted, [t.groupBy(value).agg(F.min(key).alias(key)) for t in tables], value)
+
+
+def required_lookup(df: DataFrame, ids: DataFrame, key: str, position: str = "position") -> DataFrame:
+    """Rows of df for the listed ids in the order of the list; a job fails at the first id that df lacks."""
+    found = ids.join(df.withColumn("_there", F.lit(True)), key, "left")
+    lacks = F.raise_error(F.concat(F.lit("no row of "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return found.withColumn(position, F.when(F.col("_there"), F.col(position)).otherwise(lacks)).drop("_there").orderBy(position)
+
+
+def with_first_table(summary: DataFrame, rows: DataFrame, key: str = "sample_id", table: str = "table", order: str = "run_id") -> DataFrame:
+    """Summaries of samples with the table that a sample's first row names; samples without rows are left out."""
+    return summary.join(rows.groupBy(key).agg(F.min_by(table, order).alias(table)), key)
+
+
 def ordered_lookup(df: DataFrame, ids: DataFrame, key: str, position: str = "position") -> DataFrame:
     """Rows of df for the listed ids, with their place in the list; an id that df lacks keeps its place with nulls."""
     return ids.join(df, key, "left")

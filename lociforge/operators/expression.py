@@ -66,7 +66,7 @@ def differential_expression(counts: DataFrame, factors: DataFrame, groups: DataF
     """
     from lociforge.functions.series import bh_adjust
 
-    x = counts.join(factors, sample).join(F.broadcast(groups), sample).withColumn("_q", F.col(count) / F.col("size_factor"))
+    x = counts.join(factors, sample).join(groups, sample).withColumn("_q", F.col(count) / F.col("size_factor"))
     s = x.groupBy(gene, group).agg(F.sum(count).alias("y"), F.sum("size_factor").alias("s"), F.sum("_q").alias("q"), F.sum(F.col("_q") * F.col("_q")).alias("qq"), F.sum(1 / F.col("size_factor")).alias("i"), F.count("*").alias("n"))
     side = lambda g, c: F.max(F.when(F.col(group) == g, F.col(c))).cast("double")
     w = s.groupBy(gene).agg(*[side(g, c).alias(f"{c}{g}") for g in (0, 1) for c in ("y", "s", "q", "qq", "i", "n")])
@@ -83,11 +83,15 @@ def differential_expression(counts: DataFrame, factors: DataFrame, groups: DataF
     return w.select(gene).join(bh_adjust(good), gene, "left")
 
 
+#: Coefficients of the fit below, highest power first (fixed values).
+ERFC = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
+
+
 def _two_sided(z: Column) -> Column:
     """Probability of a standard normal value at least z from 0; relative error below 2e-7 (a rational Chebyshev fit of erfc)."""
     t = 1 / (1 + 0.5 * z / math.sqrt(2))
     poly = F.lit(0.0)
-    for a in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+    for a in ERFC:
         poly = poly * t + a
     return t * F.exp(poly - z * z / 2)
 
@@ -155,6 +159,13 @@ def principal_components(df: DataFrame, k: int = 10, features: str = "features")
     return PCA(k=k, inputCol=features, outputCol="pca").fit(df).transform(df)
 
 
+def mean_threshold_selection(train: DataFrame, names: list[str], model: str = "elastic_net") -> list[str]:
+    """Fits a model of the stack on (label, features) and keeps the features whose absolute importance reaches the mean."""
+    from lociforge.operators.models import fit, importances
+
+    return above_mean_features(importances(fit(train, model), names) or [])
+
+
 def above_mean_features(importances: list[tuple[str, float]]) -> list[str]:
     """Features whose absolute importance reaches the mean of all."""
     size = [abs(v) for _, v in importances]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lociforge.functions.series import running, with_totals
+
 #: Probabilities are kept this far from 0 and 1 in logarithms (a fixed value).
 EPSILON = 1e-15
 
@@ -68,14 +70,17 @@ def score_counts(df: DataFrame, label: str = "label", p: str = "y_pred", by: tup
 
 
 def cumulative(df: DataFrame, label: str = "label", p: str = "y_pred", by: tuple[str, ...] = ()) -> DataFrame:
-    """tps and fps at each distinct score, from the highest down, and the totals.
+    """pos and neg at each distinct score, their sums tps and fps from the highest score down, and the totals.
 
-    The window runs over distinct scores; for a continuous score of very many rows, round it first.
+    Scores are summed in ranges, so continuous ones may be as many as rows. With `by`, each group's are in one task.
     """
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    counts = score_counts(df, label, p, by)
+    if not by:
+        return with_totals(running(counts, "threshold", {"tps": "pos", "fps": "neg"}, down=True), n_pos=F.sum("pos"), n_neg=F.sum("neg"))
+    w = W.partitionBy(*by)
     down = w.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
     s = F.sum
-    return score_counts(df, label, p, by).select(*by, "threshold", s("pos").over(down).alias("tps"), s("neg").over(down).alias("fps"), s("pos").over(w).alias("n_pos"), s("neg").over(w).alias("n_neg"))
+    return counts.select("*", s("pos").over(down).alias("tps"), s("neg").over(down).alias("fps"), s("pos").over(w).alias("n_pos"), s("neg").over(w).alias("n_neg"))
 
 
 def roc_curve(df: DataFrame, **names) -> DataFrame:
@@ -84,11 +89,9 @@ def roc_curve(df: DataFrame, **names) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, **names) -> DataFrame:
-    """Area under the curve, by trapezoids from (0, 0)."""
-    w = W.partitionBy(F.lit(0)).orderBy(F.desc("threshold"))
-    c = roc_curve(df, **names)
-    x0, y0 = F.lag("fpr", 1, 0.0).over(w), F.lag("tpr", 1, 0.0).over(w)
-    return c.select(((F.col("fpr") - x0) * (F.col("tpr") + y0) / 2).alias("a")).agg(F.sum("a").alias("auc"))
+    """Area under the curve, by trapezoids from (0, 0): a score's step is its own cases and controls."""
+    area = F.col("neg") * (2 * F.col("tps") - F.col("pos")) / (2 * F.col("n_neg") * F.col("n_pos"))
+    return cumulative(df, **names).agg(F.sum(area).alias("auc"))
 
 
 def pr_curve(df: DataFrame, **names) -> DataFrame:
@@ -98,9 +101,7 @@ def pr_curve(df: DataFrame, **names) -> DataFrame:
 
 def average_precision(df: DataFrame, **names) -> DataFrame:
     """Sum over scores of the gain in recall times the precision."""
-    w = W.partitionBy(F.lit(0)).orderBy(F.desc("threshold"))
-    c = pr_curve(df, **names)
-    return c.select(((F.col("recall") - F.lag("recall", 1, 0.0).over(w)) * F.col("precision")).alias("a")).agg(F.sum("a").alias("ap"))
+    return cumulative(df, **names).agg(F.sum(F.col("pos") / F.col("n_pos") * F.col("tps") / (F.col("tps") + F.col("fps"))).alias("ap"))
 
 
 def mean_roc(df: DataFrame, run: str = "run_id", points: int = 100) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociforge.functions.series import gradient, reverse_cumsum, smooth, with_totals
+from lociforge.functions.series import global_rank, gradient, reverse_cumsum, smooth, with_totals
 
 
 def effect_sizes(draws: DataFrame, feature: str = "feature_name", beta: str = "beta") -> DataFrame:
@@ -21,14 +21,14 @@ def effect_sizes(draws: DataFrame, feature: str = "feature_name", beta: str = "b
 def adaptive_kde(points: DataFrame, value: str = "x", neighbours: int = 10, grid: int = 1000) -> DataFrame:
     """Density (k, x, density) on an even grid: mean of normal densities whose deviation is the distance to a point's 10th neighbour, itself the first.
 
-    The neighbours of a point in one dimension are among the nine before and after it in order, so no pair join is needed for
-    them; the grid, which is small, is broadcast. Points are features: thousands, not rows.
+    The neighbours of a point in one dimension are among the nine before and after it in order, which meet it in a join on
+    their places; the grid, which is small, is broadcast.
     """
-    w = W.partitionBy(F.lit(0)).orderBy("_v")
-    p = points.select(F.col(value).alias("_v")).where("_v is not null")
-    around = F.array(*[f("_v", k).over(w) for k in range(1, neighbours) for f in (F.lag, F.lead)])
-    distances = F.array_sort(F.filter(F.transform(around, lambda y: F.abs(y - F.col("_v"))), lambda d: d.isNotNull()))
-    p = p.withColumn("_d", around).select("_v", F.get(distances, F.lit(neighbours - 2)).alias("_h"))
+    places = global_rank(points.select(F.col(value).cast("double").alias("_v")).where("_v is not null"), "_v", "_r")
+    offsets = F.explode(F.array(*[F.lit(k) for k in range(1 - neighbours, neighbours) if k]))
+    far = places.select("_r", "_v", offsets.alias("_k")).select((F.col("_r") + F.col("_k")).alias("_r"), F.col("_v").alias("_w"))
+    around = places.join(far, "_r", "left").groupBy("_r", "_v").agg(F.sort_array(F.collect_list(F.abs(F.col("_w") - F.col("_v")))).alias("_d"))
+    p = around.select("_v", F.get("_d", F.lit(neighbours - 2)).alias("_h"))
     t = with_totals(p, _low=F.min("_v"), _high=F.max("_v"), _n=F.count("*"))
     grid_points = t.select("_low", "_high").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k"), "_low", "_high").select("k", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("k") / (grid - 1)).alias("x"))
     z = (F.col("x") - F.col("_v")) / F.col("_h")

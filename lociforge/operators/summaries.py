@@ -51,6 +51,34 @@ def feature_importance(df: DataFrame, value: str = "importance", by: tuple[str,
     return df.groupBy(*by).agg(F.avg(value).alias("importance_mean"), F.stddev_samp(value).alias("importance_std"))
 
 
+def class_importances(df: DataFrame, value: str = "importance", by: tuple[str, ...] = ("model_name", "feature_name")) -> DataFrame:
+    """Mean and deviation of importances, and of every class_... column, by model and feature; a class column without values gives nulls."""
+    names = {value: "importance", **{c: c for c in df.columns if c.startswith("class_")}}
+    return df.groupBy(*by).agg(*[f(c).alias(f"{n}_{k}") for c, n in names.items() for k, f in (("mean", F.avg), ("std", F.stddev_samp))])
+
+
+def outer_importances(df: DataFrame, by: tuple[str, ...] = ("model_name", "feature_name")) -> DataFrame:
+    """Over outer iterations: means of all ..._mean columns, root mean squares of the ..._std columns beside them."""
+    names = [c[:-5] for c in df.columns if c.endswith("_mean") and f"{c[:-5]}_std" in df.columns]
+    return df.groupBy(*by).agg(*[x for n in names for x in (F.avg(f"{n}_mean").alias(f"{n}_mean"), rms(F.col(f"{n}_std")).alias(f"{n}_std"))])
+
+
+def base_metric(column: str) -> str:
+    """What a column of sample metrics is about: its name before the first _ (log_loss is about log)."""
+    return column.split("_")[0]
+
+
+def overall_metrics(df: DataFrame, kept: tuple[str, ...] = ("sample_id", "label", "run_id", "total_draw_count")) -> DataFrame:
+    """Adds, for each base metric that has columns of several models and none of its own, the row's mean over these."""
+    from lociforge.functions.frames import row_mean
+
+    groups: dict[str, list[str]] = {}
+    for c in df.columns:
+        if c not in kept and not c.endswith("_std"):
+            groups.setdefault(base_metric(c), []).append(c)
+    return df.withColumns({b: row_mean(*cs) for b, cs in groups.items() if len(cs) > 1 and b not in df.columns})
+
+
 def all_models(by_model: DataFrame, feature: str = "feature_name") -> DataFrame:
     """Importances over all models: mean of means, root mean square of deviations, both divided by the sum of the means.
 
@@ -111,14 +139,3 @@ def complete_runs(runs: DataFrame, artifacts: DataFrame, required: list[str]) ->
     have = artifacts.where(F.col("artifact").isin(required)).groupBy("run_id").agg(F.count_distinct("artifact").alias("n")).where(F.col("n") == len(required))
     return runs.where(F.size("metrics") > 0).join(have, "run_id", "left_semi")
 
-
-def run_filter(types: list[str] | None = None, prefix: str | None = None, exclude: list[str] | None = None) -> Column:
-    """One predicate over runs (run_type, run_name), its parts joined by and."""
-    keep = F.lit(True)
-    if types:
-        keep = keep & F.col("run_type").isin(types)
-    if prefix:
-        keep = keep & F.col("run_name").startswith(prefix)
-    if exclude:
-        keep = keep & ~F.col("run_type").isin(exclude)
-    return keep

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociforge.functions.genotype import CONTIG_PATTERN, variant_id
+from lociforge.functions.genotype import CONTIG_PATTERN, is_snp, variant_id
 
 VARIANT = ("contig", "pos")
 
@@ -22,10 +22,14 @@ def variant_stats(entries: DataFrame, gt: str = "gt", copies: int = 2, key: tupl
     )
 
 
-def qc_condition(min_maf: float = 0.005, max_maf: float = 1.0, contigs: str = CONTIG_PATTERN, allow_missing: bool = False) -> Column:
-    """One conjunction over the columns of variant_stats: variable, on a wanted contig, frequent enough, complete."""
+def qc_condition(min_maf: float = 0.005, max_maf: float = 1.0, contigs: str = CONTIG_PATTERN, allow_missing: bool = False, alleles: str | None = None) -> Column:
+    """One conjunction over the columns of variant_stats: variable, on a wanted contig, frequent enough, complete, and,
+    where alleles names a column of them, of single bases.
+    """
     maf = F.col("maf")
     keep = (maf > 0) & (maf < 1) & F.col("contig").rlike(contigs) & maf.between(min_maf, max_maf)
+    if alleles:
+        keep = keep & is_snp(F.col(alleles))
     return keep if allow_missing else keep & ~F.col("has_missing")
 
 

@@ -101,12 +101,12 @@ def random_gene_per_pathway(t: Tables) -> DataFrame:
     return t.supplier.join(F.broadcast(sets), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.min_by("s_name", F.struct(C.draw_order(F.col("s_name"), 9), "s_name")).alias("s_name"))
 
 
-@query("""WITH a AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'x-' || c_custkey || '-y' END AS sample_id FROM customer WHERE c_custkey <= 300),
-  b AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE CAST(c_custkey AS VARCHAR) END AS genotype_id FROM customer WHERE c_custkey <= 300),
+@query("""WITH a AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'x-' || c_custkey || '-y' END AS sample_id FROM customer),
+  b AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE CAST(c_custkey AS VARCHAR) END AS genotype_id FROM customer),
   eq AS (SELECT sample_id, genotype_id FROM a JOIN b ON sample_id = genotype_id), rest AS (SELECT * FROM a WHERE sample_id NOT IN (SELECT genotype_id FROM b))
   SELECT * FROM eq UNION ALL SELECT sample_id, min(genotype_id) FROM rest JOIN b ON contains(sample_id, genotype_id) OR contains(genotype_id, sample_id) GROUP BY sample_id""")
 def id_mapping_fuzzy(t: Tables) -> DataFrame:
-    c = t.customer.where("c_custkey <= 300")
+    c = t.customer
     a = c.select(F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.concat(F.lit("x-"), F.col("c_custkey").cast("string"), F.lit("-y"))).alias("sample_id"))
     b = c.select(F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.col("c_custkey").cast("string")).alias("genotype_id"))
     return C.map_ids(a, b)
@@ -146,10 +146,14 @@ def missing_samples(t: Tables) -> DataFrame:
     return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("""SELECT (o_orderkey * 7) % 1000 AS position, o_custkey AS c_custkey, c_name, c_acctbal FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) c ON o_custkey = c_custkey WHERE o_orderkey < 500""")
+_WANTED = "CASE WHEN o_custkey % 2 = 0 THEN o_custkey ELSE -o_custkey END"
+
+
+@query(f"""SELECT o_orderkey AS position, {_WANTED} AS c_custkey, c_name, c_acctbal FROM orders LEFT JOIN customer ON {_WANTED} = c_custkey""")
 def ordered_lookup(t: Tables) -> DataFrame:
-    ids = t.orders.where("o_orderkey < 500").select(((F.col("o_orderkey") * 7) % 1000).alias("position"), F.col("o_custkey").alias("c_custkey"))
-    return C.ordered_lookup(t.customer.where("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_acctbal"), ids, "c_custkey")
+    """Ids that the table lacks are negative ones."""
+    ids = t.orders.select(F.col("o_orderkey").alias("position"), F.expr(_WANTED).alias("c_custkey"))
+    return C.ordered_lookup(t.customer.select("c_custkey", "c_name", "c_acctbal"), ids, "c_custkey")
 
 
 @query("""WITH a AS (SELECT c_nationkey AS k, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer),
@@ -159,11 +163,12 @@ def one_to_one_match(t: Tables) -> DataFrame:
     return C.one_to_one(a, b, "k", "c_custkey", "s_suppkey")
 
 
-@query("""WITH a AS (SELECT c_nationkey AS k, round(sum(c_acctbal), 2) AS a FROM customer WHERE c_nationkey < 15 GROUP BY 1), b AS (SELECT s_nationkey AS k, round(sum(s_acctbal), 2) AS b FROM supplier WHERE s_nationkey > 5 GROUP BY 1)
+@query("""WITH a AS (SELECT c_nationkey AS k, round(sum(c_acctbal), 2) AS a FROM customer GROUP BY 1), b AS (SELECT s_nationkey + 5 AS k, round(sum(s_acctbal), 2) AS b FROM supplier GROUP BY 1)
   SELECT coalesce(a.k, b.k) AS k, a, b FROM a FULL JOIN b ON a.k = b.k""")
 def full_outer_align(t: Tables) -> DataFrame:
-    a = t.customer.where("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("k")).agg(F.round(F.sum("c_acctbal"), 2).alias("a"))
-    b = t.supplier.where("s_nationkey > 5").groupBy(F.col("s_nationkey").alias("k")).agg(F.round(F.sum("s_acctbal"), 2).alias("b"))
+    """Keys of the right side are shifted, so that either side has keys of its own."""
+    a = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.round(F.sum("c_acctbal"), 2).alias("a"))
+    b = t.supplier.groupBy((F.col("s_nationkey") + 5).alias("k")).agg(F.round(F.sum("s_acctbal"), 2).alias("b"))
     return a.join(b, "k", "full")
 
 

@@ -90,11 +90,11 @@ def histogram_density(t: Tables) -> DataFrame:
     return _rounded(N.histogram(t.events, "value", 50))
 
 
-_EFFECT = "eff AS (SELECT l_partkey AS feature_name, avg(l_extendedprice - 30000) AS m, stddev_pop(l_extendedprice - 30000) AS s FROM lineitem WHERE l_partkey <= 200 GROUP BY 1), ef AS (SELECT feature_name, abs(m / CASE WHEN s = 0 THEN 2.220446049250313e-16 ELSE s END) AS x FROM eff)"
+_EFFECT = "eff AS (SELECT l_partkey AS feature_name, avg(l_extendedprice - 30000) AS m, stddev_pop(l_extendedprice - 30000) AS s FROM lineitem GROUP BY 1), ef AS (SELECT feature_name, abs(m / CASE WHEN s = 0 THEN 2.220446049250313e-16 ELSE s END) AS x FROM eff)"
 
 
 def _effects(t: Tables) -> DataFrame:
-    draws = t.lineitem.where("l_partkey <= 200").select(F.col("l_partkey").alias("feature_name"), (F.col("l_extendedprice") - 30000).alias("beta"))
+    draws = t.lineitem.select(F.col("l_partkey").alias("feature_name"), (F.col("l_extendedprice") - 30000).alias("beta"))
     return L.effect_sizes(draws)
 
 
@@ -104,7 +104,8 @@ def topk_effect_features(t: Tables) -> DataFrame:
     return _rounded(L.select_features(_effects(t), cut, 25).select("feature_name", "effect_size"))
 
 
-_KDE = f"""{_EFFECT}, d AS (SELECT a.feature_name, a.x, abs(a.x - b.x) AS d FROM ef a, ef b), h AS (SELECT feature_name, x, d AS h FROM d QUALIFY row_number() OVER (PARTITION BY feature_name ORDER BY d) = 10),
+_KDE = f"""{_EFFECT}, d AS (SELECT x, [{", ".join(f"abs({f}(x, {k}) OVER o - x)" for k in range(1, 10) for f in ("lag", "lead"))}] AS d FROM ef WINDOW o AS (ORDER BY x)),
+  h AS (SELECT x, list_sort(list_filter(d, lambda v: v IS NOT NULL))[9] AS h FROM d),
   m AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n FROM ef), g AS (SELECT CAST(k AS INTEGER) AS k, lo + (hi - lo) * k / 199 AS gx, n FROM range(200) AS r(k), m),
   kde AS (SELECT k, gx, sum(exp(-0.5 * ((gx - x) / h) ** 2) / (h * sqrt(2 * pi()))) / n AS density FROM g, h GROUP BY k, gx, n)"""
 
@@ -185,11 +186,20 @@ _DE = f"""{_COUNTS}, gm AS (SELECT gene_id, avg(ln(c)) AS lg FROM cn WHERE c > 0
   d AS (SELECT *, greatest(1e-8, (v - base * mi) / (base * base)) AS alpha FROM w)"""
 
 
-@query(f"WITH {_DE} SELECT gene_id, round(base, 6) AS base_mean, round(ln((y1 / s1) / (y0 / s0)) / ln(2), 6) AS log2_fold_change, round(sqrt(1 / y0 + 1 / y1 + alpha * (1 / n0 + 1 / n1)) / ln(2), 6) AS se FROM d")
+#: The fitted erfc of X.differential_expression, in SQL.
+_POLY = "0"
+for _a in X.ERFC:
+    _POLY = f"(({_POLY}) * t + {_a})"
+_P_VALUES = f"""r AS (SELECT gene_id, base, ln((y1 / s1) / (y0 / s0)) / ln(2) AS lfc, sqrt(1 / y0 + 1 / y1 + alpha * (1 / n0 + 1 / n1)) / ln(2) AS se FROM d),
+  z AS (SELECT *, abs(lfc / se) AS z, 1 / (1 + 0.5 * abs(lfc / se) / sqrt(2)) AS t FROM r), p AS (SELECT *, t * exp({_POLY} - z * z / 2) AS p FROM z),
+  q AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS q FROM p)"""
+
+
+@query(f"WITH {_DE}, {_P_VALUES} SELECT gene_id, round(base, 6) AS base_mean, round(lfc, 6) AS log2_fold_change, round(se, 6) AS se, round(p, 6) AS p, round(least(1, min(q) OVER (ORDER BY p DESC)), 6) AS padj FROM q")
 def differential_expression(t: Tables) -> DataFrame:
     counts = t.lineitem.groupBy((F.col("l_partkey") % 50).alias("gene_id"), (F.col("l_suppkey") % 10).alias("sample_id")).agg(F.sum("l_quantity").cast("bigint").alias("count"))
     groups = t.spark.range(10).select(F.col("id").alias("sample_id"), (F.col("id") % 2).alias("group"))
-    return _rounded(X.differential_expression(counts, X.size_factors(counts), groups).select("gene_id", "base_mean", "log2_fold_change", "se"))
+    return _rounded(X.differential_expression(counts, X.size_factors(counts), groups).select("gene_id", "base_mean", "log2_fold_change", "se", "p", "padj"))
 
 
 @query("""WITH preds AS (SELECT doc_id AS sample_id, quality AS label, CASE WHEN n_chars / (n_chars + 3000.0) > 0.5 THEN 1 ELSE 0 END AS h FROM labels JOIN documents USING (doc_id)), r AS (SELECT CAST(k AS INTEGER) AS run FROM range(21) AS r(k)),

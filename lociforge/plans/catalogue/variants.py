@@ -86,12 +86,14 @@ def snp_allele_filter(t: Tables) -> DataFrame:
     return t.part.where(G.is_snp(alleles)).select("p_partkey")
 
 
-@query("""SELECT p_partkey, p_name, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'chr' || p_partkey % 22 END AS contig, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_partkey AS INTEGER) END AS pos
-  FROM part WHERE p_partkey % 4 <> 1""")
+@query("""SELECT p_partkey, p_name, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'chrUn' ELSE 'chr' || p_partkey % 22 END AS contig, CASE WHEN p_partkey % 4 < 2 THEN NULL ELSE CAST(p_partkey AS INTEGER) END AS pos
+  FROM part""")
 def variant_id_parse(t: Tables) -> DataFrame:
-    name = F.when(F.col("p_partkey") % 4 == 0, F.lit(None).cast("string")).otherwise(G.variant_id(F.concat(F.lit("chr"), (F.col("p_partkey") % 22).cast("string")), F.col("p_partkey")))
+    """A quarter of the names are null, a quarter have no position."""
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 0, F.lit(None).cast("string")).when(k % 4 == 1, "chrUn").otherwise(G.variant_id(F.concat(F.lit("chr"), (k % 22).cast("string")), k))
     c, p = G.parse_variant_id(name)
-    return t.part.where("p_partkey % 4 <> 1").select("p_partkey", "p_name", F.concat(F.lit("chr"), c).alias("contig"), p.alias("pos"))
+    return t.part.select("p_partkey", "p_name", F.concat(F.lit("chr"), c).alias("contig"), p.alias("pos"))
 
 
 _POINTS = f"points AS (SELECT {contig_sql('p_partkey')} AS contig, p_partkey AS pos FROM part)"
