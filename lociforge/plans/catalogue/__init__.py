@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("variants", "cohorts", "summaries", "scores", "numerics", "learning", "files")
+MODULES = ("variants", "cohorts", "summaries", "scores", "numerics", "learning", "files", "frames", "studies")
 
 
 class Tables:
