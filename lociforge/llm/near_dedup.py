@@ -236,15 +236,14 @@ def links(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFra
     # buckets with the same members are looked through once
     kinds = members.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("head"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x")).groupBy("n", "head", "x").agg(F.min("band").alias("band")).select("band")
     now = members.join(kinds, "band").join(comp, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    mixed = now.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    now = now.join(mixed, "band").join(reps.select("id", "signature"), "id")
-    blocks = _in_pairs(now, "band").select("band", "i", "j", "part", "id", "component", "signature")
-    close = written(blocks.groupBy("band", "i", "j").applyInArrow(_candidates, "id bigint, component bigint, other bigint").distinct())
+    # blocks of one bucket are spread anew, not left where the bucket was
+    blocks = _in_pairs(now, "band").select("band", "i", "j", "part", "id", "component").join(reps.select("id", "signature"), "id")
+    close = written(blocks.repartition("band", "i", "j").groupBy("band", "i", "j").applyInArrow(_candidates, "id bigint, component bigint, other bigint").distinct())
     clusters = components(close.select(F.col("component").alias("a"), F.col("other").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
     near = written(close.select("id", "component").distinct().join(clusters, "component"))
     sets = texts.join(near.select("id").distinct(), "id", "left_semi").mapInArrow(_shingler(size), "id bigint, shingles binary")
     blocks = _in_pairs(near, "cluster").select("cluster", "i", "j", "part", "id", "component").join(sets, "id")
-    more = written(blocks.groupBy("cluster", "i", "j").applyInArrow(_merging(percent), "a bigint, b bigint"))
+    more = written(blocks.repartition("cluster", "i", "j").groupBy("cluster", "i", "j").applyInArrow(_merging(percent), "a bigint, b bigint"))
     return written(components(edges.unionByName(more))) if more.limit(1).count() else comp
 
 
