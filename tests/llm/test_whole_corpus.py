@@ -95,3 +95,19 @@ def test_intermediate_tables(spark, tmp_path, monkeypatch):
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         store.shared_folder(cluster)
+
+
+def test_blocks_of_a_bucket_meet(spark, monkeypatch):
+    """Each member that stands apart meets all others; those of the largest component do not meet each other."""
+    from lociforge.llm import near_dedup as N
+
+    members = spark.createDataFrame([(7, k, int(k < 30)) for k in range(40)], "band long, id long, component long")
+    monkeypatch.setattr(N, "BLOCK", 4)
+    blocks = N._in_pairs(members, "band")
+    pairs = {}
+    for r in blocks.collect():
+        pairs.setdefault((r.i, r.j), []).append(r)
+    met = {(a.id, b.id) for (i, j), rows in pairs.items() for a in rows if a.part == i for b in rows if b.part == j}
+    assert all((a, b) in met or (b, a) in met for a in range(30, 40) for b in range(30))
+    parts = {r.id: r.part for r in blocks.collect()}
+    assert not any(parts[a] != parts[b] for a, b in met if a < 30 and b < 30)
