@@ -2,8 +2,9 @@
 
 Each document is the set of its five-word shingles. Under every permutation both the smallest and the largest
 value are kept, so 64 hash evaluations give a signature of 128. Bands of four values make 32 keys; two sets
-with a similarity of 0.75 share none with a probability of 5e-6 if they are large (on sets of few shingles minimum and maximum
-depend on each other: 1e-4 for 3 of 4 shingles).
+with a similarity of 0.75 share none with a probability of 5e-6 if they are large, and of less than 1e-5 if one has FEW
+shingles. On smaller sets minimum and maximum depend on each other, so these have keys of another kind besides, by which
+no link between them is missed: their rarest shingles, as many as any two similar sets must have one in common of.
 
 1. Documents with equal shingle sets are one class, stood for by its smallest id. Only classes are compared.
 2. In each bucket (classes with an equal band key) every class is paired with the bucket's smallest one: as many
@@ -31,14 +32,16 @@ from lociforge.llm.words import Words, blobs, bytes_of, chunks, grams, unblob
 PERMUTATIONS, BAND = 64, 4
 #: Members of a bucket whose signatures one task compares with another such block.
 BLOCK = 512
-#: Least share of equal signature values of a pair worth confirming; at a similarity of 0.75 it is 5 deviations away.
-LEAST_EQUAL = 0.55
+#: Sets of fewer shingles are linked by the shingles themselves, too.
+FEW = 20
+#: How many deviations below its similarity the share of equal signature values of a pair may lie.
+DEVIATIONS = 5.25
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MULT = (_RNG.integers(0, 1 << 32, PERMUTATIONS, np.uint64) | np.uint64(1)).astype(np.uint32)
 _FLIP = _RNG.integers(0, 1 << 32, PERMUTATIONS, np.uint64).astype(np.uint32)
 _MIX = _RNG.integers(0, 1 << 63, 2 * PERMUTATIONS, np.uint64) | np.uint64(1)
 
-SIGNED = "id bigint, n_shingles bigint, class binary, bands array<bigint>, signature binary"
+SIGNED = "id bigint, n_shingles bigint, class binary, bands array<bigint>, signature binary, few array<bigint>"
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -73,7 +76,15 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _signer(size: int):
+def least_equal(percent: int, values: int = 2 * PERMUTATIONS) -> int:
+    """Equal signature values that a pair worth confirming has at least."""
+    p = percent / 100
+    return max(0, int(values * p - DEVIATIONS * (values * p * (1 - p)) ** 0.5))
+
+
+def _signer(size: int, percent: int):
+    most = 100 * (FEW - 1) // percent  # shingles of a set that can be similar to one of fewer than FEW
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             sets = list(shingle_sets(batch.column("text"), size))
@@ -90,8 +101,9 @@ def _signer(size: int):
                     pa.array([hashlib.blake2b(sets[k], digest_size=16).digest() for k in full], pa.binary()),
                     pa.ListArray.from_arrays(np.arange(len(full) + 1, dtype=np.int32) * keys.shape[1], keys.astype(np.int64).ravel()),
                     pa.array([r.tobytes() for r in sig], pa.binary()),
+                    pa.array([sets[k].astype(np.int64) if len(sets[k]) <= most else None for k in full], pa.list_(pa.int64())),
                 ],
-                ["id", "n_shingles", "class", "bands", "signature"],
+                ["id", "n_shingles", "class", "bands", "signature", "few"],
             )
 
     return sign
@@ -153,32 +165,37 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     return np.flatnonzero(part == i), np.flatnonzero(part == j), i == j
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """The members of two blocks whose signature is close to that of a member of another component.
+def _close(percent: int):
+    least = least_equal(percent)
 
-    Rows (id, component, other): other components to which close pairs lead, as few as connect what they connect;
-    a member without such a row has one with its own component.
-    """
-    table = table.combine_chunks()
-    ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
-    sig = np.frombuffer(bytes_of(table.column("signature"))[0].tobytes(), np.uint32).reshape(len(comp), -1)
-    left, right, _ = _sides(table)
-    seen, group, rows = np.zeros(len(comp), bool), comp.copy(), []
-    others, of = sig[right], comp[right]
-    for x in left if len(right) else ():
-        far = of != comp[x]
-        if not far.any():
-            continue
-        close = far & ((others == sig[x]).sum(1) >= int(LEAST_EQUAL * sig.shape[1]))
-        if close.any():
-            seen[x] = True
-            seen[right[close]] = True
-            while (apart := close & (group[right] != group[x])).any():
-                y = right[int(apart.argmax())]
-                rows.append((ids[x], comp[x], comp[y]))
-                group[group == group[y]] = group[x]
-    out = np.concatenate([np.array(rows, np.int64).reshape(-1, 3), np.stack([ids[seen], comp[seen], comp[seen]], 1)])
-    return pa.table([pa.array(out[:, k]) for k in range(3)], ["id", "component", "other"])
+    def candidates(table: pa.Table) -> pa.Table:
+        """The members of two blocks whose signature is close to that of a member of another component.
+
+        Rows (id, component, other): other components to which close pairs lead, as few as connect what they connect;
+        a member without such a row has one with its own component.
+        """
+        table = table.combine_chunks()
+        ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
+        sig = np.frombuffer(bytes_of(table.column("signature"))[0].tobytes(), np.uint32).reshape(len(comp), -1)
+        left, right, _ = _sides(table)
+        seen, group, rows = np.zeros(len(comp), bool), comp.copy(), []
+        others, of = sig[right], comp[right]
+        for x in left if len(right) else ():
+            far = of != comp[x]
+            if not far.any():
+                continue
+            close = far & ((others == sig[x]).sum(1) >= least)
+            if close.any():
+                seen[x] = True
+                seen[right[close]] = True
+                while (apart := close & (group[right] != group[x])).any():
+                    y = right[int(apart.argmax())]
+                    rows.append((ids[x], comp[x], comp[y]))
+                    group[group == group[y]] = group[x]
+        out = np.concatenate([np.array(rows, np.int64).reshape(-1, 3), np.stack([ids[seen], comp[seen], comp[seen]], 1)])
+        return pa.table([pa.array(out[:, k]) for k in range(3)], ["id", "component", "other"])
+
+    return candidates
 
 
 def _merging(percent: int):
@@ -224,9 +241,23 @@ def _shingler(size: int):
     return shingle
 
 
+def rarest(reps: DataFrame, percent: int) -> DataFrame:
+    """(id, band): from (class, id, few), the rarest shingles of each set, but for those that no other has.
+
+    Two sets whose intersection is `percent` of their union share at least as much of each, so one of the first
+    n - ceil(n * percent / 100) + 1 of its shingles, in an order that is the same for all.
+    """
+    each = reps.where("few is not null").select("class", "id", F.explode("few").alias("band"))
+    counts = each.groupBy("band").agg(F.count("*").alias("n"))
+    order = each.join(counts, "band").groupBy("class", "id").agg(F.sort_array(F.collect_list(F.struct("n", "band"))).alias("x"))
+    n = F.size("x")
+    first = F.slice("x", 1, n - F.ceil(n * percent / 100).cast("int") + 1)
+    return order.select("id", F.explode(first).alias("x")).where("x.n > 1").select("id", "x.band")
+
+
 def links(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(id, component) of the classes that are linked with another, by confirmed links."""
-    keyed = reps.select("id", F.explode("bands").alias("band"))
+    keyed = reps.select("id", F.explode("bands").alias("band")).unionByName(written(rarest(reps, percent)))
     buckets = written(keyed.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1"))
     members = written(keyed.join(buckets, "band"))
     texts = written(texts.join(members.select("id").distinct(), "id", "left_semi"))
@@ -238,7 +269,7 @@ def links(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFra
     now = members.join(kinds, "band").join(comp, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     # blocks of one bucket are spread anew, not left where the bucket was
     blocks = _in_pairs(now, "band").select("band", "i", "j", "part", "id", "component").join(reps.select("id", "signature"), "id")
-    close = written(blocks.repartition("band", "i", "j").groupBy("band", "i", "j").applyInArrow(_candidates, "id bigint, component bigint, other bigint").distinct())
+    close = written(blocks.repartition("band", "i", "j").groupBy("band", "i", "j").applyInArrow(_close(percent), "id bigint, component bigint, other bigint").distinct())
     clusters = components(close.select(F.col("component").alias("a"), F.col("other").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
     near = written(close.select("id", "component").distinct().join(clusters, "component"))
     sets = texts.join(near.select("id").distinct(), "id", "left_semi").mapInArrow(_shingler(size), "id bigint, shingles binary")
@@ -275,10 +306,10 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     smallest that any of their texts reaches. An empty table gives an empty result.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = written(docs.where("id is not null").mapInArrow(_signer(size), SIGNED))
-    reps = signed.groupBy("class").agg(F.min("id").alias("id"), F.min(F.struct("id", "bands", "signature")).alias("s")).select("class", "id", "s.bands", "s.signature")
+    signed = written(docs.where("id is not null").mapInArrow(_signer(size, percent), SIGNED))
+    reps = signed.groupBy("class").agg(F.min("id").alias("id"), F.min(F.struct("id", "bands", "signature", "few")).alias("s")).select("class", "id", "s.bands", "s.signature", "s.few")
     reps = written(reps)
-    comp = links(reps.select("id", "bands", "signature"), docs.where("id is not null"), size, percent)
+    comp = links(reps, docs.where("id is not null"), size, percent)
     by_class = reps.select("class", F.col("id").alias("rep")).join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
     own = signed.select("id", "n_shingles", "class").join(by_class, "class").groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component").alias("component"))
     out = docs.select("id").join(own, "id", "left")

@@ -111,3 +111,54 @@ def test_blocks_of_a_bucket_meet(spark, monkeypatch):
     assert all((a, b) in met or (b, a) in met for a in range(30, 40) for b in range(30))
     parts = {r.id: r.part for r in blocks.collect()}
     assert not any(parts[a] != parts[b] for a, b in met if a < 30 and b < 30)
+
+
+@pytest.mark.parametrize("percent", [75, 60])
+def test_small_sets_share_a_key(spark, percent):
+    """Every two similar sets, one of them of fewer than FEW shingles, have one of their rarest shingles in common."""
+    from lociforge.llm import near_dedup as N
+
+    rng = random.Random(percent)
+    sets = [set(rng.sample(range(60), rng.randint(1, 9))) for _ in range(60)]
+    for _ in range(240):
+        x = set(rng.choice(sets)) | {rng.randrange(10**6) for _ in range(rng.choice((0, 1, 1, 2, 9)))}
+        x -= set(rng.sample(sorted(x), rng.choice((0, 1)) if len(x) > 1 else 0))
+        if len(x) <= 100 * (N.FEW - 1) // percent:
+            sets.append(x)
+    rows = [(bytes([k % 256, k // 256]), k, sorted(x)) for k, x in enumerate(sets)]
+    keys = {}
+    for r in N.rarest(spark.createDataFrame([*rows, (b"none", 10**6, None)], "class binary, id long, few array<long>"), percent).collect():
+        keys.setdefault(r.id, set()).add(r.band)
+    similar = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    assert len(similar) > 50 and all(keys[a] & keys[b] for a, b in similar)
+    assert sum(map(len, keys.values())) < sum(map(len, sets)) / 1.5
+    assert N.least_equal(75) == 70 and N.least_equal(1) == 0
+
+
+def test_links_of_short_texts(spark):
+    """Texts of five to twelve words that differ in a word at one end, or share most words by chance, against brute force."""
+    from lociforge.llm import near_dedup as N
+
+    rng = random.Random(8)
+    texts = []
+    for k in range(150):
+        w = [rng.choice("abcd") for _ in range(rng.randint(5, 12))]
+        texts += [" ".join(w), " ".join([*w, f"x{k}"]), " ".join(w[1:])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    split = [t.split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in split]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert {r.doc_id: r.component_id for r in N.near_dedup(df).collect()} == {k: find(k) for k in range(len(sets))}
+    assert len({find(k) for k in range(len(sets))}) < len(sets)
