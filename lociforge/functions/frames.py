@@ -114,3 +114,10 @@ def dot(a: Column, b: Column) -> Column:
 def composite_score(log2_fold_change: Column, padj: Column) -> Column:
     """Fold change over the adjusted p, which is kept off 0."""
     return log2_fold_change / (padj + 1e-12)
+
+
+def merged_maps(left: Column, right: Column) -> Column:
+    """Entries of both maps; right ones replace left ones of the same key. A null map counts as empty."""
+    empty = F.create_map().cast("map<string,string>")
+    left, right = F.coalesce(left, empty), F.coalesce(right, empty)
+    return F.map_concat(F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k)), right)

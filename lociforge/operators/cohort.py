@@ -195,3 +195,25 @@ def check_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def check_values(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     """df with a guard: a job fails at the first row whose value is not allowed."""
     return df.withColumn(column, F.when(F.lower(column).isin(allowed), F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"{column} may not be "), F.coalesce(F.col(column), F.lit("null"))))))
+
+
+def with_data(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
+    """Rows whose key occurs in the other table, each once; a null key does not."""
+    return df.join(other.select(F.col(other_key or key).alias(key)), key, "left_semi").select(*df.columns)
+
+
+def without_data(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
+    """Rows whose key does not occur in the other table, those with a null key among them."""
+    return df.join(other.select(F.col(other_key or key).alias(key)), key, "left_anti").select(*df.columns)
+
+
+def tails(df: DataFrame, p: str, low: float = 0.15, high: float = 0.85, into: str = "tail") -> DataFrame:
+    """Rows with p at one of the ends, told apart as 'low' and 'high'; a null p is at none."""
+    return df.where((F.col(p) >= high) | (F.col(p) <= low)).withColumn(into, F.when(F.col(p) >= high, "high").otherwise("low"))
+
+
+def random_members(groups: DataFrame, members: DataFrame, key: str, member: str, n: int, seed: int | str) -> DataFrame:
+    """(key, member): one random member of each of n random groups; groups without members are left out."""
+    chosen = groups.select(key).distinct().orderBy(draw_order(F.col(key), seed)).limit(n)
+    own = members.join(chosen, key)
+    return own.groupBy(key).agg(F.min_by(member, F.struct(draw_order(F.col(member), seed), member)).alias(member))

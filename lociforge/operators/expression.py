@@ -170,3 +170,15 @@ def above_mean_features(importances: list[tuple[str, float]]) -> list[str]:
     """Features whose absolute importance reaches the mean of all."""
     size = [abs(v) for _, v in importances]
     return [n for n, v in importances if size and abs(v) >= sum(size) / len(size)]
+
+
+def regulated_counts(df: DataFrame, change: str = "log2_fold_change", p: str = "padj", alpha: float = 0.05, middle: float = 0.0) -> DataFrame:
+    """One row: how many significant genes change up and down; a null p or change counts for neither."""
+    significant = F.col(p) < alpha
+    return df.agg(F.count_if(significant & (F.col(change) > middle)).alias("up"), F.count_if(significant & (F.col(change) < middle)).alias("down"))
+
+
+def stratum_counts(df: DataFrame, draw: str, by: list[str]) -> DataFrame:
+    """(by, mean, std, least): rows of each stratum over the draws that have any, with the population deviation."""
+    counts = df.groupBy(draw, *by).agg(F.count("*").alias("_n"))
+    return counts.groupBy(*by).agg(F.avg("_n").alias("mean"), F.stddev_pop("_n").alias("std"), F.min("_n").alias("least"))

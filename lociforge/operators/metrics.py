@@ -136,3 +136,21 @@ def draw_rollup(df: DataFrame, key: str = "sample_id", label: str = "label", pre
     a = F.avg((F.col(prediction) == F.col(label)).cast("int"))
     s = df.groupBy(key, label).agg(a.alias("accuracy"), F.avg(prediction).alias("avg_prediction"), F.stddev_pop(prediction).alias("prediction_std"), F.count("*").alias("draw_count"))
     return s.withColumn("accuracy_std", F.sqrt(F.col("accuracy") * (1 - F.col("accuracy")) / F.col("draw_count")))
+
+
+def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
+    """(label, n, share): rows of each class, and their share of all."""
+    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_total")))).select(label, "n", (F.col("n") / F.col("_total")).alias("share"))
+
+
+def mean_probability(df: DataFrame, by: list[str], p: str = "y_pred", key: str = "sample_id") -> DataFrame:
+    """(by, probability, n): mean prediction and how many distinct samples it is of."""
+    return df.groupBy(*by).agg(F.avg(p).alias("probability"), F.count_distinct(key).alias("n"))
+
+
+def described(df: DataFrame, value: str, exact: bool = True) -> DataFrame:
+    """One row: n, mean, std, low, q1, q2, q3, high of the known values; quartiles in between values, or approximate ones."""
+    shares, names = (0.25, 0.5, 0.75), ("q1", "q2", "q3")
+    cut = (lambda q: F.percentile(value, q)) if exact else (lambda q: F.percentile_approx(value, q))
+    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), *[cut(q).alias(n) for q, n in zip(shares, names, strict=True)], F.max(value).alias("high"))

@@ -126,3 +126,14 @@ def resampled_fdr(scores: DataFrame, permutations: int = 100, seed: int = 42, na
     rate = both.select(name, "_s", "_v", "_o", (share("_r") / share("_o")).alias("_q")).where("_o = 1")
     grown = F.least(F.lit(1.0), F.max("_q").over(W.partitionBy("_s").orderBy(F.desc("_v")).rangeBetween(W.unboundedPreceding, 0)))
     return scores.join(rate.select(name, grown.alias("fdr")), name, "left")
+
+
+def all_but_last(df: DataFrame, n: int, order: str) -> DataFrame:
+    """All rows but the n last in that order (nulls last); `order` is a unique key. The n last are found without sorting the rest."""
+    last = df.select(F.col(order).alias("_last")).orderBy(F.desc_nulls_first("_last")).limit(n)
+    return df.join(last, F.col(order).eqNullSafe(F.col("_last")), "left_anti")
+
+
+def top_by(df: DataFrame, n: int, group: str, value: str, *ties: str) -> DataFrame:
+    """The first n rows by group, then by descending absolute value, then by the ties."""
+    return df.orderBy(group, F.abs(value).desc(), *ties).limit(n)

@@ -57,3 +57,8 @@ def select_features(effects: DataFrame, threshold: DataFrame, most: int = 200, f
     """Features whose effect reaches the threshold; of more than `most` the largest."""
     chosen = effects.crossJoin(F.broadcast(threshold.select("threshold"))).where("effect_size >= threshold").drop("threshold")
     return chosen.orderBy(F.desc("effect_size"), feature).limit(most)
+
+
+def varying(df: DataFrame, feature: str = "feature", value: str = "v", least: float = 0.0) -> DataFrame:
+    """(feature, variance) of long features whose population variance is above `least`."""
+    return df.groupBy(feature).agg(F.var_pop(value).alias("variance")).where(F.col("variance") > least)

@@ -139,3 +139,13 @@ def complete_runs(runs: DataFrame, artifacts: DataFrame, required: list[str]) ->
     have = artifacts.where(F.col("artifact").isin(required)).groupBy("run_id").agg(F.count_distinct("artifact").alias("n")).where(F.col("n") == len(required))
     return runs.where(F.size("metrics") > 0).join(have, "run_id", "left_semi")
 
+
+def melted(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Long rows (keys, name, value): one for each metric column, nulls kept."""
+    return df.select(*keys, *metrics).unpivot(keys, metrics, "name", "value")
+
+
+def metric_maps(long: DataFrame, run: str = "run_id", key: str = "key", value: str = "value") -> DataFrame:
+    """(run, metrics, n_metrics): each run's metrics as a map, of a repeated key the largest value, and how many rows they were."""
+    entries = long.groupBy(run, key).agg(F.max(value).alias("_value"), F.count("*").alias("_n"))
+    return entries.groupBy(run).agg(F.map_from_entries(F.collect_list(F.struct(key, "_value"))).alias("metrics"), F.sum("_n").alias("n_metrics"))

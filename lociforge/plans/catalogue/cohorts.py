@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lociforge.functions.frames import merged_maps
 from lociforge.functions.text import sanitised
 from lociforge.operators import cohort as C
+from lociforge.operators.rankings import all_but_last, top_by
 from lociforge.plans.catalogue import Tables, query
 
 COHORT = """cohort AS (SELECT c_custkey AS sample_id, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'case' ELSE 'control' END AS label,
@@ -97,8 +98,8 @@ def cross_validation_folds(t: Tables) -> DataFrame:
   (SELECT md5(CAST(n_nationkey AS VARCHAR) || '#9') AS d FROM nation ORDER BY d LIMIT 10)) QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY md5(s_name || '#9'), s_name) = 1""")
 def random_gene_per_pathway(t: Tables) -> DataFrame:
     """One random member of each of ten random sets."""
-    sets = t.nation.orderBy(C.draw_order(F.col("n_nationkey"), 9)).limit(10)
-    return t.supplier.join(F.broadcast(sets), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.min_by("s_name", F.struct(C.draw_order(F.col("s_name"), 9), "s_name")).alias("s_name"))
+    members = t.supplier.select(F.col("s_nationkey").alias("n_nationkey"), "s_name")
+    return C.random_members(t.nation, members, "n_nationkey", "s_name", 10, 9).join(t.nation, "n_nationkey").select("n_name", "s_name")
 
 
 @query("""WITH a AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'x-' || c_custkey || '-y' END AS sample_id FROM customer),
@@ -138,12 +139,12 @@ def cohort_union_distinct(t: Tables) -> DataFrame:
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def cohort_with_genotype(t: Tables) -> DataFrame:
     """Semi join: samples that have data elsewhere."""
-    return t.customer.join(t.orders.where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    return C.with_data(t.customer.select("c_custkey"), t.orders.where("o_totalprice > 200000"), "c_custkey", "o_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def missing_samples(t: Tables) -> DataFrame:
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return C.without_data(t.customer.select("c_custkey"), t.orders, "c_custkey", "o_custkey")
 
 
 _WANTED = "CASE WHEN o_custkey % 2 = 0 THEN o_custkey ELSE -o_custkey END"
@@ -182,17 +183,17 @@ def first_match_lookup(t: Tables) -> DataFrame:
 @query("""WITH r AS (SELECT c_custkey, (c_acctbal + 1000) / 11000 AS p FROM customer) SELECT c_custkey, CASE WHEN p >= 0.85 THEN 'high' ELSE 'low' END AS tail, round(p, 6) AS p FROM r WHERE p >= 0.85 OR p <= 0.15""")
 def tail_samples(t: Tables) -> DataFrame:
     r = t.customer.select("c_custkey", ((F.col("c_acctbal") + 1000) / 11000).alias("p"))
-    return r.where("p >= 0.85 or p <= 0.15").select("c_custkey", F.when(F.col("p") >= 0.85, "high").otherwise("low").alias("tail"), F.round("p", 6).alias("p"))
+    return C.tails(r, "p").select("c_custkey", "tail", F.round("p", 6).alias("p"))
 
 
 @query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, abs(c_acctbal) DESC, c_custkey LIMIT 20")
 def multi_key_abs_sort_topn(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", "c_mktsegment", "c_acctbal").orderBy("c_mktsegment", F.abs("c_acctbal").desc(), "c_custkey").limit(20)
+    return top_by(t.customer.select("c_custkey", "c_mktsegment", "c_acctbal"), 20, "c_mktsegment", "c_acctbal", "c_custkey")
 
 
 @query("SELECT n_name, n_nationkey FROM nation QUALIFY row_number() OVER (ORDER BY n_nationkey DESC) > 10")
 def all_but_last_ten(t: Tables) -> DataFrame:
-    return t.nation.withColumn("n", F.row_number().over(W.orderBy(F.desc("n_nationkey")))).where("n > 10").select("n_name", "n_nationkey")
+    return all_but_last(t.nation.select("n_name", "n_nationkey"), 10, "n_nationkey")
 
 
 @query("SELECT p_partkey, trim(regexp_replace(p_type || '*' || p_brand || '|' || p_name || ' ', '[^a-zA-Z0-9_\\-. /]', '_', 'g')) AS name FROM part")
@@ -205,5 +206,5 @@ def map_merge(t: Tables) -> DataFrame:
     """Right entries replace left ones of the same key."""
     left = F.create_map(F.lit("x"), F.lit("a"), F.lit("y"), F.lit("a"))
     right = F.when(F.col("n_nationkey") % 2 == 0, F.create_map(F.lit("x"), F.lit("b"), F.lit("y"), F.lit("b"))).otherwise(F.create_map(F.lit("y"), F.lit("b")))
-    merged = F.map_concat(F.map_filter(left, lambda k, v: ~F.array_contains(F.map_keys(right), k)), right)
+    merged = merged_maps(left, right)
     return t.nation.select("n_nationkey", F.try_element_at(merged, F.lit("x")).alias("x"), F.try_element_at(merged, F.lit("y")).alias("y"))

@@ -162,20 +162,19 @@ def binned_mutual_information(t: Tables) -> DataFrame:
 
 @query("SELECT count_if(l_discount > 0.05 AND l_tax < 0.05) AS up, count_if(l_discount < 0.05 AND l_tax < 0.05) AS down FROM lineitem")
 def regulated_counts(t: Tables) -> DataFrame:
-    p = F.col("l_tax") < 0.05
-    return t.lineitem.agg(F.count_if(p & (F.col("l_discount") > 0.05)).alias("up"), F.count_if(p & (F.col("l_discount") < 0.05)).alias("down"))
+    return X.regulated_counts(t.lineitem, "l_discount", "l_tax", middle=0.05)
 
 
 @query("WITH c AS (SELECT event_id % 20 AS b, event_type, user_id % 2 AS sex, count(*) AS n FROM events GROUP BY 1, 2, 3) SELECT event_type, sex, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, min(n) AS least FROM c GROUP BY 1, 2")
 def stratum_counts(t: Tables) -> DataFrame:
-    c = t.events.groupBy((F.col("event_id") % 20).alias("b"), "event_type", (F.col("user_id") % 2).alias("sex")).agg(F.count("*").alias("n"))
-    return _rounded(c.groupBy("event_type", "sex").agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"), F.min("n").alias("least")))
+    drawn = t.events.select((F.col("event_id") % 20).alias("b"), "event_type", (F.col("user_id") % 2).alias("sex"))
+    return _rounded(X.stratum_counts(drawn, "b", ["event_type", "sex"]))
 
 
 @query("WITH f AS (SELECT l_suppkey AS feature, l_linenumber % 2 AS v FROM lineitem UNION ALL SELECT -1, 1 FROM lineitem) SELECT feature, round(var_pop(v), 6) AS variance FROM f GROUP BY 1 HAVING var_pop(v) > 0")
 def variance_filter(t: Tables) -> DataFrame:
     f = t.lineitem.select(F.col("l_suppkey").alias("feature"), (F.col("l_linenumber") % 2).alias("v")).union(t.lineitem.select(F.lit(-1).cast("bigint"), F.lit(1).cast("bigint")))
-    return _rounded(f.groupBy("feature").agg(F.var_pop("v").alias("variance")).where("variance > 0"))
+    return _rounded(L.varying(f))
 
 
 _DE = f"""{_COUNTS}, gm AS (SELECT gene_id, avg(ln(c)) AS lg FROM cn WHERE c > 0 GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT sample_id) FROM cn)),

@@ -39,8 +39,7 @@ def confusion_row_normalised(t: Tables) -> DataFrame:
 
 @query(f"WITH {PREDS} SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM preds GROUP BY label")
 def class_distribution(t: Tables) -> DataFrame:
-    counts = preds(t).groupBy("label").agg(F.count("*").alias("n"))
-    return _rounded(counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select("label", "n", (F.col("n") / F.col("total")).alias("share")))
+    return _rounded(M.class_distribution(preds(t)))
 
 
 CUM = f"{PREDS}, s AS (SELECT y_pred AS th, sum(label) AS p, sum(1 - label) AS n FROM preds GROUP BY 1), cum AS (SELECT th, sum(p) OVER (ORDER BY th DESC) AS tps, sum(n) OVER (ORDER BY th DESC) AS fps, sum(p) OVER () AS np, sum(n) OVER () AS nn FROM s)"
@@ -100,11 +99,9 @@ def draw_rollup(t: Tables) -> DataFrame:
 
 @query(f"WITH {PREDS} SELECT run_id, label, round(avg(y_pred), 6) AS probability, count(DISTINCT sample_id) AS n FROM preds GROUP BY 1, 2")
 def mean_probability(t: Tables) -> DataFrame:
-    return _rounded(preds(t).groupBy("run_id", "label").agg(F.avg("y_pred").alias("probability"), F.count_distinct("sample_id").alias("n")))
+    return _rounded(M.mean_probability(preds(t), ["run_id", "label"]))
 
 
 @query(f"WITH {PREDS} SELECT count(y_pred) AS n, round(avg(y_pred), 6) AS mean, round(stddev_samp(y_pred), 6) AS std, round(min(y_pred), 6) AS low, round(quantile_cont(y_pred, 0.25), 6) AS q1, round(quantile_cont(y_pred, 0.5), 6) AS q2, round(quantile_cont(y_pred, 0.75), 6) AS q3, round(max(y_pred), 6) AS high FROM preds")
 def describe_scores(t: Tables) -> DataFrame:
-    y = F.col("y_pred")
-    q = [F.percentile(y, p).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))]
-    return _rounded(preds(t).agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.min(y).alias("low"), *q, F.max(y).alias("high")))
+    return _rounded(M.described(preds(t), "y_pred"))

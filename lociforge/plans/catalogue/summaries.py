@@ -29,7 +29,7 @@ _CELLS = ", ".join(f"round(avg(value) FILTER (metric = '{k}'), 6) AS {k}_mean, r
 @query("SELECT o_orderkey, name, value FROM (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS price, CAST(o_custkey AS DOUBLE) AS customer FROM orders) UNPIVOT (value FOR name IN (price, customer))")
 def melt_metrics(t: Tables) -> DataFrame:
     wide = t.orders.select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), F.col("o_custkey").cast("double").alias("customer"))
-    return wide.unpivot("o_orderkey", ["price", "customer"], "name", "value")
+    return S.melted(wide, ["o_orderkey"], ["price", "customer"])
 
 
 @query(f"WITH {LONG} SELECT {_MODEL}, dataset, {_CELLS} FROM long GROUP BY 1, 2")
@@ -59,9 +59,7 @@ _RUN_METRICS = "SELECT run_id, CAST(count(*) AS BIGINT) AS n_metrics, round(max(
 @query(f"WITH {METRICS} {_RUN_METRICS}")
 def run_metrics_wide(t: Tables) -> DataFrame:
     """Metric maps of runs, and one metric taken from them."""
-    entries = metrics(t).groupBy("run_id", "key").agg(F.max("value").alias("value"), F.count("*").alias("n"))
-    runs = entries.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metrics"), F.sum("n").alias("n_metrics"))
-    return runs.select("run_id", "n_metrics", F.round(F.try_element_at("metrics", F.lit("train/click")), 6).alias("click"))
+    return S.metric_maps(metrics(t)).select("run_id", "n_metrics", F.round(F.try_element_at("metrics", F.lit("train/click")), 6).alias("click"))
 
 
 IMPORTANCE = "imp AS (SELECT 'm' || l_linenumber % 3 AS model_name, l_partkey AS feature_name, l_extendedprice / 997 AS importance, l_orderkey % 4 AS outer_iteration FROM lineitem)"

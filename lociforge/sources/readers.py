@@ -10,11 +10,13 @@ from lociforge.functions.text import attribute, attributes
 GTF_SCHEMA = "chromosome string, source string, feature string, start int, end int, score string, strand string, frame string, attribute string"
 
 
-def read_vcf(spark: SparkSession, path: str) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Long genotypes (contig, pos, variant_id, alleles, sample_id, call) of VCF files, plain or gzipped.
 
-    The header line with the sample names is found by a scan that stops there; all files of the path share it. Calls are
-    taken from where each line's FORMAT says GT stands; a line without it gives null calls.
+    The header line with the sample names is found by a scan that stops there; all files of the path share it, and a line
+    with another number of samples is an error (read files of other samples one by one). Calls are taken from where each
+    line's FORMAT says GT stands; a line without it gives null calls. A gzipped file is one task: `partitions` deals its
+    lines out before they are parsed.
     """
     lines = spark.read.text(path)
     header = lines.where(F.col("value").startswith("#CHROM")).first()
@@ -22,7 +24,10 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"no #CHROM line in {path}")
     samples = header.value.split("\t")[9:]
     f = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(f.alias("f"))
+    body = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0))
+    body = body.repartition(partitions) if partitions else body
+    other = F.raise_error(F.format_string("a line of %d samples where the header names %d", F.size(f) - 9, F.lit(len(samples))))
+    rows = body.select(F.when(F.size(f) == 9 + len(samples), f).otherwise(other.cast("array<string>")).alias("f")) if samples else body.select(f.alias("f"))
     alleles = F.concat(F.array(F.get("f", F.lit(3))), F.split(F.get("f", F.lit(4)), ","))
     rows = rows.select(F.get("f", F.lit(0)).alias("contig"), F.get("f", F.lit(1)).cast("int").alias("pos"), alleles.alias("alleles"), F.array_position(F.split(F.get("f", F.lit(8)), ":"), "GT").cast("int").alias("at"), F.slice("f", 10, len(samples)).alias("calls"))
     names = F.array(*map(F.lit, samples))
@@ -93,3 +98,14 @@ def select_samples(df: DataFrame, ids: list | DataFrame, columns: list[str] | No
     """Rows of the given ids and the given columns: a list becomes a filter that Parquet scans push down, a table a semi join."""
     rows = df.join(ids.select(key).distinct(), key, "left_semi") if isinstance(ids, DataFrame) else df.where(F.col(key).isin(ids))
     return rows.select(key, *columns) if columns is not None else rows
+
+
+def read_synonyms(spark: SparkSession, path: str, key: str, synonym: str, sep: str = "\t") -> DataFrame:
+    """(key, synonyms) of a delimited export with a header: the distinct known names of each id, sorted; ids without any have none."""
+    rows = spark.read.option("header", True).option("sep", sep).csv(path).select(key, synonym).where(F.col(key).isNotNull())
+    return rows.groupBy(key).agg(F.sort_array(F.collect_set(F.nullif(F.trim(synonym), F.lit("")))).alias("synonyms"))
+
+
+def feature_count(spark: SparkSession, path: str, keys: int = 1) -> int:
+    """How many columns a Parquet table has besides its keys: from the footers, no rows are read."""
+    return len(spark.read.parquet(path).columns) - keys

@@ -80,3 +80,18 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         assert S.read_or_build(spark, str(tmp_path / "rb"), lambda: built.append(1) or df).count() == 1
     assert len(built) == 1
+
+
+def test_vcf_with_other_samples_is_an_error(spark, tmp_path):
+    (tmp_path / "a.vcf").write_text(VCF)
+    assert R.read_vcf(spark, str(tmp_path / "a.vcf"), partitions=3).count() == 4
+    (tmp_path / "b.vcf").write_text(VCF + "3\t30\t.\tA\tT\t.\t.\t.\tGT\t0/0\n")
+    with pytest.raises(Exception, match="a line of 1 samples where the header names 2"):
+        R.read_vcf(spark, str(tmp_path / "b.vcf")).collect()
+
+
+def test_synonyms_and_feature_count(spark, tmp_path):
+    (tmp_path / "names.tsv").write_text("id\tname\nE1\tB\nE1\tA\nE1\tA\nE2\t\n\tC\n")
+    assert sorted(tuple(r) for r in R.read_synonyms(spark, str(tmp_path / "names.tsv"), "id", "name").collect()) == [("E1", ["A", "B"]), ("E2", [])]
+    S.write_matrix(spark.createDataFrame([("s", 1, 0)], "sample_id string, g1 int, g2 int"), str(tmp_path / "m"))
+    assert R.feature_count(spark, str(tmp_path / "m")) == 2
