@@ -13,6 +13,7 @@ from lociforge.llm.langid import language_id
 from lociforge.llm.length_buckets import length_buckets
 from lociforge.llm.lm_score import lm_score
 from lociforge.llm.near_dedup import near_dedup
+from lociforge.llm.prefix_trie import prefix_trie, turn_arrays
 from lociforge.llm.quality import quality_rules
 from lociforge.llm.substring_dedup import substring_dedup
 from lociforge.llm.token_pack import token_pack
@@ -72,8 +73,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def spliced(turns: DataFrame) -> DataFrame:
+    """Conversations of turn_arrays that begin with up to three turns of the one whose id is the next lower multiple of 20."""
+    h = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    heads = turns.where("conv_id % 20 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    joined = turns.withColumn("base", F.expr("conv_id - conv_id % 20")).join(heads, "base", "left")
+    head = F.when(F.col("head").isNull(), F.slice("turns", 1, 0)).otherwise(F.slice("head", F.lit(1), h))
+    return joined.select("conv_id", F.concat(head, F.slice("turns", h + 1, F.size("turns"))).alias("turns"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spliced(turn_arrays(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_length_buckets, op2_token_pack, op3_substring_dedup, op4_benchmark_decontamination, op5_quality_rules, op6_minmax_near_dedup, op7_toxicity, op8_language_id, op9_lm_score, op10_html_text)}
+    return {f.__name__: f for f in (op1_length_buckets, op2_token_pack, op3_substring_dedup, op4_benchmark_decontamination, op5_quality_rules, op6_minmax_near_dedup, op7_toxicity, op8_language_id, op9_lm_score, op10_html_text, op13_prefix_trie)}
 
 
 #: Words of every document with their positions, as the contract's pattern takes them.
@@ -137,6 +151,27 @@ comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, component_id = doc_id AS kept FROM docs JOIN comp ON id = doc_id LEFT JOIN sizes USING (doc_id)
 """
 
+_OP13 = r"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'r': r, 't': t} ORDER BY turn NULLS FIRST, sha256(concat(length(r), ':', r, t))) AS a FROM said GROUP BY conv_id),
+heads AS (SELECT conv_id, a, conv_id - conv_id % 20 AS base, list_reduce(list_concat([4294967295::BIGINT],
+            flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS crc FROM own),
+built AS (SELECT h.conv_id, list_concat(coalesce(b.a, [])[1:xor(h.crc, 4294967295) % 4], h.a[xor(h.crc, 4294967295) % 4 + 1:]) AS s
+          FROM heads h LEFT JOIN own b ON b.conv_id = h.base),
+begun AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM built),
+nodes AS (SELECT d, s[1:d] AS k, min(conv_id) AS id, count(*) AS n, coalesce(string_agg(CASE WHEN len(s) = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS e
+          FROM begun GROUP BY d, s[1:d]),
+kids AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY d - 1, k[1:d - 1]),
+full_nodes AS (SELECT nodes.*, coalesce(kids.n, 0) AS kids,
+               CASE WHEN nodes.d > 0 THEN (nodes.n - 1) * len(regexp_extract_all(nodes.k[nodes.d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS own
+               FROM nodes LEFT JOIN kids ON kids.d = nodes.d AND kids.k = nodes.k),
+ups AS (SELECT unnest(range(0, d + 1)) AS e, k, kids, own FROM full_nodes),
+sub AS (SELECT e AS d, k[1:e] AS k, count(*) FILTER (kids = 0) AS leaves, sum(own) AS saved FROM ups GROUP BY e, k[1:e])
+SELECT x.id AS conv_id, x.d AS depth, p.id AS parent_conv_id, x.n AS n_convs, x.kids AS n_children, sub.leaves AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, sha256(x.e) AS ends_sha256
+FROM full_nodes x JOIN sub ON sub.d = x.d AND sub.k = x.k LEFT JOIN nodes p ON p.d = x.d - 1 AND p.k = x.k[1:x.d - 1]
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3, "op4_benchmark_decontamination": _OP4, "op5_quality_rules": _OP5, "op6_minmax_near_dedup": _OP6}
+    return {"op3_substring_dedup": _OP3, "op4_benchmark_decontamination": _OP4, "op5_quality_rules": _OP5, "op6_minmax_near_dedup": _OP6, "op13_prefix_trie": _OP13}
