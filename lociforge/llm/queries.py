@@ -11,6 +11,7 @@ from lociforge.llm.decontaminate import decontaminate
 from lociforge.llm.html_text import html_text
 from lociforge.llm.langid import language_id
 from lociforge.llm.length_buckets import length_buckets
+from lociforge.llm.line_crf import line_quality
 from lociforge.llm.lm_score import lm_score
 from lociforge.llm.near_dedup import near_dedup
 from lociforge.llm.prefix_trie import prefix_trie, turn_arrays
@@ -73,6 +74,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5, 0))
+
+
 def spliced(turns: DataFrame) -> DataFrame:
     """Conversations of turn_arrays that begin with up to three turns of the one whose id is the next lower multiple of 20."""
     h = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
@@ -87,7 +92,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_length_buckets, op2_token_pack, op3_substring_dedup, op4_benchmark_decontamination, op5_quality_rules, op6_minmax_near_dedup, op7_toxicity, op8_language_id, op9_lm_score, op10_html_text, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_length_buckets, op2_token_pack, op3_substring_dedup, op4_benchmark_decontamination, op5_quality_rules, op6_minmax_near_dedup, op7_toxicity, op8_language_id, op9_lm_score, op10_html_text, op11_line_quality, op13_prefix_trie)}
 
 
 #: Words of every document with their positions, as the contract's pattern takes them.
