@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociforge.llm.collocations import collocations
 from lociforge.llm.decontaminate import decontaminate
 from lociforge.llm.html_text import html_text
 from lociforge.llm.langid import language_id
@@ -78,6 +79,10 @@ def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5, 0))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def spliced(turns: DataFrame) -> DataFrame:
     """Conversations of turn_arrays that begin with up to three turns of the one whose id is the next lower multiple of 20."""
     h = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
@@ -92,7 +97,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_length_buckets, op2_token_pack, op3_substring_dedup, op4_benchmark_decontamination, op5_quality_rules, op6_minmax_near_dedup, op7_toxicity, op8_language_id, op9_lm_score, op10_html_text, op11_line_quality, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_length_buckets, op2_token_pack, op3_substring_dedup, op4_benchmark_decontamination, op5_quality_rules, op6_minmax_near_dedup, op7_toxicity, op8_language_id, op9_lm_score, op10_html_text, op11_line_quality, op12_collocations, op13_prefix_trie)}
 
 
 #: Words of every document with their positions, as the contract's pattern takes them.
@@ -156,6 +161,26 @@ comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, component_id = doc_id AS kept FROM docs JOIN comp ON id = doc_id LEFT JOIN sizes USING (doc_id)
 """
 
+_OP12 = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+lists AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS p FROM lists),
+grams AS (SELECT lang, w[p:p + k - 1] AS g FROM starts, range(1, 6) AS t(k) WHERE p + k - 1 <= len(w)),
+counts AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g HAVING count(*) >= 100),
+cand AS (SELECT lang, g, f AS a FROM counts WHERE len(g) >= 2),
+cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM cand),
+scored AS (SELECT c.lang, c.g, a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+           FROM cuts c JOIN counts x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN counts y ON y.lang = c.lang AND y.g = c.g[k + 1:] JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+subs AS (SELECT lang, a AS longer, g[p:p + k - 1] AS g FROM cand, range(2, 5) AS t(k), range(1, 5) AS u(p) WHERE k < len(cand.g) AND p + k - 1 <= len(cand.g)),
+gone AS (SELECT DISTINCT s.lang, s.g FROM subs s JOIN cand c ON c.lang = s.lang AND c.g = s.g WHERE 100 * longer >= 100 * a),
+kept AS (SELECT best.* FROM best LEFT JOIN gone ON gone.lang = best.lang AND gone.g = best.g WHERE gone.lang IS NULL),
+named AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM kept)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM named
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
 _OP13 = r"""
 WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
 own AS (SELECT conv_id, list({'r': r, 't': t} ORDER BY turn NULLS FIRST, sha256(concat(length(r), ':', r, t))) AS a FROM said GROUP BY conv_id),
@@ -179,4 +204,4 @@ FROM full_nodes x JOIN sub ON sub.d = x.d AND sub.k = x.k LEFT JOIN nodes p ON p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3, "op4_benchmark_decontamination": _OP4, "op5_quality_rules": _OP5, "op6_minmax_near_dedup": _OP6, "op13_prefix_trie": _OP13}
+    return {"op3_substring_dedup": _OP3, "op4_benchmark_decontamination": _OP4, "op5_quality_rules": _OP5, "op6_minmax_near_dedup": _OP6, "op12_collocations": _OP12, "op13_prefix_trie": _OP13}
