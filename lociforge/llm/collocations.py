@@ -2,11 +2,11 @@
 
 Counts are exact and of each language's own. No phrase can be frequent unless its words are, so:
 
-1. Chunks of texts are cut into pieces and words, each chunk with a vocabulary of its own. The vocabularies, with counts,
-   are summed over the corpus; the words that are frequent in their language are numbered: the dictionary.
-2. Each chunk's vocabulary is joined with the dictionary. What is not in it breaks pieces, as punctuation does. At every
-   place that is left, the numbers of the next words (five for the longest phrases, fewer before a break) are a key of
-   fixed width. Equal keys sort next to each other, and so do all keys that begin with the same shorter phrase: one order
+1. Chunks of texts are cut into pieces and words, each chunk with a vocabulary of its own, which it sends, with counts, in
+   packed parts to segments by the hash of words. A segment sums the counts over the corpus, numbers the words that are
+   frequent in their language (the dictionary) and answers each chunk with the numbers of those that it has.
+2. What is not in the dictionary breaks a chunk's pieces, as punctuation does. At every place that is left, the numbers of
+   the next words (five for the longest phrases, fewer before a break) are a key of fixed width. Equal keys sort next to each other, and so do all keys that begin with the same shorter phrase: one order
    serves the phrases of all lengths. A chunk sorts its keys (radix, 16 bits at a time) and keeps each once, with its count.
 3. A thin, even sample of all chunks' keys gives the bounds of key ranges. Chunks send each range a slice of theirs; a
    range merges what it gets by another radix sort and counts runs: each run of keys with the same first k numbers is a
@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociforge.llm.store import written
+from lociforge.llm.store import segments, text_bytes, written
 from lociforge.llm.words import Words, chunks, mix
 
+#: Text bytes for each segment of the dictionary.
+SEGMENT_BYTES = 32 << 20
 #: Text bytes of a chunk, keys of a range at most and at least (if there are tasks to spare), keys for each one of the sample.
 CHUNK_BYTES, RANGE_KEYS, LEAST_KEYS, SAMPLE_EVERY = 12 << 20, 4_000_000, 100_000, 1024
 LONGEST = 5
@@ -41,9 +43,13 @@ BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 WORD = ~BREAK
 WORD[[0x20, 0x09]] = False
 
-_VOCABULARY = pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
-_CHUNK = pa.schema([("chunk", pa.int64()), ("words", pa.list_(_VOCABULARY)), ("n_codes", pa.int64()), ("codes", pa.binary())])
-_CHUNK_SQL = "chunk bigint, words array<struct<lang:string,word:string,n:bigint>>, n_codes bigint, codes binary"
+#: A chunk: its codes, its languages, and its vocabulary, a part for each segment (words, one a line; their places, languages and counts).
+_PART = pa.struct([("segment", pa.int64()), ("size", pa.int64()), ("words", pa.binary()), ("numbers", pa.binary())])
+_CHUNK = pa.schema([("chunk", pa.int64()), ("n_codes", pa.int64()), ("codes", pa.binary()), ("langs", pa.list_(pa.string())), ("parts", pa.list_(_PART))])
+_CHUNK_SQL = "chunk bigint, n_codes bigint, codes binary, langs array<string>, parts array<struct<segment:bigint,size:bigint,words:binary,numbers:binary>>"
+#: What a segment tells: of a frequent word (its number as key); of a language, all words' count; of a chunk, which of its words are frequent (their places and numbers).
+_TOLD = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("key", pa.binary()), ("chunk", pa.int64()), ("size", pa.int64()), ("known", pa.binary())])
+_TOLD_SQL = "lang string, word string, n bigint, key binary, chunk bigint, size bigint, known binary"
 _RUN_SQL = "n_keys bigint, keys binary, sample array<binary>"
 _SLICE_SQL = "range bigint, n_keys bigint, keys binary"
 _COUNT_SQL = "key binary, a bigint"
@@ -91,7 +97,7 @@ def _keys(keys: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(keys).tobytes())])
 
 
-def _encode(limit: int):
+def _encode(limit: int, n_segments: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks with their vocabularies; a code is twice the word's place there, and one more if a piece begins."""
         task, serial = TaskContext.get().partitionId(), 0
@@ -109,16 +115,61 @@ def _encode(limit: int):
             place = np.empty(len(often), np.int64)
             place[often] = np.arange(len(often))
             at, n = at[often], n[often]
-            data = words.data.tobytes()
-            names = pa.array([data[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)], pa.binary()).cast(pa.string())
-            vocabulary = pa.StructArray.from_arrays([langs.dictionary.take(pa.array(lang[at])), names, pa.array(n.astype(np.int64))], fields=list(_VOCABULARY))
-            codes = place[code] * 2 + begins
-            yield pa.record_batch([pa.array([(task << 32) + serial]), pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), vocabulary), pa.array([len(codes)]), pa.array([pack([codes])], pa.binary())], schema=_CHUNK)
+            codes = pack([place[code] * 2 + begins])
+            segment = (words.hashes()[at] % np.uint64(n_segments)).astype(np.int64)
+            order = np.argsort(segment, kind="stable")
+            cut = np.flatnonzero(np.append(True, segment[order][1:] != segment[order][:-1]))
+            data, parts = words.data.tobytes(), []
+            for of in np.split(order, cut[1:]):
+                spelt = b"\n".join([data[a:b] for a, b in zip(words.starts[at[of]].tolist(), words.ends[at[of]].tolist(), strict=True)])
+                parts.append({"segment": int(segment[of[0]]), "size": len(of), "words": spelt, "numbers": pack([of, lang[at[of]], n[of]])})
+            row = {"chunk": (task << 32) + serial, "n_codes": len(code), "codes": codes, "langs": langs.dictionary.to_pylist(), "parts": parts}
+            yield pa.RecordBatch.from_pylist([row], schema=_CHUNK)
             serial += 1
 
     return encode
 
 
+def _dictionary(least: int, n_segments: int):
+    """A segment: its chunks' words in; frequent words with numbers, languages' totals and answers to chunks out."""
+
+    def number(table: pa.Table) -> pa.Table:
+        words, places, langs, counts, sizes = [], [], [], [], table.column("size").to_pylist()
+        spoken = table.column("langs").to_pylist()
+        names = pa.array([x for langs in spoken for x in langs], pa.string()).dictionary_encode()
+        first = np.append(0, np.cumsum([len(x) for x in spoken]))
+        coded = names.indices.to_numpy()
+        for r, size in enumerate(sizes):
+            words += table.column("words")[r].as_py().split(b"\n")
+            place, lang, n = unpack(table.column("numbers")[r].as_py(), size, 3)
+            places.append(place)
+            langs.append(coded[first[r] + lang])
+            counts.append(n)
+        spelt = pa.array(words, pa.binary()).dictionary_encode()
+        lang, count = np.concatenate(langs).astype(np.int64), np.concatenate(counts).astype(np.int64)
+        _, at, which = np.unique(spelt.indices.to_numpy().astype(np.int64) * len(names.dictionary) + lang, return_index=True, return_inverse=True)
+        total = np.zeros(len(at), np.int64)
+        np.add.at(total, which, count)
+        frequent = total >= least
+        ids = np.where(frequent, (np.cumsum(frequent) - 1) * n_segments + table.column("segment")[0].as_py() + 1, 0)
+        if ids.max() >= 1 << 32:
+            raise ValueError("more than 4 billion words are frequent: a key has four bytes for each")
+        id_of, found = ids[which], at[frequent]
+        by_lang = np.zeros(len(names.dictionary), np.int64)
+        np.add.at(by_lang, lang, count)
+        ends = np.append(0, np.cumsum(sizes))
+        answers = [(c, id_of[a:b] > 0, p, id_of[a:b]) for c, a, b, p in zip(table.column("chunk").to_pylist(), ends[:-1], ends[1:], places, strict=True)]
+        answers = [(c, int(k.sum()), pack([p[k], i[k]])) for c, k, p, i in answers if k.any()]
+        told = lambda rows, **columns: pa.table([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _TOLD], schema=_TOLD)
+        return pa.concat_tables([
+            told(len(found), lang=names.dictionary.take(pa.array(lang[found])), word=spelt.dictionary.take(spelt.indices.take(pa.array(found))), n=pa.array(total[frequent]), key=_keys(binary(ids[frequent][None]))),
+            told(len(by_lang), lang=names.dictionary, n=pa.array(by_lang)),
+            told(len(answers), chunk=pa.array([c for c, _, _ in answers], pa.int64()), size=pa.array([n for _, n, _ in answers], pa.int64()), known=pa.array([b for _, _, b in answers], pa.binary())),
+        ])
+
+    return number
+
+
 def windows(ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """The next LONGEST ids at every place with two at least, a column for each; 0 from the end of a piece, or from a 0, on."""
     n = len(ids)
@@ -136,8 +187,7 @@ def _sorted_keys(every: int):
             for r in range(batch.num_rows):
                 n = batch.column("n_codes")[r].as_py()
                 codes = unpack(batch.column("codes")[r].as_py(), n, 1)[0].astype(np.int64)
-                known = batch.column("known").slice(r, 1).flatten()
-                places, ids = (known.field(k).to_numpy() for k in (0, 1))
+                places, ids = np.concatenate([unpack(x["known"], x["size"], 2) for x in batch.column("answers")[r].as_py()], 1)
                 id_of = np.zeros(int(codes.max()) // 2 + 1, np.uint32)
                 id_of[places] = ids
                 # numbers of this chunk, in the order of their ids, need fewer digits
@@ -203,27 +253,11 @@ def _picked(every: int):
     return pick
 
 
-def dictionary(encoded: DataFrame, least: int) -> DataFrame:
-    """lang, word, n, key: the words found least times or more in their language, numbered from 1 on in that order; key: the number in four bytes."""
-    frequent = encoded.select(F.inline("words")).groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    placed = frequent.repartitionByRange(F.col("lang"), F.col("word")).sortWithinPartitions("lang", "word").select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    placed = written(placed.withColumn("at", F.expr("at - (cast(part as bigint) << 33)")))
-    sizes, before, total = placed.groupBy("part").count().orderBy("part").collect(), [], 0
-    for r in sizes:
-        before.append((r["part"], total + 1))
-        total += r["count"]
-    if total >= 1 << 32:
-        raise ValueError("more than 4 billion words are frequent: a key has four bytes for each")
-    offsets = F.broadcast(placed.sparkSession.createDataFrame(before, "part int, before bigint"))
-    return placed.join(offsets, "part").select("lang", "word", "n", F.unhex(F.lpad(F.hex(F.col("before") + F.col("at")), 8, "0")).alias("key"))
-
-
-def phrase_counts(encoded: DataFrame, words: DataFrame, least: int) -> DataFrame:
+def phrase_counts(encoded: DataFrame, answers: DataFrame, least: int) -> DataFrame:
     """key, a: phrases of 2 to LONGEST words of the dictionary that are found least times or more; key: their words' keys joined."""
     spark = encoded.sparkSession
-    placed = encoded.select("chunk", F.posexplode("words").alias("place", "v")).select("chunk", "place", "v.lang", "v.word")
-    known = placed.join(words.select("lang", "word", "key"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("place", F.conv(F.hex("key"), 16, 10).cast("bigint").alias("id"))).alias("known"))
-    keyed = written(encoded.select("chunk", "n_codes", "codes").join(known.hint("shuffle_hash"), "chunk").select("n_codes", "codes", "known").mapInArrow(_sorted_keys(SAMPLE_EVERY), _RUN_SQL), "none")
+    known = answers.groupBy("chunk").agg(F.collect_list(F.struct("size", "known")).alias("answers"))
+    keyed = written(encoded.select("chunk", "n_codes", "codes").join(known.hint("shuffle_hash"), "chunk").select("n_codes", "codes", "answers").mapInArrow(_sorted_keys(SAMPLE_EVERY), _RUN_SQL), "none")
     n_keys = keyed.agg(F.coalesce(F.sum("n_keys"), F.lit(0)).alias("n")).first().n
     n_ranges = max(-(-n_keys // RANGE_KEYS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_keys // LEAST_KEYS), 1)
     sample = keyed.select(F.explode("sample").alias("key"))
@@ -253,10 +287,13 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     of any length are read whole, a long one as a chunk of its own. Other columns are not read. An empty table gives an empty result.
     """
     docs = df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    encoded = written(docs.mapInArrow(_encode(CHUNK_BYTES), _CHUNK_SQL), "zstd")
-    words = written(dictionary(encoded, least))
-    totals = encoded.select(F.inline("words")).groupBy("lang").agg(F.sum("n").alias("n"))
-    phrases = written(phrase_counts(encoded, words, least))
+    n_segments = segments(text_bytes(docs), SEGMENT_BYTES)
+    encoded = written(docs.mapInArrow(_encode(CHUNK_BYTES, n_segments), _CHUNK_SQL), "zstd")
+    parts = encoded.select("chunk", "langs", F.inline("parts"))
+    told = written(parts.groupBy("segment").applyInArrow(_dictionary(least, n_segments), _TOLD_SQL))
+    words = told.where("key is not null").select("lang", "word", "n", "key")
+    totals = told.where("key is null and lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+    phrases = written(phrase_counts(encoded, told.where("chunk is not null").select("chunk", "size", "known"), least))
 
     k = F.octet_length("key") / 4
     found = words.select("key", F.col("n").alias("f")).unionByName(phrases.select("key", F.col("a").alias("f")))

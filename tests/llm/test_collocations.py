@@ -67,6 +67,7 @@ def test_against_plain_python(spark, monkeypatch, seed, n, least, keys):
     monkeypatch.setattr(C, "CHUNK_BYTES", 3000)
     monkeypatch.setattr(C, "RANGE_KEYS", keys)
     monkeypatch.setattr(C, "SAMPLE_EVERY", 7)
+    monkeypatch.setattr(C, "SEGMENT_BYTES", 2000)
     rows = corpus(seed, n)
     df = spark.createDataFrame(rows, "text string, lang string").repartition(3).withColumn("word", F.lit(1)).withColumn("key", F.lit("x"))
     assert rows_of(collocations(df, least=least)) == expected(rows, least)
