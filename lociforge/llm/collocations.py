@@ -14,7 +14,7 @@ Counts are exact and of each language's own. No phrase can be frequent unless it
 4. The frequent phrases that are left are joined with their own parts for scores.
 
 A word or phrase that stands everywhere takes one entry of each chunk. Bounds of ranges are sent to all tasks: 20 bytes
-for each RANGE_KEYS keys (4 million words of text or more), a millionth of the text. Words of a chunk are told apart by 64 bits.
+for each RANGE_KEYS keys (3 million words of text or more), a millionth of the text. Words of a chunk are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -29,12 +29,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociforge.llm.store import segments, text_bytes, written
-from lociforge.llm.words import Words, chunks, mix
+from lociforge.llm.words import Words, chunks, mix, tidy
 
 #: Text bytes for each segment of the dictionary.
 SEGMENT_BYTES = 32 << 20
 #: Text bytes of a chunk, keys of a range at most and at least (if there are tasks to spare), keys for each one of the sample.
-CHUNK_BYTES, RANGE_KEYS, LEAST_KEYS, SAMPLE_EVERY = 12 << 20, 4_000_000, 100_000, 1024
+CHUNK_BYTES, RANGE_KEYS, LEAST_KEYS, SAMPLE_EVERY = 8 << 20, 3_000_000, 100_000, 1024
 LONGEST = 5
 
 #: What ends a piece, and words: all but these, space and tab.
@@ -126,6 +126,8 @@ def _encode(limit: int, n_segments: int):
             row = {"chunk": (task << 32) + serial, "n_codes": len(code), "codes": codes, "langs": langs.dictionary.to_pylist(), "parts": parts}
             yield pa.RecordBatch.from_pylist([row], schema=_CHUNK)
             serial += 1
+            del words, row, data, parts, code, codes, begins, breaks, lang
+            tidy()
 
     return encode
 
@@ -202,6 +204,8 @@ def _sorted_keys(every: int):
                 columns = own[columns[:, head]]
                 sample = _keys(binary(columns[:, every // 2 :: every]))
                 yield pa.record_batch([pa.array([len(head)]), pa.array([pack([*columns, counts])], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(sample)], pa.int32()), sample)], ["n_keys", "keys", "sample"])
+                del columns, counts, head, codes
+                tidy()
 
     return sort
 
@@ -227,6 +231,7 @@ def _counted(least: int):
         columns = np.concatenate(parts, 1)
         del parts
         columns = columns[:, radix_order(columns[:LONGEST])]
+        tidy()
         counts, n = columns[LONGEST].astype(np.int64), columns.shape[1]
         keys, sums = [], []
         for k in range(2, LONGEST + 1):
@@ -238,6 +243,8 @@ def _counted(least: int):
             chosen = some & (open_end | (total >= least))
             keys.append(_keys(binary(columns[:k, head[chosen]])))
             sums.append(total[chosen])
+        del columns, counts, head, total
+        tidy()
         return pa.table([pa.chunked_array(keys, pa.binary()).combine_chunks(), pa.array(np.concatenate(sums))], ["key", "a"])
 
     return count
