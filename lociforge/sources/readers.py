@@ -10,30 +10,42 @@ from lociforge.functions.text import attribute, attributes
 GTF_SCHEMA = "chromosome string, source string, feature string, start int, end int, score string, strand string, frame string, attribute string"
 
 
-def read_vcf(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Long genotypes (contig, pos, variant_id, alleles, sample_id, call) of VCF files, plain or gzipped.
+def block_gzip_lines(spark: SparkSession, path: str, split_bytes: int | None = None, header: str | None = None) -> DataFrame:
+    """(path, line) of block-gzipped files, ranges of which go to different tasks; with header, each file's first line that begins so."""
+    from lociforge.sources.bgzip import BlockGzipLines
 
-    The header line with the sample names is found by a scan that stops there; all files of the path share it, and a line
-    with another number of samples is an error (read files of other samples one by one). Calls are taken from where each
-    line's FORMAT says GT stands; a line without it gives null calls. A gzipped file is one task: `partitions` deals its
-    lines out before they are parsed.
+    spark.dataSource.register(BlockGzipLines)
+    options = {"splitBytes": split_bytes, "header": header}
+    return spark.read.format("block_gzip_lines").options(**{k: str(v) for k, v in options.items() if v is not None}).load(path)
+
+
+def read_vcf(spark: SparkSession, path: str, partitions: int | None = None, block_gzip: bool | None = None, split_bytes: int | None = None) -> DataFrame:
+    """Long genotypes (contig, pos, variant_id, alleles, sample_id, call) of VCF files: plain, gzipped or block-gzipped.
+
+    Each file has its own header line with the names of its samples: its calls get these, whatever other files of the path
+    hold. A line with another number of samples than its file's header is an error, as is a file without a header that has
+    lines. Calls are taken from where each line's FORMAT says GT stands; a line without it gives null calls.
+    block_gzip (true by default for paths that end in .bgz; set it for block-gzipped .gz files) reads ranges of
+    split_bytes compressed bytes of each file in tasks of their own. A file in plain gzip is one task: `partitions` deals its
+    lines out before they are parsed. One file's header is found by a scan that stops there, several files' by a scan over them.
     """
-    lines = spark.read.text(path)
-    header = lines.where(F.col("value").startswith("#CHROM")).first()
-    if header is None:
-        raise ValueError(f"no #CHROM line in {path}")
-    samples = header.value.split("\t")[9:]
-    f = F.split("value", "\t")
-    body = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0))
-    body = body.repartition(partitions) if partitions else body
-    other = F.raise_error(F.format_string("a line of %d samples where the header names %d", F.size(f) - 9, F.lit(len(samples))))
-    rows = body.select(F.when(F.size(f) == 9 + len(samples), f).otherwise(other.cast("array<string>")).alias("f")) if samples else body.select(f.alias("f"))
+    blocks = path.endswith(".bgz") if block_gzip is None else block_gzip
+    lines = block_gzip_lines(spark, path, split_bytes) if blocks else spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    heads = block_gzip_lines(spark, path, header="#CHROM") if blocks else lines.where(F.col("line").startswith("#CHROM"))
+    if not blocks and len(lines.inputFiles()) == 1:
+        heads = heads.limit(1)
+    heads = heads.groupBy("path").agg(F.min("line").alias("line")).select("path", F.slice(F.split("line", "\t"), 10, F.size(F.split("line", "\t"))).alias("samples"))
+    body = lines.where(~F.col("line").startswith("#") & (F.length("line") > 0))
+    body = (body.repartition(partitions) if partitions else body).join(heads, "path", "left")
+    f, n = F.split("line", "\t"), F.size("samples")
+    lacks = F.raise_error(F.concat(F.lit("no #CHROM line in "), F.col("path"))).cast("array<string>")
+    other = F.raise_error(F.format_string("a line of %d samples where the header names %d", F.size(f) - 9, n)).cast("array<string>")
+    rows = body.select("samples", F.when(F.col("samples").isNull(), lacks).when((n > 0) & (F.size(f) != 9 + n), other).otherwise(f).alias("f"))
     alleles = F.concat(F.array(F.get("f", F.lit(3))), F.split(F.get("f", F.lit(4)), ","))
-    rows = rows.select(F.get("f", F.lit(0)).alias("contig"), F.get("f", F.lit(1)).cast("int").alias("pos"), alleles.alias("alleles"), F.array_position(F.split(F.get("f", F.lit(8)), ":"), "GT").cast("int").alias("at"), F.slice("f", 10, len(samples)).alias("calls"))
-    names = F.array(*map(F.lit, samples))
-    cells = rows.select("contig", "pos", F.concat_ws(":", "contig", F.col("pos").cast("string")).alias("variant_id"), "alleles", "at", F.posexplode("calls").alias("k", "cell"))
-    call = F.when(F.col("at") > 0, F.get(F.split("cell", ":"), F.col("at") - 1))
-    return cells.select("contig", "pos", "variant_id", "alleles", F.get(names, F.col("k")).alias("sample_id"), call.alias("call"))
+    called = F.arrays_zip("samples", F.slice("f", 10, n).alias("calls"))
+    rows = rows.select(F.get("f", F.lit(0)).alias("contig"), F.get("f", F.lit(1)).cast("int").alias("pos"), alleles.alias("alleles"), F.array_position(F.split(F.get("f", F.lit(8)), ":"), "GT").cast("int").alias("at"), F.explode(called).alias("c"))
+    call = F.when(F.col("at") > 0, F.get(F.split("c.calls", ":"), F.col("at") - 1))
+    return rows.select("contig", "pos", F.concat_ws(":", "contig", F.col("pos").cast("string")).alias("variant_id"), "alleles", F.col("c.samples").alias("sample_id"), call.alias("call"))
 
 
 def read_gtf(spark: SparkSession, path: str, keys: list[str] | None = None, contigs: list[str] | None = None) -> DataFrame:
