@@ -131,8 +131,13 @@ def bh_adjust(df: DataFrame, p: str = "p") -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """Density in equal bins from the smallest to the largest value: (bin, left, density). Empty bins are listed."""
-    t = df.agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(value).alias("_n"))
+    """Density in equal bins from the smallest to the largest value: (bin, left, density). Empty bins are listed.
+
+    Where all values are equal the bins go from half below to half above them. Without values there are no bins.
+    """
+    t = df.agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(value).alias("_n")).where("_n > 0")
+    half = F.when(F.col("_low") == F.col("_high"), 0.5).otherwise(0.0)
+    t = t.select((F.col("_low") - half).alias("_low"), (F.col("_high") + half).alias("_high"), "_n")
     width = (F.col("_high") - F.col("_low")) / bins
     k = F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_low")) / width))
     counted = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(t)).groupBy(k.cast("long").alias("bin")).agg(F.count("*").alias("_c"))

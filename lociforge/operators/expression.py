@@ -93,7 +93,7 @@ def _two_sided(z: Column) -> Column:
     poly = F.lit(0.0)
     for a in ERFC:
         poly = poly * t + a
-    return t * F.exp(poly - z * z / 2)
+    return F.least(F.lit(1.0), t * F.exp(poly - z * z / 2))
 
 
 def permutation_null(predictions: DataFrame, n: int, seed: int = 42, label: str = "label", p: str = "y_pred", key: str = "sample_id") -> DataFrame:

@@ -83,33 +83,39 @@ def cumulative(df: DataFrame, label: str = "label", p: str = "y_pred", by: tuple
     return counts.select("*", s("pos").over(down).alias("tps"), s("neg").over(down).alias("fps"), s("pos").over(w).alias("n_pos"), s("neg").over(w).alias("n_neg"))
 
 
+def _share(part: str, whole: str) -> Column:
+    """part / whole; null where the whole is 0."""
+    return F.col(part) / F.nullif(F.col(whole), F.lit(0))
+
+
 def roc_curve(df: DataFrame, **names) -> DataFrame:
-    """False and true positive rates at each distinct score. Points on a line with their neighbours stay."""
-    return cumulative(df, **names).select("threshold", (F.col("fps") / F.col("n_neg")).alias("fpr"), (F.col("tps") / F.col("n_pos")).alias("tpr"))
+    """False and true positive rates at each distinct score. Points on a line with their neighbours stay. Without controls (cases) the first (second) is null."""
+    return cumulative(df, **names).select("threshold", _share("fps", "n_neg").alias("fpr"), _share("tps", "n_pos").alias("tpr"))
 
 
 def roc_auc(df: DataFrame, **names) -> DataFrame:
-    """Area under the curve, by trapezoids from (0, 0): a score's step is its own cases and controls."""
-    area = F.col("neg") * (2 * F.col("tps") - F.col("pos")) / (2 * F.col("n_neg") * F.col("n_pos"))
+    """Area under the curve, by trapezoids from (0, 0): a score's step is its own cases and controls. Null if only one class is there."""
+    area = F.col("neg") * (2 * F.col("tps") - F.col("pos")) / F.nullif(2 * F.col("n_neg") * F.col("n_pos"), F.lit(0))
     return cumulative(df, **names).agg(F.sum(area).alias("auc"))
 
 
 def pr_curve(df: DataFrame, **names) -> DataFrame:
-    """Precision and recall at each distinct score."""
-    return cumulative(df, **names).select("threshold", (F.col("tps") / (F.col("tps") + F.col("fps"))).alias("precision"), (F.col("tps") / F.col("n_pos")).alias("recall"))
+    """Precision and recall at each distinct score; recall is null without cases."""
+    return cumulative(df, **names).select("threshold", (F.col("tps") / (F.col("tps") + F.col("fps"))).alias("precision"), _share("tps", "n_pos").alias("recall"))
 
 
 def average_precision(df: DataFrame, **names) -> DataFrame:
-    """Sum over scores of the gain in recall times the precision."""
-    return cumulative(df, **names).agg(F.sum(F.col("pos") / F.col("n_pos") * F.col("tps") / (F.col("tps") + F.col("fps"))).alias("ap"))
+    """Sum over scores of the gain in recall times the precision; null without cases."""
+    return cumulative(df, **names).agg(F.sum(_share("pos", "n_pos") * F.col("tps") / (F.col("tps") + F.col("fps"))).alias("ap"))
 
 
 def mean_roc(df: DataFrame, run: str = "run_id", points: int = 100) -> DataFrame:
     """Mean true positive rate over runs on an even grid of false positive rates, and the band of one deviation, cut to [0, 1].
 
-    Each run's curve is read off the grid by linear interpolation between its points; at equal rates the highest counts.
+    Each run's curve is read off the grid by linear interpolation between its points; at equal rates the highest counts. A run
+    with one class only has no curve and is left out.
     """
-    curve = cumulative(df, by=(run,)).select(run, (F.col("fps") / F.col("n_neg")).alias("x"), (F.col("tps") / F.col("n_pos")).alias("y"))
+    curve = cumulative(df, by=(run,)).where("n_neg > 0 and n_pos > 0").select(run, _share("fps", "n_neg").alias("x"), _share("tps", "n_pos").alias("y"))
     curve = curve.groupBy(run, "x").agg(F.max("y").alias("y"))
     zero = curve.select(run).distinct().select(run, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     w = W.partitionBy(run).orderBy("x")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -32,17 +33,19 @@ def run_condition(ids: list[str] | str | None = None, tags: list[str] | str | No
     return keep
 
 
-def log_values(spark: SparkSession, path: str, run_id: str, metrics: dict[str, float] | None = None, params: dict | None = None, tags: dict | None = None) -> None:
-    """Appends a run's metrics, parameters and tags as rows (run_id, kind, key, number, text)."""
-    rows = [(run_id, "metric", k, float(v), None) for k, v in (metrics or {}).items()]
-    rows += [(run_id, kind, k, None, str(v)) for kind, d in (("param", params), ("tag", tags)) for k, v in (d or {}).items()]
+def log_values(spark: SparkSession, path: str, run_id: str, metrics: dict[str, float] | None = None, params: dict | None = None, tags: dict | None = None, step: int = 0) -> None:
+    """Appends a run's metrics, parameters and tags as rows (run_id, kind, key, number, text, step, at), `at` being the time of writing in nanoseconds."""
+    at = time.time_ns()
+    rows = [(run_id, "metric", k, float(v), None, step, at) for k, v in (metrics or {}).items()]
+    rows += [(run_id, kind, k, None, str(v), step, at) for kind, d in (("param", params), ("tag", tags)) for k, v in (d or {}).items()]
     if rows:
-        spark.createDataFrame(rows, "run_id string, kind string, key string, number double, text string").coalesce(1).write.mode("append").parquet(path)
+        spark.createDataFrame(rows, "run_id string, kind string, key string, number double, text string, step long, at long").coalesce(1).write.mode("append").parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each run: metrics, params and tags as maps. A key that was logged again keeps its largest value."""
-    rows = spark.read.parquet(path).groupBy("run_id", "kind", "key").agg(F.max("number").alias("number"), F.max("text").alias("text"))
+    """One row for each run: metrics, params and tags as maps. A key that was logged again has the value of its last step, of equal steps the one written last."""
+    last = F.max(F.struct("step", "at", "number", "text")).alias("v")
+    rows = spark.read.parquet(path).groupBy("run_id", "kind", "key").agg(last).select("run_id", "kind", "key", "v.number", "v.text")
     pairs = lambda kind, value: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", value))))
     return rows.groupBy("run_id").agg(pairs("metric", "number").alias("metrics"), pairs("param", "text").alias("params"), pairs("tag", "text").alias("tags"))
 
