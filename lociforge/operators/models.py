@@ -132,64 +132,3 @@ def knn(train: DataFrame, test: DataFrame, k: int = 5, vector: str = "embedding"
     near = train.select(key, vector, label).mapInPandas(nearest, f"q {kind}, d double, n {kind}, y double")
     top = near.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("d", "n"))).where(F.col("r") <= k)
     return top.groupBy(F.col("q").alias(key)).agg(F.avg("y").alias("p1"))
-
-
-def bayesian_selector(tasks: DataFrame, features: list[str], label: str = "label", by: str = "iteration", draws: int = 200, epochs: int = 60, rate: float = 0.05, seed: int = 42, held_out: float = 0.2, patience: int = 10) -> DataFrame:
-    """Posterior draws (iteration, draw, feature_name, beta) of a logistic regression with shrinking scales, one fit for each iteration.
-
-    A mean-field normal posterior is fitted by stochastic gradients; each weight has a log scale with a heavy-tailed prior, so
-    weights without evidence go to 0. Gradients are summed over partitions, those of all iterations in one job for each epoch:
-    rows stay where they are, and only sums and weights travel. A share `held_out` of the rows, chosen by a hash of their features,
-    gives each epoch's loss of the posterior mean in the same job; each fit keeps the parameters of its best epoch, and the epochs
-    end when no fit has had a better one for `patience` of them. Without held-out rows the last epoch's parameters stay.
-    """
-    spark, kind, n = tasks.sparkSession, dict(tasks.dtypes)[by], len(features)
-    x = [f"_x{k}" for k in range(n)]
-    aside = F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(10000)) < int(10000 * held_out)
-    data = tasks.select(by, F.col(label).cast("double").alias("_y"), aside.alias("_aside"), *[F.col(f).cast("double").alias(c) for f, c in zip(features, x, strict=True)])
-    spans = data.groupBy(by).agg(*[f(c).alias(c + a) for c in x for f, a in ((F.min, "_low"), (F.max, "_high"), (F.avg, "_mean"))])
-    width = lambda c: F.when(F.col(c + "_high") > F.col(c + "_low"), F.col(c + "_high") - F.col(c + "_low")).otherwise(1.0)
-    scaled = data.join(F.broadcast(spans), by).select(by, "_y", "_aside", *[((F.col(c) - F.col(c + "_mean")) / width(c)).alias(c) for c in x]).persist()
-    keys = sorted(r[0] for r in scaled.select(by).distinct().collect())
-    rngs = [np.random.Generator(np.random.PCG64(seed + int(k))) for k in keys]
-    m, s = np.zeros((len(keys), n)), np.full((len(keys), n), -2.0)
-    b, gm, gs, gb = np.zeros(len(keys)), 1e-8, 1e-8, 1e-8
-    best, loss, since = [m.copy(), s.copy()], np.full(len(keys), np.inf), 0
-
-    def score(weights: str) -> Column:
-        z = sum((F.col(c) * F.get(weights, F.lit(k)) for k, c in enumerate(x)), F.col("_b"))
-        return F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))
-
-    z, fitting = F.when(F.col("_aside"), score("_m")).otherwise(score("_w")), ~F.col("_aside")
-    r = 1 / (1 + F.exp(-z)) - F.col("_y")
-    missed = F.avg(F.when(F.col("_aside"), F.log1p(F.exp(F.col("_z"))) - F.col("_y") * F.col("_z")))
-    for _ in range(epochs if keys else 0):
-        e = np.array([rng.normal(size=n) for rng in rngs])
-        w = m + np.exp(s) * e
-        now = spark.createDataFrame([(k, v.tolist(), float(c), u.tolist()) for k, v, c, u in zip(keys, w, b, m, strict=True)], f"{by} {kind}, _w array<double>, _b double, _m array<double>")
-        rest = scaled.join(F.broadcast(now), by).select(by, *x, "_y", "_aside", z.alias("_z"), F.when(fitting, r).otherwise(0.0).alias("_r"))
-        sums = {row[0]: row[1:] for row in rest.groupBy(by).agg(*[F.sum(F.col(c) * F.col("_r")) for c in x], F.sum("_r"), missed).collect()}
-        sums = np.array([sums[k] for k in keys], float)
-        better = ~(sums[:, n + 1] >= loss)  # a fit without held-out rows always goes on
-        best = [np.where(better[:, None], now_, old) for now_, old in zip((m, s), best, strict=True)]
-        loss, since = np.where(better, sums[:, n + 1], loss), 0 if better.any() else since + 1
-        if since >= patience:
-            break
-        g, gr = sums[:, :n] + 2 * w / (0.1 + w * w), sums[:, n]
-        ds = g * e * np.exp(s) - 1
-        gm, gs, gb = gm + g * g, gs + ds * ds, gb + gr**2
-        m, s, b = m - rate * 4 * g / np.sqrt(gm), np.clip(s - rate * ds / np.sqrt(gs), -6, 2), b - rate * gr / np.sqrt(gb)
-    scaled.unpersist()
-    if held_out > 0:
-        m, s = (np.where(np.isnan(loss)[:, None], last, kept) for last, kept in zip((m, s), best, strict=True))
-
-    def draw(frames):
-        for f in frames:
-            for key, mean, scale in f.itertuples(index=False):
-                rng = np.random.Generator(np.random.PCG64(seed + int(key)))
-                rng.normal(size=(epochs, n))  # those of the epochs
-                beta = np.array(mean) + np.exp(np.array(scale)) * rng.normal(size=(draws, n))
-                yield pd.DataFrame({by: np.full(draws * n, key), "draw": np.arange(draws).repeat(n), "feature_name": np.tile(features, draws), "beta": beta.ravel()})
-
-    fitted = spark.createDataFrame([(k, v.tolist(), c.tolist()) for k, v, c in zip(keys, m, s, strict=True)], f"{by} {kind}, _m array<double>, _s array<double>")
-    return fitted.mapInPandas(draw, f"{by} {kind}, draw int, feature_name string, beta double")

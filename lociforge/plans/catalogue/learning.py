@@ -6,6 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociforge.operators import horseshoe as H
 from lociforge.operators import models as M
 from lociforge.operators import selection as L
 from lociforge.plans.catalogue import Tables, query
@@ -75,7 +76,7 @@ def rff_svc(t: Tables) -> DataFrame:
 def horseshoe_selector(t: Tables) -> DataFrame:
     """Posterior effects of each feature over five iterations, among which all samples are dealt out."""
     s = samples(t).withColumn("iteration", (F.col("sample_id") % 5).cast("int"))
-    return L.effect_sizes(M.bayesian_selector(s, _COLUMNS))
+    return L.effect_sizes(H.bayesian_selector(s, _COLUMNS))
 
 
 @query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), b AS (SELECT * FROM embeddings WHERE vec_id % 20 <> 0),

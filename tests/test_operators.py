@@ -13,6 +13,7 @@ from lociforge.functions import genotype as G
 from lociforge.functions import series as N
 from lociforge.functions import text as X
 from lociforge.functions.predicates import filtered
+from lociforge.operators import horseshoe as H
 from lociforge.operators import cohort as C
 from lociforge.operators import intervals as I
 from lociforge.operators import metrics as M
@@ -150,7 +151,7 @@ def test_selector_prefers_the_real_feature(spark):
     rng = np.random.default_rng(2)
     x = rng.random((300, 4))
     df = spark.createDataFrame([(0, int(v[1] > 0.5), *map(float, v)) for v in x], "iteration int, label int, f0 double, f1 double, f2 double, f3 double")
-    e = S.effect_sizes(L.bayesian_selector(df, ["f0", "f1", "f2", "f3"])).orderBy(F.desc("effect_size")).first()
+    e = S.effect_sizes(H.bayesian_selector(df, ["f0", "f1", "f2", "f3"])).orderBy(F.desc("effect_size")).first()
     assert e.feature_name == "f1"
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociforge.functions.frames import merged_maps
+from lociforge.operators import horseshoe as H
 from lociforge.operators import cohort as C
 from lociforge.operators import expression as X
 from lociforge.operators import metrics as M
@@ -80,6 +81,6 @@ def test_merged_maps(spark):
 @pytest.mark.parametrize("held_out", [0.0, 0.3])
 def test_selector_ends_early_and_without_held_out_rows(spark, held_out):
     df = spark.range(200).select((F.col("id") % 2).alias("iteration"), (F.col("id") % 7 > 2).cast("int").alias("label"), (F.col("id") % 7).cast("double").alias("f0"), (F.col("id") % 5).cast("double").alias("f1"))
-    got = L.bayesian_selector(df, ["f0", "f1"], draws=50, epochs=20, held_out=held_out, patience=3).groupBy("iteration", "feature_name").agg(F.avg("beta").alias("b"))
+    got = H.bayesian_selector(df, ["f0", "f1"], draws=50, maxEpochs=20, heldOut=held_out, patience=3).groupBy("iteration", "feature_name").agg(F.avg("beta").alias("b"))
     means = {(r.iteration, r.feature_name): r.b for r in got.collect()}
     assert len(means) == 4 and all(means[k, "f0"] > abs(means[k, "f1"]) for k in (0, 1))
