@@ -59,28 +59,6 @@ def test_html_repeats_over_a_whole_host(spark, n):
     assert got[n] == f"{words('shared', 0)}\n\n{words('own', 0)}"
 
 
-def test_horseshoe_takes_all_samples(spark, monkeypatch):
-    from lociforge.plans.catalogue import Tables, learning
-
-    seen = []
-    monkeypatch.setattr(learning.M, "bayesian_selector", lambda s, *a: seen.append(s) or s.selectExpr("'f' AS feature_name", "quantity AS beta"))
-    t = Tables(spark, "/root/testdata/sf0.001")
-    learning.horseshoe_selector(t)
-    assert seen[0].count() == learning.samples(t).count() and seen[0].select("iteration").distinct().count() == 5
-
-
-def test_selector_does_not_gather_an_iteration(spark):
-    """Fits do not depend on how rows lie in partitions, and no task gets all rows of an iteration."""
-    from lociforge.operators.models import bayesian_selector
-
-    x = np.random.default_rng(4).random((400, 3))
-    df = spark.createDataFrame([(k % 2, int(v[1] > 0.6), *map(float, v)) for k, v in enumerate(x)], "iteration int, label int, f0 double, f1 double, f2 double")
-    one, many = (bayesian_selector(df.repartition(p), ["f0", "f1", "f2"], epochs=5) for p in (1, 7))
-    assert "FlatMapGroups" not in many._jdf.queryExecution().toString()
-    means = [{(r.iteration, r.feature_name): r.m for r in d.groupBy("iteration", "feature_name").agg(F.avg("beta").alias("m")).collect()} for d in (one, many)]
-    assert len(means[0]) == 6 and all(math.isclose(means[0][k], means[1][k], abs_tol=1e-9) for k in means[0])
-
-
 def test_intermediate_tables(spark, tmp_path, monkeypatch):
     """They lie in the shared folder, and can be deleted; a cluster without such a folder is an error."""
     from types import SimpleNamespace
