@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lociforge.functions import series as N
 from lociforge.operators import expression as X
+from lociforge.operators import glm as G
 from lociforge.operators import selection as L
 from lociforge.plans.catalogue import Tables, query
 from lociforge.plans.catalogue.summaries import _rounded
@@ -201,6 +202,33 @@ def differential_expression(t: Tables) -> DataFrame:
     return _rounded(X.differential_expression(counts, X.size_factors(counts), groups).select("gene_id", "base_mean", "log2_fold_change", "se", "p", "padj"))
 
 
+_GLM = f"""{_COUNTS}, s AS (SELECT gene_id, sum(c) FILTER (sample_id % 2 = 0) / 5 AS m0, sum(c) FILTER (sample_id % 2 = 1) / 5 AS m1, sum(c) / 10 AS base FROM cn GROUP BY 1),
+  d AS (SELECT gene_id, base, ln(m1 / m0) / ln(2) AS lfc, sqrt((1 + 0.1 * m0) / (5 * m0) + (1 + 0.1 * m1) / (5 * m1)) / ln(2) AS se FROM s),
+  z AS (SELECT *, abs(lfc / se) AS z, 1 / (1 + 0.5 * abs(lfc / se) / sqrt(2)) AS t FROM d), p AS (SELECT *, t * exp({_POLY} - z * z / 2) AS p FROM z),
+  q AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS q FROM p)"""
+
+
+def _study_counts(t: Tables) -> DataFrame:
+    return t.lineitem.groupBy((F.col("l_partkey") % 50).alias("gene_id"), (F.col("l_suppkey") % 10).alias("sample_id")).agg(F.sum("l_quantity").cast("bigint").alias("count"))
+
+
+@query(f"WITH {_GLM} SELECT gene_id, round(base, 4) AS base_mean, round(lfc, 5) AS log2_fold_change, round(se, 5) AS se, round(p, 5) AS p, round(least(1, min(q) OVER (ORDER BY p DESC)), 5) AS padj FROM q")
+def glm_two_groups(t: Tables) -> DataFrame:
+    """The regression of a two-group design at a given dispersion and equal size factors, which has a closed form."""
+    samples = t.spark.range(10).select(F.col("id").alias("sample_id"), F.lit(1.0).alias("size_factor"), (F.col("id") % 2).alias("case"))
+    got = G.negative_binomial(_study_counts(t), samples, ["case"], "case", dispersion=0.1)
+    return got.select("gene_id", F.round("base_mean", 4).alias("base_mean"), *[F.round(c, 5).alias(c) for c in ("log2_fold_change", "se", "p", "padj")])
+
+
+@query()
+def glm_expression(t: Tables) -> DataFrame:
+    """Group and a covariate, dispersions fitted, shrunk to their trend: each part a gene, each supplier's remainder a sample."""
+    counts = t.lineitem.groupBy(F.col("l_partkey").alias("gene_id"), (F.col("l_suppkey") % 12).alias("sample_id")).agg(F.sum("l_quantity").cast("bigint").alias("count"))
+    totals = counts.groupBy("sample_id").agg(F.sum("count").alias("n"))
+    samples = N.with_totals(totals, _mean=F.avg("n")).select("sample_id", (F.col("n") / F.col("_mean")).alias("size_factor"), (F.col("sample_id") % 2).alias("case"), (F.floor(F.col("sample_id") / 2) % 2).alias("sex"))
+    return G.negative_binomial(counts, samples, ["case", "sex"], "case")
+
+
 @query("""WITH preds AS (SELECT doc_id AS sample_id, quality AS label, CASE WHEN n_chars / (n_chars + 3000.0) > 0.5 THEN 1 ELSE 0 END AS h FROM labels JOIN documents USING (doc_id)), r AS (SELECT CAST(k AS INTEGER) AS run FROM range(21) AS r(k)),
   a AS (SELECT run, h, row_number() OVER (PARTITION BY run ORDER BY lpad(CAST(sample_id AS VARCHAR), 32, '0')) AS n FROM preds, r),
   b AS (SELECT run, label, row_number() OVER (PARTITION BY run ORDER BY CASE WHEN run = 0 THEN lpad(CAST(sample_id AS VARCHAR), 32, '0') ELSE md5(sample_id || '#42#' || run) END) AS n FROM preds, r)
