@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from threading import Event
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociforge.functions.genotype import is_snp, variant_id
@@ -14,6 +18,7 @@ from lociforge.operators import models as M
 from lociforge.operators import summaries as R
 from lociforge.operators.intervals import interval_semi_join
 from lociforge.operators.variants import qc_condition, variant_stats
+from lociforge.sources.shared import exists, new_path
 
 
 def genotype_features(calls: DataFrame, genes: DataFrame | None = None, gene_set: DataFrame | None = None, gt: str = "gt", copies: int = 2, **limits) -> DataFrame:
@@ -60,21 +65,59 @@ def evaluate(train: DataFrame, test: DataFrame, name: str, holdouts: dict[str, D
     return {"model": fitted, "predictions": scored, "metrics": S.classifier_metrics(scored, ("dataset", "table")), "importances": table}
 
 
-def bootstrap_models(samples: DataFrame, names: list[str], iterations: int, size: int, test_size: float = 0.3, seed: int = 42, holdouts: dict[str, DataFrame] | None = None) -> DataFrame:
+FITS = "iteration int, model_name string"
+
+
+def finished_fits(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger of bootstrap_models at path: (iteration, model_name) of the fits whose results are written."""
+    found = exists(spark, f"{path}/finished")
+    return spark.read.schema(f"at string, {FITS}").parquet(f"{path}/finished").select("iteration", "model_name") if found else spark.createDataFrame([], FITS)
+
+
+def bootstrap_models(samples: DataFrame, names: list[str], iterations: int, size: int, test_size: float = 0.3, seed: int = 42, holdouts: dict[str, DataFrame] | None = None, path: str | None = None, first: int = 0, parallel: int = 2) -> DataFrame:
     """Metrics (iteration, model_name, dataset, table, ...) of each model on bootstrapped splits of samples (sample_id, label, features).
 
-    Each iteration splits by label, draws its training rows with replacement within labels, and leaves the test rows as they
-    are. Iterations are a loop of Spark jobs, as fits are.
+    Each iteration from `first` on splits by label, draws its training rows with replacement within labels, and leaves the test
+    rows as they are. What a fit gives is written to path, then the fit is entered in a ledger there; fits in the ledger are
+    not made again, so that a run that was stopped goes on where it was. Without a path a new one in the shared folder is
+    taken. `parallel` iterations run at a time, each in a scheduler pool of its own. Half-written results are neither
+    read nor kept. Results of one path belong to the same samples and parameters, which is not checked.
     """
-    out = None
-    for k in range(iterations):
+    spark = samples.sparkSession
+    path = path or new_path(spark)
+    grid = spark.range(first, iterations).select(F.col("id").cast("int").alias("iteration"), F.explode(F.array(*map(F.lit, names))).alias("model_name"))
+    todo: dict[int, list[str]] = {}
+    for r in grid.join(finished_fits(spark, path), ["iteration", "model_name"], "left_anti").collect():
+        todo.setdefault(r.iteration, []).append(r.model_name)
+
+    failed = Event()
+
+    def iterate(k: int) -> None:
+        if failed.is_set():
+            return
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"iteration-{k}")
         split = C.stratified_split(samples, test_size, f"{seed}#{k}", stratum="label")
         train = C.bootstrap(split.where("part = 'train'"), size, f"{seed}#{k}", stratum="label").select("sample_id", "label", "features").persist()
         test = split.where("part = 'test'").select("sample_id", "label", "features")
-        for name in names:
-            one = evaluate(train, test, name, holdouts)["metrics"].select(F.lit(k).alias("iteration"), F.lit(name).alias("model_name"), "*")
-            out = one if out is None else out.unionByName(one)
-    return out
+        try:
+            for name in sorted(todo[k], key=names.index):
+                if failed.is_set():
+                    return
+                metrics = evaluate(train, test, name, holdouts)["metrics"]
+                metrics.coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics/iteration={k}/model_name={name}")
+                spark.range(1).select(F.current_timestamp().cast("string").alias("at")).write.mode("overwrite").parquet(f"{path}/finished/iteration={k}/model_name={name}")
+        except BaseException:
+            failed.set()  # what has not begun is left out
+            raise
+        finally:
+            train.unpersist()
+
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        for fit in [pool.submit(inheritable_thread_target(spark)(iterate), k) for k in sorted(todo)]:
+            fit.result()
+    if not exists(spark, f"{path}/metrics"):
+        raise ValueError("no fits: no iterations or no models")
+    return spark.read.option("basePath", f"{path}/metrics").parquet(f"{path}/metrics").join(finished_fits(spark, path), ["iteration", "model_name"], "left_semi")
 
 
 def threshold_summary(selectors: DataFrame, default: float, threshold: str = "threshold") -> DataFrame:

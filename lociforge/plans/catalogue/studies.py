@@ -138,6 +138,15 @@ def evaluated_model(t: Tables) -> DataFrame:
     return m.select("dataset", "table", sum(F.col(c) for c in ("tn", "fp", "fn", "tp")).cast("long").alias("n"), (F.col("fn") + F.col("tp")).cast("long").alias("n_cases"))
 
 
+@query(f"""WITH {_PRED_ROWS}, c AS (SELECT label, count(*) AS n, round(count(*) * 0.3) AS t FROM s GROUP BY 1), d AS (SELECT CAST(least(min(n - t), 500) AS BIGINT) AS k, CAST(sum(t) AS BIGINT) AS t, CAST(max(t) FILTER (label = 1) AS BIGINT) AS t1 FROM c)
+  SELECT CAST(i AS INTEGER) AS iteration, m AS model_name, dataset, CASE dataset WHEN 'train' THEN 2 * k ELSE t END AS n, CASE dataset WHEN 'train' THEN k ELSE t1 END AS n_cases
+  FROM d, range(2) AS r(i), (SELECT unnest(['elastic_net', 'naive_bayes']) AS m), (SELECT unnest(['train', 'test']) AS dataset)""")
+def bootstrap_study(t: Tables) -> DataFrame:
+    """Two iterations of two models: rows and cases that each fit's metrics count."""
+    m = S.bootstrap_models(vectors(t), ["elastic_net", "naive_bayes"], 2, 1000)
+    return m.select("iteration", "model_name", "dataset", sum(F.col(c) for c in ("tn", "fp", "fn", "tp")).cast("long").alias("n"), (F.col("fn") + F.col("tp")).cast("long").alias("n_cases"))
+
+
 @query(f"""WITH {LONG}, l AS (SELECT 'm' || run_id % 3 AS model_name, * FROM long), {IMPORTANCE}, g AS (SELECT model_name, feature_name, avg(importance) AS m FROM imp GROUP BY 1, 2), a AS (SELECT feature_name, avg(m) AS m FROM g GROUP BY 1)
   SELECT 'model_metrics' AS name, count(*) AS n, round(sum(x), 4) AS total FROM (SELECT avg(value) FILTER (metric = 'click') AS x FROM l WHERE metric IN ('click', 'view') GROUP BY model_name, dataset)
   UNION ALL SELECT 'holdout_table_metrics', count(*), round(sum(x), 4) FROM (SELECT avg(value) FILTER (metric = 'click') AS x FROM l WHERE dataset = 'holdout' AND tab IS NOT NULL AND metric IN ('click', 'view') GROUP BY model_name, tab)

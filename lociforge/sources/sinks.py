@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociforge.sources.shared import exists
+
 
 def write_matrix(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -39,7 +41,6 @@ def write_summaries(summaries: dict[str, DataFrame | dict[str, DataFrame]], path
 
 def read_or_build(spark, path: str, build) -> DataFrame:
     """The table at path; if there is none, what build() returns, written there first."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, path):
         build().write.parquet(path)
     return spark.read.parquet(path)
