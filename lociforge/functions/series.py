@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lociforge.sources.shared import kept
+
 #: Gaussian weights at distances 0 to 4 for a deviation of 1, normed over -4 to 4.
 _RAW = [math.exp(-0.5 * k * k) for k in range(5)]
 GAUSS = [w / (_RAW[0] + 2 * sum(_RAW[1:])) for w in _RAW]
@@ -108,6 +110,25 @@ def global_rank(df: DataFrame, value: str, into: str) -> DataFrame:
     return r.join(F.broadcast(shifts), "_part").select(*df.columns, (inside + F.col("_before")).alias(into))
 
 
+def placed(df: DataFrame, into: str, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds a row's place, from 1, in the given order of all rows, or of its group.
+
+    Rows are sorted in ranges of group and order, once, into a table in the shared folder; a place is that in the range and
+    the rows of the group in the ranges before. So a group of any size is spread, as far as the order tells its rows apart.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(f"`{c}`") for c in by]
+    parts = kept(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    names = {c: f"_by{k}" for k, c in enumerate([*by, "_part"])}
+    sizes = parts.groupBy(*[F.col(f"`{c}`").alias(k) for c, k in names.items()]).agg(F.count("*").alias("_c"), F.min("_at").alias("_from"))
+    ahead = W.partitionBy(*[names[c] for c in by] or [F.lit(0)]).orderBy(names["_part"]).rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(*names.values(), "_from", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_before"))
+    on = F.lit(True)
+    for c, k in names.items():
+        on = on & F.col(f"`{c}`").eqNullSafe(F.col(k))
+    return parts.join(sizes, on).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_at") - F.col("_from") + F.col("_before") + 1).alias(into))
+
+
 def average_rank(df: DataFrame, value: str, into: str) -> DataFrame:
     """Adds the rank of a value, ties sharing their mean rank.
 

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lociforge.functions.series import placed
+
 
 def draw_order(key: Column, seed: int | str) -> Column:
     """Seeded random order of keys."""
@@ -59,13 +61,13 @@ def strata(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
     return out.withColumn("stratum", F.rtrim(F.concat_ws("_", *parts), F.lit("_"))).drop(*[f"{c}_edges" for c in numeric])
 
 
-def drawn(df: DataFrame, by: list[str], key: str, seed: int | str) -> DataFrame:
+def drawn(df: DataFrame, by: list[str], key: str, seed: int | str, digest: Column | None = None) -> DataFrame:
     """Adds _n, a row's place in the seeded order of its group, and _size, the group's rows.
 
     Digests are spread evenly, so the first two digits deal a group to 256 parts, which are numbered on their own and
-    shifted by the parts before: two labels do not mean two tasks.
+    shifted by the parts before: two labels do not mean two tasks. `digest`, if given, orders in place of that of key and seed.
     """
-    order = draw_order(F.col(key), seed)
+    order = draw_order(F.col(key), seed) if digest is None else digest
     parts = df.withColumn("_d", order).withColumn("_part", F.substring("_d", 1, 2))
     sizes = parts.groupBy(*by, "_part").agg(F.count("*").alias("_c"))
     w = W.partitionBy(*by or (F.lit(0),))
@@ -89,8 +91,7 @@ def balance(df: DataFrame, label: str = "label", draws: str = "draw_count", key:
     """As many rows of each label as the rarest label has, those drawn least often first; draws counts one more."""
     sizes = df.groupBy(*within, label).count().groupBy(*within).agg(F.min("count").alias("_least"))
     joined = df.join(sizes, list(within)) if within else df.crossJoin(F.broadcast(sizes))
-    rank = F.row_number().over(W.partitionBy(*within, label).orderBy(draws, key))
-    return joined.withColumn("_n", rank).where("_n <= _least").withColumn(draws, F.col(draws) + 1).drop("_n", "_least")
+    return placed(joined, "_n", [F.col(draws), F.col(key)], (*within, label)).where("_n <= _least").withColumn(draws, F.col(draws) + 1).drop("_n", "_least")
 
 
 def undersample(df: DataFrame, label: str, seed: int | str, key: str = "sample_id") -> DataFrame:
@@ -105,14 +106,14 @@ def bootstrap(df: DataFrame, size: int, seed: int | str, stratum: str = "stratum
     plan = counts.crossJoin(F.broadcast(counts.agg(F.least(F.min("count"), F.floor(F.lit(size) / F.count("*")).cast("long")).alias("_draws"))))
     digest = F.md5(F.concat(F.col(stratum).cast("string"), F.lit("#"), F.col("draw").cast("string"), F.lit(f"#{seed}")))
     picks = plan.where("_draws > 0").select(stratum, "count", F.explode(F.sequence(F.lit(1), F.col("_draws").cast("int"))).alias("draw")).withColumn("_n", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("count") + 1)
-    numbered = df.withColumn("_n", F.row_number().over(W.partitionBy(stratum).orderBy(key)))
+    numbered = placed(df, "_n", [F.col(key)], (stratum,))
     return numbered.join(picks.select(stratum, "draw", "_n"), [stratum, "_n"]).drop("_n")
 
 
 def permuted_labels(df: DataFrame, seed: int | str, label: str = "label", key: str = "sample_id", group: str | None = None) -> DataFrame:
     """Labels shuffled among the rows (of each group): the row that is n-th by id gets the label of the n-th in random order."""
     by = [group] if group else []
-    own = df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(key)))
+    own = placed(df, "_n", [F.col(key)], tuple(by))
     other = drawn(df, by, key, seed).select(*by, F.col(label).alias("permuted"), "_n")
     return own.join(other, [*by, "_n"]).drop("_n")
 

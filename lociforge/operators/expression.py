@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lociforge.functions.series import placed
+from lociforge.operators.cohort import drawn
+from lociforge.sources.shared import kept
+
 
 def size_factors(counts: DataFrame, gene: str = "gene_id", sample: str = "sample_id", count: str = "count") -> DataFrame:
     """Median of ratios: each sample's median over genes, positive in all samples, of its count over the gene's geometric mean."""
@@ -25,18 +28,30 @@ def enrichment(ranked: DataFrame, sets: DataFrame, gene: str = "gene", score: st
     Between members the running sum falls evenly, so it is enough to look right before and after each member: the list is
     joined with the sets, never crossed with them. Returns name, size, es.
     """
-    w = W.partitionBy(F.lit(0)).orderBy(F.desc(score), gene)
-    ranks = ranked.select(F.col(gene).alias("_g"), F.abs(score).alias("_w"), F.row_number().over(w).alias("_r"))
-    total = ranked.agg(F.count("*").alias("_n"))
-    members = sets.select(name, F.explode("genes").alias("_g")).distinct().join(ranks, "_g")
-    s = W.partitionBy(name)
+    return _enriched(_ranks(ranked, gene, score), sets, name, least, most)
+
+
+def _ranks(ranked: DataFrame, gene: str, score: str) -> DataFrame:
+    """_g, _w, _r: a ranked list's genes with their weights and places."""
+    rows = ranked.select(F.col(gene).alias("_g"), F.col(score).alias("_s"))
+    return placed(rows, "_r", [F.desc("_s"), F.asc("_g")]).select("_g", F.abs("_s").alias("_w"), "_r")
+
+
+def _enriched(ranks: DataFrame, sets: DataFrame, name: str, least: int, most: int) -> DataFrame:
+    members = sets.select(name, F.explode("genes").alias("_g")).distinct().join(ranks, "_g").withColumn("size", F.count("*").over(W.partitionBy(name)))
+    return _deviations(members.where(F.col("size").between(least, most)), ranks, [name]).select(name, "size", "es")
+
+
+def _deviations(members: DataFrame, ranks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, size, es) of members (by, size, _r, _w): the largest deviation of each running sum over the ranked list."""
+    s = W.partitionBy(*by, "size")
     up = s.orderBy("_r").rowsBetween(W.unboundedPreceding, 0)
-    m = members.select(name, "_r", "_w", F.sum("_w").over(up).alias("_hit"), F.sum("_w").over(s).alias("_all"), F.count("*").over(up).alias("_k"), F.count("*").over(s).alias("size"))
-    m = m.crossJoin(F.broadcast(total)).where(F.col("size").between(least, most) & (F.col("size") < F.col("_n")) & (F.col("_all") > 0))
+    m = members.select(*by, "size", "_r", "_w", F.sum("_w").over(up).alias("_hit"), F.sum("_w").over(s).alias("_all"), F.count("*").over(up).alias("_k"))
+    m = m.crossJoin(F.broadcast(ranks.agg(F.count("*").alias("_n")))).where((F.col("size") < F.col("_n")) & (F.col("_all") > 0))
     miss = (F.col("_r") - F.col("_k")) / (F.col("_n") - F.col("size"))
     after, before = F.col("_hit") / F.col("_all") - miss, (F.col("_hit") - F.col("_w")) / F.col("_all") - miss
-    peaks = m.groupBy(name, "size").agg(F.max(after).alias("_up"), F.min(before).alias("_down"))
-    return peaks.select(name, "size", F.when(F.abs("_up") >= F.abs("_down"), F.col("_up")).otherwise(F.col("_down")).alias("es"))
+    peaks = m.groupBy(*by, "size").agg(F.max(after).alias("_up"), F.min(before).alias("_down"))
+    return peaks.select(*by, "size", F.when(F.abs("_up") >= F.abs("_down"), F.col("_up")).otherwise(F.col("_down")).alias("es"))
 
 
 def normalised_scores(scores: DataFrame, es: str = "es") -> DataFrame:
@@ -99,44 +114,53 @@ def _two_sided(z: Column) -> Column:
 def permutation_null(predictions: DataFrame, n: int, seed: int = 42, label: str = "label", p: str = "y_pred", key: str = "sample_id") -> DataFrame:
     """Balanced accuracy under n random relabellings: (run, balanced_accuracy); run 0 has the true labels.
 
-    Labels are dealt anew in each run by two rankings over the samples, which are as many as a study has, not as its calls.
+    Samples are numbered once by their ids; in each run the one that is n-th so gets the label of the n-th in a seeded order,
+    whose places are dealt out by digests.
     """
-    runs = predictions.select(key, label, p).crossJoin(F.broadcast(predictions.sparkSession.range(n + 1).select(F.col("id").cast("int").alias("run"))))
-    digest = F.when(F.col("run") == 0, F.lpad(F.col(key).cast("string"), 32, "0")).otherwise(F.md5(F.concat_ws("#", F.col(key).cast("string"), F.lit(seed), F.col("run"))))
-    own = runs.withColumn("_n", F.row_number().over(W.partitionBy("run").orderBy(F.lpad(F.col(key).cast("string"), 32, "0"))))
-    other = runs.select("run", F.col(label).alias("_y"), F.row_number().over(W.partitionBy("run").orderBy(digest)).alias("_n"))
-    hit = own.join(other, ["run", "_n"]).select("run", "_y", (F.col(p) > 0.5).cast("int").alias("_h"))
+    own = kept(placed(predictions.select(key, label, p), "_n", [F.lpad(F.col(key).cast("string"), 32, "0")]))
+    runs = own.crossJoin(F.broadcast(predictions.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("run"))))
+    digest = F.md5(F.concat_ws("#", F.col(key).cast("string"), F.lit(seed), F.col("run")))
+    other = drawn(runs.select("run", key, F.col(label).alias("_y")), ["run"], key, seed, digest).select("run", "_y", "_n")
+    hit = runs.join(other, ["run", "_n"]).select("run", "_y", (F.col(p) > 0.5).cast("int").alias("_h"))
+    hit = own.select(F.lit(0).alias("run"), F.col(label).alias("_y"), (F.col(p) > 0.5).cast("int").alias("_h")).unionByName(hit)
     return hit.groupBy("run").agg(((F.avg(F.when(F.col("_y") == 1, F.col("_h"))) + F.avg(F.when(F.col("_y") == 0, 1 - F.col("_h")))) / 2).alias("balanced_accuracy"))
 
 
-def enrichment_p_values(ranked: DataFrame, sets: DataFrame, permutations: int = 100, seed: int = 42, gene: str = "gene", score: str = "score", name: str = "set") -> DataFrame:
-    """Enrichment scores with nominal p: the share of random gene sets of the same size that score as high (or as low).
+def null_scores(ranks: DataFrame, sizes: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """(size, run, es) of random gene sets of each size in `sizes`: their genes' places in the ranking are digests of size, run and number.
 
-    One group a set; it draws positions in the ranking, whose weights are shared once. The ranking is as long as a genome
-    has genes; its length is checked.
+    A place that comes again does not count, so as many numbers are drawn as leave enough places, but for one case in millions,
+    which is an error. What a set's score hangs on is its size alone: sets of one size share their random sets.
+    """
+    total = ranks.agg(F.count("*").alias("_n"))
+    n, size = F.col("_n"), F.col("size")
+    numbers = F.ceil(-n * F.ln(1 - size / (n + 1)) + 8 * F.sqrt(size) + 20).cast("int")
+    runs = sizes.where(size.isNotNull()).select("size").distinct().crossJoin(F.broadcast(total)).where(size < n).select("size", "_n", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("run"))
+    place = F.conv(F.substring(F.md5(F.concat_ws("#", "size", "run", "_k", F.lit(seed))), 1, 12), 16, 10).cast("long") % n + 1
+    places = runs.repartition("size", "run").select("size", "run", "_n", F.explode(F.sequence(F.lit(1), numbers)).alias("_k")).select("size", "run", "_k", place.alias("_r"))
+    first = places.groupBy("size", "run", "_r").agg(F.min("_k").alias("_k"))
+    w = W.partitionBy("size", "run")
+    chosen = first.select("*", F.row_number().over(w.orderBy("_k")).alias("_i"), F.count("*").over(w).alias("_c")).where(F.col("_i") <= size)
+    short = F.raise_error(F.concat(F.lit("too few distinct places for sets of "), size.cast("string"))).cast("long")
+    chosen = chosen.select(F.when(F.col("_c") < size, short).otherwise(size).alias("size"), "run", "_r")
+    return _deviations(chosen.join(ranks.select("_r", "_w"), "_r"), ranks, ["run"]).select("size", "run", "es")
+
+
+def enrichment_p_values(ranked: DataFrame, sets: DataFrame, permutations: int = 1000, seed: int = 42, gene: str = "gene", score: str = "score", name: str = "set", least: int = 3, most: int = 1000) -> DataFrame:
+    """name, size, es, nes, p: enrichment scores against those of random gene sets of the same size.
+
+    p is the share of random sets, of those whose score has the sign of es, that score as far from 0; nes is es over their
+    mean distance. Where no random set has that sign p is 1 and nes null. Scores of random sets are made once for each size.
     """
-    weights = [r[0] for r in ranked.orderBy(F.desc(score), gene).select(F.abs(score).cast("double")).limit(1_000_001).collect()]
-    if len(weights) > 1_000_000:
-        raise ValueError("a ranked list of more than a million genes")
-    w = np.array(weights)
-    scored = enrichment(ranked, sets, gene, score, name)
-
-    def test(frames):
-        for f in frames:
-            p = []
-            for s, size, es in f[[name, "size", "es"]].itertuples(index=False):
-                rng = np.random.Generator(np.random.PCG64([seed, zlib.crc32(str(s).encode())]))
-                at = np.sort(rng.random((permutations, len(w))).argpartition(size - 1, axis=1)[:, :size], 1)
-                hit = np.cumsum(w[at], 1)
-                total = np.maximum(hit[:, -1:], 1e-300)
-                miss = (at - np.arange(size)) / (len(w) - size)
-                up, down = (hit / total - miss).max(1), ((hit - w[at]) / total - miss).min(1)
-                null = np.where(np.abs(up) >= np.abs(down), up, down)
-                same = null[(null >= 0) == (es >= 0)]
-                p.append(float((np.abs(same) >= abs(es)).mean()) if len(same) else 1.0)
-            yield f.assign(p=p)
-
-    return scored.mapInPandas(test, f"{name} {dict(sets.dtypes)[name]}, size bigint, es double, p double")
+    ranks = kept(_ranks(ranked, gene, score))
+    scored = kept(_enriched(ranks, sets, name, least, most))
+    null = null_scores(ranks, scored.select("size"), permutations, seed).select("size", (F.col("es") >= 0).alias("_up"), F.abs("es").alias("_e"))
+    # equal scores of a size are one row, counted, however many sets have that size
+    null = kept(null.groupBy("size", "_up", "_e").agg(F.count("*").alias("_c")))
+    own = scored.withColumn("_up", F.col("es") >= 0)
+    met = own.select(name, "size", "_up", F.abs("es").alias("_own")).join(null, ["size", "_up"])
+    told = met.groupBy(name).agg((F.sum(F.when(F.col("_e") >= F.col("_own"), F.col("_c")).otherwise(0)) / F.sum("_c")).alias("p"), (F.sum(F.col("_e") * F.col("_c")) / F.sum("_c")).alias("_m"))
+    return own.join(told, name, "left").select(name, "size", "es", (F.col("es") / F.nullif(F.col("_m"), F.lit(0.0))).alias("nes"), F.coalesce("p", F.lit(1.0)).alias("p"))
 
 
 def multiple_correlation(df: DataFrame, columns: list[str], target: str) -> DataFrame:

@@ -9,6 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociforge.functions.series import placed, running, with_totals
+from lociforge.sources.shared import kept
+
 
 def by_significance(df: DataFrame, padj: str = "padj", *ties: str) -> DataFrame:
     """Rows by adjusted p, those without one last."""
@@ -107,25 +110,25 @@ def resampled_fdr(scores: DataFrame, permutations: int = 100, seed: int = 42, na
 
     A resampling draws as many scores as there are, with replacement, and divides them by the mean of their absolute values.
     Rates are at most 1 and never fall from the most extreme score to the least; a score of 0 has none. Draws are digests of
-    run, place and seed. Sets are thousands, so what is ranked are sets times permutations, by sign.
+    run, place and seed. What is ranked are the distinct scores of a sign, counted, in ranges.
     """
-    from pyspark.sql import Window as W
-
     spark = scores.sparkSession
-    numbered = scores.withColumn("_k", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(name)) - 1)
+    numbered = placed(scores.select(name, es), "_k", [F.col(name)]).withColumn("_k", F.col("_k") - 1)
     total = scores.agg(F.count("*").alias("_n"))
     pick = F.conv(F.substring(F.md5(F.concat_ws("#", "run", "place", F.lit(seed))), 1, 8), 16, 10).cast("long") % F.col("_n")
     draws = spark.range(permutations).select(F.col("id").alias("run")).crossJoin(F.broadcast(total)).where("_n > 0").select("run", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("place"))
     drawn = draws.select("run", pick.alias("_k")).join(numbered.select("_k", F.col(es).alias("_es")), "_k")
     mean = drawn.groupBy("run").agg(F.avg(F.abs("_es")).alias("_m"))
-    null = drawn.join(mean, "run").where("_m > 0").select(F.signum("_es").alias("_s"), (F.abs("_es") / F.col("_m")).alias("_v"), F.lit(0).alias("_o"), F.lit(1).alias("_r"), F.lit(None).cast(dict(scores.dtypes)[name]).alias(name))
-    seen = scores.select(F.signum(nes).alias("_s"), F.abs(nes).alias("_v"), F.lit(1).alias("_o"), F.lit(0).alias("_r"), name)
-    both = null.unionByName(seen).where("_s <> 0")
-    sign, down = W.partitionBy("_s"), W.partitionBy("_s").orderBy(F.desc("_v")).rangeBetween(W.unboundedPreceding, 0)
-    share = lambda c: F.sum(c).over(down) / F.sum(c).over(sign)
-    rate = both.select(name, "_s", "_v", "_o", (share("_r") / share("_o")).alias("_q")).where("_o = 1")
-    grown = F.least(F.lit(1.0), F.max("_q").over(W.partitionBy("_s").orderBy(F.desc("_v")).rangeBetween(W.unboundedPreceding, 0)))
-    return scores.join(rate.select(name, grown.alias("fdr")), name, "left")
+    null = drawn.join(mean, "run").where("_m > 0").select(F.signum("_es").alias("_s"), (F.abs("_es") / F.col("_m")).alias("_v"), F.lit(0).alias("_o"), F.lit(1).alias("_r"))
+    seen = scores.select(F.signum(nes).alias("_s"), F.abs(nes).alias("_v"), F.lit(1).alias("_o"), F.lit(0).alias("_r"))
+    counted = kept(null.unionByName(seen).where("_s <> 0").groupBy("_s", "_v").agg(F.sum("_o").alias("_o"), F.sum("_r").alias("_r")))
+    out = None
+    for sign in (1.0, -1.0):
+        both = with_totals(running(counted.where(F.col("_s") == sign), "_v", {"_co": "_o", "_cr": "_r"}, down=True), _to=F.sum("_o"), _tr=F.sum("_r"))
+        rate = both.where("_o > 0").select("_s", "_v", (-(F.col("_cr") / F.nullif(F.col("_tr"), F.lit(0))) / (F.col("_co") / F.col("_to"))).alias("_q"))
+        one = running(rate, "_v", {"_least": "_q"}, down=True, least=True).select("_s", "_v", F.least(F.lit(1.0), -F.col("_least")).alias("fdr"))
+        out = one if out is None else out.unionByName(one)
+    return scores.withColumns({"_s": F.signum(nes), "_v": F.abs(nes)}).join(out, ["_s", "_v"], "left").drop("_s", "_v")
 
 
 def all_but_last(df: DataFrame, n: int, order: str) -> DataFrame:

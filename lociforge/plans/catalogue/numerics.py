@@ -244,8 +244,18 @@ def multiple_correlation(t: Tables) -> DataFrame:
     return _rounded(X.multiple_correlation(_parts(t), ["n"], "q"))
 
 
-@query()
+_NULL = f"""{_GSEA}, n AS (SELECT count(*) AS n FROM rk), dr AS (SELECT DISTINCT size, run FROM es, range(1, 1001) AS r(run)),
+  nu AS (SELECT size, run, n, unnest(range(1, CAST(ceil(-n * ln(1 - size / (n + 1)) + 8 * sqrt(size) + 20) AS BIGINT) + 1)) AS k FROM dr, n),
+  pl AS (SELECT size, run, CAST('0x' || substr(md5(size || '#' || run || '#' || k || '#42'), 1, 12) AS BIGINT) % n + 1 AS r, min(k) AS k FROM nu GROUP BY 1, 2, 3),
+  ch AS (SELECT * FROM pl QUALIFY row_number() OVER (PARTITION BY size, run ORDER BY k) <= size),
+  mb AS (SELECT size, run, r, w, sum(w) OVER u AS hit, sum(w) OVER v AS allw, count(*) OVER u AS k FROM ch JOIN rk USING (r) WINDOW v AS (PARTITION BY size, run), u AS (PARTITION BY size, run ORDER BY r)),
+  dv AS (SELECT size, run, max(hit / allw - (r - k) / (n - size)) AS up, min((hit - w) / allw - (r - k) / (n - size)) AS down FROM mb, n GROUP BY 1, 2),
+  nl AS (SELECT size, CASE WHEN abs(up) >= abs(down) THEN up ELSE down END AS e FROM dv),
+  pv AS (SELECT s, es, avg(CASE WHEN abs(e) >= abs(es) THEN 1 ELSE 0 END) AS p, avg(abs(e)) AS m FROM es JOIN nl ON nl.size = es.size AND (e >= 0) = (es >= 0) GROUP BY 1, 2)"""
+
+
+@query(f'WITH {_NULL} SELECT es.s AS "set", es.size, round(es.es, 6) AS es, round(es.es / m, 6) AS nes, round(coalesce(p, 1), 6) AS p FROM es LEFT JOIN pv ON pv.s = es.s')
 def gsea_p_values(t: Tables) -> DataFrame:
     ranked = t.part.select(F.col("p_partkey").alias("gene"), (F.col("p_retailprice") - 1400 + F.col("p_partkey") % 7).alias("score"))
     sets = t.part.groupBy(F.col("p_type").alias("set")).agg(F.collect_list("p_partkey").alias("genes"))
-    return X.enrichment_p_values(ranked, sets)
+    return _rounded(X.enrichment_p_values(ranked, sets))
