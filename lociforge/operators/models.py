@@ -44,20 +44,20 @@ def fit(train: DataFrame, name: str, estimator: Estimator | None = None, scale:
     return Pipeline(stages=[*stages, est]).fit(train)
 
 
-def predict(model: Model, df: DataFrame) -> DataFrame:
-    """Adds y_pred: the probability of class 1; a model without probabilities gives its hard label.
+def transformed(model: Model, df: DataFrame) -> DataFrame:
+    """df with the model's columns. Naive Bayes counts, so it takes a value below the range of the training rows as the lowest of these."""
+    if not isinstance(model.stages[-1], C.NaiveBayesModel):
+        return model.transform(df)
+    for stage in model.stages[:-1]:
+        df = stage.transform(df)
+    column = model.stages[-1].getFeaturesCol()
+    lifted = array_to_vector(F.transform(vector_to_array(column), lambda x: F.greatest(x, F.lit(0.0))))
+    return model.stages[-1].transform(df.withColumn(column, lifted))
 
-    Naive Bayes counts, so it takes a value below the range of the training rows as the lowest of these.
-    """
-    if isinstance(model.stages[-1], C.NaiveBayesModel):
-        out = df
-        for stage in model.stages[:-1]:
-            out = stage.transform(out)
-        column = model.stages[-1].getFeaturesCol()
-        lifted = array_to_vector(F.transform(vector_to_array(column), lambda x: F.greatest(x, F.lit(0.0))))
-        out = model.stages[-1].transform(out.withColumn(column, lifted))
-    else:
-        out = model.transform(df)
+
+def predict(model: Model, df: DataFrame) -> DataFrame:
+    """Adds y_pred: the probability of class 1; a model without probabilities gives its hard label."""
+    out = transformed(model, df)
     p = F.get(vector_to_array("probability"), F.lit(1)) if "probability" in out.columns else F.col("prediction")
     return out.withColumn("y_pred", p).select(*df.columns, "y_pred")
 

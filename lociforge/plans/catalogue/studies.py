@@ -9,6 +9,7 @@ from lociforge.operators import models as M
 from lociforge.operators import runs as R
 from lociforge.operators import study as S
 from lociforge.operators import summaries as U
+from lociforge.operators import tuning as T
 from lociforge.plans.catalogue import Tables, query
 from lociforge.plans.catalogue.learning import _COLUMNS, samples, vectors
 from lociforge.plans.catalogue.summaries import IMPORTANCE, _models, _rounded, importance
@@ -147,6 +148,21 @@ def bootstrap_study(t: Tables) -> DataFrame:
     return m.select("iteration", "model_name", "dataset", sum(F.col(c) for c in ("tn", "fp", "fn", "tp")).cast("long").alias("n"), (F.col("fn") + F.col("tp")).cast("long").alias("n_cases"))
 
 
+@query(f"""WITH {_PRED_ROWS} SELECT m AS model_name, 4 AS candidates, 3 AS folds, true AS in_space, true AS auc_in_range, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_cases FROM s, (SELECT unnest(['elastic_net', 'naive_bayes']) AS m) GROUP BY m""")
+def searched_models(t: Tables) -> DataFrame:
+    """Two searches: what was tried, whether it lies in the model's space, and the rows that the best model scores."""
+    v, out = vectors(t), None
+    for name in ("elastic_net", "naive_bayes"):
+        model, tried = T.search(v, name, n=4, n_folds=3, batch=2)
+        inside = F.lit(True)
+        for k, (_, low, high) in T.SPACES[name].items():
+            inside = inside & F.col("parameters")[k].between(low, high)
+        told = tried.agg(F.count("*").cast("int").alias("candidates"), F.min("folds").alias("folds"), F.bool_and(inside).alias("in_space"), F.coalesce(F.max("auc").between(0.5, 1), F.lit(False)).alias("auc_in_range"))
+        one = M.predict(model, v).agg(F.lit(name).alias("model_name"), F.count("*").alias("n"), F.sum("label").alias("n_cases")).crossJoin(told)
+        out = one if out is None else out.unionByName(one)
+    return out.select("model_name", "candidates", "folds", "in_space", "auc_in_range", "n", "n_cases")
+
+
 @query(f"""WITH {LONG}, l AS (SELECT 'm' || run_id % 3 AS model_name, * FROM long), {IMPORTANCE}, g AS (SELECT model_name, feature_name, avg(importance) AS m FROM imp GROUP BY 1, 2), a AS (SELECT feature_name, avg(m) AS m FROM g GROUP BY 1)
   SELECT 'model_metrics' AS name, count(*) AS n, round(sum(x), 4) AS total FROM (SELECT avg(value) FILTER (metric = 'click') AS x FROM l WHERE metric IN ('click', 'view') GROUP BY model_name, dataset)
   UNION ALL SELECT 'holdout_table_metrics', count(*), round(sum(x), 4) FROM (SELECT avg(value) FILTER (metric = 'click') AS x FROM l WHERE dataset = 'holdout' AND tab IS NOT NULL AND metric IN ('click', 'view') GROUP BY model_name, tab)
