@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lociforge.functions import series as N
 from lociforge.operators import expression as X
 from lociforge.operators import glm as G
+from lociforge.operators import neighbours as B
 from lociforge.operators import selection as L
 from lociforge.plans.catalogue import Tables, query
 from lociforge.plans.catalogue.summaries import _rounded
@@ -259,3 +260,14 @@ def gsea_p_values(t: Tables) -> DataFrame:
     ranked = t.part.select(F.col("p_partkey").alias("gene"), (F.col("p_retailprice") - 1400 + F.col("p_partkey") % 7).alias("score"))
     sets = t.part.groupBy(F.col("p_type").alias("set")).agg(F.collect_list("p_partkey").alias("genes"))
     return _rounded(X.enrichment_p_values(ranked, sets))
+
+
+@query("""WITH v AS (SELECT l_partkey AS id, CAST(sum(l_extendedprice) AS DOUBLE) AS x, CAST(sum(l_extendedprice * l_discount) AS DOUBLE) AS y FROM lineitem GROUP BY 1), s AS (SELECT id, x / stddev_pop(x) OVER () AS x, y / stddev_pop(y) OVER () AS y FROM v),
+  p AS (SELECT a.id, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, a.id = b.id AS own FROM s a, s b), r AS (SELECT id, greatest(dx, dy) AS d FROM p WHERE NOT own QUALIFY row_number() OVER (PARTITION BY id ORDER BY greatest(dx, dy)) = 3),
+  c AS (SELECT id, count(*) FILTER (dx < d) AS nx, count(*) FILTER (dy < d) AS ny FROM p JOIN r USING (id) GROUP BY 1),
+  h AS (SELECT m, sum(1.0 / m) OVER (ORDER BY m) - 1.0 / m - 0.5772156649015329 AS psi FROM (SELECT unnest(range(1, (SELECT count(*) FROM v) + 1)) AS m))
+  SELECT round(greatest(0, max(hn.psi) + max(hk.psi) - avg(hx.psi + hy.psi)), 6) AS mi FROM c JOIN h hx ON hx.m = nx JOIN h hy ON hy.m = ny, (SELECT psi FROM h WHERE m = (SELECT count(*) FROM v)) hn, (SELECT psi FROM h WHERE m = 3) hk""")
+def neighbour_mutual_information(t: Tables) -> DataFrame:
+    """Revenue and discount of parts."""
+    parts = t.lineitem.groupBy(F.col("l_partkey").alias("id")).agg(F.sum("l_extendedprice").cast("double").alias("x"), F.sum(F.col("l_extendedprice") * F.col("l_discount")).cast("double").alias("y"))
+    return _rounded(B.mutual_information(parts, "x", "y"))
