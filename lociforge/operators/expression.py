@@ -176,13 +176,6 @@ def multiple_correlation(df: DataFrame, columns: list[str], target: str) -> Data
     return df.sparkSession.createDataFrame([(float(np.sqrt(min(max(r2, 0.0), 1.0))),)], "r double")
 
 
-def principal_components(df: DataFrame, k: int = 10, features: str = "features") -> DataFrame:
-    """Adds pca: the first k principal components of a vector column."""
-    from pyspark.ml.feature import PCA
-
-    return PCA(k=k, inputCol=features, outputCol="pca").fit(df).transform(df)
-
-
 def mean_threshold_selection(train: DataFrame, names: list[str], model: str = "elastic_net") -> list[str]:
     """Fits a model of the stack on (label, features) and keeps the features whose absolute importance reaches the mean."""
     from lociforge.operators.models import fit, importances

@@ -11,6 +11,7 @@ from lociforge.operators import cohort as C
 from lociforge.operators import expression as X
 from lociforge.operators import metrics as M
 from lociforge.operators import models as L
+from lociforge.operators import pca as P
 from lociforge.operators import rankings as K
 from lociforge.operators import runs as T
 from lociforge.operators import study as S
@@ -113,7 +114,7 @@ def test_models_tell_classes_apart(spark, fitted):
     found = L.search(train.select("label", "features"), n=2, folds=2)
     assert max(found.avgMetrics) > 0.9
     assert X.mean_threshold_selection(train, ["x", "y", "z"]) == ["x"]
-    assert len(X.principal_components(train, 2).first().pca) == 2
+    assert len(P.principal_components(train, 2).first().pca) == 2
 
 
 def test_values_below_the_training_range(spark):
