@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -84,6 +84,19 @@ def filter_counts(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     return df.agg(*cells).select(F.inline(F.array(*rows)))
 
 
+def observed_filters(df: DataFrame, conditions: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """df under all conditions, and what is counted while its rows flow: how many were left after each (step_0 being all rows).
+
+    The counts, `get` of the observation, are there once an action on the rows has ended; there is no second job. Every row
+    that is read is counted, also by a step that is run again; an action that stops early has seen a part of the rows only.
+    """
+    cells, left, seen = [F.count("*").alias("step_0")], F.lit(True), Observation()
+    for k, c in enumerate(conditions.values(), 1):
+        left = left & F.coalesce(c, F.lit(False))
+        cells.append(F.count_if(left).alias(f"step_{k}"))
+    return df.observe(seen, *cells).where(left), seen
+
+
 def joined_arrays(*arrays: Column) -> Column:
     """Distinct entries of arrays, in the order in which they first come; a null array has none."""
     return F.array_distinct(F.flatten(F.array(*[F.coalesce(a, F.array()) for a in arrays])))

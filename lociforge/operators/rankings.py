@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -95,16 +94,6 @@ def best_combination(df: DataFrame, columns: list[str], size: int, target: str,
     return df.sparkSession.createDataFrame([([columns[k] for k in chosen], best)], "columns array<string>, r double")
 
 
-def apply_counted(df: DataFrame, conditions: dict[str, Column], report: Callable[[DataFrame], None]) -> DataFrame:
-    """df under all conditions; the counts after each go to `report` as a frame, which runs no job unless it is read."""
-    from lociforge.functions.frames import filter_counts
-
-    report(filter_counts(df, conditions))
-    for c in conditions.values():
-        df = df.where(c)
-    return df
-
-
 def resampled_fdr(scores: DataFrame, permutations: int = 100, seed: int = 42, name: str = "set", es: str = "es", nes: str = "nes") -> DataFrame:
     """Adds fdr: the share of resampled scores of the same sign that are as extreme, over that of the observed ones.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociforge.functions import frames as R
@@ -16,6 +17,7 @@ from lociforge.plans.catalogue import Tables, query
 from lociforge.plans.catalogue.numerics import _GSEA, _PARTS, _parts
 from lociforge.plans.catalogue.scores import PREDS, preds
 from lociforge.plans.catalogue.summaries import _rounded
+from lociforge.sources.shared import kept
 
 
 @query("SELECT c_custkey, c_name, upper(c_name) AS symbol, c_acctbal FROM customer")
@@ -131,12 +133,16 @@ def significance_order(t: Tables) -> DataFrame:
     return K.by_significance(t.supplier.select("s_suppkey", F.expr(_PADJ).alias("padj")), "padj", "s_suppkey").limit(40)
 
 
-@query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey, o_orderkey) <= 50 AS ahead FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 QUALIFY ahead")
+@query("WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT o_custkey, n, row_number() OVER (ORDER BY c_acctbal DESC, o_custkey) - 1 AS place FROM n JOIN customer ON o_custkey = c_custkey")
 def order_of_ranking(t: Tables) -> DataFrame:
-    """The first 50 orders in the order of their customers' balances."""
-    o = t.orders.select("o_orderkey", "o_custkey").sort("o_orderkey")
-    ranked = K.in_order_of(o, t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal"), "o_custkey", "c_acctbal")
-    return ranked.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_acctbal"), "o_custkey").orderBy(F.desc("c_acctbal"), "o_custkey", "o_orderkey").limit(50).select("o_orderkey", "o_custkey", F.lit(True).alias("ahead"))
+    """Counts of all customers that have orders, in the order of their balances, with their places in what was returned."""
+    counts = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    ranked = K.in_order_of(counts, t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_acctbal"), "o_custkey", "c_acctbal")
+    # a place is that in the partition, after the rows of those before
+    parts = kept(ranked.select("*", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("at")))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("c"))
+    before = sizes.select("part", F.coalesce(F.sum("c").over(W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return parts.join(before, "part").select("o_custkey", "n", (F.col("at") + F.col("before")).alias("place"))
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal - 4000), c_custkey LIMIT 30")
@@ -216,11 +222,11 @@ def first_table_of_sample(t: Tables) -> DataFrame:
     return C.with_first_table(t.customer.select(F.col("c_custkey").alias("sample_id"), "c_name"), rows)
 
 
-@query(f"WITH {PREDS}, x AS (SELECT sample_id, label, y_pred, run_id FROM preds) SELECT count(*) AS n, round(avg(y_pred), 6) AS mean FROM x WHERE run_id = 1")
+@query(f"WITH {PREDS}, x AS (SELECT sample_id, label, y_pred, run_id FROM preds) SELECT run_id, count(*) AS n, round(avg(y_pred), 6) AS mean, round(avg(y_pred * label), 6) AS other FROM x GROUP BY run_id")
 def explained_predictions(t: Tables) -> DataFrame:
-    """Explanation vectors as columns, and one of these summarised."""
+    """Explanation vectors as columns, summarised by run."""
     from lociforge.operators.study import explanation_frame
 
-    p = preds(t).select("sample_id", "run_id", F.array("y_pred", F.lit(0.0)).alias("values"))
-    frame = explanation_frame(p.where("run_id = 1"), "values", ["a", "b"], "sample_id")
-    return _rounded(frame.agg(F.count("*").alias("n"), F.avg("a").alias("mean")))
+    key = F.struct("run_id", "sample_id").alias("key")
+    frame = explanation_frame(preds(t).select(key, F.array("y_pred", F.col("y_pred") * F.col("label")).alias("values")), "values", ["a", "b"], "key")
+    return _rounded(frame.groupBy(F.col("key.run_id").alias("run_id")).agg(F.count("*").alias("n"), F.avg("a").alias("mean"), F.avg("b").alias("other")))

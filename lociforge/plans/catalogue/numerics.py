@@ -240,9 +240,10 @@ def permutation_null(t: Tables) -> DataFrame:
     return _rounded(X.permutation_null(preds(t), 20))
 
 
-@query(f"WITH {_PARTS} SELECT round(abs(corr(q, n)), 6) AS r FROM p")
+@query(f"""WITH {_PARTS}, c AS (SELECT corr(q, n) AS a, corr(q, e) AS b, corr(n, e) AS c FROM p) SELECT round(sqrt((a * a + b * b - 2 * a * b * c) / (1 - c * c)), 6) AS r FROM c""")
 def multiple_correlation(t: Tables) -> DataFrame:
-    return _rounded(X.multiple_correlation(_parts(t), ["n"], "q"))
+    """Of two columns together with a third."""
+    return _rounded(X.multiple_correlation(_parts(t), ["n", "e"], "q"))
 
 
 _NULL = f"""{_GSEA}, n AS (SELECT count(*) AS n FROM rk), dr AS (SELECT DISTINCT size, run FROM es, range(1, 1001) AS r(run)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociforge.functions.predicates import holds_genes
 from lociforge.functions import genotype as G
 from lociforge.functions.text import attribute, metric_path
 from lociforge.operators import intervals as I
@@ -121,6 +122,13 @@ def gene_set_semi_join(t: Tables) -> DataFrame:
     return t.supplier.join(wanted, "s_name", "left_semi").select("s_suppkey", "s_name")
 
 
+@query("SELECT p_type AS gene_set, count(*) AS size FROM part GROUP BY 1 HAVING bool_or(p_partkey = 7) OR bool_or(p_partkey = 11)")
+def gene_set_filter(t: Tables) -> DataFrame:
+    """Sets that hold one of two genes."""
+    sets = t.part.groupBy(F.col("p_type").alias("gene_set")).agg(F.collect_list(F.col("p_partkey").cast("string")).alias("genes"))
+    return sets.where(holds_genes(["7", "11"])).select("gene_set", F.size("genes").cast("long").alias("size"))
+
+
 _PARTS = list(range(1, 16))
 
 

@@ -78,8 +78,16 @@ def read_split_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select("path", *[F.when(F.array_contains("columns", x.name), value(x.name)).try_cast(x.dataType).alias(x.name) for x in fields])
 
 
-def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """A small clinical table by its ending: csv, tsv, txt, xls(x) sheets, parquet; another ending is an error."""
+def read_table(spark: SparkSession, path: str, sheet: str | None = None, index: list[str] | None = None) -> DataFrame:
+    """A table by its ending: csv, tsv, txt, xlsx sheets, parquet; another ending is an error.
+
+    index names the columns (one or more) that tell rows apart: they come first, and rows that lack one of them are left out.
+    """
+    df = _table(spark, path, sheet)
+    return df if not index else df.dropna(subset=index).select(*[F.col(f"`{c}`") for c in [*index, *[c for c in df.columns if c not in index]]])
+
+
+def _table(spark: SparkSession, path: str, sheet: str | None) -> DataFrame:
     ending = path.rsplit(".", 1)[-1].lower()
     if ending == "csv":
         return spark.read.option("header", True).option("inferSchema", True).csv(path)

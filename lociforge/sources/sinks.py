@@ -28,12 +28,18 @@ def summary_name(name: str) -> str:
 
 
 def write_summaries(summaries: dict[str, DataFrame | dict[str, DataFrame]], path: str) -> DataFrame:
-    """Writes each summary (or each part of one, as {name}_{part}) as CSV; returns its name, rows and columns."""
+    """Writes each summary (or each part of one, as {name}_{part}) as CSV; returns its name, rows and columns.
+
+    One without rows is a text {name}_empty.txt instead, which says so.
+    """
     out = None
     for name, value in summaries.items():
         parts = {summary_name(name): value} if isinstance(value, DataFrame) else {f"{summary_name(name)}_{k}": v for k, v in value.items()}
         for k, df in parts.items():
-            write_delimited(df, f"{path}/{k}.csv", one_file=True)
+            if df.isEmpty():
+                df.sparkSession.range(1).select(F.lit(f"{k} is empty.").alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/{k}_empty.txt")
+            else:
+                write_delimited(df, f"{path}/{k}.csv", one_file=True)
             one = df.agg(F.count("*").alias("n_rows")).select(F.lit(k).alias("name"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
             out = one if out is None else out.unionByName(one)
     return out
