@@ -32,7 +32,7 @@ HELD = -1
 
 
 def _array(df: DataFrame, column: str) -> Column:
-    return vector_to_array(column) if dict(df.dtypes)[column] == "vector" else F.col(column).cast("array<double>")
+    return F.when(F.col(column).isNotNull(), vector_to_array(column)) if dict(df.dtypes)[column] == "vector" else F.col(column).cast("array<double>")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:

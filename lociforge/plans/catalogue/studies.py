@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociforge.operators import kernel as K
 from lociforge.operators import models as M
 from lociforge.operators import runs as R
 from lociforge.operators import study as S
@@ -163,6 +164,14 @@ def searched_models(t: Tables) -> DataFrame:
     return out.select("model_name", "candidates", "folds", "in_space", "auc_in_range", "n", "n_cases")
 
 
+@query(f"WITH {_PRED_ROWS} SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS n_cases, true AS in_range FROM s WHERE sample_id % 4 = 0")
+def kernel_checks(t: Tables) -> DataFrame:
+    """The calibrated kernel classifier gives every test row a probability."""
+    v = vectors(t)
+    p = K.fit_kernel(v.where("sample_id % 4 <> 0"), landmarks=100, n_folds=3).predict(v.where("sample_id % 4 = 0"))
+    return p.agg(F.count("*").alias("n"), F.sum("label").alias("n_cases"), F.bool_and(F.col("y_pred").between(0, 1)).alias("in_range"))
+
+
 @query(f"""WITH {LONG}, l AS (SELECT 'm' || run_id % 3 AS model_name, * FROM long), {IMPORTANCE}, g AS (SELECT model_name, feature_name, avg(importance) AS m FROM imp GROUP BY 1, 2), a AS (SELECT feature_name, avg(m) AS m FROM g GROUP BY 1)
   SELECT 'model_metrics' AS name, count(*) AS n, round(sum(x), 4) AS total FROM (SELECT avg(value) FILTER (metric = 'click') AS x FROM l WHERE metric IN ('click', 'view') GROUP BY model_name, dataset)
   UNION ALL SELECT 'holdout_table_metrics', count(*), round(sum(x), 4) FROM (SELECT avg(value) FILTER (metric = 'click') AS x FROM l WHERE dataset = 'holdout' AND tab IS NOT NULL AND metric IN ('click', 'view') GROUP BY model_name, tab)

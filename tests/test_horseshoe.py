@@ -138,6 +138,9 @@ def test_edges(spark):
     assert m.validation_table(df).count() == 0
     with pytest.raises(ValueError):
         H.HorseshoeSelector().fit(df.limit(0))
+    vectors = df.withColumn("features", F.when(F.col("features").isNotNull(), array_to_vector("features")))
+    again = {r.sample_id: r for r in H.HorseshoeSelector(maxEpochs=15, heldOut=0.0, slices=2).fit(vectors).transform(vectors).collect()}
+    assert again[61].probability is None and again[1].prediction == 1.0
 
 
 def test_selector_takes_all_samples(spark, monkeypatch):
