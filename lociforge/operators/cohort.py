@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lociforge.functions.series import placed
+from lociforge.operators.quantiles import quantiles
 
 
 def draw_order(key: Column, seed: int | str) -> Column:
@@ -30,13 +31,15 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def quartile_edges(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """One row: for each column an array of its five quartile edges, equal ones once.
+    """One row: for each column an array of its five quartile edges, equal ones once; null for a column without values.
 
-    Exact quartiles keep a count for each distinct value; for columns of many distinct values take exact=False.
+    Exact ones are selected by counted ranges; for approximate ones in one pass take exact=False.
     """
     at = [0.0, 0.25, 0.5, 0.75, 1.0]
-    f = (lambda c: F.percentile(c, F.array(*map(F.lit, at)))) if exact else (lambda c: F.percentile_approx(c, at, 100_000))
-    return df.agg(*[F.array_distinct(f(F.col(c))).alias(f"{c}_edges") for c in columns])
+    if not exact:
+        return df.agg(*[F.array_distinct(F.percentile_approx(F.col(c), at, 100_000)).alias(f"{c}_edges") for c in columns])
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"`{c}`").cast("double").alias("v")) for k, c in enumerate(columns)])).alias("x")).select("x.*")
+    return quantiles(cells, "v", at, ("k",)).agg(*[F.array_distinct(F.max(F.when(F.col("k") == k, F.col("quantiles")))).alias(f"{c}_edges") for k, c in enumerate(columns)])
 
 
 def _below(edges: Column, value: Column) -> Column:

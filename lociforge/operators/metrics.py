@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociforge.functions.series import running, with_totals
+from lociforge.operators.quantiles import quantiles
 
 #: Probabilities are kept this far from 0 and 1 in logarithms (a fixed value).
 EPSILON = 1e-15
@@ -157,6 +158,9 @@ def mean_probability(df: DataFrame, by: list[str], p: str = "y_pred", key: str =
 
 def described(df: DataFrame, value: str, exact: bool = True) -> DataFrame:
     """One row: n, mean, std, low, q1, q2, q3, high of the known values; quartiles in between values, or approximate ones."""
-    shares, names = (0.25, 0.5, 0.75), ("q1", "q2", "q3")
-    cut = (lambda q: F.percentile(value, q)) if exact else (lambda q: F.percentile_approx(value, q))
-    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), *[cut(q).alias(n) for q, n in zip(shares, names, strict=True)], F.max(value).alias("high"))
+    shares, names = [0.25, 0.5, 0.75], ("q1", "q2", "q3")
+    x = F.col(value)
+    rest = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), *([] if exact else [F.percentile_approx(x, shares).alias("_q")]))
+    if exact:
+        rest = rest.crossJoin(F.broadcast(quantiles(df, value, shares).agg(F.first("quantiles").alias("_q"))))
+    return rest.select("n", "mean", "std", "low", *[F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(names)], "high")

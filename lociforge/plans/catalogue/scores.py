@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociforge.operators import metrics as M
+from lociforge.operators.quantiles import quantiles
 from lociforge.plans.catalogue import Tables, query
 from lociforge.plans.catalogue.summaries import _rounded
 
@@ -105,3 +106,13 @@ def mean_probability(t: Tables) -> DataFrame:
 @query(f"WITH {PREDS} SELECT count(y_pred) AS n, round(avg(y_pred), 6) AS mean, round(stddev_samp(y_pred), 6) AS std, round(min(y_pred), 6) AS low, round(quantile_cont(y_pred, 0.25), 6) AS q1, round(quantile_cont(y_pred, 0.5), 6) AS q2, round(quantile_cont(y_pred, 0.75), 6) AS q3, round(max(y_pred), 6) AS high FROM preds")
 def describe_scores(t: Tables) -> DataFrame:
     return _rounded(M.described(preds(t), "y_pred"))
+
+
+_AT = (0.05, 0.25, 0.5, 0.75, 0.999)
+
+
+@query(f"SELECT l_returnflag, count(l_extendedprice) AS n, {', '.join(f'round(quantile_cont(l_extendedprice, {q}), 6) AS q{k}' for k, q in enumerate(_AT))} FROM lineitem GROUP BY 1")
+def quantiles_by_group(t: Tables) -> DataFrame:
+    """Selection of ranks in groups of more values than the bound, so that ranges are parted at the smallest scale, too."""
+    found = quantiles(t.lineitem, "l_extendedprice", list(_AT), ("l_returnflag",), most=1000)
+    return _rounded(found.select("l_returnflag", "n", *[F.get("quantiles", F.lit(k)).alias(f"q{k}") for k in range(len(_AT))]))
