@@ -12,6 +12,10 @@ score (base_score) is summed, and with the levels under which its slice holds th
 every document so costs one entry a chunk, and neither vocabulary nor filter is held in one place. A slice has
 SLICE_BITS bits for each one that is set in it, so its rate of errors is the same at every size of the input.
 
+The slices are kept, in a table: `learn` returns them as a model, which scores texts that it has not seen by probes
+alone, no count being left but the two totals. Slices go to the workers that ask them by segment, each as often as
+needed for a bounded number of questions at a time: as the filter grows with the corpus, no worker gets all of it.
+
 The model: p(w | u) = (c(u, w) + weight * p(w)) / (c(u) + weight) with p(w) = (c(w) + 1) / (N + V + 1), u being the
 word before w (an end mark at the start of a text), all c from the filter.
 N-grams are told apart by 64-bit hashes (pairs inside a segment by 32 further bits).
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -200,12 +205,26 @@ def _segment(table: pa.Table) -> pa.Table:
     pair_levels = table_of.levels(pairs << np.uint64(32), _PAIR).astype(np.uint8)[pair_index]
     n = table.num_rows
     binary = lambda x, rows: blobs(x, rows).cast(pa.binary())
-    answers = pa.table({"chunk": table.column("chunk"), "counts": binary(total[index], of), "levels": binary(levels, of), "pair_levels": binary(pair_levels, of_pairs), "segment": pa.array(np.full(n, segment, np.int32)), "n": pa.nulls(n, pa.int64()), "v": pa.nulls(n, pa.int64())})
-    own = pa.table({"chunk": pa.nulls(1, pa.int64()), **{c: pa.nulls(1, pa.binary()) for c in ("counts", "levels", "pair_levels")}, "segment": pa.array([segment], pa.int32()), "n": pa.array([int(total.sum())]), "v": pa.array([int((total > 0).sum())])})
+    answers = pa.table({"chunk": table.column("chunk"), "counts": binary(total[index], of), "levels": binary(levels, of), "pair_levels": binary(pair_levels, of_pairs), "segment": pa.array(np.full(n, segment, np.int32)), "n": pa.nulls(n, pa.int64()), "v": pa.nulls(n, pa.int64()), "slice": pa.nulls(n, pa.binary())})
+    own = pa.table({"chunk": pa.nulls(1, pa.int64()), **{c: pa.nulls(1, pa.binary()) for c in ("counts", "levels", "pair_levels")}, "segment": pa.array([segment], pa.int32()), "n": pa.array([int(total.sum())]), "v": pa.array([int((total > 0).sum())]), "slice": pa.array([table_of.slices.tobytes()], pa.binary())})
     return pa.concat_tables([answers, own])
 
 
-ANSWERED = "chunk bigint, counts binary, levels binary, pair_levels binary, segment int, n bigint, v bigint"
+ANSWERED = "chunk bigint, counts binary, levels binary, pair_levels binary, segment int, n bigint, v bigint, slice binary"
+PROBED = "chunk bigint, counts binary, levels binary, pair_levels binary, segment int"
+
+
+def _probed(sent: pa.Table, slices: pa.Table) -> pa.Table:
+    """A kept slice's answers to the chunks of texts that nothing is learned from; a segment without a slice knows no n-gram."""
+    keys, of = unblob(sent.column("words"), np.uint64)
+    pairs, of_pairs = unblob(sent.column("pairs"), np.uint32)
+    levels, pair_levels = np.zeros(len(keys), np.uint8), np.zeros(len(pairs), np.uint8)
+    if slices.num_rows:
+        bits = np.frombuffer(slices.column("slice")[0].as_py(), np.uint8)
+        table = Filter(bits, 1, 8 * len(bits))
+        levels, pair_levels = table.levels(keys, _WORD).astype(np.uint8), table.levels(pairs.astype(np.uint64) << np.uint64(32), _PAIR).astype(np.uint8)
+    binary = lambda x, rows: blobs(x, rows).cast(pa.binary())
+    return pa.table({"chunk": sent.column("chunk"), "counts": binary((levels > 0).astype(np.int64), of), "levels": binary(levels, of), "pair_levels": binary(pair_levels, of_pairs), "segment": sent.column("segment")})
 SCORED = "id bigint, held boolean, n_tokens bigint, n_known bigint, base double, score double"
 
 
@@ -244,21 +263,60 @@ def _scores(n_segments: int, total: int):
     return score
 
 
+class Learned(NamedTuple):
+    """A filter in slices (reduced), its totals, and the corpus that it was learned from, coded."""
+
+    coded: DataFrame
+    reduced: DataFrame
+    n_segments: int
+    n: int
+    v: int
+
+    def slices(self) -> DataFrame:
+        """(segment, slice): the filter. A segment of the hash space that no n-gram fell into has no slice."""
+        return self.reduced.where("slice is not null").select("segment", "slice")
+
+    def _scored(self, coded: DataFrame, answers: DataFrame) -> DataFrame:
+        parts = coded.withColumn("segment", F.lit(-1)).unionByName(answers.select("segment", "chunk", "counts", "levels", "pair_levels"), allowMissingColumns=True)
+        return parts.groupBy("chunk").applyInArrow(_scores(self.n_segments, self.n + self.v + 1), SCORED)
+
+    def own(self) -> DataFrame:
+        """Scores of the corpus itself, with its exact counts for the base score."""
+        return self._scored(self.coded, self.reduced.where("chunk is not null"))
+
+    def score(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(id_col, n_tokens, n_known, score) of any texts, from the filter alone: n_known are the tokens that it finds.
+
+        Null texts count as empty. Rows that repeat an id each get their result, other columns are left out.
+        """
+        docs = df.select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("held"), F.col(text_col).alias("text"))
+        # texts may be more than what was learned from: a segment's questions are dealt to as many copies of its slice
+        copies = max(1, -(-text_bytes(docs) // (self.n_segments * SEGMENT_BYTES)))
+        coded = written(docs.mapInArrow(_coder(self.n_segments), CHUNK), "zstd")
+        asked = coded.mapInArrow(_sender(self.n_segments), SENT).withColumn("copy", F.pmod(F.xxhash64("chunk"), F.lit(copies)))
+        slices = self.slices().withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+        answers = asked.groupBy("segment", "copy").cogroup(slices.groupBy("segment", "copy")).applyInArrow(_probed, PROBED)
+        return self._scored(coded, written(answers, "zstd")).select(F.col("id").alias(id_col), "n_tokens", "n_known", "score")
+
+
+def learn(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> Learned:
+    """The filter of the texts of df for which held_out is false, in a table of the shared folder."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held"), F.col(text_col).alias("text"))
+    n_segments = segments(text_bytes(docs), SEGMENT_BYTES)
+    coded = written(docs.mapInArrow(_coder(n_segments), CHUNK), "zstd")
+    reduced = written(coded.mapInArrow(_sender(n_segments), SENT).groupBy("segment").applyInArrow(_segment, ANSWERED), "zstd")
+    total = reduced.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    return Learned(coded, reduced, n_segments, total.n, total.v)
+
+
 def lm_score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every text by a language model learned from the rows for which held_out is false.
 
     Tokens are words without white space, A-Z lower-cased, then one end mark. Returns for each row: id_col, held_out,
     n_tokens, n_known (tokens seen in training), train_tokens, base_score (add-one unigram, exact), score (the model's
     log10 probability). Null texts count as empty: one token. Rows for which held_out is null are scored, not learned
-    from. Rows that repeat an id and a text each get their result. An empty table gives an empty result.
+    from. Rows that repeat an id and a text each get their result. A text longer than a chunk is a chunk of its own, whole.
+    Other columns of df, whatever their names, are left out. An empty table gives an empty result.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held"), F.col(text_col).alias("text"))
-    size = text_bytes(docs)
-    n_segments = segments(size, SEGMENT_BYTES)
-    coded = written(docs.mapInArrow(_coder(n_segments), CHUNK), "zstd")
-    reduced = written(coded.mapInArrow(_sender(n_segments), SENT).groupBy("segment").applyInArrow(_segment, ANSWERED), "zstd")
-    size = reduced.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    parts = coded.withColumn("segment", F.lit(-1))
-    answers = reduced.where("chunk is not null").select("segment", "chunk", "counts", "levels", "pair_levels")
-    scored = parts.unionByName(answers, allowMissingColumns=True).groupBy("chunk").applyInArrow(_scores(n_segments, size.n + size.v + 1), SCORED)
-    return scored.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(size.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    learned = learn(df, held_out, id_col, text_col)
+    return learned.own().select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(learned.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
