@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -103,30 +104,34 @@ def knn(train: DataFrame, test: DataFrame, k: int = 5, vector: str = "embedding"
     The test set is the smaller side: it goes round in blocks of bounded size, and each training partition keeps only its k
     best for each query before they are merged.
     """
-    spark = train.sparkSession
-    queries = test.select(key, vector).collect() if test.count() <= block else None
-    if queries is None:
-        n = -(-test.count() // block)
-        parts = [knn(train, test.where(F.pmod(F.xxhash64(key), F.lit(n)) == i), k, vector, key, label, 1 << 30) for i in range(n)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    if not queries:
+    n = -(-test.count() // block)
+    if not n:
         return test.select(key, F.lit(None).cast("double").alias("p1"))
-    shared = spark.sparkContext.broadcast((np.array([r[0] for r in queries]), np.array([r[1] for r in queries], float)))
+    parts = [_nearest(train, test.where(F.pmod(F.xxhash64(key), F.lit(n)) == i), k, vector, key, label) for i in range(n)]
+    return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
+
+
+def _nearest(train: DataFrame, test: DataFrame, k: int, vector: str, key: str, label: str) -> DataFrame | None:
+    """knn of one block of test rows; None if it has none. A task holds the k best of each, and one batch of training rows."""
+    queries = test.select(key, vector).collect()
+    if not queries:
+        return None
+    shared = train.sparkSession.sparkContext.broadcast((np.array([r[0] for r in queries]), np.array([r[1] for r in queries], float)))
+
+    def best(found: list[np.ndarray]) -> list[np.ndarray]:
+        order = np.lexsort((found[1], found[0]))[:, :k]
+        return [np.take_along_axis(x, order, 1) for x in found]
 
     def nearest(frames):
         ids, q = shared.value
-        best: list[pd.DataFrame] = []
+        kept = None
         for f in frames:
             x = np.stack(f[vector].to_numpy()).astype(float)
             d = np.round((q**2).sum(1)[:, None] - 2 * q @ x.T + (x**2).sum(1), 9)
-            take = min(k, len(f))
-            order = np.lexsort((np.broadcast_to(f[key].to_numpy(), d.shape), d))[:, :take]
-            best.append(pd.DataFrame({"q": ids.repeat(take), "d": np.take_along_axis(d, order, 1).ravel(), "n": f[key].to_numpy()[order].ravel(), "y": f[label].to_numpy()[order].ravel()}))
-        if best:
-            yield pd.concat(best)
+            found = best([d, *(np.broadcast_to(f[c].to_numpy(), d.shape) for c in (key, label))])
+            kept = found if kept is None else best([np.concatenate(pair, 1) for pair in zip(kept, found, strict=True)])
+        if kept is not None:
+            yield pd.DataFrame({"q": ids.repeat(kept[0].shape[1]), **{c: x.ravel() for c, x in zip("dny", kept, strict=True)}})
 
     kind = dict(train.dtypes)[key]
     near = train.select(key, vector, label).mapInPandas(nearest, f"q {kind}, d double, n {kind}, y double")

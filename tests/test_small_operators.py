@@ -1,5 +1,6 @@
 """Small operators on nulls, ties and empty tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,22 @@ def test_selector_ends_early_and_without_held_out_rows(spark, held_out):
     got = H.bayesian_selector(df, ["f0", "f1"], draws=50, maxEpochs=20, heldOut=held_out, patience=3).groupBy("iteration", "feature_name").agg(F.avg("beta").alias("b"))
     means = {(r.iteration, r.feature_name): r.b for r in got.collect()}
     assert len(means) == 4 and all(means[k, "f0"] > abs(means[k, "f1"]) for k in (0, 1))
+
+
+@pytest.mark.parametrize("block", [2000, 7])
+def test_neighbours_of_many_batches(spark, block):
+    """Batches of three training rows, so that the best are merged again and again, ties by id among them; blocks of queries."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (200, 2)).astype(float)
+    train = spark.createDataFrame([(k, v.tolist(), int(k % 3 == 0)) for k, v in enumerate(x)], "id long, embedding array<double>, label int").repartition(3)
+    test = spark.createDataFrame([(1000 + k, v.tolist()) for k, v in enumerate(rng.normal(1, 1, (20, 2)))], "id long, embedding array<double>")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = {r.id: r.p1 for r in L.knn(train, test, 5, block=block).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for r in test.collect():
+        near = sorted((round(float(((v - np.array(r.embedding)) ** 2).sum()), 9), k) for k, v in enumerate(x))[:5]
+        assert got[r.id] == pytest.approx(np.mean([k % 3 == 0 for _, k in near]))
+    assert L.knn(train, test.limit(0)).count() == L.knn(train.limit(0), test).count() == 0
