@@ -1,14 +1,17 @@
 """Main text of web pages: markup structure, and a suffix array over each host's pages for what structure leaves open.
 
 Every page is cut into blocks. Markup that names its role decides first: scripts, menus, headers, footers, sidebars,
-notices, adverts, forms and comments are boilerplate, and what an article element holds apart from these is the text,
-whole. Everything outside the article is a token stream. Suffixes of the streams are told apart by their first RUN
-tokens; those of a host that agree and lie on distinct pages mark a repeated substring. On pages without an article
-element, blocks that repeated substrings cover for the most part are boilerplate and the unique runs are the text.
-
-Repeats are found over all pages of a host, however many: each chunk of pages reduces its streams to distinct (host,
-run) hashes, with the least and the largest of the streams that have it, these are aggregated by hash, and the runs of
-more than one stream go back to the chunks that have pages without an article. Runs are compared by 64-bit hashes.
+notices, adverts, forms and comments are boilerplate, and what an article element holds apart from these is the text.
+All the rest is a token stream: what lies outside of articles, and inside them the elements whose names only hint at
+noise (related-stories, notice-board). Repeated substrings of a host's streams, found by a suffix array, decide on what
+markup leaves open there: blocks that they cover for the most part are boilerplate, and the unique runs are the text.
+
+The suffix array is built by prefix doubling, over all pages of a host, however many. A suffix whose first RUN tokens lie
+on one page only begins no repeat, so these prefixes are counted first (as 64-bit hashes, with the least and the largest
+page that has them). The others get the names of their first 8, 16, 32, ... tokens, each made of two names of half the
+length, as far as repeats go on. Suffixes are sorted by these names in ranges; the names that neighbours have in common
+are their common prefix, and the longest one that distinct pages share is the repeat that begins there. It is known to
+the power of two below its length: the suffixes of its later tokens cover the rest of it, so no token is lost.
 """
 
 from __future__ import annotations
@@ -57,7 +60,7 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SCOPES = frozenset("ul ol dl table select".split())
 
-NOISE, OPEN, MAIN, ARTICLE = range(4)
+NOISE, OPEN, MAIN, ARTICLE, DOUBT = range(5)  # DOUBT: inside an article, in an element whose name hints at noise
 
 
 def _role(tag: str, attributes: str, inside: int) -> int:
@@ -86,6 +89,8 @@ def _role(tag: str, attributes: str, inside: int) -> int:
     named = lambda parts: any(p in noise for p in parts) and all(p in noise or p in QUALIFIERS or p in OWNERS and "header" not in parts for p in parts)
     if hidden or any(named(parts) for parts in names):
         return NOISE
+    if inside >= ARTICLE and (inside == DOUBT or not strong and any("header" not in parts and any(p in noise for p in parts) for parts in names)):
+        return DOUBT
     if tag == "article" or strong and tag != "main":
         return ARTICLE
     return max(inside, MAIN) if strong or any(p in MAIN_NAMES for parts in names for p in parts) else inside
@@ -130,6 +135,11 @@ class _Open:
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
     """The page's non-empty blocks in order: what they lie in, and their text. Time grows with the page's length."""
+    return [(min(role, ARTICLE), text) for role, text in _blocks(page)]
+
+
+def _blocks(page: str | None) -> list[tuple[int, str]]:
+    """The same, blocks in doubt told apart."""
     out: list[tuple[int, str]] = []
     piece: list[tuple[int, str]] = []
     stack = _Open()
@@ -138,18 +148,18 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         """Ends a block. Its pieces are told apart by what they lie in: noise inside a line leaves the line, and does not part it."""
         if not piece:
             return
-        runs: list[tuple[int, list[str]]] = []
+        runs: list[list[tuple[int, str]]] = []
         aside = []
         for role, text in piece:
             if role == NOISE:
-                aside.append(text)
-            elif runs and runs[-1][0] == role:
-                runs[-1][1].append(text)
+                aside.append((role, text))
+            elif runs and min(runs[-1][0][0], ARTICLE) == min(role, ARTICLE):
+                runs[-1].append((role, text))
             else:
-                runs.append((role, [text]))
-        for role, texts in [*runs, (NOISE, aside)]:
-            if text := " ".join("".join(texts).split()):
-                out.append((role, text))
+                runs.append([(role, text)])
+        for run in [*runs, aside]:
+            if text := " ".join("".join(t for _, t in run).split()):
+                out.append((min((r for r, t in run if t.strip()), default=NOISE), text))  # a line is in doubt as a whole
         piece.clear()
 
     page = page or ""
@@ -198,36 +208,40 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
 
 HOST = r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 TEXT = "page_id bigint, url string, text string"
-STREAM = "page_id bigint, url string, host string, open boolean, outside array<string>, noise array<boolean>, chunk bigint"
+STREAM = "page bigint, host string, outside array<string>, chunk bigint"
 RUNS = "run bigint, low bigint, high bigint"
 ASKED = "chunk bigint, run bigint"
+SUFFIXES = "chunk bigint, names array<bigint>, low bigint, high bigint, places array<struct<page: bigint, at: int>>"
+PLACES = pa.list_(pa.struct([("page", pa.int64()), ("at", pa.int32())]))
+REPEATS = "names array<bigint>, size int"
+GONE = "page bigint, gone array<int>"
+PARSED = "page bigint, page_id bigint, url string, roles array<tinyint>, blocks array<string>"
 
 
-def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the pages that have an article element."""
-    for batch in batches:
-        texts = []
-        for page in batch.column("html").to_pylist():
-            article = [t for r, t in blocks(page) if r == ARTICLE]
-            texts.append("\n\n".join(article) if article else None)
-        out = pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-        yield out.filter(out.column("text").is_valid())
+def _page(host: str, found: list[tuple[int, str]]) -> int:
+    """A number of the page: its copies on the host have the same."""
+    return _digest("\n".join((host, *(f"{role}{text}" for role, text in found)))) - (1 << 63)
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What lies outside of article elements; open: the page has none; chunk: a number of the pages read together."""
+    """What markup doesn't settle as an article's text; chunk: a number of the pages read together."""
+    for batch in chunks(batches, "html"):
+        page, outside = [], []
+        for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            found = _blocks(text)
+            page.append(_page(host, found))
+            outside.append([t for r, t in found if r != ARTICLE])
+        columns = [pa.array(page, pa.int64()), batch.column("host"), pa.array(outside, pa.list_(pa.string())), pa.array(np.full(batch.num_rows, uuid.uuid4().int >> 65))]
+        yield pa.record_batch(columns, ["page", "host", "outside", "chunk"])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All blocks of the pages."""
     for batch in chunks(batches, "html"):
-        open_, outside, noise = [], [], []
-        for page in batch.column("html").to_pylist():
-            found = blocks(page)
-            rest = [(r, t) for r, t in found if r != ARTICLE]
-            if any(r == MAIN for r, _ in rest):  # a main region narrows down where the text can be
-                rest = [(r if r == MAIN else NOISE, t) for r, t in rest]
-            open_.append(len(rest) == len(found))
-            outside.append([t for _, t in rest])
-            noise.append([r == NOISE for r, _ in rest])
-        columns = [*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(open_), pa.array(outside, pa.list_(pa.string())), pa.array(noise, pa.list_(pa.bool_())), pa.array(np.full(batch.num_rows, uuid.uuid4().int >> 65))]
-        yield pa.record_batch(columns, ["page_id", "url", "host", "open", "outside", "noise", "chunk"])
+        found = [_blocks(text) for text in batch.column("html").to_pylist()]
+        page = [_page(*x) for x in zip(batch.column("host").to_pylist(), found, strict=True)]
+        columns = [pa.array(page, pa.int64()), batch.column("page_id"), batch.column("url"), pa.array([[r for r, _ in x] for x in found], pa.list_(pa.int8())), pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))]
+        yield pa.record_batch(columns, ["page", "page_id", "url", "roles", "blocks"])
 
 
 def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -255,59 +269,158 @@ def _digest(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=8).digest(), "little")
 
 
-def _runs(outside: pa.Array, host: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Where each page's tokens begin, the first tokens of all runs, the runs' hashes with the host, and each page's stream as a number."""
-    texts = ["\n".join(x or ()) for x in outside.to_pylist()]
-    words = Words(pa.array(texts, pa.string()))
-    h, of = grams(words.hashes(), RUN), words.of
-    at = np.flatnonzero(np.arange(len(h)) + RUN <= words.row_end()[: len(h)])
-    page = words.row_of()[at]
+def _runs(outside: pa.Array, host: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each page's tokens and each block's begin; of all runs the first tokens, hashes with the host, and pages."""
+    if isinstance(outside, pa.ChunkedArray):
+        outside, host = outside.combine_chunks(), host.combine_chunks()
+    words = Words(outside.flatten())
+    of = words.of[np.append(0, np.cumsum(outside.value_lengths().to_numpy(zero_copy_only=False)))]
+    h, page = grams(words.hashes(), RUN), np.repeat(np.arange(len(of) - 1), np.diff(of))
+    at = np.flatnonzero(np.arange(len(h)) + RUN <= of[1:][page[: len(h)]])
+    page = page[at]
     hosts = np.array([_digest(x) for x in host.to_pylist()], np.uint64)
-    return of, at, mix(h[at], hosts[page]).view(np.int64), np.array([_digest(x) for x in texts], np.uint64).view(np.int64)
+    return of, words.of, at, mix(h[at], hosts[page]).view(np.int64), page
 
 
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct runs, with the least and the largest number of a stream that has them."""
+    """Distinct runs, with the least and the largest page that has them."""
     for batch in batches:
-        of, at, run, stream = _runs(batch.column("outside"), batch.column("host"))
+        *_, run, row = _runs(batch.column("outside"), batch.column("host"))
         if not len(run):
             continue
-        stream = stream[np.searchsorted(of, at, "right") - 1]
-        order = np.lexsort((stream, run))
-        run, stream = run[order], stream[order]
+        page = batch.column("page").to_numpy()[row]
+        order = np.lexsort((page, run))
+        run, page = run[order], page[order]
         first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-        yield pa.record_batch([pa.array(run[first]), pa.array(stream[first]), pa.array(stream[np.append(first[1:], len(run)) - 1])], ["run", "low", "high"])
+        yield pa.record_batch([pa.array(run[first]), pa.array(page[first]), pa.array(page[np.append(first[1:], len(run)) - 1])], ["run", "low", "high"])
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs of each chunk's pages."""
     for batch in batches:
-        of, at, run, _ = _runs(batch.column("outside"), batch.column("host"))
-        chunk = batch.column("chunk").to_numpy()[np.searchsorted(of, at, "right") - 1]
+        *_, run, row = _runs(batch.column("outside"), batch.column("host"))
+        chunk = batch.column("chunk").to_numpy()[row]
         for one in np.unique(chunk):
             runs = np.unique(run[chunk == one])
             yield pa.record_batch([pa.array(np.full(len(runs), one)), pa.array(runs)], ["chunk", "run"])
 
 
-def _decide(pages: pa.Table, answers: pa.Table) -> pa.Table:
-    """Texts of a chunk's pages that have no article element, of whose runs the answers are repeated ones."""
-    pages = pages.combine_chunks()
-    of, at, run, _ = _runs(pages.column("outside"), pages.column("host"))
-    starts = at[np.isin(run, answers.column("run").to_numpy())]
+def doubled(run: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the first RUN, 2 * RUN, 4 * RUN, ... tokens of suffixes, a row for each suffix, and how many it has.
+
+    run are the hashes of the first RUN tokens; the suffixes that begin at the left - 1 tokens after each follow it.
+    """
+    names, size, at = [run], RUN, np.arange(len(run))
+    count = np.ones(len(run), np.int64)
+    while len(at := at[left[at] + RUN - 1 >= 2 * size]):
+        longer = np.zeros(len(run), np.int64)
+        longer[at] = mix(names[-1][at].view(np.uint64), names[-1][at + size].view(np.uint64)).view(np.int64)
+        names.append(longer)
+        count[at] += 1
+        size *= 2
+    return np.stack(names, 1), count
+
+
+def _suffixes(pages: pa.Table, answers: pa.Table) -> pa.Table:
+    """Distinct suffixes of a chunk's streams that begin with a repeated run: their names and where they are."""
+    of, _, at, run, row = _runs(pages.column("outside"), pages.column("host"))
+    kept = np.isin(run, answers.column("run").to_numpy())
+    at, run, row = at[kept], run[kept], row[kept]
+    if not len(at):
+        return pa.table({"chunk": pa.array([], pa.int64()), "names": pa.array([], pa.list_(pa.int64())), "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64()), "places": pa.array([], PLACES)})
+    ends = np.flatnonzero(np.append((at[1:] != at[:-1] + 1) | (row[1:] != row[:-1]), True))
+    names, count = doubled(run, ends[np.searchsorted(ends, np.arange(len(at)))] - np.arange(len(at)) + 1)
+    page, at, longest = pages.column("page").to_numpy()[row], at - of[row], names[np.arange(len(at)), count - 1]
+    order = np.lexsort((at, page, longest, count))
+    page, at, longest, count, names = page[order], at[order], longest[order], count[order], names[order]
+    new = np.append(True, (longest[1:] != longest[:-1]) | (count[1:] != count[:-1]))
+    once = np.append(True, new[1:] | (page[1:] != page[:-1]) | (at[1:] != at[:-1]))  # copies of a page in one chunk
+    page, at, count, names, new = page[once], at[once], count[once], names[once], new[once]
+    first, n = np.flatnonzero(new), new.sum()
+    places = pa.StructArray.from_arrays([pa.array(page), pa.array(at.astype(np.int32))], fields=list(PLACES.value_type))
+    held = np.arange(names.shape[1]) < count[first, None]
+    columns = [
+        pa.array(np.full(n, pages.column("chunk")[0].as_py())),
+        pa.ListArray.from_arrays(np.append(0, np.cumsum(count[first])).astype(np.int32), pa.array(names[first][held])),
+        pa.array(page[first]),
+        pa.array(page[np.append(first[1:], len(page)) - 1]),
+        pa.ListArray.from_arrays(np.append(first, len(page)).astype(np.int32), places, type=PLACES),
+    ]
+    return pa.table(columns, ["chunk", "names", "low", "high", "places"])
+
+
+def longest_repeats(names: np.ndarray, count: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Tokens of the longest prefix of each sorted suffix that distinct pages share, by common prefixes of neighbours."""
+    size = np.zeros(len(names), np.int32)
+    common, same = np.zeros(len(names), np.int64), np.ones(max(len(names) - 1, 0), bool)
+    for k in range(names.shape[1]):
+        same &= (names[1:, k] == names[:-1, k]) & (np.minimum(count[1:], count[:-1]) > k)
+        common[1:] += same
+    for k in range(names.shape[1]):
+        first = np.flatnonzero(common <= k)
+        shared = np.minimum.reduceat(low, first) < np.maximum.reduceat(high, first)
+        size[np.repeat(shared, np.diff(np.append(first, len(names)))) & (count > k)] = RUN << k
+    return size
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The repeats that begin at the suffixes of a range of the sorted suffixes; suffixes of one run are in one range."""
+
+    def told(part: pa.Table) -> pa.RecordBatch:
+        lists = part.column("names").combine_chunks()
+        count = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        names = np.zeros((len(count), count.max()), np.int64)
+        names[np.arange(names.shape[1]) < count[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+        size = longest_repeats(names, count, part.column("low").to_numpy(), part.column("high").to_numpy())
+        return pa.record_batch([lists, pa.array(size)], ["names", "size"]).filter(pa.array(size > 0))
+
+    rest = None
+    for batch in batches:
+        batch = pa.Table.from_batches([batch])
+        rest = pa.concat_tables([rest, batch]) if rest is not None else batch
+        run = rest.column("run").to_numpy()
+        whole = int(np.flatnonzero(np.append(True, run[1:] != run[:-1]))[-1]) if len(run) else 0
+        if whole:
+            yield told(rest.slice(0, whole))
+            rest = rest.slice(whole)
+    if rest is not None and rest.num_rows:
+        yield told(rest)
+
+
+def _gone(pages: pa.Table, found: pa.Table) -> pa.Table:
+    """Which blocks of the streams of a chunk's pages are covered by repeats for the most part."""
+    of, blocks_of, *_ = _runs(pages.column("outside"), pages.column("host"))
+    page = pages.column("page").to_numpy()
+    one, row = np.unique(page, return_index=True)
+    places = found.column("places").combine_chunks()
+    at, size = places.flatten(), np.repeat(found.column("size").to_numpy(), places.value_lengths().to_numpy(zero_copy_only=False))
+    start = of[row[np.searchsorted(one, at.field("page").to_numpy(zero_copy_only=False))]] + at.field("at").to_numpy(zero_copy_only=False) if len(at) else np.zeros(0, np.int64)
     covered = np.zeros(of[-1] + 1, np.int64)
-    np.add.at(covered, starts, 1)
-    np.subtract.at(covered, starts + RUN, 1)
-    covered = np.cumsum(covered) > 0
-    texts = []
-    for k, outside, noise in zip(of, pages.column("outside").to_pylist(), pages.column("noise").to_pylist()):
-        kept = []
-        for block, is_noise in zip(outside or (), noise or (), strict=True):
-            n = len(block.split())
-            if not is_noise and covered[k : k + n].mean() < COVERED:
-                kept.append(block)
-            k += n
-        texts.append("\n\n".join(kept))
-    return pa.table([pages.column("page_id"), pages.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+    np.add.at(covered, start, 1)
+    np.subtract.at(covered, start + size, 1)
+    total = np.append(0, np.cumsum(np.cumsum(covered[:-1]) > 0))
+    gone = np.diff(total[blocks_of]) >= COVERED * np.diff(blocks_of)
+    first = np.append(0, np.cumsum(pages.column("outside").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)))
+    lists = [np.flatnonzero(gone[first[k] : first[k + 1]]) for k in row]
+    kept = [k for k, x in enumerate(lists) if len(x)]
+    return pa.table([pa.array(one[kept], pa.int64()), pa.array([lists[k] for k in kept], pa.list_(pa.int32()))], ["page", "gone"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each page, of whose stream the blocks gone are boilerplate: these go where markup leaves them open."""
+    for batch in batches:
+        texts = []
+        for roles, found, gone in zip(*(batch.column(c).to_pylist() for c in ("roles", "blocks", "gone")), strict=True):
+            most, gone = max(roles, default=NOISE), set(gone or ())
+            wanted = {ARTICLE, DOUBT} if most >= ARTICLE else {most} - {NOISE}  # a main region narrows down where the text can be
+            kept, doubtful, k = [], [], -1
+            for role, text in zip(roles, found, strict=True):
+                k += role != ARTICLE
+                if role in wanted:
+                    (kept if role == ARTICLE or k not in gone else doubtful).append(text)
+            # an article of repeats alone is a copy of another
+            texts.append("\n\n".join(kept or (doubtful if most >= ARTICLE else ())))
+        yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def html_text(df: DataFrame) -> DataFrame:
@@ -315,20 +428,22 @@ def html_text(df: DataFrame) -> DataFrame:
 
     Returns page_id, url, text, one row for each input row: blocks in page order joined by a blank line, character
     references decoded, white space inside a block one space. Null or empty html, and pages without text, give ''.
-    A url without a host (null, too) belongs to the host ''. Copies of a page (whose text outside the article is the
-    same) count as one when repeats are looked for. Markup that ends in the middle is read as far as it goes, at any
-    depth. Null page_ids stay null, and rows that repeat one each get their text. An empty table gives an empty result.
+    A url without a host (null, too) belongs to the host ''. Copies of a page count as one when repeats are looked for.
+    Markup that ends in the middle is read as far as it goes, at any depth. Null page_ids stay null, and rows that repeat
+    one each get their text. An empty table gives an empty result.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
     pages = df.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
     # pages are parsed twice, which costs less than keeping the texts of articles
-    streams = written(pages.mapInArrow(_streams, STREAM), "zstd")
-    open_, texts = streams.where("open"), pages.select("page_id", "url", "html").mapInArrow(_articles, TEXT)
-    if open_.isEmpty():
-        return texts
-    # all pages' runs are told; choosing those of hosts with open pages would bring a whole host to one task
-    told = streams.select("host", "outside").mapInArrow(_told, RUNS)
-    repeats = told.groupBy("run").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("run")
-    answers = open_.select("chunk", "host", "outside").mapInArrow(_asked, ASKED).distinct().join(repeats, "run", "left_semi").select("chunk", "run")
-    decided = open_.select("chunk", "page_id", "url", "host", "outside", "noise").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_decide, TEXT)
-    return texts.unionByName(decided)
+    streams = written(pages.select("host", "html").mapInArrow(_streams, STREAM), "zstd")
+    told = streams.select("page", "host", "outside").mapInArrow(_told, RUNS)
+    repeated_runs = told.groupBy("run").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("run")
+    answers = streams.mapInArrow(_asked, ASKED).distinct().join(repeated_runs, "run", "left_semi").select("chunk", "run")
+    suffixes = written(streams.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_suffixes, SUFFIXES), "zstd")
+    name = [F.element_at("names", -1).alias("name"), F.size("names").alias("levels")]  # a suffix's longest name tells the shorter ones
+    distinct = suffixes.groupBy("names").agg(F.min("low").alias("low"), F.max("high").alias("high")).withColumn("run", F.col("names")[0])
+    repeats = distinct.repartitionByRange("run").sortWithinPartitions("names").mapInArrow(_repeats, REPEATS)
+    found = suffixes.select("chunk", "places", *name).join(repeats.select("size", *name), ["name", "levels"]).select("chunk", "places", "size")
+    gone = streams.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_gone, GONE).dropDuplicates(["page"])
+    # a verdict for each page: they grow with the pages, so they are not sent to every worker
+    return pages.mapInArrow(_parsed, PARSED).join(written(gone, "zstd").hint("shuffle_hash"), "page", "left").mapInArrow(_texts, TEXT)
