@@ -20,7 +20,7 @@ import hashlib
 import html
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -208,7 +208,7 @@ def _blocks(page: str | None) -> list[tuple[int, str]]:
 
 HOST = r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 TEXT = "page_id bigint, url string, text string"
-STREAM = "page bigint, host string, outside array<string>, chunk bigint"
+STREAM = "page bigint, copy bigint, host string, outside array<string>, chunk bigint"
 RUNS = "run bigint, low bigint, high bigint"
 ASKED = "chunk bigint, run bigint"
 SUFFIXES = "chunk bigint, names array<bigint>, low bigint, high bigint, places array<struct<page: bigint, at: int>>"
@@ -218,21 +218,26 @@ GONE = "page bigint, gone array<int>"
 PARSED = "page bigint, page_id bigint, url string, roles array<tinyint>, blocks array<string>"
 
 
+def _number(host: str, texts: Iterable[str]) -> int:
+    return _digest("\n".join((host, *texts))) - (1 << 63)
+
+
 def _page(host: str, found: list[tuple[int, str]]) -> int:
-    """A number of the page: its copies on the host have the same."""
-    return _digest("\n".join((host, *(f"{role}{text}" for role, text in found)))) - (1 << 63)
+    """A number of the page: those of the host with the same blocks in the same parts have the same."""
+    return _number(host, (f"{role}{text}" for role, text in found))
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What markup doesn't settle as an article's text; chunk: a number of the pages read together."""
+    """What markup doesn't settle as an article's text; copy: a number of the page's whole text; chunk: one of the pages read together."""
     for batch in chunks(batches, "html"):
-        page, outside = [], []
+        page, copy, outside = [], [], []
         for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             found = _blocks(text)
             page.append(_page(host, found))
+            copy.append(_number(host, (t for _, t in found)))
             outside.append([t for r, t in found if r != ARTICLE])
-        columns = [pa.array(page, pa.int64()), batch.column("host"), pa.array(outside, pa.list_(pa.string())), pa.array(np.full(batch.num_rows, uuid.uuid4().int >> 65))]
-        yield pa.record_batch(columns, ["page", "host", "outside", "chunk"])
+        columns = [pa.array(page, pa.int64()), pa.array(copy, pa.int64()), batch.column("host"), pa.array(outside, pa.list_(pa.string())), pa.array(np.full(batch.num_rows, uuid.uuid4().int >> 65))]
+        yield pa.record_batch(columns, ["page", "copy", "host", "outside", "chunk"])
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,12 +288,12 @@ def _runs(outside: pa.Array, host: pa.Array) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct runs, with the least and the largest page that has them."""
+    """Distinct runs, with the least and the largest page (copies being one) that has them."""
     for batch in batches:
         *_, run, row = _runs(batch.column("outside"), batch.column("host"))
         if not len(run):
             continue
-        page = batch.column("page").to_numpy()[row]
+        page = batch.column("copy").to_numpy()[row]
         order = np.lexsort((page, run))
         run, page = run[order], page[order]
         first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
@@ -330,20 +335,20 @@ def _suffixes(pages: pa.Table, answers: pa.Table) -> pa.Table:
         return pa.table({"chunk": pa.array([], pa.int64()), "names": pa.array([], pa.list_(pa.int64())), "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64()), "places": pa.array([], PLACES)})
     ends = np.flatnonzero(np.append((at[1:] != at[:-1] + 1) | (row[1:] != row[:-1]), True))
     names, count = doubled(run, ends[np.searchsorted(ends, np.arange(len(at)))] - np.arange(len(at)) + 1)
-    page, at, longest = pages.column("page").to_numpy()[row], at - of[row], names[np.arange(len(at)), count - 1]
+    page, copy, at, longest = pages.column("page").to_numpy()[row], pages.column("copy").to_numpy()[row], at - of[row], names[np.arange(len(at)), count - 1]
     order = np.lexsort((at, page, longest, count))
-    page, at, longest, count, names = page[order], at[order], longest[order], count[order], names[order]
+    page, copy, at, longest, count, names = page[order], copy[order], at[order], longest[order], count[order], names[order]
     new = np.append(True, (longest[1:] != longest[:-1]) | (count[1:] != count[:-1]))
-    once = np.append(True, new[1:] | (page[1:] != page[:-1]) | (at[1:] != at[:-1]))  # copies of a page in one chunk
-    page, at, count, names, new = page[once], at[once], count[once], names[once], new[once]
+    once = np.append(True, new[1:] | (page[1:] != page[:-1]) | (at[1:] != at[:-1]))  # the same page twice in one chunk
+    page, copy, at, count, names, new = page[once], copy[once], at[once], count[once], names[once], new[once]
     first, n = np.flatnonzero(new), new.sum()
     places = pa.StructArray.from_arrays([pa.array(page), pa.array(at.astype(np.int32))], fields=list(PLACES.value_type))
     held = np.arange(names.shape[1]) < count[first, None]
     columns = [
         pa.array(np.full(n, pages.column("chunk")[0].as_py())),
         pa.ListArray.from_arrays(np.append(0, np.cumsum(count[first])).astype(np.int32), pa.array(names[first][held])),
-        pa.array(page[first]),
-        pa.array(page[np.append(first[1:], len(page)) - 1]),
+        pa.array(np.minimum.reduceat(copy, first)),
+        pa.array(np.maximum.reduceat(copy, first)),
         pa.ListArray.from_arrays(np.append(first, len(page)).astype(np.int32), places, type=PLACES),
     ]
     return pa.table(columns, ["chunk", "names", "low", "high", "places"])
@@ -428,7 +433,7 @@ def html_text(df: DataFrame) -> DataFrame:
 
     Returns page_id, url, text, one row for each input row: blocks in page order joined by a blank line, character
     references decoded, white space inside a block one space. Null or empty html, and pages without text, give ''.
-    A url without a host (null, too) belongs to the host ''. Copies of a page count as one when repeats are looked for.
+    A url without a host (null, too) belongs to the host ''. Copies of a page (with the same text) count as one when repeats are looked for.
     Markup that ends in the middle is read as far as it goes, at any depth. Null page_ids stay null, and rows that repeat
     one each get their text. An empty table gives an empty result.
     """
@@ -436,7 +441,7 @@ def html_text(df: DataFrame) -> DataFrame:
     pages = df.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
     # pages are parsed twice, which costs less than keeping the texts of articles
     streams = written(pages.select("host", "html").mapInArrow(_streams, STREAM), "zstd")
-    told = streams.select("page", "host", "outside").mapInArrow(_told, RUNS)
+    told = streams.select("copy", "host", "outside").mapInArrow(_told, RUNS)
     repeated_runs = told.groupBy("run").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("run")
     answers = streams.mapInArrow(_asked, ASKED).distinct().join(repeated_runs, "run", "left_semi").select("chunk", "run")
     suffixes = written(streams.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_suffixes, SUFFIXES), "zstd")

@@ -112,3 +112,11 @@ def test_all_rows_come_by_the_array(spark, monkeypatch):
     streams, suffixes, gone = seen
     assert out.count() == streams.count() == pages.count() and "Join" in out._jdf.queryExecution().toString()
     assert suffixes.where("low < high").count() and gone.count()
+
+
+def test_copies_are_one_page(spark):
+    """The same text in other markup is no second page; the same text outside of other articles is one."""
+    words = lambda *key: " ".join(f"{'x'.join(map(str, key))}y{k}" for k in range(12))
+    rows = [(0, "http://h.example/0", f"<div>{words('a')}</div>"), (1, "http://h.example/1", f"<main><p>{words('a')}</p></main>"), (2, "http://h.example/2", f"<div>{words('a')}</div>")]
+    rows += [(k, "http://h.example/", f"<article>{k} <div class='related-stories'>{words('b')}</div></article>") for k in (3, 4)]
+    assert texts(spark, rows) == {0: words("a"), 1: words("a"), 2: words("a"), 3: "3", 4: "4"}
