@@ -20,12 +20,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, compression: str | None = None) -> DataFrame:
-    """The same rows, read from a table written in the shared folder: lineage ends there, and lost executors lose nothing."""
+def written(df: DataFrame, compression: str | None = None, bucket: str | None = None) -> DataFrame:
+    """The same rows, read from a table written in the shared folder: lineage ends there, and lost executors lose nothing.
+
+    With a bucket column, joins and groups by it read the table without a shuffle. It has as many buckets as a shuffle has partitions.
+    """
     spark = df.sparkSession
-    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    name = uuid.uuid4().hex
+    path = f"{_tables(spark)}/{name}"
+    if not bucket:
+        df.write.parquet(path, compression=compression)
+        return spark.read.schema(df.schema).parquet(path)
+    table = f"spark_catalog.default.lociforge_{name}"  # only tables of a catalog have buckets
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, bucket).option("compression", compression).saveAsTable(table, format="parquet", path=path)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay, and out reads them
+    return out
 
 
 def _tables(spark: SparkSession) -> str:

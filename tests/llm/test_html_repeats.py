@@ -1,8 +1,10 @@
 """The suffix array over a host's pages, and what it decides."""
 
 import random
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lociforge.llm import html_text as M
@@ -120,3 +122,53 @@ def test_copies_are_one_page(spark):
     rows = [(0, "http://h.example/0", f"<div>{words('a')}</div>"), (1, "http://h.example/1", f"<main><p>{words('a')}</p></main>"), (2, "http://h.example/2", f"<div>{words('a')}</div>")]
     rows += [(k, "http://h.example/", f"<article>{k} <div class='related-stories'>{words('b')}</div></article>") for k in (3, 4)]
     assert texts(spark, rows) == {0: words("a"), 1: words("a"), 2: words("a"), 3: "3", 4: "4"}
+
+
+def test_texts_are_kept_once(spark, monkeypatch, tmp_path):
+    """Shuffles and tables of one run together are less than 1.5 times the pages: texts wait in a table, in buckets, for their verdicts."""
+    seen = []
+    kept = M.written
+    monkeypatch.setattr(M, "written", lambda df, *a: seen.append(kept(df, *a)) or seen[-1])
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    pages = Path("/root/testdata/sf0.1/pages.parquet")
+    before = shuffled()
+    out = M.html_text(spark.read.parquet(str(pages)))
+    out.write.parquet(f"{tmp_path}/out")
+    tables = {Path(f.removeprefix("file:")).parent for df in seen for f in df.inputFiles()}
+    written = sum(f.stat().st_size for t in tables for f in t.glob("*.parquet"))
+    assert len(tables) == 3 and written > 0
+    assert written + shuffled() - before < 1.5 * pages.stat().st_size
+    assert "Bucketed: true" in out._jdf.queryExecution().toString() and not [t for t in spark.catalog.listTables() if t.name.startswith("lociforge_")]
+
+
+def test_places_in_chunks(monkeypatch):
+    """Every page has its own place in its chunk; a chunk ends at so many characters of streams, or pages."""
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("host", pa.string())])
+    rows = [(k, "", ("<p>" + "x " * 400 if k < 30 else ""), "") for k in range(200)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[a : a + 10]], schema) for a in range(0, 200, 10)]
+    monkeypatch.setattr(M, "CHUNK_BYTES", 9000)
+    got = pa.Table.from_batches(list(M._streams(iter(batches))))
+    places = {}
+    for page_id, chunk, at in zip(*(got.column(c).to_pylist() for c in ("page_id", "chunk", "at")), strict=True):
+        places.setdefault(chunk, []).append((page_id, at))
+    assert [[p for p, _ in x] for x in places.values()] == [[*range(20)], [*range(20, 30), *range(30, 40)], [*range(40, 130)], [*range(130, 200)]]
+    assert all([a for _, a in x] == [*range(len(x))] for x in places.values())
+
+
+def test_verdicts_of_copies_and_of_many_chunks(spark):
+    """Each row takes the verdict of its own place: copies, null ids and empty pages between others, in one chunk and in many."""
+    words = lambda *key: " ".join(f"{'x'.join(map(str, key))}y{k}" for k in range(12))
+    rows, want = [], []
+    for k in range(300):
+        html = "" if k % 7 == 0 else f"<div>{words('menu', k % 3)}</div><article>{words('own', k % 50)}<div class='related-stories'><p>{words('more', k % 2)}<p>{words('only', k % 50)}</div></article>"
+        rows.append((None if k % 11 == 0 else k, f"http://h.example/{k}", html))
+        want.append((rows[-1][0], rows[-1][1], "" if k % 7 == 0 else f"{words('own', k % 50)}\n\n{words('more', k % 2)}\n\n{words('only', k % 50)}"))
+    # what more than one text has goes; own and only lie on copies with other menus, which are other pages
+    want = [(p, u, t and t.split("\n\n")[0]) for p, u, t in want]
+    for n in (1, 13):
+        got = M.html_text(spark.createDataFrame(rows, SCHEMA).repartition(n)).collect()
+        assert sorted((r.url, str(r.page_id), r.text) for r in got) == sorted((u, str(p), t) for p, u, t in want)
