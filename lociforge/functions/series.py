@@ -76,6 +76,11 @@ def z_score(df: DataFrame, value: Column, into: str = "z") -> DataFrame:
     return t.withColumn(into, (value - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))).drop("_mean", "_sd")
 
 
+def exact_mean(value: str) -> Column:
+    """Mean of a column of doubles, summed as decimals: the same in any order of the rows, so that equal means are equal."""
+    return F.sum(F.col(value).cast("decimal(38,20)")).cast("double") / F.count(value)
+
+
 def ranged(df: DataFrame, value: str, into: str = "_part") -> DataFrame:
     """Adds the number of a value's range, ranges being in order and about equally full; equal values share one."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -132,14 +137,16 @@ def placed(df: DataFrame, into: str, order: list[Column], by: tuple[str, ...] =
 def average_rank(df: DataFrame, value: str, into: str) -> DataFrame:
     """Adds the rank of a value, ties sharing their mean rank.
 
-    Ranks come from counted distinct values: the window runs over these, and the rows meet their rank in a join.
+    Ranks come from counted distinct values: the window runs over these, and the rows meet their rank in a join. The rows are
+    read twice, so a value must be the same each time: a sum of doubles, whose last digits hang on the order in which its parts
+    arrive, is kept or exact first.
     """
     counts = running(df.where(F.col(value).isNotNull()).groupBy(value).count(), value, {"_upto": "count"})
     return df.join(counts.select(value, (F.col("_upto") - F.col("count") + (F.col("count") + 1) / 2).alias(into)), value)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    ranked = average_rank(average_rank(df.select(a, b), a, "_ra"), b, "_rb")
+    ranked = average_rank(average_rank(kept(df.select(a, b)), a, "_ra"), b, "_rb")
     return ranked.agg(F.corr("_ra", "_rb").alias("rho"))
 
 
