@@ -150,10 +150,15 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.corr("_ra", "_rb").alias("rho"))
 
 
-def bh_adjust(df: DataFrame, p: str = "p") -> DataFrame:
-    """Adds padj: p times n over rank, made monotone from the largest p down, 1 at most; null p stays null and is not counted."""
+def bh_adjust(df: DataFrame, p: str = "p", first: bool = False) -> DataFrame:
+    """Adds padj: p times n over rank, made monotone from the largest p down, 1 at most; null p stays null and is not counted.
+
+    Equal p have the last of their ranks or, if `first`, the first, as rank() has it. The rows are read twice, so p must be the
+    same each time (kept, or not a sum of doubles).
+    """
     known = running(df.where(F.col(p).isNotNull()).groupBy(p).count(), p, {"_rank": "count"})
-    raw = with_totals(known, _n=F.sum("count")).select(p, (F.col(p) * F.col("_n") / F.col("_rank")).alias("_q"))
+    rank = F.col("_rank") - F.col("count") + 1 if first else F.col("_rank")
+    raw = with_totals(known, _n=F.sum("count")).select(p, (F.col(p) * F.col("_n") / rank).alias("_q"))
     adjusted = running(raw, p, {"_least": "_q"}, down=True, least=True).select(p, F.least(F.lit(1.0), "_least").alias("padj"))
     return df.join(adjusted, p, "left")
 

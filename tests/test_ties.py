@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -27,3 +28,31 @@ def test_exact_means(spark):
     got = {r.m for r in df.groupBy("k").agg(N.exact_mean("v").alias("m")).collect()}
     assert len(got) == 1 and got.pop() == pytest.approx(x.mean(), rel=1e-14)
     assert spark.createDataFrame([(None,), (2.0,)], "v double").agg(N.exact_mean("v").alias("m")).first().m == 2.0
+
+
+def test_adjusted_ties(spark):
+    df = spark.createDataFrame([(0.01,), (0.02,), (0.02,), (0.02,), (0.5,), (None,)], "p double")
+    last, first = ([r.padj for r in N.bh_adjust(df, first=f).orderBy("p").collect()] for f in (False, True))
+    assert last == [None, *map(pytest.approx, [0.025, 0.025, 0.025, 0.025, 0.5])] and first == [None, *map(pytest.approx, [0.05, 0.05, 0.05, 0.05, 0.5])]
+
+
+@pytest.fixture(scope="module")
+def copies(spark, tmp_path_factory):
+    """Twelve copies of the small lineitem with keys of their own, in another order each."""
+    folder = str(tmp_path_factory.mktemp("copies"))
+    one = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    all_ = one.crossJoin(spark.range(12).withColumnRenamed("id", "_k"))
+    keys = {c: F.col(c) + F.col("_k") * 100_000 for c in ("l_orderkey", "l_partkey", "l_suppkey")}
+    all_.withColumns(keys).orderBy(F.hash("l_orderkey", "l_linenumber", "_k")).drop("_k").write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def test_adjusted_p_of_copies(spark, copies):
+    """The SQL's sums are doubles, which may part equal p; exact sums are given to it here."""
+    from lociforge.plans import catalogue
+
+    catalogue.load()
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * REPLACE (CAST(l_discount AS DECIMAL(18, 4)) AS l_discount) FROM '{copies}/lineitem.parquet/*.parquet'")
+    theirs = sorted(duck.execute(catalogue.SQL["bh_adjust"]).fetchall())
+    assert sorted(tuple(r) for r in catalogue.QUERIES["bh_adjust"](spark, copies).collect()) == theirs and len(theirs) == 120
