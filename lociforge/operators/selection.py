@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociforge.functions.series import global_rank, gradient, reverse_cumsum, smooth, with_totals
+from lociforge.functions.series import gradient, placed, reverse_cumsum, smooth, with_totals
 
 
 #: The least deviation of a point's density, as a share of the range.
@@ -22,24 +22,25 @@ def effect_sizes(draws: DataFrame, feature: str = "feature_name", beta: str = "b
     return s.withColumn("effect_size", F.abs(F.col("beta_mean") / F.col("beta_std")))
 
 
-def adaptive_kde(points: DataFrame, value: str = "x", neighbours: int = 10, grid: int = 1000) -> DataFrame:
+def adaptive_kde(points: DataFrame, value: str = "x", neighbours: int = 10, grid: int = 1000, least: float = LEAST_WIDTH) -> DataFrame:
     """Density (k, x, density) on an even grid: mean of normal densities whose deviation is the distance to a point's 10th neighbour, itself the first.
 
     The neighbours of a point in one dimension are among the nine before and after it in order, which meet it in a join on
-    their places; the grid, which is small, is broadcast. Of fewer points the farthest counts. No deviation is below LEAST_WIDTH
-    of the range of all points (of 1, where they are all equal), so that ties leave the density defined.
+    their places in a sorted table; the grid, which is small, is broadcast. Of fewer points the farthest counts. No deviation is
+    below `least` of the range of all points (of 1, where they are all equal), so that ties leave the density defined. With 0 a
+    point that nine others equal has the deviation 0, and no density at all is a number.
     """
-    places = global_rank(points.select(F.col(value).cast("double").alias("_v")).where("_v is not null"), "_v", "_r")
+    places = placed(points.select(F.col(value).cast("double").alias("_v")).where("_v is not null"), "_r", [F.col("_v")])
     offsets = F.explode(F.array(*[F.lit(k) for k in range(1 - neighbours, neighbours) if k]))
     far = places.select("_r", "_v", offsets.alias("_k")).select((F.col("_r") + F.col("_k")).alias("_r"), F.col("_v").alias("_w"))
     around = places.join(far, "_r", "left").groupBy("_r", "_v").agg(F.sort_array(F.collect_list(F.abs(F.col("_w") - F.col("_v")))).alias("_d"))
     p = around.select("_v", F.coalesce(F.get("_d", F.lit(neighbours - 2)), F.array_max("_d"), F.lit(0.0)).alias("_d"))
     t = with_totals(p, _low=F.min("_v"), _high=F.max("_v"), _n=F.count("*"))
     span = F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(1.0)
-    t = t.withColumn("_h", F.greatest("_d", LEAST_WIDTH * span))
+    t = t.withColumn("_h", F.greatest("_d", least * span))
     grid_points = t.select("_low", "_high").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k"), "_low", "_high").select("k", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("k") / (grid - 1)).alias("x"))
-    z = (F.col("x") - F.col("_v")) / F.col("_h")
-    pdf = F.exp(-0.5 * z * z) / (F.col("_h") * math.sqrt(2 * math.pi))
+    z = (F.col("x") - F.col("_v")) / F.nullif(F.col("_h"), F.lit(0.0))
+    pdf = F.when(F.col("_h") > 0, F.exp(-0.5 * z * z) / (F.col("_h") * math.sqrt(2 * math.pi))).otherwise(math.nan)
     return t.crossJoin(F.broadcast(grid_points)).groupBy("k", "x").agg((F.sum(pdf) / F.first("_n")).alias("density"))
 
 

@@ -1,5 +1,6 @@
 """Values that are computed anew with other last digits, and ties of copied rows."""
 
+import math
 import random
 
 import duckdb
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociforge.functions import series as N
+from lociforge.operators import selection as L
 
 
 def unsteady(spark, n=200):
@@ -56,3 +58,24 @@ def test_adjusted_p_of_copies(spark, copies):
     duck.execute(f"CREATE VIEW lineitem AS SELECT * REPLACE (CAST(l_discount AS DECIMAL(18, 4)) AS l_discount) FROM '{copies}/lineitem.parquet/*.parquet'")
     theirs = sorted(duck.execute(catalogue.SQL["bh_adjust"]).fetchall())
     assert sorted(tuple(r) for r in catalogue.QUERIES["bh_adjust"](spark, copies).collect()) == theirs and len(theirs) == 120
+
+
+def test_density_of_copies(spark, copies):
+    """Twelve copies of each point: its nine neighbours are at no distance, and neither has the SQL a number."""
+    from lociforge.plans import catalogue
+
+    catalogue.load()
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{copies}/lineitem.parquet/*.parquet' WHERE l_linenumber > 0 ORDER BY l_partkey, l_orderkey, l_linenumber")
+    theirs = [(k, x, math.isnan(d)) for k, x, d in duck.execute(catalogue.SQL["kde_grid"]).fetchall()]
+    ours = [(k, x, math.isnan(d)) for k, x, d in catalogue.QUERIES["kde_grid"](spark, copies).collect()]
+    assert sorted(ours) == sorted(theirs) and len(ours) == 200 and all(no for *_, no in ours)
+
+
+def test_density_of_unsteady_values(spark):
+    """Each point has a place of its own, however often its value is computed."""
+    got = L.adaptive_kde(unsteady(spark, 300), "a", grid=50).orderBy("k").collect()
+    v = np.arange(1.0, 301.0)
+    h = np.array([sorted(abs(v - x))[9] for x in v])
+    x = 1 + 299 * np.arange(50) / 49
+    assert np.allclose([r.density for r in got], [(np.exp(-0.5 * ((g - v) / h) ** 2) / (h * math.sqrt(2 * math.pi))).mean() for g in x])
