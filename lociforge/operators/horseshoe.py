@@ -4,15 +4,16 @@ weight j = z_j * tau * lambda_j * sqrt(c_j), with z_j normal, the global scale t
 c_j inverse gamma; the intercept is normal with a deviation of 10. Scales are fitted by their logarithms. The posterior of all
 of these is approximated by a normal distribution whose covariance is a diagonal and a matrix of low rank.
 
-Samples are packed into blocks once, by partition and hash slice, and stay there. A step of the fit is one job over a slice
-(a minibatch): each task multiplies its blocks with a few posterior draws of the weights and returns sums, a number for
-each feature and draw; the approximation itself lives on the driver, and has the size of the features. The last step of
-an epoch also takes the loss of the held-out slice.
+Samples are packed into blocks once, by partition and hash slice, and stay there. If they are more than SMALL bytes, a step of the
+fit is one job over a slice (a minibatch): each task multiplies its blocks with a few posterior draws of the weights and returns
+sums, a number for each feature and draw; the approximation itself lives on the driver, and has the size of the features. Fewer
+bytes are read by one task, which takes the same steps over the same slices: a fit is one job then, where starting hundreds of
+them takes longer than what they do. The last step of an epoch also takes the loss of the held-out slice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -27,8 +28,10 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The slice of held-out rows.
-HELD = -1
+from lociforge.sources.shared import kept
+
+#: The slice of held-out rows; packed bytes of a fit that one task may hold; rows that are multiplied at a time.
+HELD, SMALL, ROWS = -1, 1 << 26, 4096
 
 
 def _array(df: DataFrame, column: str) -> Column:
@@ -98,23 +101,47 @@ def _pack(width: int, mean: np.ndarray, scale: np.ndarray):
     return pack
 
 
+def _slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Slopes of the rows' log likelihood by weights and intercept at each draw (rows of w, b)."""
+    g = np.zeros((len(w), w.shape[1] + 1))
+    for k in range(0, len(y), ROWS):
+        part = x[k : k + ROWS].astype(float)
+        r = part @ w.T
+        r += b
+        np.clip(r, -30, 30, out=r)
+        np.exp(np.negative(r, out=r), out=r)
+        r += 1
+        np.subtract(y[k : k + ROWS, None], np.reciprocal(r, out=r), out=r)
+        g[:, :-1] += r.T @ part
+        g[:, -1] += r.sum(0)
+    return g
+
+
+def _loss(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: float) -> float:
+    """The rows' loss."""
+    z = np.clip(x @ w + b, -30, 30)
+    return float((np.log1p(np.exp(z)) - y * z).sum())
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks as slice, features and labels."""
+    for batch in batches:
+        for k, xs, ys in zip(batch.column("slice").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+            y = np.frombuffer(ys.as_buffer(), np.float32)
+            yield k, np.frombuffer(xs.as_buffer(), np.float32).reshape(len(y), -1), y
+
+
 def _sums(w: np.ndarray, b: np.ndarray, mean_w: np.ndarray, mean_b: float):
     """A partition's sums: slopes of the log likelihood at each draw (rows of w, b), or the held-out loss at the mean."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, n, held, n_held = np.zeros((len(w), w.shape[1] + 1)), 0, 0.0, 0
-        for batch in batches:
-            for k, xs, ys in zip(batch.column("slice").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
-                y = np.frombuffer(ys.as_buffer(), np.float32)
-                x = np.frombuffer(xs.as_buffer(), np.float32).reshape(len(y), -1)
-                if k == HELD:
-                    z = np.clip(x @ mean_w + mean_b, -30, 30)
-                    held, n_held = held + float((np.log1p(np.exp(z)) - y * z).sum()), n_held + len(y)
-                else:
-                    r = y[:, None] - 1 / (1 + np.exp(-np.clip(x @ w.T + b, -30, 30)))
-                    g[:, :-1] += r.T @ x
-                    g[:, -1] += r.sum(0)
-                    n += len(y)
+        for k, x, y in _unpacked(batches):
+            if k == HELD:
+                held, n_held = held + _loss(x, y, mean_w, mean_b), n_held + len(y)
+            else:
+                g += _slopes(x, y, w, b)
+                n += len(y)
         if n or n_held:
             yield pa.record_batch([pa.array([n]), pa.array([held]), pa.array([n_held]), pa.array([g.tobytes()], pa.binary())], ["n", "held", "n_held", "g"])
 
@@ -129,6 +156,88 @@ def _added(table: pa.Table) -> pa.Table:
 
 _SUMS = "n bigint, held double, n_held bigint, g binary"
 
+#: Rows of slices, their held-out loss and rows, and their slopes, at draws of weights and intercepts and at a mean of both.
+Sums = Callable[[list[int], np.ndarray, np.ndarray, np.ndarray, float], tuple[int, float, int, np.ndarray]]
+
+
+def _spread(blocks: DataFrame) -> Sums:
+    """Sums as a job over all partitions."""
+    parts = blocks.rdd.getNumPartitions()
+
+    def sums(wanted: list[int], w: np.ndarray, b: np.ndarray, mean_w: np.ndarray, mean_b: float) -> tuple[int, float, int, np.ndarray]:
+        found = blocks.where(F.col("slice").isin(wanted)).mapInArrow(_sums(w, b, mean_w, mean_b), _SUMS)
+        if parts > 64:  # partial sums of many partitions meet in a few tasks first
+            found = found.groupBy(F.pmod(F.spark_partition_id(), F.lit(16))).applyInArrow(_added, _SUMS)
+        got = found.collect()
+        g = np.sum([np.frombuffer(r.g) for r in got], 0) if got else np.zeros(1)
+        return sum(r.n for r in got), sum(r.held for r in got), sum(r.n_held for r in got), g.reshape(len(w), -1) if got else g
+
+    return sums
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Sums:
+    """Sums over blocks that are all here."""
+    found: dict[int, list] = {}
+    for k, x, y in _unpacked(batches):
+        found.setdefault(k, []).append((x, y))
+    slices = {k: tuple(map(np.concatenate, zip(*found.pop(k), strict=True))) for k in list(found)}
+
+    def sums(wanted: list[int], w: np.ndarray, b: np.ndarray, mean_w: np.ndarray, mean_b: float) -> tuple[int, float, int, np.ndarray]:
+        rows = [slices[k] for k in wanted if k != HELD and k in slices]
+        held = [slices[k] for k in wanted if k == HELD and k in slices]
+        g = np.zeros((len(w), w.shape[1] + 1))
+        for x, y in rows:
+            g += _slopes(x, y, w, b)
+        return sum(len(y) for _, y in rows), sum(_loss(x, y, mean_w, mean_b) for x, y in held), sum(len(y) for _, y in held), g
+
+    return sums
+
+
+def climb(sums: Sums, size: float, d: int, get: dict) -> tuple[dict[str, np.ndarray], float]:
+    """The posterior's parameters after the best epoch, and the loss there (infinite without held-out rows); get: the estimator's parameters."""
+    rng = np.random.Generator(np.random.PCG64(get["seed"]))
+    loc = np.zeros(3 * d + 2)
+    loc[3 * d] = -2.5  # weights begin near 0, of certain scale
+    q = LowRankNormal(loc, np.full(len(loc), -3.0), 0.01 * rng.normal(size=(len(loc), get["rank"])))
+    m, s = ({k: np.zeros(v.shape) for k, v in q.p.items()} for _ in range(2))
+    best, least, since, step = {k: v.copy() for k, v in q.p.items()}, np.inf, 0, 0
+    for _ in range(get["maxEpochs"]):
+        order = rng.permutation(get["slices"])
+        for at in order:
+            theta, e, f = q.draw(rng, get["drawsPerStep"])
+            middle = q.p["loc"][None]
+            n, held, n_held, g = sums([int(at), HELD] if at == order[-1] else [int(at)], weights(theta), theta[:, -1], weights(middle)[0], float(middle[0, -1]))
+            step += 1
+            if n:
+                g = g * (size / n)
+                slopes = q.slopes(joint_slopes(theta, g[:, :-1], g[:, -1]), e, f)
+                norm = np.sqrt(sum((v**2).sum() for v in slopes.values())) / size
+                for k, v in slopes.items():
+                    v = v / size * min(1.0, get["clipNorm"] / max(norm, 1e-300))
+                    m[k] += 0.1 * (v - m[k])
+                    s[k] += 0.01 * (v * v - s[k])
+                    q.p[k] = q.p[k] + get["stepSize"] * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-10)
+                q.p["s"] = np.clip(q.p["s"], -8, 3)
+            if n_held:
+                since += 1
+                if held / n_held < least:  # the loss is that of the parameters before this step
+                    best, least, since = {k: v.copy() for k, v in q.p.items()}, held / n_held, 0
+        if since >= get["patience"]:
+            break
+    return best if np.isfinite(least) else q.p, least
+
+
+def _in_one_task(blocks: DataFrame, size: float, d: int, get: dict) -> tuple[dict[str, np.ndarray], float]:
+    """climb as one task over all blocks."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, least = climb(_gathered(batches), size, d, get)
+        yield pa.record_batch([*(pa.array([p[k].tobytes()], pa.binary()) for k in ("loc", "s", "v")), pa.array([least])], ["loc", "s", "v", "least"])
+
+    r = blocks.coalesce(1).mapInArrow(go, "loc binary, s binary, v binary, least double").first()
+    loc, s, v = map(np.frombuffer, (r.loc, r.s, r.v))
+    return {"loc": loc, "s": s, "v": v.reshape(len(loc), -1)}, r.least
+
 
 class _HorseshoeParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol, HasSeed):
     maxEpochs = Param(Params._dummy(), "maxEpochs", "epochs at most", TypeConverters.toInt)
@@ -177,51 +286,14 @@ class HorseshoeSelector(Estimator, _HorseshoeParams, DefaultParamsReadable, Defa
         where = F.when(self.held_out(F.col("x")), HELD).otherwise(F.pmod(F.xxhash64("x", F.lit(get("seed") + 1)), F.lit(slices))).cast("int")
         blocks = rows.withColumn("slice", where).mapInArrow(_pack(d, mean, scale), "slice int, x binary, y binary").persist()
         try:
-            return self._copyValues(self._climb(blocks, d, mean, scale))
+            each = blocks.agg(F.coalesce(F.sum(F.when(F.col("slice") != HELD, F.octet_length("y") / 4)), F.lit(0.0)).alias("n"), F.sum(F.octet_length("x").cast("long")).alias("bytes")).first()
+            settings = {k: get(k) for k in ("seed", "rank", "slices", "maxEpochs", "drawsPerStep", "patience", "clipNorm", "stepSize")}
+            p, least = _in_one_task(blocks, each.n, d, settings) if each.bytes <= SMALL else climb(_spread(blocks), each.n, d, settings)
         finally:
             blocks.unpersist()
-
-    def _climb(self, blocks: DataFrame, d: int, mean: np.ndarray, scale: np.ndarray) -> HorseshoeModel:
-        get = self.getOrDefault
-        rng = np.random.Generator(np.random.PCG64(get("seed")))
-        size = blocks.agg(F.coalesce(F.sum(F.when(F.col("slice") != HELD, F.octet_length("y") / 4)), F.lit(0.0)).alias("n")).first().n
-        parts = blocks.rdd.getNumPartitions()
-        loc = np.zeros(3 * d + 2)
-        loc[3 * d] = -2.5  # weights begin near 0, of certain scale
-        q = LowRankNormal(loc, np.full(len(loc), -3.0), 0.01 * rng.normal(size=(len(loc), get("rank"))))
-        m, s = ({k: np.zeros(v.shape) for k, v in q.p.items()} for _ in range(2))
-        best, least, since, step = {k: v.copy() for k, v in q.p.items()}, np.inf, 0, 0
-        for _ in range(get("maxEpochs")):
-            order = rng.permutation(get("slices"))
-            for at in order:
-                theta, e, f = q.draw(rng, get("drawsPerStep"))
-                wanted = [int(at), HELD] if at == order[-1] else [int(at)]
-                middle = q.p["loc"][None]
-                sums = blocks.where(F.col("slice").isin(wanted)).mapInArrow(_sums(weights(theta), theta[:, -1], weights(middle)[0], float(middle[0, -1])), _SUMS)
-                if parts > 64:  # partial sums of many partitions meet in a few tasks first
-                    sums = sums.groupBy(F.pmod(F.spark_partition_id(), F.lit(16))).applyInArrow(_added, _SUMS)
-                got = sums.collect()
-                n, held, n_held = sum(r.n for r in got), sum(r.held for r in got), sum(r.n_held for r in got)
-                step += 1
-                if n:
-                    g = np.sum([np.frombuffer(r.g) for r in got], 0).reshape(len(theta), d + 1) * (size / n)
-                    slopes = q.slopes(joint_slopes(theta, g[:, :-1], g[:, -1]), e, f)
-                    norm = np.sqrt(sum((v**2).sum() for v in slopes.values())) / size
-                    for k, v in slopes.items():
-                        v = v / size * min(1.0, get("clipNorm") / max(norm, 1e-300))
-                        m[k] += 0.1 * (v - m[k])
-                        s[k] += 0.01 * (v * v - s[k])
-                        q.p[k] = q.p[k] + get("stepSize") * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-10)
-                    q.p["s"] = np.clip(q.p["s"], -8, 3)
-                if n_held:
-                    since += 1
-                    if held / n_held < least:  # the loss is that of the parameters before this step
-                        best, least, since = {k: v.copy() for k, v in q.p.items()}, held / n_held, 0
-            if since >= get("patience"):
-                break
-        p = best if np.isfinite(least) else q.p
         out = HorseshoeModel()
-        return out._set(loc=p["loc"].tolist(), logScales=p["s"].tolist(), factors=p["v"].ravel().tolist(), means=mean.tolist(), deviations=scale.tolist(), loss=float(least) if np.isfinite(least) else -1.0)
+        out._set(loc=p["loc"].tolist(), logScales=p["s"].tolist(), factors=p["v"].ravel().tolist(), means=mean.tolist(), deviations=scale.tolist(), loss=float(least) if np.isfinite(least) else -1.0)
+        return self._copyValues(out)
 
 
 class HorseshoeModel(Model, _HorseshoeParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -298,8 +370,10 @@ def bayesian_selector(tasks: DataFrame, features: list[str], label: str = "label
     Rows with a null feature teach nothing. params are those of HorseshoeSelector.
     """
     spark, kind = tasks.sparkSession, dict(tasks.dtypes)[by]
-    whole = tasks.where(" and ".join(f"`{f}` is not null" for f in features)).select(by, label, F.array(*[F.col(f).cast("double") for f in features]).alias("features"))
-    keys = sorted(r[0] for r in tasks.where(F.col(by).isNotNull()).select(by).distinct().collect())
+    full = F.expr(" and ".join(f"`{f}` is not null" for f in features))
+    whole = kept(tasks.where(F.col(by).isNotNull()).select(by, label, F.when(full, F.array(*[F.col(f).cast("double") for f in features])).alias("features")))
+    keys = sorted(r[0] for r in whole.select(by).distinct().collect())
+    whole = whole.where("features is not null")
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         models = list(pool.map(lambda k: HorseshoeSelector(labelCol=label, **params).fit(whole.where(F.col(by) == k)), keys))
     out = None

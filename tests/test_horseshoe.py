@@ -160,3 +160,23 @@ def test_fits_do_not_depend_on_partitions(spark):
     assert "FlatMapGroups" not in many._jdf.queryExecution().toString()
     means = [{(r.iteration, r.feature_name): r.m for r in d.groupBy("iteration", "feature_name").agg(F.avg("beta").alias("m")).collect()} for d in (one, many)]
     assert len(means[0]) == 6 and all(np.isclose(means[0][k], means[1][k], rtol=1e-5, atol=1e-7) for k in means[0])
+
+
+def test_small_fits_are_one_task(spark, monkeypatch):
+    """A fit of few bytes takes a handful of jobs, not one a step, and finds what the fit of a job a step finds."""
+    x = np.random.default_rng(6).random((600, 3))
+    df = spark.createDataFrame([(int(v[0] > 0.5), v.tolist()) for v in x], "label int, features array<double>").repartition(3)
+
+    def fitted(group):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            m = H.HorseshoeSelector(maxEpochs=6).fit(df)
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        return [m.getOrDefault(k) for k in ("loc", "logScales", "factors", "loss")], len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    here, few = fitted("few")
+    monkeypatch.setattr(H, "SMALL", 0)
+    spread, many = fitted("many")
+    assert few < 12 < 24 <= many
+    assert all(np.allclose(a, b, rtol=1e-5, atol=1e-7) for a, b in zip(here, spread, strict=True))
