@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociforge.functions.series import bh_adjust
+from lociforge.operators.quantiles import quantiles
 from lociforge.sources.shared import kept
 
 #: Counts that are fitted side by side; most samples of a study; range of dispersions.
@@ -31,14 +32,36 @@ CELLS, MOST_SAMPLES, LOW, HIGH = 1 << 20, 1_000_000, 1e-8, 100.0
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the gamma function for x > 0: Stirling's series beyond 10, to which smaller values are lifted."""
-    lift, x = np.zeros_like(x), np.array(x, float)
-    while (small := x < 10).any():
-        lift[small] += np.log(x[small])
-        x[small] += 1
+    """Logarithm of the gamma function for x > 0: Stirling's series beyond 10; smaller values are lifted by 10."""
+    x, low = np.array(x, float), None
+    small = x < 10
+    if small.any():
+        low = x[small]
+        x[small] += 10
     z = 1 / (x * x)
     series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z * (1 / 1188 - z * (691 / 360360 - z / 156)))))) / x
-    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series - lift
+    out = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series
+    if low is not None:
+        out[small] -= np.log(math.prod(low + k for k in range(10)))
+    return out
+
+
+def polygammas(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first two derivatives of log_gamma, by the same series."""
+    x, low = np.array(x, float), None
+    small = x < 10
+    if small.any():
+        low = x[small]
+        x[small] += 10
+    z = 1 / (x * x)
+    one = np.log(x) - 0.5 / x - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z * (1 / 132 - z * (691 / 32760 - z / 12))))))
+    two = 1 / x + z / 2 + (z / x) * (1 / 6 - z * (1 / 30 - z * (1 / 42 - z * (1 / 30 - z * (5 / 66 - z * (691 / 2730 - z * 7 / 6))))))
+    if low is not None:
+        for k in range(10):
+            u = 1 / (low + k)
+            one[small] -= u
+            two[small] += u * u
+    return one, two
 
 
 def trigamma(x: float) -> float:
@@ -54,6 +77,14 @@ def means(b: np.ndarray, x: np.ndarray, s: np.ndarray) -> np.ndarray:
     return np.maximum(s * np.exp(np.clip(b @ x.T, -30, 30)), 1e-9)
 
 
+def squares(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sums of weighted products of the design's columns: a matrix for each row of w."""
+    n, p = x.shape
+    if n * p * p > CELLS:
+        return np.einsum("gi,ij,ik->gjk", w, x, x)
+    return (w @ (x[:, :, None] * x[:, None, :]).reshape(n, p * p)).reshape(-1, p, p)
+
+
 def coefficients(y: np.ndarray, s: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray | None = None, steps: int = 100) -> np.ndarray:
     """Maximum-likelihood coefficients of genes (rows of y) at dispersions a; a coefficient that has no maximum ends near 30 or -30."""
     p = x.shape[1]
@@ -62,8 +93,8 @@ def coefficients(y: np.ndarray, s: np.ndarray, x: np.ndarray, a: np.ndarray, b:
     for _ in range(steps):
         mu = means(b[left], x, s)
         w = mu / (1 + a[left, None] * mu)
-        info = np.einsum("gi,ij,ik->gjk", w, x, x) + 1e-9 * np.eye(p)
-        step = np.linalg.solve(info, np.einsum("gi,ij->gj", (y[left] - mu) * w / mu, x)[..., None])[..., 0]
+        info = squares(w, x) + 1e-9 * np.eye(p)
+        step = np.linalg.solve(info, ((y[left] - mu) * w / mu @ x)[..., None])[..., 0]
         step *= np.minimum(1, 4 / np.maximum(np.abs(step).max(1), 1e-300))[:, None]
         b[left] = np.clip(b[left] + step, -30, 30)
         left = left[np.abs(step).max(1) > 1e-11]
@@ -74,7 +105,7 @@ def coefficients(y: np.ndarray, s: np.ndarray, x: np.ndarray, a: np.ndarray, b:
 
 def errors(x: np.ndarray, mu: np.ndarray, a: np.ndarray) -> np.ndarray:
     """Standard errors of the coefficients."""
-    info = np.einsum("gi,ij,ik->gjk", mu / (1 + a[:, None] * mu), x, x) + 1e-9 * np.eye(x.shape[1])
+    info = squares(mu / (1 + a[:, None] * mu), x) + 1e-9 * np.eye(x.shape[1])
     return np.sqrt(np.einsum("gjj->gj", np.linalg.inv(info)))
 
 
@@ -82,47 +113,90 @@ def likelihood(log_a: np.ndarray, y: np.ndarray, mu: np.ndarray, x: np.ndarray,
     """Log likelihood of each gene's dispersion at given means, without what does not depend on it."""
     a = np.exp(log_a)[:, None]
     r = 1 / a
-    out = (log_gamma(y + r) - log_gamma(np.broadcast_to(r, y.shape)) + y * (np.log(a) + np.log(mu)) - (y + r) * np.log1p(a * mu)).sum(1)
+    out = (log_gamma(y + r) + y * np.log(a * mu) - (y + r) * np.log1p(a * mu)).sum(1) - y.shape[1] * log_gamma(r[:, 0])
     if adjusted:
-        info = np.einsum("gi,ij,ik->gjk", mu / (1 + a * mu), x, x)
-        out -= 0.5 * np.linalg.slogdet(info + 1e-12 * np.eye(x.shape[1]))[1]
+        out -= 0.5 * np.linalg.slogdet(squares(mu / (1 + a * mu), x) + 1e-12 * np.eye(x.shape[1]))[1]
     return out
 
 
-def dispersions(y: np.ndarray, mu: np.ndarray, x: np.ndarray, adjusted: bool, prior: tuple[np.ndarray, float] | None = None, grid: int = 25) -> np.ndarray:
-    """The dispersion of each gene that is likeliest at given means; prior: a normal one of its logarithm, by centre and variance."""
+def likelihood_slopes(log_a: np.ndarray, y: np.ndarray, mu: np.ndarray, x: np.ndarray, adjusted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The first two derivatives of likelihood by log_a."""
+    r = np.exp(-log_a)[:, None]
+    (p1, p2), (q1, q2), s = polygammas(y + r), polygammas(r), r + mu
+    off = (mu - y) / s
+    one = (p1 - q1 - np.log1p(mu / r) + off).sum(1)
+    two = (p2 - q2 + (mu / r - off) / s).sum(1)
+    if adjusted:
+        info = squares(mu * r / s, x) + 1e-12 * np.eye(x.shape[1])
+        v = (mu / s) ** 2
+        turn, bend = np.linalg.solve(info, squares(v, x)), np.linalg.solve(info, squares(-2 * v / s, x))
+        one -= 0.5 * np.einsum("gjj->g", turn)
+        two -= 0.5 * (np.einsum("gjj->g", bend) - np.einsum("gjk,gkj->g", turn, turn))
+    r = r[:, 0]
+    return -r * one, r * r * two + r * one
+
 
-    def value(t: np.ndarray) -> np.ndarray:
-        f = likelihood(t, y, mu, x, adjusted)
-        return f if prior is None else f - (t - prior[0]) ** 2 / (2 * prior[1])
+def dispersions(y: np.ndarray, mu: np.ndarray, x: np.ndarray, adjusted: bool, prior: tuple[np.ndarray, float] | None = None, grid: int = 25, near: np.ndarray | None = None) -> np.ndarray:
+    """The dispersion of each gene that is likeliest at given means; prior: a normal one of its logarithm, by centre and variance.
 
+    The best of a grid lies between its neighbours, where Newton's method (halving where a step would leave what is left of
+    the range) takes the slope to 0. With `near`, dispersions close to it, the grid is left to genes that have no maximum within
+    a step of it there.
+    """
     ends = np.linspace(math.log(LOW), math.log(HIGH), grid)
-    best = np.argmax([value(np.full(len(y), t)) for t in ends], 0)
-    low, high = ends[np.maximum(best - 1, 0)], ends[np.minimum(best + 1, grid - 1)]
-    ratio = (math.sqrt(5) - 1) / 2
-    c, d = high - ratio * (high - low), low + ratio * (high - low)
-    fc, fd = value(c), value(d)
-    for _ in range(45):  # golden section
-        left = fc >= fd
-        low, high = np.where(left, low, c), np.where(left, d, high)
-        c, d = high - ratio * (high - low), low + ratio * (high - low)
-        new = value(np.where(left, c, d))
-        fc, fd = np.where(left, new, fd), np.where(left, fc, new)
-    return np.exp((low + high) / 2)
+    if near is None:
+        values = []
+        for t in ends:
+            f = likelihood(np.full(len(y), t), y, mu, x, adjusted)
+            values.append(f if prior is None else f - (t - prior[0]) ** 2 / (2 * prior[1]))
+        best = np.argmax(values, 0)
+        t, low, high = ends[best], ends[np.maximum(best - 1, 0)], ends[np.minimum(best + 1, grid - 1)]
+    else:
+        t = np.log(near)
+        low, high = np.maximum(t - (ends[1] - ends[0]), ends[0]), np.minimum(t + (ends[1] - ends[0]), ends[-1])
+    edges, left = (low.copy(), high.copy()), np.arange(len(y))
+    for _ in range(100):
+        one, two = likelihood_slopes(t[left], y[left], mu[left], x, adjusted)
+        if prior is not None:
+            one, two = one - (t[left] - prior[0][left]) / prior[1], two - 1 / prior[1]
+        up = one > 0
+        low[left], high[left] = np.where(up, t[left], low[left]), np.where(up, high[left], t[left])
+        new = t[left] - one / np.where(two < 0, two, -np.inf)
+        new = np.where((two < 0) & (new >= low[left]) & (new <= high[left]), new, (low[left] + high[left]) / 2)
+        moved = np.abs(new - t[left]) > 1e-11
+        t[left] = new
+        left = left[moved]
+        if not len(left):
+            break
+    out = np.exp(t)
+    if near is not None:
+        lost = np.flatnonzero(((t < edges[0] + 1e-9) & (edges[0] > ends[0])) | ((t > edges[1] - 1e-9) & (edges[1] < ends[-1])))
+        if len(lost):
+            out[lost] = dispersions(y[lost], mu[lost], x, adjusted, None if prior is None else (prior[0][lost], prior[1]), grid)
+    return out
 
 
 def fit(y: np.ndarray, s: np.ndarray, x: np.ndarray, adjusted: bool = True, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and dispersions of genes, fitted in turns until dispersions stand still."""
+    """Coefficients and dispersions of genes, fitted in turns until dispersions stand still.
+
+    The first turn seeks the dispersion in its whole range, and so does the last; those between seek it near that of the turn before.
+    """
     q = y / s
     m = q.mean(1)
     a = np.clip((q.var(1, ddof=1) - (1 / s).mean() * m) / np.maximum(m, 1e-9) ** 2, 1e-4, 10)
-    b, left = coefficients(y, s, x, a), np.arange(len(y))
+    b, left, whole = coefficients(y, s, x, a), np.arange(len(y)), np.full(len(y), True)
     for _ in range(rounds):
-        new = dispersions(y[left], means(b[left], x, s), x, adjusted)
+        mu, new = means(b[left], x, s), np.empty(len(left))
+        for near in (False, True):
+            these = np.flatnonzero(whole[left] != near)
+            if len(these):
+                new[these] = dispersions(y[left[these]], mu[these], x, adjusted, near=a[left[these]] if near else None)
         b[left] = coefficients(y[left], s, x, new, b[left])
         moved = np.abs(np.log(new / a[left])) > 1e-9
         a[left] = new
-        left = left[moved]
+        done = ~moved & whole[left]
+        whole[left] = ~moved  # what stands still near its place is sought once more in the whole range
+        left = left[~done]
         if not len(left):
             break
     return b, a
@@ -134,7 +208,7 @@ def _dense(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Recor
     for whole in batches:
         for k in range(0, whole.num_rows, each):
             batch = whole.slice(k, each)
-            y, of = np.zeros((batch.num_rows, n)), np.append(0, np.cumsum([len(v) for v in batch.column("at")]))
+            y, of = np.zeros((batch.num_rows, n)), np.append(0, np.cumsum(batch.column("at").value_lengths().to_numpy()))
             at, c = (batch.column(name).flatten().to_numpy(zero_copy_only=False) for name in ("at", "counts"))
             np.add.at(y, (np.repeat(np.arange(batch.num_rows), np.diff(of)), at), c)
             yield batch, y
@@ -209,6 +283,12 @@ def dispersion_trend(genes: DataFrame, rounds: int = 20) -> tuple[float, float]
     return a1, a0
 
 
+def _median(df: DataFrame) -> float:
+    """The median of d, 0 without rows."""
+    r = quantiles(df, "d", [0.5]).first()
+    return r.quantiles[0] if r else 0.0
+
+
 def negative_binomial(counts: DataFrame, samples: DataFrame, columns: list[str], test: str, dispersion: float | None = None, adjusted: bool = True, shrink: bool = True, gene: str = "gene_id", sample: str = "sample_id", count: str = "count", factor: str = "size_factor") -> DataFrame:
     """gene, base_mean, dispersion, log2_fold_change, se, p, coefficients, padj of `test`, one of the design's columns.
 
@@ -229,7 +309,8 @@ def negative_binomial(counts: DataFrame, samples: DataFrame, columns: list[str],
         raise ValueError("the design has too few samples, or columns that depend on each other")
     places = spark.createDataFrame([(v, k) for k, v in enumerate(rows["_s"].tolist())], f"_s {dict(counts.dtypes)[sample]}, at int")
     cells = counts.where(F.col(count).isNotNull()).select(gene, F.col(sample).alias("_s"), F.col(count).cast("double").alias("n")).join(F.broadcast(places), "_s", "left")
-    packed = cells.groupBy(gene).agg(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n"))).alias("v")).select(gene, F.col("v.at").alias("at"), F.col("v.n").alias("counts"))
+    # fits take longer than what they read is large, so the genes are dealt to all partitions
+    packed = cells.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), gene).groupBy(gene).agg(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n"))).alias("v")).select(gene, F.col("v.at").alias("at"), F.col("v.n").alias("counts"))
     kind, at, result = dict(counts.dtypes)[gene], 1 + columns.index(test), "base_mean double, dispersion double, log2_fold_change double, se double, p double, coefficients array<double>"
     if dispersion is not None:
         fitted = packed.mapInArrow(_final(s, x, at, adjusted, None, dispersion, 1), f"`{gene}` {kind}, {result}")
@@ -241,8 +322,8 @@ def negative_binomial(counts: DataFrame, samples: DataFrame, columns: list[str],
         middle = own.where(F.col("own") > 100 * LOW).agg(F.exp(F.avg(F.ln("own"))).alias("m")).first().m
         trend = F.lit(line[0]) / F.col("base_mean") + F.lit(line[1]) if line else F.lit(middle if middle else LOW)
         off = own.where((F.col("own") > 100 * LOW) & (F.col("base_mean") > 0)).select((F.ln("own") - F.ln(trend)).alias("d"))
-        centre = off.agg(F.percentile("d", 0.5).alias("m")).first().m or 0.0
-        spread = off.agg(F.percentile(F.abs(F.col("d") - centre), 0.5).alias("m")).first().m or 0.0
+        centre = _median(off)
+        spread = _median(off.select(F.abs(F.col("d") - centre).alias("d")))
         width = max((1.4826 * spread) ** 2 - trigamma((len(x) - x.shape[1]) / 2), 0.25)
     told = own.select(gene, "at", "counts", "own", F.when(F.col("base_mean") > 0, trend).alias("trend"))
     return bh_adjust(kept(told.mapInArrow(_final(s, x, at, adjusted, width, None, 1), f"`{gene}` {kind}, {result}")))

@@ -113,3 +113,35 @@ def test_edges(spark):
     with pytest.raises(ValueError):
         G.negative_binomial(counts, samples.withColumn("sex", samples["case"] * 2), ["case", "sex"], "case")
     assert G.negative_binomial(counts.limit(0), samples, ["case"], "case").count() == 0
+
+
+@pytest.mark.parametrize("adjusted", [False, True])
+def test_dispersion_slopes(adjusted):
+    x, s, b, y = study(20, 12, 4)
+    mu = G.means(b, x, s)
+    t = np.random.default_rng(2).uniform(-6, 2, 20)
+    f = lambda v: G.likelihood(v, y, mu, x, adjusted)
+    one, two = G.likelihood_slopes(t, y, mu, x, adjusted)
+    assert one == pytest.approx((f(t + 1e-4) - f(t - 1e-4)) / 2e-4, rel=1e-5, abs=1e-5)
+    assert two == pytest.approx((G.likelihood_slopes(t + 1e-4, y, mu, x, adjusted)[0] - G.likelihood_slopes(t - 1e-4, y, mu, x, adjusted)[0]) / 2e-4, rel=1e-5, abs=1e-5)
+
+
+def test_dispersions_in_few_steps(monkeypatch):
+    """The likelihood is evaluated on two grids a gene, not hundreds of times, and no dispersion of a fine grid is likelier."""
+    x, s, _, y = study(200, 12, 7)
+    y[:5] = np.maximum(np.round(s * 20), 1)  # no dispersion at all
+    looked, plain = [], G.likelihood
+    monkeypatch.setattr(G, "likelihood", lambda *a: looked.append(len(a[0])) or plain(*a))
+    b, a = G.fit(y, s, x)
+    assert sum(looked) < 100 * len(y)
+    mu = G.means(b, x, s)
+    best = np.max([plain(np.full(len(y), t), y, mu, x, True) for t in np.linspace(math.log(G.LOW), math.log(G.HIGH), 2000)], 0)
+    assert (plain(np.log(a), y, mu, x, True) > best - 1e-4).all() and (a[:5] < 1e-4).all()
+    prior = (np.log(np.full(len(y), 0.2)), 0.3)
+    near, wide = G.dispersions(y, mu, x, True, prior, near=np.full(len(y), 1e-7)), G.dispersions(y, mu, x, True, prior)
+    assert np.allclose(np.log(near), np.log(wide), atol=1e-6)
+
+
+def test_polygammas():
+    one, two = G.polygammas(np.array([1.0, 0.5, 12.0]))
+    assert one[:2] == pytest.approx([-0.5772156649015329, -1.9635100260214235], rel=1e-12) and two[0] == pytest.approx(math.pi**2 / 6, rel=1e-12) and two[2] == pytest.approx(G.trigamma(12.0), rel=1e-12)
